@@ -1,12 +1,13 @@
 """Group operators that stay correct and distributed when one group is huge.
 
-A plain window or ``percentile`` sends a whole group to one task.  Here every
-operator first lists the *hot* groups: at most ``MAX_HOT`` groups of more than
-``HOT_ROWS`` rows.  The list is bounded by a constant, so it may be broadcast,
-and a group left off it holds under ``1/MAX_HOT`` of all rows, which is an
-ordinary partition.  Cold groups take the plain operator; hot groups take a
-split one with the same exact result.  With no hot group the adaptive planner
-removes the second branch.
+A plain window or ``percentile`` sends a whole group to one task.  A caller
+first asks :func:`find_hot` for the *hot* groups: at most ``MAX_HOT`` groups of
+more than ``HOT_ROWS`` rows.  The list is bounded by a constant, so it may be
+collected and broadcast, and a group left off it holds under ``1/MAX_HOT`` of
+all rows, which is an ordinary partition.  Cold groups take the plain operator;
+hot groups take a split one with the same exact result.  Without hot groups the
+plan is just the plain operator.  A list found on a table also holds for any
+subset of its rows.
 """
 
 from __future__ import annotations
@@ -20,50 +21,53 @@ HOT_ROWS = 500_000
 MAX_HOT = 4_096
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
-    """Keys of the largest groups, at most ``MAX_HOT`` rows of (keys, hot_rows)."""
+class HotGroups:
+    """Keys and sizes of the largest groups of one table."""
+
+    def __init__(self, keys: Sequence[str], frame: DataFrame, limit: int):
+        self.keys, self.frame, self.limit = list(keys), frame, limit
+
+    def flag(self, df: DataFrame) -> DataFrame:
+        """Adds ``hot_rows``: the group size for hot groups, null for the rest."""
+        return df.join(F.broadcast(self.frame), self.keys, "left")
+
+    def salts(self) -> Column:
+        return F.ceil(F.col("hot_rows") / F.lit(self.limit)).cast("int")
+
+
+def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> HotGroups | None:
+    """Counts the groups (combined on the map side) and keeps the few large ones; None when there are none."""
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    return (
+    found = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("hot_rows"))
         .where(F.col("hot_rows") > limit)
         .orderBy(F.desc("hot_rows"))
         .limit(MAX_HOT)
     )
+    rows = found.collect()
+    if not rows:
+        return None
+    return HotGroups(keys, df.sparkSession.createDataFrame(rows, found.schema), limit)
 
 
-def flag_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
-    """Adds ``hot_rows`` (group size for hot groups, null for the rest)."""
-    return df.join(F.broadcast(hot_groups(df, keys, hot_rows)), list(keys), "left")
-
-
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], hot: HotGroups | None) -> DataFrame:
     """Inner join of rows to one-row-per-group statistics.
 
-    Rows of a hot group are spread over ``ceil(size / hot_rows)`` salts and the
+    Rows of a hot group are spread over ``ceil(size / limit)`` salts and the
     group's single statistics row is copied once per salt.  The salt is a hash
     of the row, so a task that is run again sends each row the same way.
     """
-    limit = HOT_ROWS if hot_rows is None else hot_rows
     keys = list(keys)
-    hot = hot_groups(df, keys, hot_rows)
-    salts = F.ceil(F.col("hot_rows") / F.lit(limit)).cast("int")
-    rows = (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("hot_rows").isNull(), F.lit(0)).otherwise(
-                F.pmod(F.xxhash64(*df.columns), F.greatest(salts, F.lit(1))).cast("int")
-            ),
-        )
-        .drop("hot_rows")
+    if hot is None:
+        return df.join(stats, keys)
+    salts = hot.salts()
+    spread = F.pmod(F.xxhash64(*df.columns), F.greatest(salts, F.lit(1))).cast("int")
+    rows = hot.flag(df).withColumn("_salt", F.when(F.col("hot_rows").isNull(), F.lit(0)).otherwise(spread))
+    copies = hot.flag(stats).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(salts - 1, F.lit(0))))
     )
-    copies = (
-        stats.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(salts - 1, F.lit(0)))))
-        .drop("hot_rows")
-    )
-    return rows.join(copies, keys + ["_salt"]).drop("_salt")
+    return rows.drop("hot_rows").join(copies.drop("hot_rows"), keys + ["_salt"]).drop("_salt")
 
 
 def ordered_index(
@@ -72,7 +76,7 @@ def ordered_index(
     order: Sequence[Column],
     levels: Sequence[Column],
     out: str,
-    hot_rows: int | None = None,
+    hot: HotGroups | None,
 ) -> DataFrame:
     """``row_number`` (1-based) in ``order`` within ``keys``.
 
@@ -81,20 +85,18 @@ def ordered_index(
     cells are shifted by prefix sums of their counts.
     """
     keys = list(keys)
+    if hot is None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(out, F.row_number().over(whole).cast("long"))
     first, second = levels
-    flagged = (
-        flag_hot(df, keys, hot_rows)
-        .withColumn("_l1", F.when(F.col("hot_rows").isNotNull(), first.cast("string")))
-        .withColumn("_l2", F.when(F.col("hot_rows").isNotNull(), second.cast("long")))
+    is_hot = F.col("hot_rows").isNotNull()
+    flagged = hot.flag(df).withColumn("_l1", F.when(is_hot, first.cast("string"))).withColumn(
+        "_l2", F.when(is_hot, second.cast("long"))
     )
     local = Window.partitionBy(*keys, "_l1", "_l2").orderBy(*order)
     numbered = flagged.withColumn("_local", F.row_number().over(local).cast("long"))
 
-    cells = (
-        flagged.where(F.col("hot_rows").isNotNull())
-        .groupBy(*keys, "_l1", "_l2")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    cells = flagged.where(is_hot).groupBy(*keys, "_l1", "_l2").agg(F.count(F.lit(1)).alias("_n"))
     before_cell = Window.partitionBy(*keys, "_l1").orderBy("_l2").rowsBetween(Window.unboundedPreceding, -1)
     before_step = Window.partitionBy(*keys).orderBy("_l1").rowsBetween(Window.unboundedPreceding, -1)
     steps = cells.groupBy(*keys, "_l1").agg(F.sum("_n").alias("_step_n"))
@@ -112,12 +114,7 @@ def ordered_index(
 
 
 def group_percentile(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    p: float,
-    out: str,
-    hot_rows: int | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, p: float, out: str, hot: HotGroups | None
 ) -> DataFrame:
     """Exact, linearly interpolated percentile per group, one row per group.
 
@@ -127,17 +124,19 @@ def group_percentile(
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    flagged = flag_hot(rows, keys, hot_rows)
+    if hot is None:
+        return rows.groupBy(*keys).agg(F.percentile(value, p).cast("double").alias(out))
+    flagged = hot.flag(rows)
     cold = (
         flagged.where(F.col("hot_rows").isNull()).groupBy(*keys).agg(F.percentile(value, p).cast("double").alias(out))
     )
-    hot = flagged.where(F.col("hot_rows").isNotNull())
+    large = flagged.where(F.col("hot_rows").isNotNull()).drop("hot_rows")
 
     accuracy, margin = 100_000, 2e-5
     sketch = F.percentile_approx(value, [max(p - margin, 0.0), min(p + margin, 1.0)], accuracy)
-    bracket = hot.groupBy(*keys).agg(sketch.alias("_b"), F.count(F.lit(1)).alias("_n"))
+    bracket = large.groupBy(*keys).agg(sketch.alias("_b"), F.count(F.lit(1)).alias("_n"))
     bracket = bracket.select(*keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    placed = hot.join(F.broadcast(bracket), keys)  # one row per hot group: at most MAX_HOT
+    placed = large.join(F.broadcast(bracket), keys)  # one row per hot group: at most MAX_HOT
     below = placed.groupBy(*keys).agg(
         F.sum((F.col(value) < F.col("_lo")).cast("long")).alias("_below"), F.first("_n").alias("_n")
     )
@@ -152,9 +151,7 @@ def group_percentile(
         "_pos", (F.col("_n") - 1) * F.lit(p)
     )
     # zero-based ranks covered by a value are [_to - _c, _to - 1]
-    start = F.col("_to") - F.col("_c")
-    low = F.floor("_pos")
-    high = F.ceil("_pos")
+    start, low, high = F.col("_to") - F.col("_c"), F.floor("_pos"), F.ceil("_pos")
     picked = inside.groupBy(*keys).agg(
         F.max(F.when((start <= low) & (low < F.col("_to")), F.col(value))).alias("_vl"),
         F.max(F.when((start <= high) & (high < F.col("_to")), F.col(value))).alias("_vh"),

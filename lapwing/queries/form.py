@@ -43,7 +43,7 @@ def quali_view(spark, sf):
     ),
 )
 def laps_view(spark, sf):
-    laps = star.laps(spark, sf)
+    laps = star.laps(spark, sf, star.hot_stints(spark, sf))
     out = laps.groupBy("series", "rnd", "entity", "compound").agg(
         F.count(F.lit(1)).alias("n_laps"),
         F.max("lap").alias("max_lap"),

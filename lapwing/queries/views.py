@@ -71,3 +71,44 @@ laps AS (
 def sql(body: str, *ctes: str) -> str:
     """A WITH statement over the named views."""
     return "WITH " + ",".join(ctes) + "\n" + body
+
+CIRCUITS = """
+circuits AS (
+  SELECT cast(n_nationkey AS bigint) AS circuit, lower(n_name) AS circuit_key,
+    CASE n_nationkey % 3 WHEN 0 THEN 'street' WHEN 1 THEN 'permanent' ELSE 'temporary' END AS circuit_type,
+    cast(0.4 AS double) + (n_nationkey % 8) / 20.0 AS sc, cast(0.3 AS double) + (n_nationkey % 10) / 50.0 AS vsc,
+    cast(0.1 AS double) + (n_nationkey % 12) / 100.0 AS rf, 20.0 + n_nationkey % 9 AS pit_loss,
+    cast(0.6 AS double) + (n_nationkey % 7) / 10.0 AS deg_multiplier,
+    18.0 + n_nationkey % 13 AS c_air, 26.0 + n_nationkey % 17 AS c_track, 45.0 + n_nationkey % 30 AS c_hum,
+    2.0 + (n_nationkey % 5) / 2.0 AS c_wind, (n_nationkey % 11) / 20.0 AS c_rain
+  FROM nation)"""
+
+SLOPES = """
+pts AS (SELECT series, rnd, entity, compound, cast(lap AS double) AS x, lap_s AS y FROM laps WHERE lap_s > 50),
+f1 AS (SELECT series, rnd, entity, compound, regr_slope(y, x) AS m, regr_intercept(y, x) AS c, count(*) AS n
+       FROM pts GROUP BY ALL),
+res AS (SELECT pts.*, y - (m * x + c) AS r FROM pts JOIN f1 USING (series, rnd, entity, compound)),
+med AS (SELECT series, rnd, entity, compound, median(r) AS md FROM res GROUP BY ALL),
+mad AS (SELECT series, rnd, entity, compound, greatest(2.5 * 1.4826 * median(abs(r - md)), 0.5) AS lim
+        FROM res JOIN med USING (series, rnd, entity, compound) GROUP BY ALL),
+f2 AS (SELECT series, rnd, entity, compound, regr_slope(y, x) AS m2, count(*) AS n2, regr_syy(y, x) AS syy,
+         regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy
+       FROM res JOIN mad USING (series, rnd, entity, compound) WHERE abs(r) <= lim GROUP BY ALL),
+slopes AS (
+  SELECT f1.series, f1.rnd, f1.entity, f1.compound, f1.n,
+    CASE WHEN n < 3 THEN 0.05 WHEN n2 >= 3 AND m2 IS NOT NULL THEN least(greatest(m2, 0.005), 0.4)
+         ELSE least(greatest(m, 0.005), 0.4) END AS slope,
+    CASE WHEN n < 3 OR n2 IS NULL OR n2 < 3 OR m2 IS NULL OR syy <= 1e-6 THEN 0.0
+         ELSE least(greatest(1 - (syy - sxy * sxy / sxx) / (syy + 1e-8), 0), 1) END AS r2
+  FROM f1 LEFT JOIN f2 USING (series, rnd, entity, compound))"""
+
+STINTS = """
+ok AS (SELECT * FROM laps WHERE lap_s > 50 AND NOT deleted),
+lim AS (SELECT series, rnd, entity, compound, median(lap_s) * 1.12 AS lim, count(*) AS n FROM ok GROUP BY ALL),
+kept AS (SELECT ok.*, row_number() OVER (PARTITION BY series, rnd, entity, compound ORDER BY lap) - 1 AS i
+         FROM ok JOIN lim USING (series, rnd, entity, compound) WHERE n >= 4 AND lap_s <= lim),
+stints AS (
+  SELECT series, rnd, entity, compound, count(*) AS lap_count, avg(lap_s) AS mean_lap, median(lap_s) AS median_lap,
+    min(lap_s) AS best_lap, stddev_pop(lap_s) AS std_lap, avg(lap_s + 0.035 * i) AS fuel_adj_mean_lap,
+    regr_slope(lap_s, i) AS deg_slope
+  FROM kept GROUP BY ALL HAVING count(*) >= 4)"""

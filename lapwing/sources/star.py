@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lapwing.operators.skew import ordered_index
+from lapwing.operators.skew import HotGroups, find_hot, ordered_index
 
 FIELD_SIZE = 20
 FIRST_YEAR = 1995
@@ -124,18 +124,28 @@ def qualifying(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def laps(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFrame:
+STINT_KEYS = KEYS + ["compound"]
+
+
+def compound_of(flag: Column) -> Column:
+    return F.when(flag == "A", "SOFT").when(flag == "N", "MEDIUM").otherwise("HARD")
+
+
+def hot_stints(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> HotGroups | None:
+    """Stints too large for one task, found with one count over the keys."""
+    lines = timed_lines(spark, sf_dir)
+    return find_hot(lines.select(*KEYS, compound_of(F.col("l_returnflag")).alias("compound")), STINT_KEYS, hot_rows)
+
+
+def laps(spark: SparkSession, sf_dir: str, hot: HotGroups | None) -> DataFrame:
     """Long lap table with a lap number inside (round, entrant, compound)."""
-    compound = (
-        F.when(F.col("l_returnflag") == "A", "SOFT").when(F.col("l_returnflag") == "N", "MEDIUM").otherwise("HARD")
-    )
     ln = F.col("l_linenumber")
     lines = timed_lines(spark, sf_dir).select(
         *KEYS,
         "season",
         "team",
         F.when(ln <= 2, "fp1").when(ln <= 4, "fp2").otherwise("fp3").alias("session"),
-        compound.alias("compound"),
+        compound_of(F.col("l_returnflag")).alias("compound"),
         "lap_s",
         "deleted",
         "l_shipdate",
@@ -145,15 +155,8 @@ def laps(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataF
         "l_quantity",
     )
     order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "deleted")]
-    # the second step is the whole first sort column below the day, cut in blocks
-    numbered = ordered_index(
-        lines,
-        KEYS + ["compound"],
-        order,
-        [F.col("l_shipdate"), F.floor(F.col("l_orderkey") / 65_536)],
-        "lap",
-        hot_rows,
-    )
+    steps = [F.col("l_shipdate"), F.floor(F.col("l_orderkey") / 65_536)]
+    numbered = ordered_index(lines, STINT_KEYS, order, steps, "lap", hot)
     return numbered.select(
         *KEYS, "season", "team", "session", F.lit(1).cast("long").alias("stint"), "compound", "lap", "lap_s", "deleted"
     )
@@ -173,3 +176,29 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 10 / F.lit(2.0)).alias("wind_speed"),
         F.when(F.col("event_type") == "error", 1.0).otherwise(0.0).alias("rainfall"),
     )
+
+
+def circuit_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circuit dimension: one row per nation, with priors and climate."""
+    k = F.col("n_nationkey").cast("double")
+    kind = F.when(k % 3 == 0, "street").when(k % 3 == 1, "permanent").otherwise("temporary")
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("long").alias("circuit"),
+        F.lower("n_name").alias("circuit_key"),
+        kind.alias("circuit_type"),
+        (F.lit(0.4) + (k % 8) / 20).alias("sc_probability"),
+        (F.lit(0.3) + (k % 10) / 50).alias("vsc_probability"),
+        (F.lit(0.1) + (k % 12) / 100).alias("red_flag_probability"),
+        (F.lit(20.0) + k % 9).alias("pit_loss_seconds"),
+        (F.lit(0.6) + (k % 7) / 10).alias("deg_multiplier"),
+        (F.lit(18.0) + k % 13).alias("climate_air_temp"),
+        (F.lit(26.0) + k % 17).alias("climate_track_temp"),
+        (F.lit(45.0) + k % 30).alias("climate_humidity"),
+        (F.lit(2.0) + (k % 5) / 2).alias("climate_wind_speed"),
+        ((k % 11) / 20).alias("climate_rain_prob"),
+    )
+
+
+def circuit_of(rnd: Column) -> Column:
+    """Circuit visited in a round: the same one in the same quarter of every season."""
+    return (rnd - 1) % 4

@@ -99,7 +99,7 @@ def qualifying_format(year: Column, has_two_runs: Column) -> Column:
 
 def event_status(name: Column, date_text: Column, time_text: Column, now: Column) -> Column:
     """Calendar status against a reference instant; a bare date counts until the end of its day."""
-    clock = F.when(time_text.contains(":"), F.rtrim(F.lit("Z"), F.trim(time_text))).otherwise(F.lit("23:59:59"))
+    clock = F.when(time_text.contains(":"), F.rtrim(F.trim(time_text), F.lit("Z"))).otherwise(F.lit("23:59:59"))
     at = F.try_to_timestamp(F.concat(F.trim(date_text), F.lit(" "), clock), F.lit("yyyy-MM-dd HH:mm:ss"))
     return (
         F.when(F.lower(name).contains("cancelled"), "Advisory: Likely Cancelled")

@@ -112,3 +112,30 @@ stints AS (
     min(lap_s) AS best_lap, stddev_pop(lap_s) AS std_lap, avg(lap_s + 0.035 * i) AS fuel_adj_mean_lap,
     regr_slope(lap_s, i) AS deg_slope
   FROM kept GROUP BY ALL HAVING count(*) >= 4)"""
+
+ARCHIVE = (
+    RESULTS
+    + ","
+    + QUALI
+    + """,
+archive AS (
+  SELECT r.series, r.season - 3 AS season, r.rnd, r.entity, 'Team ' || r.team AS constructor, grid, position,
+    CASE WHEN status IN ('Engine', 'Collision') THEN 'R' WHEN status = 'Did not start' THEN 'W'
+         WHEN status = 'Disqualified' THEN 'D' WHEN status = 'NC' THEN 'N' ELSE cast(position AS varchar) END AS position_text,
+    points, status, q_position, (r.rnd - 1) % 4 AS circuit
+  FROM results r JOIN quali USING (series, rnd, entity)),
+arch AS (
+  SELECT *, coalesce(status IN ('Did not start', 'NC'), false) AS ns, coalesce(status IN ('Finished', '+1 Lap'), false) AS run,
+    coalesce(status IN ('Finished', '+1 Lap'), true) AS cls,
+    status IS NULL OR status IN ('Engine', 'Collision') AS ret
+  FROM archive),
+brk AS (
+  SELECT series, entity, season, any_value(constructor) AS constructor, count(*) AS races, count(*) FILTER (NOT ns) AS starts,
+    count(*) FILTER (ns) AS non_starts, count(*) FILTER (run) AS running_finishes, count(*) FILTER (cls) AS classified_finishes,
+    count(*) FILTER (cls AND ret) AS classified_retirements, count(*) FILTER (NOT cls AND ret) AS unclassified_retirements,
+    count(*) FILTER (cls AND position = 1) AS wins, count(*) FILTER (cls AND position <= 3) AS podiums, sum(points) AS points,
+    min(position) FILTER (cls) AS best_finish, avg(position) FILTER (cls) AS avg_finish, count(*) FILTER (cls) AS fn,
+    sum(position) FILTER (cls) AS fs, count(*) FILTER (ret) AS dnfs,
+    CASE WHEN season >= 1994 THEN count(*) FILTER (q_position = 1) END AS poles
+  FROM arch GROUP BY series, entity, season)"""
+)

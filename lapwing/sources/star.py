@@ -202,3 +202,39 @@ def circuit_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def circuit_of(rnd: Column) -> Column:
     """Circuit visited in a round: the same one in the same quarter of every season."""
     return (rnd - 1) % 4
+
+
+ARCHIVE_SHIFT = 3
+
+
+def position_text(status: Column, position: Column) -> Column:
+    return (
+        F.when(status.isin("Engine", "Collision"), "R")
+        .when(status == "Did not start", "W")
+        .when(status == "Disqualified", "D")
+        .when(status == "NC", "N")
+        .otherwise(position.cast("string"))
+    )
+
+
+def archive(base: DataFrame) -> DataFrame:
+    """Archive rows: seasons shifted back so some precede qualifying records; team changes name by season."""
+    rows = with_qualifying(with_results(base))
+    season = F.col("season") - ARCHIVE_SHIFT
+    return rows.select(
+        "series",
+        season.alias("season"),
+        "rnd",
+        "entity",
+        F.concat(F.lit("Team "), F.col("team").cast("string")).alias("constructor"),
+        "grid",
+        "position",
+        position_text(F.col("status"), F.col("position")).alias("position_text"),
+        "points",
+        "status",
+        "q_position",
+        "q1",
+        "q2",
+        "q3",
+        circuit_of(F.col("rnd")).alias("circuit"),
+    )

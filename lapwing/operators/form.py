@@ -129,8 +129,8 @@ def season_form(results: DataFrame, keys: list[str], target_round: int, **kw) ->
     return driver_form(results.where(F.col("rnd") < target_round), keys, **kw)
 
 
-def add_team_form(df: DataFrame, scope: list[str], alpha: float = ALPHA, default: float = DEFAULT_POSITION) -> DataFrame:
-    """Adds team form as of each round.
+def team_form(df: DataFrame, scope: list[str], alpha: float = ALPHA, default: float = DEFAULT_POSITION) -> DataFrame:
+    """Team form as of each round, one row per (scope, round).
 
     A team has several rows per round, so each round is first reduced to sums
     and counts, and only those are run through the expanding window.  Inside a
@@ -157,7 +157,7 @@ def add_team_form(df: DataFrame, scope: list[str], alpha: float = ALPHA, default
     d = F.lit(default)
     rounds = F.count(F.lit(1)).over(prior)
     points = F.coalesce(F.sum("_points").over(prior), F.lit(0.0))
-    form = per_round.select(
+    return per_round.select(
         *scope,
         "rnd",
         F.coalesce(F.sum("_sum").over(prior) / F.nullif(F.col("_before"), F.lit(0)), d).alias("team_avg_finish"),
@@ -165,9 +165,6 @@ def add_team_form(df: DataFrame, scope: list[str], alpha: float = ALPHA, default
         points.alias("team_points"),
         (points / F.greatest(rounds * 2, F.lit(1))).alias("team_points_rate"),
     )
-    return df.join(form, [*scope, "rnd"])
-
-
 def add_rolling_finish(df: DataFrame, scope: list[str], n: int = 3, default: float = DEFAULT_POSITION) -> DataFrame:
     """Mean of the last ``n`` known finishes before each round."""
     by_round = Window.partitionBy(*scope).orderBy("rnd")

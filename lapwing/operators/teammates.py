@@ -40,13 +40,14 @@ def add_grid_delta(rows: DataFrame, team_scope: Sequence[str], grid: str = "grid
     return rows.withColumn("teammate_grid_delta", (F.col(grid) - _other(grid, team_scope)).cast("double"))
 
 
-def add_h2h(
+def h2h(
     rows: DataFrame,
     scope: Sequence[str],
     prior_weight: float = PRIOR_WEIGHT,
     bounds: tuple[float, float] = BOUNDS,
 ) -> DataFrame:
-    """Shrunk win rate against the current teammate over earlier rounds in the same team.
+    """Shrunk win rate against the current teammate over earlier rounds in the same team,
+    one row per entrant and round.
 
     ``scope`` holds the championship columns.  A round where both stopped is not
     counted; if one stopped, the other wins; equal places are half a win.
@@ -84,8 +85,7 @@ def add_h2h(
     rate = (F.col("_wins") + prior_weight * 0.5) / (F.col("_n") + F.lit(prior_weight))
     return (
         lineup.join(scored, [*scope, "rnd", "entity", "partner"], "left")
-        .withColumn("driver_teammate_h2h_ratio", F.coalesce(clip(rate, *bounds), F.lit(0.5)))
-        .drop("partner", "_wins", "_n")
+        .select(*scope, "rnd", "entity", F.coalesce(clip(rate, *bounds), F.lit(0.5)).alias("driver_teammate_h2h_ratio"))
     )
 
 

@@ -94,7 +94,7 @@ def race_rows(spark, sf):
     return star.with_qualifying(star.with_results(star.entries(spark, sf)))
 
 
-@query("season_form_asof", asof_sql("t.rnd >= 1").replace("\n\n,", ","))
+@query("season_form_asof", asof_sql("t.rnd >= 1"))
 def season_form_asof(spark, sf):
     rows = form.add_driver_form(race_rows(spark, sf), SCOPE)
     return shown(rows.select("series", "rnd", "entity", "races_completed", *FORM_COLS))
@@ -136,9 +136,7 @@ GROUP BY t.series, t.rnd, t.team""",
     ),
 )
 def team_form_asof(spark, sf):
-    rows = form.add_team_form(star.results(spark, sf), ["series", "team"])
-    cols = ["team_avg_finish", "team_finish_ewma", "team_points", "team_points_rate"]
-    return shown(rows.groupBy("series", "rnd", "team").agg(*[F.max(c).alias(c) for c in cols]))
+    return shown(form.team_form(star.results(spark, sf), ["series", "team"]))
 
 
 @query(

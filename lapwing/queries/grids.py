@@ -311,10 +311,16 @@ def api_snapshot_flatten(spark, sf):
     docs = rows.groupBy(*RACE).agg(F.sort_array(F.collect_list(slot)).alias("grid"), F.array_compact(F.collect_list(person)).alias("drivers"))
     text = docs.select(*RACE, F.to_json(F.struct("grid", "drivers")).alias("doc"))
     snaps = text.select(*RACE, F.from_json("doc", grids.API_SCHEMA).alias("s")).select(*RACE, "s.grid", "s.drivers")
-    quali = rows.where(e % 3 == 0).select(*RACE, e.alias("number"), tag("q").alias("driver"), F.lit("qt").alias("team"), "q_position")
+    known = lambda c: F.when(e % 3 == 0, c)
+    quali = rows.select(
+        *RACE, e.alias("number"), known(tag("q")).alias("driver"), known(F.lit("qt")).alias("team"), "q_position"
+    )
     s = star.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("number"))
-    catalogue = s.where(F.col("number") % 2 == 0).select(
-        "number", F.concat(F.lit("C"), F.col("number").cast("string")).alias("driver"), F.lit("ct").alias("team")
+    listed = F.col("number") % 2 == 0
+    catalogue = s.select(
+        "number",
+        F.when(listed, F.concat(F.lit("C"), F.col("number").cast("string"))).alias("driver"),
+        F.when(listed, F.lit("ct")).alias("team"),
     )
     flat = grids.flatten_api_grid(snaps, quali, catalogue, RACE)
     return shown(

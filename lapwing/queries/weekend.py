@@ -150,8 +150,7 @@ SELECT series, rnd, entity, {r6("least(greatest((wins + 1.5) / (n + 3.0), 0.15),
     ),
 )
 def teammate_h2h_shrunk(spark, sf):
-    rows = teammates.add_h2h(star.results(spark, sf), ["series"])
-    return shown(rows.select(*star.KEYS, "driver_teammate_h2h_ratio"))
+    return shown(teammates.h2h(star.results(spark, sf), ["series"]))
 
 
 @query(

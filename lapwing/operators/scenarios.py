@@ -1,0 +1,252 @@
+"""Finish distributions from scored entrants, and pit-plan costs.
+
+Draws are a fixed integer hash of (seed, kind, scenario, entity), so any engine
+and any retry gives the same ones.  Scenarios are an array exploded next to the
+entrants of a race, which keeps the championship layout: ranking needs no
+further shuffle.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lapwing.functions.numbers import clip
+from lapwing.functions.status import count_if
+
+M = 2_147_483_647
+RETIRED_PENALTY = 1000.0
+
+
+def _halves(kind: int, scenario: Column, entity: Column, seed: int) -> tuple[Column, Column]:
+    m = F.lit(M)
+    s, e = scenario.cast("long"), entity.cast("long") % m
+    p = (s * 7919 + e * 104729 + F.lit(kind * 1299709 + seed)) % m
+    q = (s * 15485863 % m + e * 32452843 % m + F.lit(kind * 86028121 % M + 7)) % m
+    for c, d in ((11, 13), (17, 19), (23, 29)):
+        p, q = (p * p % m + q * 48271 % m + c) % m, (q * q % m + p * 69621 % m + d) % m
+    return p, q
+
+
+def uniform(kind: int, scenario: Column, entity: Column, seed: int = 42) -> Column:
+    """Uniform draw in [0, 1)."""
+    return _halves(kind, scenario, entity, seed)[1] / F.lit(float(M + 1))
+
+
+def normal(kind: int, scenario: Column, entity: Column, seed: int = 42) -> Column:
+    """Standard normal draw."""
+    p, q = _halves(kind, scenario, entity, seed)
+    u1, u2 = (p + 1) / F.lit(float(M + 2)), q / F.lit(float(M + 1))
+    return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+
+
+def expand(entrants: DataFrame, n: int) -> DataFrame:
+    """Every entrant times scenarios 0..n-1."""
+    return entrants.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+# Scenario effects.
+@dataclass(frozen=True)
+class Effects:
+    wet_spread: float = 1.35
+    wet_retirement: float = 1.40
+    wet_retirement_cap: float = 0.35
+    plan_spread: float = 0.75
+    sc_squeeze: float = 0.75
+    vsc_squeeze: float = 0.90
+    sc_gain: tuple[float, float] = (1.2, 2.8)
+    vsc_gain: tuple[float, float] = (0.6, 1.4)
+    restart_spread: float = 1.2
+
+
+def retirement_rate(rate: Column) -> Column:
+    return clip(rate, 0.05, 0.25)
+
+
+def add_switches(rows: DataFrame, race_id: Column, seed: int = 42) -> DataFrame:
+    """Scenario-wide switches (wet, safety car, virtual safety car, red flag), the same for a whole race.
+
+    They are functions of (race, scenario), so no scenario table is joined.
+    Rows carry rain_probability, p_safety_car, p_vsc and p_red_flag.
+    """
+    draw = lambda k: uniform(k, F.col("scenario"), race_id, seed)
+    sc = draw(2) < F.col("p_safety_car")
+    return rows.withColumns(
+        {
+            "wet": draw(1) < F.col("rain_probability"),
+            "safety_car": sc,
+            "virtual_sc": ~sc & (draw(3) < F.col("p_vsc")),
+            "red_flag": draw(4) < F.col("p_red_flag"),
+            "lucky_sc": F.floor(draw(5) * 3).cast("int") + 2,
+            "lucky_vsc": F.floor(draw(6) * 2).cast("int") + 1,
+        }
+    )
+
+
+def add_scores(rows: DataFrame, seed: int = 42, fx: Effects = Effects()) -> DataFrame:
+    """Noise, wet skill, plan noise and the retirement draw.  Rows carry score, sigma and dnf_rate."""
+    s, e = F.col("scenario"), F.col("entity")
+    wet = F.col("wet")
+    sigma = F.col("sigma") * F.when(wet, fx.wet_spread).otherwise(1.0)
+    p = F.when(wet, F.least(F.col("dnf_rate") * fx.wet_retirement, F.lit(fx.wet_retirement_cap))).otherwise(F.col("dnf_rate"))
+    skill = F.when(wet, F.coalesce(F.col("wet_skill"), F.lit(0.0))).otherwise(0.0) if "wet_skill" in rows.columns else F.lit(0.0)
+    saved = F.coalesce(F.col("plan_saving"), F.lit(0.0)) * 0.15 if "plan_saving" in rows.columns else F.lit(0.0)
+    noise = normal(11, s, e, seed) * sigma + normal(12, s, e, seed) * fx.plan_spread - saved
+    return rows.withColumn("raw", F.col("score") + skill + noise).withColumn("retired", uniform(13, s, e, seed) < p)
+
+
+def compress_field(rows: DataFrame, race: Sequence[str], seed: int = 42, fx: Effects = Effects()) -> DataFrame:
+    """Safety-car squeeze towards the running field's mean, a gain for a drawn few, and restart noise.
+
+    Retired cars take no part.
+    """
+    heat = [*race, "scenario"]
+    s, e = F.col("scenario"), F.col("entity")
+    running = ~F.col("retired")
+    field = Window.partitionBy(*heat)
+    mean = F.avg(F.when(running, F.col("raw"))).over(field)
+    pick = F.row_number().over(field.orderBy(F.col("retired"), uniform(14, s, e, seed), e))
+    rows = rows.withColumn("_mean", mean).withColumn("_pick", pick)
+    u = uniform(15, s, e, seed)
+    gain = lambda lo_hi: F.lit(lo_hi[0]) + u * (lo_hi[1] - lo_hi[0])
+    squeezed = (
+        F.when(F.col("safety_car"), F.col("_mean") + (F.col("raw") - F.col("_mean")) * fx.sc_squeeze
+               - F.when(F.col("_pick") <= F.col("lucky_sc"), gain(fx.sc_gain)).otherwise(0.0))
+        .when(F.col("virtual_sc"), F.col("_mean") + (F.col("raw") - F.col("_mean")) * fx.vsc_squeeze
+              - F.when(F.col("_pick") <= F.col("lucky_vsc"), gain(fx.vsc_gain)).otherwise(0.0))
+        .otherwise(F.col("raw"))
+    )
+    restart = F.when(F.col("red_flag"), normal(16, s, e, seed) * fx.restart_spread).otherwise(0.0)
+    return rows.withColumn("raw", F.when(running, squeezed + restart).otherwise(F.col("raw"))).drop("_mean", "_pick")
+
+
+def rank_scenarios(rows: DataFrame, race: Sequence[str], score: str = "raw") -> DataFrame:
+    """Finish in each scenario; retired cars rank behind every finisher, ties go by entity."""
+    total = F.when(F.col("retired"), F.col(score) + RETIRED_PENALTY).otherwise(F.col(score))
+    rows = rows.withColumn("_t", F.round(total, 9))
+    w = Window.partitionBy(*race, "scenario").orderBy("_t", "entity")
+    return rows.withColumn("finish", F.row_number().over(w).cast("long")).drop("_t")
+
+
+def rank_distribution(ranked: DataFrame, race: Sequence[str]) -> DataFrame:
+    """Distribution of finishes per entrant and the final order by expected finish."""
+    race = list(race)
+    f = F.col("finish")
+    share = lambda k: count_if(f <= k) * 100.0 / F.count(F.lit(1))
+    pct = lambda p: F.percentile(f, p).cast("long")
+    out = ranked.groupBy(*race, "entity").agg(
+        F.avg(f).alias("ExpectedFinish"),
+        pct(0.5).alias("MedianFinish"),
+        share(1).alias("WinProbability"),
+        share(3).alias("Top3Probability"),
+        share(5).alias("Top5Probability"),
+        share(10).alias("PointsProbability"),
+        *[pct(q / 100).alias(f"P{q}") for q in (5, 25, 50, 75, 95)],
+    )
+    order = Window.partitionBy(*race).orderBy("ExpectedFinish", "entity")
+    return out.withColumn("PredictedPosition", F.row_number().over(order).cast("long"))
+
+
+NON_STARTERS = ("DNS", "DSQ")
+
+
+def with_non_starters(distribution: DataFrame, entrants: DataFrame, race: Sequence[str]) -> DataFrame:
+    """Non-starters come back with zero probabilities and null statistics."""
+    keys = [*race, "entity"]
+    out = entrants.where(F.col("StartingGridStatus").isin(*NON_STARTERS)).select(*keys)
+    zero = {c: F.lit(0.0) for c in ("WinProbability", "Top3Probability", "Top5Probability", "PointsProbability")}
+    return distribution.unionByName(out.withColumns(zero), allowMissingColumns=True)
+
+
+def finish_distribution(
+    entrants: DataFrame, race: Sequence[str], race_id: Column, n: int, seed: int = 42, fx: Effects = Effects()
+) -> DataFrame:
+    """From scored entrants to the distribution table, non-starters included."""
+    race = list(race)
+    st = F.coalesce(F.col("StartingGridStatus"), F.lit("CLASSIFIED"))
+    entrants = entrants.withColumn("StartingGridStatus", st)
+    active = entrants.where(~F.col("StartingGridStatus").isin(*NON_STARTERS))
+    rows = add_switches(expand(active, n), race_id, seed)
+    rows = compress_field(add_scores(rows, seed, fx), race, seed, fx)
+    return with_non_starters(rank_distribution(rank_scenarios(rows, race), race), entrants, race)
+
+
+# Pit plans -----------------------------------------------------------------------------------------
+
+FUEL_PER_LAP = 0.035
+BASE_PACE = 85.0
+PACE_PER_PLACE = 0.08
+# Pace offset and longest stint by compound, and wear of the rain tyre.
+PACE_DELTA = {"SOFT": -0.65, "MEDIUM": 0.0, "HARD": 0.55, "INTERMEDIATE": 3.50}
+MAX_LAPS = {"SOFT": 22, "MEDIUM": 35, "HARD": 48}
+INTERMEDIATE_WEAR = 0.080
+# Plans as (name, compounds, change points as shares of the distance, limit stint length).
+DRY_PLANS = [
+    ("1-Stop (M-H)", ("MEDIUM", "HARD"), (0.42,), True),
+    ("1-Stop (H-M)", ("HARD", "MEDIUM"), (0.58,), True),
+    ("1-Stop (S-H)", ("SOFT", "HARD"), (0.28,), True),
+    ("2-Stop (M-H-M)", ("MEDIUM", "HARD", "MEDIUM"), (0.30, 0.68), False),
+    ("2-Stop (S-M-H)", ("SOFT", "MEDIUM", "HARD"), (0.22, 0.58), False),
+]
+WET_PLANS = [
+    ("1-Stop (Inter-Inter)", ("INTERMEDIATE", "INTERMEDIATE"), (0.50,), False),
+    ("2-Stop (Inter-Inter-Inter)", ("INTERMEDIATE",) * 3, (0.33, 0.67), False),
+]
+
+
+def stint_seconds(pace: Column, compound: str, wear: Column, start: Column, laps: Column, total: Column) -> Column:
+    """Time of a stint starting on lap ``start``: the sum over laps in closed form."""
+    fuel = laps * (total - start) - laps * (laps - 1) / 2
+    return laps * (pace + PACE_DELTA[compound]) + wear * laps * (laps + 1) / 2 + fuel * FUEL_PER_LAP
+
+
+def plan_costs(entrants: DataFrame, wet: bool = False) -> DataFrame:
+    """Cost of every admissible plan per entrant.
+
+    Rows need total_laps, pit_loss_seconds, QualifyingPosition and, in the dry,
+    soft/medium/hard_tyre_deg_rate.
+    """
+    total = F.col("total_laps").cast("double")
+    pace = F.lit(BASE_PACE) + (F.col("QualifyingPosition") - 1.0) * PACE_PER_PLACE
+    wear = {
+        "SOFT": F.coalesce(F.col("soft_tyre_deg_rate"), F.lit(0.110)),
+        "MEDIUM": F.coalesce(F.col("medium_tyre_deg_rate"), F.lit(0.065)),
+        "HARD": F.coalesce(F.col("hard_tyre_deg_rate"), F.lit(0.038)),
+        "INTERMEDIATE": F.lit(INTERMEDIATE_WEAR),
+    }
+    plans = []
+    for i, (name, compounds, cuts, limited) in enumerate(WET_PLANS if wet else DRY_PLANS):
+        stops = [F.rint(total * c) for c in cuts]
+        edges = [F.lit(0.0), *stops, total]
+        time, fits = F.col("pit_loss_seconds") * float(len(stops)), F.lit(True)
+        for k, c in enumerate(compounds):
+            laps = edges[k + 1] - edges[k]
+            time = time + stint_seconds(pace, c, wear[c], edges[k] + 1, laps, total)
+            if limited:
+                fits = fits & (laps <= MAX_LAPS[c])
+        label = F.concat(F.lit(name), F.lit(" @ "), F.concat_ws(", ", *[s.cast("int").cast("string") for s in stops]))
+        plans.append(
+            F.when(fits, F.struct(F.lit(i).alias("plan"), label.alias("plan_name"), F.lit(len(stops)).alias("stops"), time.alias("total_seconds")))
+        )
+    return entrants.select("*", F.explode(F.array_compact(F.array(*plans))).alias("_p")).select(*entrants.columns, "_p.*")
+
+
+def best_plans(costs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cheapest and next plan per entrant with the difference in seconds."""
+    w = Window.partitionBy(*keys).orderBy(F.round("total_seconds", 6), "plan")
+    rows = costs.withColumns(
+        {
+            "_k": F.row_number().over(w),
+            "_alt": F.lead("plan_name").over(w),
+            "_alt_s": F.lead("total_seconds").over(w),
+        }
+    ).where(F.col("_k") == 1)
+    return rows.select(
+        *keys, F.col("stops").alias("optimal_strategy_stops"), F.col("plan_name").alias("recommended_strategy"),
+        F.coalesce("_alt", "plan_name").alias("alternative_strategy"),
+        F.coalesce(F.col("_alt_s") - F.col("total_seconds"), F.lit(0.0)).alias("strategy_delta_seconds"),
+    )

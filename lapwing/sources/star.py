@@ -164,7 +164,10 @@ def laps(spark: SparkSession, sf_dir: str, hot: HotGroups | None) -> DataFrame:
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weather samples: three sessions a day, rain flagged by the event type."""
-    ev = table(spark, sf_dir, "events")
+    return weather_samples(table(spark, sf_dir, "events"))
+
+
+def weather_samples(ev: DataFrame) -> DataFrame:
     value = F.col("value")
     return ev.select(
         F.date_format("ts", "yyyy-MM-dd").alias("day"),

@@ -78,9 +78,14 @@ def drop_service_vehicles(rows: DataFrame, session: Sequence[str], order: Sequen
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """De-duplicates on ``keys``, keeping the first row in an explicit order."""
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_k", first).where(F.col("_k") == 1).drop("_k")
+    """De-duplicates on ``keys``, keeping the smallest row by ``order`` (ascending, nulls first).
+
+    An aggregate, not a window: copies are dropped on the map side, so a key with
+    very many copies never reaches one task as rows.
+    """
+    rest = [c for c in df.columns if c not in set(keys)]
+    ranked = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("row")))
+    return df.groupBy(*keys).agg(ranked.alias("_m")).select(*keys, "_m.row.*").select(*df.columns)
 
 
 def stage_gate(sessions: DataFrame, stages: DataFrame) -> DataFrame:

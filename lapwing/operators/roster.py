@@ -29,7 +29,7 @@ def season_pool(prior: DataFrame, race: Sequence[str], cars: int = 2) -> DataFra
     rounds only; qualifying (kind 0) is read before the race (kind 1), so a
     driver who missed the start still counts.
     """
-    latest = keep_first(prior, [*race, "team", "driver"], [F.desc("rnd_seen"), F.col("kind"), F.col("ordinal")])
+    latest = keep_first(prior, [*race, "team", "driver"], [-F.col("rnd_seen"), F.col("kind"), F.col("ordinal")])
     slot = F.row_number().over(Window.partitionBy(*race, "team").orderBy(F.desc("rnd_seen"), "kind", "ordinal", "driver"))
     return latest.withColumn("_slot", slot).where(F.col("_slot") <= cars).drop("_slot")
 

@@ -16,37 +16,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.numbers import clip
-from lapwing.functions.status import count_if
 
 M = 2_147_483_647
 RETIRED_PENALTY = 1000.0
 
 
-def _halves(kind: int, scenario: Column, entity: Column, seed: int) -> tuple[Column, Column]:
+def add_draws(rows: DataFrame, kinds: Sequence[int], who: Column, seed: int = 42) -> DataFrame:
+    """Adds columns p_k, q_k per draw kind: an integer hash of (seed, kind, scenario, who), mixed three times.
+
+    Each mixing round is its own projection, so a value is computed once and
+    read twice instead of being expanded into a growing expression.
+    """
     m = F.lit(M)
-    s, e = scenario.cast("long"), entity.cast("long") % m
-    p = (s * 7919 + e * 104729 + F.lit(kind * 1299709 + seed)) % m
-    q = (s * 15485863 % m + e * 32452843 % m + F.lit(kind * 86028121 % M + 7)) % m
+    s, e = F.col("scenario").cast("long"), who.cast("long") % m
+    start = {f"p_{k}": (s * 7919 + e * 104729 + F.lit(k * 1299709 + seed)) % m for k in kinds}
+    start |= {f"q_{k}": (s * 15485863 % m + e * 32452843 % m + F.lit(k * 86028121 % M + 7)) % m for k in kinds}
+    rows = rows.withColumns(start)
     for c, d in ((11, 13), (17, 19), (23, 29)):
-        p, q = (p * p % m + q * 48271 % m + c) % m, (q * q % m + p * 69621 % m + d) % m
-    return p, q
+        step = {}
+        for k in kinds:
+            p, q = F.col(f"p_{k}"), F.col(f"q_{k}")
+            step[f"p_{k}"] = (p * p % m + q * 48271 % m + c) % m
+            step[f"q_{k}"] = (q * q % m + p * 69621 % m + d) % m
+        rows = rows.withColumns(step)
+    return rows
 
 
-def uniform(kind: int, scenario: Column, entity: Column, seed: int = 42) -> Column:
-    """Uniform draw in [0, 1)."""
-    return _halves(kind, scenario, entity, seed)[1] / F.lit(float(M + 1))
+def uniform(kind: int) -> Column:
+    """Uniform draw in [0, 1) from the columns of :func:`add_draws`."""
+    return F.col(f"q_{kind}") / F.lit(float(M + 1))
 
 
-def normal(kind: int, scenario: Column, entity: Column, seed: int = 42) -> Column:
-    """Standard normal draw."""
-    p, q = _halves(kind, scenario, entity, seed)
-    u1, u2 = (p + 1) / F.lit(float(M + 2)), q / F.lit(float(M + 1))
-    return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+def normal(kind: int) -> Column:
+    """Standard normal draw from the columns of :func:`add_draws`."""
+    u1 = (F.col(f"p_{kind}") + 1) / F.lit(float(M + 2))
+    return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * uniform(kind))
 
 
-def expand(entrants: DataFrame, n: int) -> DataFrame:
-    """Every entrant times scenarios 0..n-1."""
-    return entrants.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def drop_draws(rows: DataFrame, kinds: Sequence[int]) -> DataFrame:
+    return rows.drop(*[f"{h}_{k}" for k in kinds for h in "pq"])
+
+
+def expand(entrants: DataFrame, race: Sequence[str], n: int) -> DataFrame:
+    """Every entrant times scenarios 0..n-1.
+
+    The few entrants are first spread by race over the configured number of
+    partitions: after the expansion they are many rows, and ranking them by race
+    and scenario then needs no shuffle.
+    """
+    spread = int(entrants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return entrants.repartition(spread, *race).withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
 # Scenario effects.
@@ -73,9 +92,10 @@ def add_switches(rows: DataFrame, race_id: Column, seed: int = 42) -> DataFrame:
     They are functions of (race, scenario), so no scenario table is joined.
     Rows carry rain_probability, p_safety_car, p_vsc and p_red_flag.
     """
-    draw = lambda k: uniform(k, F.col("scenario"), race_id, seed)
+    kinds = (1, 2, 3, 4, 5, 6)
+    draw = uniform
     sc = draw(2) < F.col("p_safety_car")
-    return rows.withColumns(
+    rows = add_draws(rows, kinds, race_id, seed).withColumns(
         {
             "wet": draw(1) < F.col("rain_probability"),
             "safety_car": sc,
@@ -85,18 +105,21 @@ def add_switches(rows: DataFrame, race_id: Column, seed: int = 42) -> DataFrame:
             "lucky_vsc": F.floor(draw(6) * 2).cast("int") + 1,
         }
     )
+    return drop_draws(rows, kinds)
 
 
 def add_scores(rows: DataFrame, seed: int = 42, fx: Effects = Effects()) -> DataFrame:
     """Noise, wet skill, plan noise and the retirement draw.  Rows carry score, sigma and dnf_rate."""
-    s, e = F.col("scenario"), F.col("entity")
+    kinds = (11, 12, 13)
+    rows = add_draws(rows, kinds, F.col("entity"), seed)
     wet = F.col("wet")
     sigma = F.col("sigma") * F.when(wet, fx.wet_spread).otherwise(1.0)
     p = F.when(wet, F.least(F.col("dnf_rate") * fx.wet_retirement, F.lit(fx.wet_retirement_cap))).otherwise(F.col("dnf_rate"))
     skill = F.when(wet, F.coalesce(F.col("wet_skill"), F.lit(0.0))).otherwise(0.0) if "wet_skill" in rows.columns else F.lit(0.0)
     saved = F.coalesce(F.col("plan_saving"), F.lit(0.0)) * 0.15 if "plan_saving" in rows.columns else F.lit(0.0)
-    noise = normal(11, s, e, seed) * sigma + normal(12, s, e, seed) * fx.plan_spread - saved
-    return rows.withColumn("raw", F.col("score") + skill + noise).withColumn("retired", uniform(13, s, e, seed) < p)
+    noise = normal(11) * sigma + normal(12) * fx.plan_spread - saved
+    scored = rows.withColumns({"raw": F.col("score") + skill + noise, "retired": uniform(13) < p})
+    return drop_draws(scored, kinds)
 
 
 def compress_field(rows: DataFrame, race: Sequence[str], seed: int = 42, fx: Effects = Effects()) -> DataFrame:
@@ -105,13 +128,14 @@ def compress_field(rows: DataFrame, race: Sequence[str], seed: int = 42, fx: Eff
     Retired cars take no part.
     """
     heat = [*race, "scenario"]
-    s, e = F.col("scenario"), F.col("entity")
+    kinds = (14, 15, 16)
+    rows = add_draws(rows, kinds, F.col("entity"), seed)
     running = ~F.col("retired")
     field = Window.partitionBy(*heat)
     mean = F.avg(F.when(running, F.col("raw"))).over(field)
-    pick = F.row_number().over(field.orderBy(F.col("retired"), uniform(14, s, e, seed), e))
+    pick = F.row_number().over(field.orderBy(F.col("retired"), uniform(14), "entity"))
     rows = rows.withColumn("_mean", mean).withColumn("_pick", pick)
-    u = uniform(15, s, e, seed)
+    u = uniform(15)
     gain = lambda lo_hi: F.lit(lo_hi[0]) + u * (lo_hi[1] - lo_hi[0])
     squeezed = (
         F.when(F.col("safety_car"), F.col("_mean") + (F.col("raw") - F.col("_mean")) * fx.sc_squeeze
@@ -120,8 +144,10 @@ def compress_field(rows: DataFrame, race: Sequence[str], seed: int = 42, fx: Eff
               - F.when(F.col("_pick") <= F.col("lucky_vsc"), gain(fx.vsc_gain)).otherwise(0.0))
         .otherwise(F.col("raw"))
     )
-    restart = F.when(F.col("red_flag"), normal(16, s, e, seed) * fx.restart_spread).otherwise(0.0)
-    return rows.withColumn("raw", F.when(running, squeezed + restart).otherwise(F.col("raw"))).drop("_mean", "_pick")
+    restart = F.when(F.col("red_flag"), normal(16) * fx.restart_spread).otherwise(0.0)
+    return rows.withColumn("raw", F.when(running, squeezed + restart).otherwise(F.col("raw"))).drop(
+        "_mean", "_pick", *[f"{h}_{k}" for k in kinds for h in "pq"]
+    )
 
 
 def rank_scenarios(rows: DataFrame, race: Sequence[str], score: str = "raw") -> DataFrame:
@@ -135,18 +161,22 @@ def rank_scenarios(rows: DataFrame, race: Sequence[str], score: str = "raw") ->
 def rank_distribution(ranked: DataFrame, race: Sequence[str]) -> DataFrame:
     """Distribution of finishes per entrant and the final order by expected finish."""
     race = list(race)
-    f = F.col("finish")
-    share = lambda k: count_if(f <= k) * 100.0 / F.count(F.lit(1))
-    pct = lambda p: F.percentile(f, p).cast("long")
-    out = ranked.groupBy(*race, "entity").agg(
-        F.avg(f).alias("ExpectedFinish"),
-        pct(0.5).alias("MedianFinish"),
+    # a field has few places, so scenarios collapse to a short histogram per entrant first
+    bars = ranked.groupBy(*race, "entity", "finish").agg(F.count(F.lit(1)).alias("_n"))
+    f, n = F.col("finish"), F.col("_n")
+    total = F.sum(n)
+    share = lambda k: F.sum(F.when(f <= k, n).otherwise(0)) * 100.0 / total
+    cuts = (0.05, 0.25, 0.50, 0.75, 0.95)
+    out = bars.groupBy(*race, "entity").agg(
+        (F.sum(f * n) / total).alias("ExpectedFinish"),
+        F.percentile(f, list(cuts), n).alias("_q"),
         share(1).alias("WinProbability"),
         share(3).alias("Top3Probability"),
         share(5).alias("Top5Probability"),
         share(10).alias("PointsProbability"),
-        *[pct(q / 100).alias(f"P{q}") for q in (5, 25, 50, 75, 95)],
     )
+    quantiles = {f"P{round(c * 100)}": F.col("_q")[i].cast("long") for i, c in enumerate(cuts)}
+    out = out.withColumns({"MedianFinish": F.col("_q")[2].cast("long")} | quantiles).drop("_q")
     order = Window.partitionBy(*race).orderBy("ExpectedFinish", "entity")
     return out.withColumn("PredictedPosition", F.row_number().over(order).cast("long"))
 
@@ -170,7 +200,7 @@ def finish_distribution(
     st = F.coalesce(F.col("StartingGridStatus"), F.lit("CLASSIFIED"))
     entrants = entrants.withColumn("StartingGridStatus", st)
     active = entrants.where(~F.col("StartingGridStatus").isin(*NON_STARTERS))
-    rows = add_switches(expand(active, n), race_id, seed)
+    rows = add_switches(expand(active, race, n), race_id, seed)
     rows = compress_field(add_scores(rows, seed, fx), race, seed, fx)
     return with_non_starters(rank_distribution(rank_scenarios(rows, race), race), entrants, race)
 

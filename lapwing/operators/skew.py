@@ -132,7 +132,9 @@ def group_percentile(
     )
     large = flagged.where(F.col("hot_rows").isNotNull()).drop("hot_rows")
 
-    accuracy, margin = 100_000, 2e-5
+    # the sketch is off by at most 1e-5 of the group; two more ranks cover the
+    # difference between its rank convention and linear interpolation
+    accuracy, margin = 100_000, max(2e-5, 2.0 / hot.limit)
     sketch = F.percentile_approx(value, [max(p - margin, 0.0), min(p + margin, 1.0)], accuracy)
     bracket = large.groupBy(*keys).agg(sketch.alias("_b"), F.count(F.lit(1)).alias("_n"))
     bracket = bracket.select(*keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
@@ -164,6 +166,27 @@ def group_percentile(
     return cold.unionByName(picked.select(*keys, exact.cast("double").alias(out)))
 
 
+def add_group_columns(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], hot: HotGroups | None) -> DataFrame:
+    """Adds group aggregates to every row.
+
+    Without hot groups this is a window, so any number of such steps on the same
+    keys share one shuffle; with them, each step aggregates and joins back.
+    """
+    if hot is None:
+        whole = Window.partitionBy(*keys)
+        return df.withColumns({n: c.over(whole) for n, c in aggs.items()})
+    return attach(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys, hot)
+
+
+def add_group_percentile(
+    df: DataFrame, keys: Sequence[str], value: str, p: float, out: str, hot: HotGroups | None
+) -> DataFrame:
+    """Adds the exact group percentile to every row; groups without a value are kept only while nothing is hot."""
+    if hot is None:
+        return df.withColumn(out, F.percentile(value, p).over(Window.partitionBy(*keys)).cast("double"))
+    return attach(df, group_percentile(df, keys, value, p, out, hot), keys, hot)
+
+
 def prefix_rank(df: DataFrame, keys: Sequence[str], value: str, weight: str, width: float, out: str) -> DataFrame:
     """Average rank of each distinct value, given one weighted row per value.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.numbers import clip, gap_pct, rank_where
-from lapwing.operators.skew import HotGroups, attach, group_percentile, ordered_index
+from lapwing.operators.skew import HotGroups, add_group_columns, add_group_percentile, ordered_index
 from lapwing.operators.weekend import clean_running, valid_laps
 
 MIN_LAPS = 4
@@ -48,22 +48,22 @@ def stint_summary(
     keys = list(keys)
     clean = clean_running(valid_laps(laps)).where(F.col("stint").isNotNull() & F.col("compound").isNotNull())
     clean = clean.select(*keys, "lap", "lap_s")
-    sizes = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_laps)
-    median = group_percentile(clean, keys, "lap_s", 0.5, "_median", hot)
-    limits = sizes.join(median, keys).select(*keys, (F.col("_median") * F.lit(slow)).alias("_limit"))
-    kept = attach(clean, limits, keys, hot).where(F.col("lap_s") <= F.col("_limit")).drop("_limit")
-    kept = ordered_index(kept, keys, [F.col("lap"), F.col("lap_s")], _lap_levels("lap"), "_i", hot)
+    clean = add_group_columns(clean, keys, {"_n": F.count(F.lit(1))}, hot)
+    clean = add_group_percentile(clean, keys, "lap_s", 0.5, "_median", hot)
+    kept = clean.where((F.col("_n") >= min_laps) & (F.col("lap_s") <= F.col("_median") * F.lit(slow)))
+    kept = ordered_index(kept.drop("_n", "_median"), keys, [F.col("lap"), F.col("lap_s")], _lap_levels("lap"), "_i", hot)
+    kept = add_group_percentile(kept, keys, "lap_s", 0.5, "_middle", hot)
     i = (F.col("_i") - 1).cast("double")
     stats = kept.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("lap_count"),
         F.avg("lap_s").alias("mean_lap"),
+        F.first("_middle").alias("median_lap"),
         F.min("lap_s").alias("best_lap"),
         F.stddev_pop("lap_s").alias("std_lap"),
         F.avg(F.col("lap_s") + F.lit(fuel) * i).alias("fuel_adj_mean_lap"),
         F.regr_slope(F.col("lap_s"), i).alias("deg_slope"),
     )
-    middle = group_percentile(kept, keys, "lap_s", 0.5, "median_lap", hot)
-    return stats.where(F.col("lap_count") >= min_laps).join(middle, keys)
+    return stats.where(F.col("lap_count") >= min_laps)
 
 
 def long_run_pace(stints: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -133,30 +133,29 @@ def robust_slope(laps: DataFrame, keys: Sequence[str], age: str, hot: HotGroups
     pts = laps.where(F.col("lap_s").isNotNull() & F.col(age).isNotNull()).select(
         *keys, F.col(age).cast("double").alias("_x"), F.col("lap_s").alias("_y")
     )
-    first = pts.groupBy(*keys).agg(
-        F.regr_slope("_y", "_x").alias("_m"), F.regr_intercept("_y", "_x").alias("_c"), F.count(F.lit(1)).alias("n")
-    )
-    res = attach(pts, first, keys, hot).withColumn("_r", F.col("_y") - (F.col("_m") * F.col("_x") + F.col("_c")))
-    res = res.select(*keys, "_x", "_y", "_r")
-    centre = group_percentile(res, keys, "_r", 0.5, "_mid", hot)
-    dev = attach(res, centre, keys, hot).withColumn("_d", F.abs(F.col("_r") - F.col("_mid"))).drop("_mid")
-    mad = group_percentile(dev, keys, "_d", 0.5, "_mad", hot)
-    limit = mad.select(*keys, F.greatest(F.lit(2.5) * 1.4826 * F.col("_mad"), F.lit(0.5)).alias("_limit"))
-    kept = attach(res, limit, keys, hot).where(F.abs("_r") <= F.col("_limit"))
-    syy, sxx, sxy = F.regr_syy("_y", "_x"), F.regr_sxx("_y", "_x"), F.regr_sxy("_y", "_x")
-    second = kept.groupBy(*keys).agg(
-        F.regr_slope("_y", "_x").alias("_m2"),
-        F.count(F.lit(1)).alias("_n2"),
-        F.when(syy > 1e-6, 1.0 - (syy - sxy * sxy / sxx) / (syy + 1e-8)).otherwise(0.0).alias("_r2"),
+    line = {"_m": F.regr_slope("_y", "_x"), "_c": F.regr_intercept("_y", "_x"), "_n": F.count(F.lit(1))}
+    res = add_group_columns(pts, keys, line, hot)
+    res = res.withColumn("_r", F.coalesce(F.col("_y") - (F.col("_m") * F.col("_x") + F.col("_c")), F.lit(0.0))).drop("_c")
+    res = add_group_percentile(res, keys, "_r", 0.5, "_mid", hot)
+    res = res.withColumn("_d", F.abs(F.col("_r") - F.col("_mid"))).drop("_mid")
+    res = add_group_percentile(res, keys, "_d", 0.5, "_mad", hot)
+    keep = F.abs("_r") <= F.greatest(F.lit(2.5) * 1.4826 * F.col("_mad"), F.lit(0.5))
+    y, x = F.when(keep, F.col("_y")), F.when(keep, F.col("_x"))
+    syy, sxx, sxy = F.regr_syy(y, x), F.regr_sxx(y, x), F.regr_sxy(y, x)
+    fit = res.groupBy(*keys).agg(
+        F.first("_m").alias("_m"),
+        F.first("_n").alias("n"),
+        F.regr_slope(y, x).alias("_m2"),
+        F.count(y).alias("_n2"),
+        F.when((syy > 1e-6) & (sxx > 0), 1.0 - (syy - sxy * sxy / sxx) / (syy + 1e-8)).otherwise(0.0).alias("_r2"),
     )
     refit = (F.col("_n2") >= 3) & F.col("_m2").isNotNull()
-    joined = first.join(second, keys, "left")
     short = F.col("n") < 3
     slope = F.when(short, F.lit(SHORT_STINT_SLOPE)).otherwise(
         clip(F.when(refit, F.col("_m2")).otherwise(F.col("_m")), *SLOPE_BOUNDS)
     )
     r2 = F.when(short | ~F.coalesce(refit, F.lit(False)), F.lit(0.0)).otherwise(clip(F.col("_r2"), 0.0, 1.0))
-    return joined.select(*keys, F.coalesce(slope, F.lit(SHORT_STINT_SLOPE)).alias("slope"), r2.alias("r2"), "n")
+    return fit.select(*keys, F.coalesce(slope, F.lit(SHORT_STINT_SLOPE)).alias("slope"), r2.alias("r2"), "n")
 
 
 def temperature_scale(track_temperature: Column) -> Column:

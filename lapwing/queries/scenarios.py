@@ -116,7 +116,7 @@ def rank_distribution(spark, sf):
 def field_compression(spark, sf):
     rows = entrants(spark, sf)
     rows = rows.where(~F.col("StartingGridStatus").isin(*scenarios.NON_STARTERS))
-    rows = scenarios.add_switches(scenarios.expand(rows, N), race_id())
+    rows = scenarios.add_switches(scenarios.expand(rows, RACE, N), race_id())
     rows = scenarios.compress_field(scenarios.add_scores(rows), RACE)
     n = lambda c: F.count(F.when(F.col(c), 1))
     return shown(
@@ -140,7 +140,7 @@ SELECT * FROM r""",
 def retirement_ranks(spark, sf):
     rows = entrants(spark, sf)
     rows = rows.where(~F.col("StartingGridStatus").isin(*scenarios.NON_STARTERS))
-    rows = scenarios.add_switches(scenarios.expand(rows, N), race_id())
+    rows = scenarios.add_switches(scenarios.expand(rows, RACE, N), race_id())
     rows = scenarios.rank_scenarios(scenarios.compress_field(scenarios.add_scores(rows), RACE), RACE)
     f, out = F.col("finish"), F.col("retired")
     return shown(

@@ -8,15 +8,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Join on the championship key alone when both sides already sit on it, and let
-# the adaptive planner split a skewed join partition even at the cost of one
-# more exchange.
+# Join on the championship key alone when both sides already sit on it; let the
+# adaptive planner split a skewed join partition even at the cost of one more
+# exchange; and leave generated methods the JVM would refuse to compile to the
+# operator-by-operator path.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -168,3 +168,8 @@ def circuit_key(raw: Column, circuits: Sequence[Circuit], aliases: dict[str, str
     if fuzzy is not None:
         steps.append(fuzzy)
     return F.when(text != "", F.coalesce(*steps))
+
+
+def event_circuit_key(columns: Sequence[Column], circuits: Sequence[Circuit], aliases: dict[str, str] | None = None) -> Column:
+    """Circuit key of a calendar event: the first of name, location, country, ... that resolves."""
+    return F.coalesce(*[circuit_key(c, circuits, aliases) for c in columns])

@@ -34,6 +34,19 @@ BLENDS = [
 SWEEP_GRID_WEIGHTS = [0.00, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50]
 SEARCH_ML = [(0.60, 0.40, 0.00), (0.50, 0.30, 0.20), (0.40, 0.30, 0.30), (0.50, 0.00, 0.50), (0.34, 0.33, 0.33)]
 SEARCH_GRID = [0.15, 0.25, 0.35, 0.45]
+# Compared combinations (rf, xgb, ridge, grid).
+COMBINATIONS = [
+    ("Random Forest", 1.00, 0.00, 0.00, 0.00),
+    ("XGBoost", 0.00, 1.00, 0.00, 0.00),
+    ("Ridge Regression", 0.00, 0.00, 1.00, 0.00),
+    ("RF + XGBoost (60/40)", 0.60, 0.40, 0.00, 0.00),
+    ("RF + Ridge (60/40)", 0.60, 0.00, 0.40, 0.00),
+    ("XGBoost + Ridge (50/50)", 0.00, 0.50, 0.50, 0.00),
+    ("RF + XGBoost + Ridge (40/30/30)", 0.40, 0.30, 0.30, 0.00),
+    ("Production Hybrid (0.65 ML + 0.35 Grid)", 0.60, 0.40, 0.00, 0.35),
+]
+ADAPTIVE = "Inner-CV Optimized Hybrid"
+ADAPTIVE_START = (0.50, 0.25, 0.25, 0.35)
 MIN_SCALE = 1.5
 MAD_TO_SIGMA = 1.4826
 
@@ -217,25 +230,52 @@ def blend_sweep(
     return out.join(pure, "model", "left").withColumn("delta_mae", F.col("mae") - F.col("_pure")).drop("_pure")
 
 
-def weight_search(preds: DataFrame, scope: Sequence[str], fold: Sequence[str]) -> DataFrame:
-    """Mean fold error of every candidate weighting; the first smallest is marked, per scope."""
-    scope = list(scope)
+_WEIGHTS = ("w_rf", "w_xgb", "w_ridge", "w_grid")
+
+
+def _weighted(w: Sequence[Column]) -> Column:
+    ml = w[0] * F.col("rf") + w[1] * F.col("xgb") + w[2] * F.col("ridge")
+    return (F.lit(1.0) - w[3]) * ml + w[3] * F.col("grid")
+
+
+def _fold_errors(preds: DataFrame, fold: Sequence[str]) -> DataFrame:
+    """Mean absolute error of every candidate weighting on every fold."""
     combos = [(a, b, c, g) for a, b, c in SEARCH_ML for g in SEARCH_GRID]
     cand = F.array(
-        *[
-            F.struct(F.lit(i).alias("candidate"), F.lit(a).alias("w_rf"), F.lit(b).alias("w_xgb"), F.lit(c).alias("w_ridge"), F.lit(g).alias("w_grid"))
-            for i, (a, b, c, g) in enumerate(combos)
-        ]
+        *[F.struct(F.lit(i).alias("candidate"), *[F.lit(v).alias(n) for n, v in zip(_WEIGHTS, c)]) for i, c in enumerate(combos)]
     )
     rows = preds.select("*", F.explode(cand).alias("_c")).select(*preds.columns, "_c.*")
-    ml = F.col("w_rf") * F.col("rf") + F.col("w_xgb") * F.col("xgb") + F.col("w_ridge") * F.col("ridge")
-    err = F.abs((F.lit(1.0) - F.col("w_grid")) * ml + F.col("w_grid") * F.col("grid") - F.col("actual"))
-    per_fold = rows.groupBy(*scope, *fold, "candidate", "w_rf", "w_xgb", "w_ridge", "w_grid").agg(F.avg(err).alias("_m"))
-    out = per_fold.groupBy(*scope, "candidate", "w_rf", "w_xgb", "w_ridge", "w_grid").agg(F.avg("_m").alias("mean_fold_mae"))
+    err = F.abs(_weighted([F.col(w) for w in _WEIGHTS]) - F.col("actual"))
+    return rows.groupBy(*fold, "candidate", *_WEIGHTS).agg(F.avg(err).alias("fold_mae"))
+
+
+def weight_search(preds: DataFrame, scope: Sequence[str], fold: Sequence[str]) -> DataFrame:
+    """Mean fold error of every candidate weighting; the first smallest is marked, per scope."""
+    scope = list(scope)
+    out = _fold_errors(preds, [*scope, *fold]).groupBy(*scope, "candidate", *_WEIGHTS).agg(F.avg("fold_mae").alias("mean_fold_mae"))
     first = F.row_number().over(Window.partitionBy(*scope).orderBy("mean_fold_mae", "candidate"))
     return out.withColumn("is_best", first == 1)
 
 
+def adaptive_weights(preds: DataFrame, scope: Sequence[str], fold: str = "rnd") -> DataFrame:
+    """The weighting that did best on strictly earlier folds, one row per (scope, fold)."""
+    scope = list(scope)
+    before = Window.partitionBy(*scope, "candidate").orderBy(fold).rowsBetween(Window.unboundedPreceding, -1)
+    seen = _fold_errors(preds, [*scope, fold]).withColumn("_m", F.round(F.avg("fold_mae").over(before), 9))
+    pick = F.min_by(F.struct(*_WEIGHTS), F.when(F.col("_m").isNotNull(), F.struct("_m", "candidate")))
+    best = seen.groupBy(*scope, fold).agg(pick.alias("_b"))
+    return best.select(*scope, fold, *[F.coalesce(F.col(f"_b.{w}"), F.lit(v)).alias(w) for w, v in zip(_WEIGHTS, ADAPTIVE_START)])
+
+
+def with_combinations(preds: DataFrame, scope: Sequence[str], fold: str = "rnd") -> DataFrame:
+    """One row per prediction and combination, the adaptive one included."""
+    fixed = F.array(*[F.struct(F.lit(n).alias("model"), *[F.lit(v).alias(k) for k, v in zip(_WEIGHTS, w)]) for n, *w in COMBINATIONS])
+    rows = preds.select("*", F.explode(fixed).alias("_c")).select(*preds.columns, "_c.*")
+    adaptive = preds.withColumn("model", F.lit(ADAPTIVE)).join(adaptive_weights(preds, scope, fold), [*scope, fold])
+    both = rows.unionByName(adaptive)
+    return both.withColumn("score", _weighted([F.col(w) for w in _WEIGHTS]))
+
+
 def top_k_overlap(rows: DataFrame, race: Sequence[str], predicted: str, actual: str, ks: Sequence[int]) -> DataFrame:
     """Share of the actual top k found in the predicted top k, per race."""
     rows = add_order(add_order(rows, race, predicted, "_p"), race, actual, "_a")

@@ -139,6 +139,29 @@ def weight_search(spark, sf):
     return shown(metrics.weight_search(prediction_table(spark, sf), ["series"], ["rnd"]))
 
 
+_FIXED = ", ".join(f"('{n}', {a}::double, {b}::double, {c}::double, {g}::double)" for n, a, b, c, g in metrics.COMBINATIONS)
+
+
+@query(
+    "combination_eval",
+    f"""WITH {PREDS}, c AS (SELECT * FROM (VALUES {_CAND}) v(candidate, w_rf, w_xgb, w_ridge, w_grid)),
+f AS (SELECT series, rnd, candidate, w_rf, w_xgb, w_ridge, w_grid, avg(abs((1 - w_grid) * (w_rf * rf + w_xgb * xgb + w_ridge * ridge) + w_grid * grid - actual)) AS m FROM preds, c GROUP BY ALL),
+h AS (SELECT t.series, t.rnd, f.candidate, f.w_rf, f.w_xgb, f.w_ridge, f.w_grid, avg(m) AS mm FROM (SELECT DISTINCT series, rnd FROM preds) t JOIN f ON f.series = t.series AND f.rnd < t.rnd GROUP BY ALL),
+b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY series, rnd ORDER BY round(mm, 9), candidate) = 1),
+w AS (SELECT series, rnd, model, w_rf, w_xgb, w_ridge, w_grid FROM (SELECT DISTINCT series, rnd FROM preds), (VALUES {_FIXED}) v(model, w_rf, w_xgb, w_ridge, w_grid)
+  UNION ALL SELECT t.series, t.rnd, '{metrics.ADAPTIVE}', coalesce(w_rf, 0.5), coalesce(w_xgb, 0.25), coalesce(w_ridge, 0.25), coalesce(w_grid, 0.35) FROM (SELECT DISTINCT series, rnd FROM preds) t LEFT JOIN b USING (series, rnd)),
+s AS (SELECT series, rnd, model, actual, {r6("(1 - w_grid) * (w_rf * rf + w_xgb * xgb + w_ridge * ridge) + w_grid * grid")} AS score, entity FROM preds JOIN w USING (series, rnd)),
+o AS (SELECT *, row_number() OVER (PARTITION BY series, rnd, model ORDER BY score, entity) AS p, row_number() OVER (PARTITION BY series, rnd, model ORDER BY actual, entity) AS a FROM s),
+r AS (SELECT series, rnd, model, avg(abs(score - actual)) AS mae, avg(abs(p - actual)) AS mo, count(*) FILTER (p <= 3 AND a <= 3) AS t3 FROM o GROUP BY ALL)
+SELECT series, model, count(*) AS n, {r6("avg(mae)")} AS mae_continuous, {r6("avg(mo)")} AS mae_ordinal, {r6("avg(t3)")} AS top3_overlap FROM r GROUP BY ALL""",
+)
+def combination_eval(spark, sf):
+    rows = metrics.with_combinations(prediction_table(spark, sf), ["series"]).withColumn("score", rounded(F.col("score")))
+    rows = metrics.add_order(rows, [*RACE, "model"], "score", "pred_rank")
+    per_race = metrics.race_metrics(rows, [*RACE, "model"])
+    return shown(metrics.summarise(per_race, [["series", "model"]], ["mae_continuous", "mae_ordinal", "top3_overlap"]))
+
+
 @query(
     "circuit_type_eval",
     f"""WITH {PREDS}, {BLENDED}, {CIRCUITS}, t AS (SELECT scored.*, circuit_type FROM scored JOIN circuits ON circuit = (rnd - 1) % 4),

@@ -25,13 +25,14 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     yields no cells; nothing fails.  Paths may be globs.
     """
     positional = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
-    cells = lambda line: F.array(*[F.from_csv(line, positional)[f"c{i}"] for i in range(MAX_COLUMNS)])
-    whole = spark.read.option("wholetext", True).text(paths)
-    lines = whole.select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "﻿", ""), r"\r?\n").alias("l"))
+    cells = F.array(*[F.col(f"r.c{i}") for i in range(MAX_COLUMNS)])
+    whole = spark.read.text(paths, wholetext=True)
+    lines = whole.select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "\ufeff", ""), r"\r?\n").alias("l"))
     lines = lines.where(F.trim(F.get("l", F.lit(0))) != "")
     header = F.split(F.get("l", F.lit(0)), ",")
     rows = lines.select("file", header.alias("h"), F.posexplode(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))).alias("line", "text"))
-    rows = rows.where(F.trim("text") != "").withColumn("v", F.slice(cells(F.col("text")), F.lit(1), F.size("h")))
+    rows = rows.where(F.trim("text") != "").withColumn("r", F.from_csv("text", positional))
+    rows = rows.withColumn("v", F.slice(cells, F.lit(1), F.size("h")))
     names = F.transform("h", lambda c: F.trim(F.translate(c, '"', "")))
     # a header may repeat a name; the first column of that name counts
     pairs = F.filter(
@@ -135,6 +136,13 @@ def load(
     return df
 
 
+def lookup(df: DataFrame, **keys) -> DataFrame:
+    """Point lookup: one session, one round or one circuit's history, by equality on its keys."""
+    for name, value in keys.items():
+        df = df.where(F.col(name) == value)
+    return df
+
+
 def merge_history(parts: Sequence[DataFrame]) -> DataFrame:
     """Union of yearly tables whose columns differ."""
     out = parts[0]
@@ -169,7 +177,7 @@ STRATEGY_SCHEMA = (
 
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     """Circuit configuration to one row per circuit, in configuration order."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = text.select(F.from_json("value", TRACKS_SCHEMA)["tracks"].alias("t"))
     rows = rows.select(F.posexplode(F.map_entries("t")).alias("ordinal", "e"))
     out = rows.select("ordinal", F.col("e.key").alias("key"), F.col("e.value").alias("v")).select("ordinal", "key", "v.*")
@@ -178,7 +186,7 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_circuit_priors(spark: SparkSession, path: str) -> DataFrame:
     """Strategy configuration to one row of priors per circuit."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = text.select(F.explode(F.from_json("value", STRATEGY_SCHEMA)["circuit_priors"]).alias("circuit_key", "v"))
     return rows.select("circuit_key", "v.*")
 

@@ -22,39 +22,44 @@ RETIRED_PENALTY = 1000.0
 
 
 def add_draws(rows: DataFrame, kinds: Sequence[int], who: Column, seed: int = 42) -> DataFrame:
-    """Adds columns p_k, q_k per draw kind: an integer hash of (seed, kind, scenario, who), mixed three times.
+    """Adds a struct d_k(p, q) per draw kind: an integer hash of (seed, kind, scenario, who), mixed three times.
 
-    Each mixing round is its own projection, so a value is computed once and
-    read twice instead of being expanded into a growing expression.
+    The mixing is a fold over three constants, which stays small however many
+    kinds are drawn; written out, the generated method outgrows what the JVM compiles.
     """
-    m = F.lit(M)
+    m = F.lit(M).cast("long")
     s, e = F.col("scenario").cast("long"), who.cast("long") % m
-    start = {f"p_{k}": (s * 7919 + e * 104729 + F.lit(k * 1299709 + seed)) % m for k in kinds}
-    start |= {f"q_{k}": (s * 15485863 % m + e * 32452843 % m + F.lit(k * 86028121 % M + 7)) % m for k in kinds}
-    rows = rows.withColumns(start)
-    for c, d in ((11, 13), (17, 19), (23, 29)):
-        step = {}
-        for k in kinds:
-            p, q = F.col(f"p_{k}"), F.col(f"q_{k}")
-            step[f"p_{k}"] = (p * p % m + q * 48271 % m + c) % m
-            step[f"q_{k}"] = (q * q % m + p * 69621 % m + d) % m
-        rows = rows.withColumns(step)
-    return rows
+    rounds = F.array(
+        *[F.struct(F.lit(c).cast("long").alias("c"), F.lit(d).cast("long").alias("d")) for c, d in ((11, 13), (17, 19), (23, 29))]
+    )
+
+    def mix(acc: Column, r: Column) -> Column:
+        p, q = acc["p"], acc["q"]
+        return F.struct(
+            ((p * p % m + q * 48271 % m + r["c"]) % m).alias("p"), ((q * q % m + p * 69621 % m + r["d"]) % m).alias("q")
+        )
+
+    draws = {}
+    for k in kinds:
+        p = (s * 7919 + e * 104729 + F.lit(k * 1299709 + seed)) % m
+        q = (s * 15485863 % m + e * 32452843 % m + F.lit(k * 86028121 % M + 7)) % m
+        draws[f"d_{k}"] = F.aggregate(rounds, F.struct(p.alias("p"), q.alias("q")), mix)
+    return rows.withColumns(draws)
 
 
 def uniform(kind: int) -> Column:
     """Uniform draw in [0, 1) from the columns of :func:`add_draws`."""
-    return F.col(f"q_{kind}") / F.lit(float(M + 1))
+    return F.col(f"d_{kind}.q") / F.lit(float(M + 1))
 
 
 def normal(kind: int) -> Column:
     """Standard normal draw from the columns of :func:`add_draws`."""
-    u1 = (F.col(f"p_{kind}") + 1) / F.lit(float(M + 2))
+    u1 = (F.col(f"d_{kind}.p") + 1) / F.lit(float(M + 2))
     return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * uniform(kind))
 
 
 def drop_draws(rows: DataFrame, kinds: Sequence[int]) -> DataFrame:
-    return rows.drop(*[f"{h}_{k}" for k in kinds for h in "pq"])
+    return rows.drop(*[f"d_{k}" for k in kinds])
 
 
 def expand(entrants: DataFrame, race: Sequence[str], n: int) -> DataFrame:
@@ -146,7 +151,7 @@ def compress_field(rows: DataFrame, race: Sequence[str], seed: int = 42, fx: Eff
     )
     restart = F.when(F.col("red_flag"), normal(16) * fx.restart_spread).otherwise(0.0)
     return rows.withColumn("raw", F.when(running, squeezed + restart).otherwise(F.col("raw"))).drop(
-        "_mean", "_pick", *[f"{h}_{k}" for k in kinds for h in "pq"]
+        "_mean", "_pick", *[f"d_{k}" for k in kinds]
     )
 
 

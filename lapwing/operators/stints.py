@@ -181,21 +181,19 @@ def compound_wear(
     keep = laps.where((F.col("lap_s") > 50) & F.col("compound").isin(*BASE_RATE))
     runs = robust_slope(keep, who + ["stint", "compound"], age, hot).where(F.col("n") >= MIN_LAPS)
     own = runs.groupBy(*who, "compound").agg(F.sum("n").alias("own_laps"), (F.sum(F.col("slope") * F.col("n")) / F.sum("n")).alias("own_rate"))
-    team = (
-        own.join(lineup.select(*who, "team"), who)
-        .groupBy(*race, "team", "compound")
-        .agg(
-            F.sum("own_laps").alias("team_laps"),
-            (F.sum(F.col("own_rate") * F.col("own_laps")) / F.sum("own_laps")).alias("team_rate"),
-        )
-    )
     scale = temperature_scale(F.col("track_temperature")) if "track_temperature" in lineup.columns else F.lit(1.0)
     base = F.explode(F.array(*[F.struct(F.lit(c).alias("compound"), F.lit(r).alias("rate")) for c, r in BASE_RATE.items()]))
     grid = lineup.select(*who, "team", scale.alias("_scale"), "deg_multiplier", base.alias("_b")).select(
         *who, "team", F.col("_b.compound").alias("compound"),
         (F.col("_b.rate") * F.col("deg_multiplier") * F.col("_scale")).alias("prior"),
     )
-    rows = grid.join(own, who + ["compound"], "left").join(team, race + ["team", "compound"], "left")
+    rows = grid.join(own, who + ["compound"], "left")
+    # the whole team is in the line-up, so its pooled rate is a window over a handful of rows
+    garage = Window.partitionBy(*race, "team", "compound")
+    laps_of_team = F.sum("own_laps").over(garage)
+    rows = rows.withColumn("team_laps", laps_of_team).withColumn(
+        "team_rate", F.sum(F.col("own_rate") * F.col("own_laps")).over(garage) / F.col("team_laps")
+    )
     w = F.least(F.col("own_laps") / 12.0, F.lit(0.85))
     rate = (
         F.when(F.col("own_laps") > 0, w * F.col("own_rate") + (1.0 - w) * F.col("prior"))

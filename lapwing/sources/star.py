@@ -37,11 +37,11 @@ def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     season = F.year("l_shipdate")
     return li.select(
-        F.floor(F.col("l_suppkey") / FIELD_SIZE).cast("long").alias("series"),
+        F.expr(f"l_suppkey div {FIELD_SIZE}").alias("series"),
         season.cast("long").alias("season"),
         ((season - FIRST_YEAR) * 4 + F.quarter("l_shipdate")).cast("long").alias("rnd"),
         F.col("l_suppkey").alias("entity"),
-        F.floor(F.col("l_suppkey") / 2).cast("long").alias("team"),
+        F.expr("l_suppkey div 2").alias("team"),
         "l_orderkey",
         "l_linenumber",
         "l_shipdate",

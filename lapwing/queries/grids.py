@@ -373,12 +373,15 @@ def grid_page_parse(spark, sf):
     sql(
         """, l AS (SELECT series, entity, team, entity % 20 AS k FROM results WHERE rnd = 28),
 prac AS (SELECT * FROM l WHERE series % 4 = 2 OR k < 9),
-pool AS (SELECT DISTINCT series, team, entity FROM results WHERE rnd < 28)
-SELECT series, entity AS driver, team, 'official_entry_list' AS source, 'verified' AS confidence FROM l WHERE series % 4 = 0 AND k <> 3
-UNION ALL SELECT series, entity, team, 'qualifying', 'high' FROM l WHERE series % 4 = 3 AND k <> 7
-UNION ALL SELECT series, entity, team, 'practice', 'high' FROM l WHERE series % 4 = 2
-UNION ALL SELECT series, entity, team, 'practice', 'high' FROM prac WHERE series % 4 = 1
-UNION ALL SELECT series, entity, team, 'season_pool', 'provisional' FROM pool WHERE series % 4 = 1 AND entity NOT IN (SELECT entity FROM prac)""",
+cand AS (
+  SELECT series, entity, team, 1 AS p, 'official_entry_list' AS source, 'verified' AS confidence FROM l WHERE series % 4 = 0 AND k <> 3
+  UNION ALL SELECT series, entity, team, 3, 'qualifying', 'high' FROM l WHERE CASE WHEN series % 4 = 1 THEN k <= 15 ELSE k <> 7 END
+  UNION ALL SELECT series, entity, team, 4, 'practice', 'high' FROM prac
+  UNION ALL SELECT DISTINCT series, entity, team, 5, 'season_pool', 'provisional' FROM results WHERE rnd < 28),
+n AS (SELECT series, p, count(*) AS n FROM cand GROUP BY ALL),
+best AS (SELECT series, min(p) AS b FROM n WHERE (p = 1 AND n >= 18) OR (p = 3 AND series % 4 <> 2 AND n >= 18) OR (p = 4 AND n >= 20) OR p = 5 GROUP BY series)
+SELECT series, entity AS driver, team, source, confidence FROM cand JOIN best USING (series)
+WHERE (p = b AND NOT (p = 5 AND entity IN (SELECT entity FROM prac))) OR (b = 5 AND p = 4)""",
         RESULTS,
     ),
 )

@@ -21,7 +21,7 @@ def raw_rows(spark, sf):
     """The per-entrant table with every raw column the features need."""
     base = star.with_qualifying(star.with_results(star.entries(spark, sf)))
     race = Window.partitionBy(*RACE)
-    sprint = F.col("rnd") % 4 == 2
+    sprint = star.is_sprint_round(F.col("rnd"))
     grid = F.row_number().over(race.orderBy(F.col("q1").asc_nulls_last(), "entity"))
     finish = F.row_number().over(race.orderBy(F.desc(F.col("quantity") % 101), "entity"))
     base = base.withColumn("sprint_grid", F.when(sprint, grid)).withColumn("sprint_finish", F.when(sprint, finish))

@@ -146,14 +146,15 @@ SELECT src.series, src.rnd, source, CASE source WHEN 'official_manifest' THEN 'F
 def grid_source_priority(spark, sf):
     rows = full(spark, sf)
     dup = F.when(F.col("rnd") % 2 == 0, F.col("grid_slot")).otherwise(F.greatest(F.col("grid_slot") - 1, F.lit(1)))
+    # a source that does not cover a round has no slots there, which makes it invalid
     sources = [
-        ("official_manifest", rows.where(F.col("rnd") % 3 == 0), dup),
-        ("algorithmic_fallback", rows.where(F.col("rnd") % 5 != 0), F.col("q_position")),
-        ("historical_race_results", rows, F.col("position")),
+        ("official_manifest", F.when(F.col("rnd") % 3 == 0, dup)),
+        ("algorithmic_fallback", F.when(F.col("rnd") % 5 != 0, F.col("q_position"))),
+        ("historical_race_results", F.col("position")),
     ]
     stack = None
-    for name, df, slot in sources:
-        part = df.select(*star.KEYS, F.lit(name).alias("source"), F.lit(grids.SOURCE_PRIORITY[name]).alias("priority"), slot.cast("long").alias("slot"))
+    for name, slot in sources:
+        part = rows.select(*star.KEYS, F.lit(name).alias("source"), F.lit(grids.SOURCE_PRIORITY[name]).alias("priority"), slot.cast("long").alias("slot"))
         stack = part if stack is None else stack.unionByName(part)
     checks = quality.permutation_check(stack, RACE + ["source"], "entity", "slot").select(*RACE, "source", F.col("ok").alias("valid"))
     best = grids.pick_source(stack.join(checks, RACE + ["source"]), RACE)

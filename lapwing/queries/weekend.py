@@ -97,7 +97,7 @@ def sprint_block(spark, sf):
     base = star.entries(spark, sf)
     race = Window.partitionBy(*RACE)
     sprint = (
-        base.where(F.col("rnd") % 4 == 2)
+        base.where(star.is_sprint_round(F.col("rnd")))
         .withColumn("grid", F.row_number().over(race.orderBy(F.col("q1").asc_nulls_last(), "entity")))
         .withColumn("finish", F.row_number().over(race.orderBy(F.desc(F.col("quantity") % 101), "entity")))
     )

@@ -202,6 +202,11 @@ def circuit_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def is_sprint_round(rnd: Column) -> Column:
+    """The second quarter of every season is a sprint weekend."""
+    return rnd % 4 == 2
+
+
 def circuit_of(rnd: Column) -> Column:
     """Circuit visited in a round: the same one in the same quarter of every season."""
     return (rnd - 1) % 4

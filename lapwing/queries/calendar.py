@@ -158,7 +158,7 @@ def session_schedule(spark, sf):
 
 @query(
     "calendar_sessions",
-    f"""WITH {EVENTS} SELECT scope, season, rnd, sprint AS is_sprint, 5 AS n_sessions,
+    f"""WITH {EVENTS} SELECT scope, season, rnd, sprint AS is_sprint, cast(5 AS bigint) AS n_sessions,
   max(CASE WHEN session = 'race' THEN strftime(scheduled_ts, '%Y-%m-%d %H:%M') END) AS race_at,
   max(CASE WHEN session = 'sprint_race' THEN strftime(scheduled_ts, '%Y-%m-%d %H:%M') END) AS sprint_at FROM sched GROUP BY ALL""",
 )

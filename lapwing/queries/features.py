@@ -172,7 +172,7 @@ def leakage_audit(spark, sf):
 @query(
     "training_check",
     sql(
-        """SELECT series, count(*) AS rows, 0 AS impossible_history_rows, count(*) FILTER (grid < 1 OR grid > 19) AS grid_out_of_range,
+        """SELECT series, count(*) AS rows, cast(0 AS bigint) AS impossible_history_rows, count(*) FILTER (grid < 1 OR grid > 19) AS grid_out_of_range,
   count(*) FILTER (grid < 1 OR grid > 19) = 0 AS ok FROM results GROUP BY ALL""",
         RESULTS,
     ),

@@ -442,7 +442,7 @@ def result_pages(spark, sf):
 b AS (SELECT *, TRY_CAST(position_text AS bigint) AS position FROM a)
 SELECT season, rnd, cast(entity AS varchar) AS driver_id, position, position_text,
   CASE WHEN entity % 3 = 0 THEN 'Ann F' || entity ELSE 'F' || entity END AS driver_name, 'Team ' || team AS constructor_name, CASE WHEN grid > 0 THEN grid END AS grid,
-  CASE WHEN grid > 0 AND position > 0 THEN grid - position END AS positions_gained, CASE WHEN entity % 5 <> 0 THEN 57 ELSE 0 END AS laps, {r6("points")} AS points, status,
+  CASE WHEN grid > 0 AND position > 0 THEN grid - position END AS positions_gained, cast(CASE WHEN entity % 5 <> 0 THEN 57 ELSE 0 END AS bigint) AS laps, {r6("points")} AS points, status,
   row_number() OVER (PARTITION BY season, rnd ORDER BY CASE WHEN grid > 0 THEN grid END NULLS LAST, cast(entity AS varchar)) AS start_order,
   CASE WHEN grid > 0 THEN 'Grid P' || grid ELSE 'Unclassified / Non-standard Grid Position (0)' END AS grid_status FROM b""",
         RESULTS,

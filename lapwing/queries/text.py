@@ -155,7 +155,7 @@ def _times(spark, sf):
     "laptime_parse",
     "WITH "
     + _TIMES_SQL
-    + f""" SELECT entity, ln, count(*) AS n, count(*) FILTER (ln <= 4) AS parsed,
+    + f""" SELECT entity, cast(ln AS bigint) AS ln, count(*) AS n, count(*) FILTER (ln <= 4) AS parsed,
   cast(sum(CASE WHEN ln <= 4 THEN ms END) AS bigint) AS total_ms, {r6("min(CASE WHEN ln <= 4 THEN ms / 1000.0 END)")} AS best_s
 FROM txt GROUP BY ALL""",
 )
@@ -359,7 +359,7 @@ def grid_interpret(spark, sf):
 @query(
     "era_rules",
     """WITH y AS (SELECT 1950 + o_orderkey % 80 AS yr, o_custkey % 2 = 0 AS two FROM orders)
-SELECT yr, two, CASE WHEN yr >= 2026 THEN 22 WHEN yr >= 2017 THEN 20 WHEN yr >= 2013 THEN 22 WHEN yr >= 2010 THEN 24 ELSE 20 END AS field,
+SELECT yr, two, cast(CASE WHEN yr >= 2026 THEN 22 WHEN yr >= 2017 THEN 20 WHEN yr >= 2013 THEN 22 WHEN yr >= 2010 THEN 24 ELSE 20 END AS bigint) AS field,
   CASE WHEN yr >= 2006 THEN 'Knockout' WHEN yr = 2005 AND two THEN 'Qualifying Aggregate (QA)' WHEN yr >= 2003 THEN 'Single Lap Shootout (QO/QB)'
     WHEN yr >= 1994 THEN 'Qualifying Best Lap (QB)' ELSE 'Pre-1994 Archive' END AS format,
   CASE WHEN yr >= 2006 THEN 'Q' WHEN yr = 2005 AND two THEN 'QA' ELSE 'QB' END AS code, count(*) AS n FROM y GROUP BY ALL""",

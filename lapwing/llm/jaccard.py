@@ -2,7 +2,10 @@
 
 Rare-first prefix filtering: shingles are ordered from rare to frequent; two sets that reach the threshold share one
 among their first ``n - ceil(t n) + 1``, so only these are joined.  Length, positional and suffix filters thin out the
-candidates and every remaining pair is compared once, on whole sets.
+candidates and every remaining pair is compared once, on whole sets.  The suffix filter cuts the hash range into parts and
+keeps for each whether it holds an odd number of the set's shingles, the set's mark: a shingle that is in one set only
+turns one part, so two sets differ in at least as many shingles as their marks differ in parts.  A mark has 512 parts
+up to 1,000 shingles, four times as many up to 4,000, and so on; marks of different length aren't compared.
 
 * Documents with equal sets are one node (a 64-bit signature of the set), however many copies there are.
 * Frequencies come from all documents, in a fixed number of hashed cells; any order gives right results, a rarer-first
@@ -30,10 +33,10 @@ from lapwing.llm import words
 from lapwing.llm.scratch import Scratch, components, over_batches
 
 CELL_BITS = 18  # cells of the frequency table: 2**18 numbers, whatever the corpus
-PARTS = 32  # parts of the hash range that the suffix filter counts
+SHORT_MARK = 3  # the 64-bit numbers of a mark that prefix rows carry
 BROADCAST_IDS = 2_000_000  # numbers of documents up to which a list of them is sent to all executors
 
-_HEADS = "doc_id bigint, n bigint, node bigint, prefix array<bigint>, parts array<smallint>"
+_HEADS = "doc_id bigint, n bigint, node bigint, prefix array<bigint>, mark array<bigint>"
 
 
 @dataclass(frozen=True)
@@ -66,6 +69,15 @@ def signatures(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return words.mix(total[begin[1:]] - total[begin[:-1]] + np.diff(begin).astype(np.uint64))
 
 
+def mark_of(values: np.ndarray) -> np.ndarray:
+    """For each part of the hash range whether an odd number of the set's shingles lies in it, 64 parts a number."""
+    bits = 9
+    while len(values) >= 1000 << (bits - 9):
+        bits += 2
+    odd = np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def cell_counts(docs: DataFrame, rule: Rule) -> np.ndarray:
     """Number of documents with a shingle in each cell of the hash range, over all documents; ``2**CELL_BITS`` numbers."""
 
@@ -78,15 +90,14 @@ def cell_counts(docs: DataFrame, rule: Rule) -> np.ndarray:
         for part in np.array_split(cells, max(1, len(cells) // 65_536)):
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["cell", "n"])
 
-    found = docs.select("text").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    found = docs.select("text").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    for cell, n in found:
-        out[cell] = n
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
 def heads(docs: DataFrame, rule: Rule, counts) -> DataFrame:
-    """For each row: set size, signature, prefix from rare to frequent, sizes of the parts."""
+    """For each row: set size, signature, prefix from rare to frequent, mark."""
 
     def head(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, begin = shingle_sets(batch.column(1), rule.width)
@@ -98,61 +109,70 @@ def heads(docs: DataFrame, rule: Rule, counts) -> DataFrame:
             for lo, hi, p in zip(begin[:-1].tolist(), begin[1:].tolist(), length.tolist())
             if p
         ]
-        row = np.repeat(np.arange(len(n)), n)
-        parts = np.bincount(row * PARTS + (values >> np.uint64(64 - 5)).astype(np.int64), minlength=len(n) * PARTS)
-        parts = pa.array(np.minimum(parts, 32_767).astype(np.int16))
+        marks = [mark_of(values[lo:hi]) for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist())]
+        marks_begin = np.concatenate(([0], np.cumsum([len(m) for m in marks])))
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array(n.astype(np.int64)),
                 pa.array(signatures(values, begin).astype(np.int64)),
                 words.long_lists(np.concatenate(prefix) if prefix else values[:0], np.concatenate(([0], np.cumsum(length)))),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * PARTS, type=pa.int32()), parts),
+                words.long_lists(np.concatenate(marks), marks_begin),
             ],
-            names=["doc_id", "n", "node", "prefix", "parts"],
+            names=["doc_id", "n", "node", "prefix", "mark"],
         )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(over_batches(head), _HEADS)
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
+    """``node, items, to`` for ``text, to``: a document's set with the nodes that it is to be compared with."""
+
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, begin = shingle_sets(batch.column(0), rule.width)
         return pa.RecordBatch.from_arrays(
-            [pa.array(signatures(values, begin).astype(np.int64)), words.long_lists(values, begin)], names=["node", "items"]
+            [pa.array(signatures(values, begin).astype(np.int64)), words.long_lists(values, begin), batch.column(1)], names=["node", "items", "to"]
         )
 
-    return docs.select("text").mapInArrow(over_batches(sets), "node bigint, items array<bigint>")
+    return docs.select("text", "to").mapInArrow(over_batches(sets), "node bigint, items array<bigint>, to bigint")
 
 
-def _possible(rule: Rule, na: str, nb: str) -> str:
-    return f"100 * least({na}, {nb}) >= {rule.percent} * greatest({na}, {nb})"
+def _near(rule: Rule, na: str, nb: str, same_size: str, apart: str) -> str:
+    """Length and suffix filters, as a condition; ``apart`` is the number of parts in which the marks differ."""
+    length = f"100 * least({na}, {nb}) >= {rule.percent} * greatest({na}, {nb})"
+    return f"{length} and (not ({same_size}) or {100 + rule.percent} * ({apart}) <= {100 - rule.percent} * ({na} + {nb}))"
 
 
 def _filtered(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Length and suffix filters.  Sizes of parts differ by no more than the sets do."""
-    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-    apart = "aggregate(zip_with(pa, pb, (x, y) -> abs(cast(x as int) - y)), 0, (s, x) -> s + x)"
-    return (
-        pairs.join(a, "a").join(b, "b").where(_possible(rule, "na", "nb"))
-        .where(f"({100 + rule.percent}) * {apart} <= {100 - rule.percent} * (na + nb)").select("a", "b")
-    )
+    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("mark").alias("ma"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("mark").alias("mb"))
+    apart = "aggregate(zip_with(ma, mb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return pairs.join(a, "a").join(b, "b").where(_near(rule, "na", "nb", "size(ma) = size(mb)", apart)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs whose whole sets reach the threshold.  ``pairs`` is a kept table."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = wanted.join(nodes, "node").select("doc_id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    """Pairs whose whole sets reach the threshold.  ``pairs`` is a kept table.
+
+    The set of ``a`` travels once for each of its pairs and that of ``b`` once; they meet at ``b``.
+    """
+    ids = nodes.select("node", F.col("doc_id").alias("id"))
+    left = pairs.join(ids, F.col("a") == F.col("node")).select("id", "node", F.col("b").alias("to"))
+    right = pairs.select("b").distinct().join(ids, F.col("b") == F.col("node")).select("id", "node", F.col("node").alias("to"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "leftsemi")
-    sets = _sets(texts, rule).groupBy("node").agg(F.first("items").alias("items"))
-    a = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
-    b = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ia", "ib")))
-    return both.where(f"100 * common >= {rule.percent} * (size(ia) + size(ib) - common)").select("a", "b")
+
+    def sent(routes: DataFrame) -> DataFrame:
+        if routes.count() <= BROADCAST_IDS:
+            routes = F.broadcast(routes)
+        found = texts.join(routes, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node", "to")
+        sets = _sets(found.select("text", "to"), rule)
+        return sets
+
+    a = sent(left).select(F.col("node").alias("a"), F.col("items").alias("ia"), F.col("to").alias("b"))
+    b = sent(right).where("node = to").select(F.col("node").alias("b"), F.col("items").alias("ib"))
+    both = a.join(b, "b").withColumn("common", F.size(F.array_intersect("ia", "ib")))
+    near = both.where(f"100 * common >= {rule.percent} * (size(ia) + size(ib) - common)").select("a", "b")
+    # Rows that repeat a number but not its text bring sets that weren't asked for.
+    return near.distinct().join(pairs, ["a", "b"], "leftsemi")
 
 
 def groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -160,14 +180,19 @@ def groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     counts = spark.sparkContext.broadcast(cell_counts(docs, rule))
-    rows = scratch.keep(heads(docs, rule, counts))
-    nodes = scratch.keep(
-        rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"))
+    whole = scratch.keep(heads(docs, rule, counts))
+    heavy = scratch.keep(
+        whole.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("mark").alias("mark"))
     )
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("place", "gram"))
+    rows = scratch.keep(whole.select("doc_id", "n", "node"))
+    scratch.drop(whole)
+    entries = heavy.select("node", F.posexplode("prefix").alias("place", "gram"))
     lists = entries.groupBy("gram").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1")
     shared = scratch.keep(entries.join(lists.select("gram", "pivot"), "gram"))
 
+    nodes = scratch.keep(heavy.drop("prefix"))
+    scratch.drop(heavy)
+
     stars = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     stars = scratch.keep(_filtered(stars, nodes, rule))
     links = scratch.keep(_verified(stars, docs, nodes, rule))
@@ -175,11 +200,14 @@ def groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     held = shared.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("pivot")
     mixed = held.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
-    held = scratch.keep(held.join(mixed, "gram"))
-    a, b = (held.select("gram", *[F.col(c).alias(c + s) for c in ("node", "n", "place", "root")]) for s in "ab")
-    rest = f"{100 + rule.percent} * (1 + least(na - placea, nb - placeb) - 1) >= {rule.percent} * (na + nb)"
-    more = a.join(b, "gram").where("roota < rootb").where(_possible(rule, "na", "nb")).where(rest)
-    more = more.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    short = [F.size("mark").alias("wide"), *[F.element_at("mark", i + 1).alias(f"m{i}") for i in range(SHORT_MARK)]]
+    held = scratch.keep(held.join(mixed, "gram").join(nodes.select("node", "n", *short), "node"))
+    a, b = held.alias("a"), held.alias("b")  # the same rows twice: shuffled once
+    rest = f"{100 + rule.percent} * least(a.n - a.place, b.n - b.place) >= {rule.percent} * (a.n + b.n)"
+    apart = " + ".join(f"bit_count(a.m{i} ^ b.m{i})" for i in range(SHORT_MARK))
+    more = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") < F.col("b.root")))
+    more = more.where(rest).where(_near(rule, "a.n", "b.n", "a.wide = b.wide", apart))
+    more = more.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     tried = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = scratch.keep(_filtered(more.join(tried, ["a", "b"], "leftanti"), nodes, rule))
     scratch.drop(shared, held)

@@ -5,8 +5,8 @@ each cell: its learning rate falls with the squared gradients the cell has seen,
 zero until the evidence is strong.  What is sent to executors is the list of cells that aren't zero.
 
 The model is learned from at most ``SAMPLE`` labelled rows, chosen by a hash of their number.  The sample is dealt to
-``SHARDS`` parts of equal size; each pass learns them side by side from the same start; a cell's numbers become the
-mean of those shards that have met it.  A
+shards of about ``SHARD`` rows, which are learned side by side; a cell's numbers become the mean of those shards
+that have met it.  A
 shard's rows are bounded by the sample, so no task's work grows with the corpus.
 
 A text without words (null, empty, white space) has no feature: its score is the bias alone.  Repeated rows and labels
@@ -30,7 +30,7 @@ BITS = 20
 HALF = 1 << (BITS - 1)
 PAIR = 0.4
 SAMPLE = 16_000
-SHARDS = 4
+SHARD = 4_000
 _U = np.uint64
 
 
@@ -112,7 +112,6 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     """A model from ``doc_id, text`` and ``doc_id, toxic``."""
-    spark = docs.sparkSession
     labels = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("toxic"))
     total, toxic = labels.agg(F.count("*"), F.sum("toxic")).first()
     if not total or toxic in (0, total):
@@ -124,37 +123,29 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     # At most SAMPLE rows of two numbers, so they may be sent to every task: the documents aren't shuffled.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labels), "doc_id")
     rows = rows.where("text is not null").select(F.xxhash64("doc_id", F.lit("order")).alias("place"), "text", "toxic")
-    rows = rows.withColumn("shard", F.pmod("place", F.lit(SHARDS)).cast("int")).repartition(SHARDS, "shard")
+    shards = -(-min(total, SAMPLE) // SHARD)
+    rows = rows.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).repartition(shards, "shard")
     rows = rows.sortWithinPartitions("shard", "place", "text")
+    rows = rows.select("text", "toxic", "shard")
+
+    def shard(batches):
+        held = list(batches)  # the rows of a few shards
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        for k in np.unique(table["shard"].to_numpy()).tolist():
+            own = table.filter(pa.array(table["shard"].to_numpy() == k)).combine_chunks()
+            z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+            for _ in range(fit.passes):
+                learn_shard(own["text"].chunk(0), own["toxic"].to_numpy(), z, n, fit)
+            cell = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(z[cell]), pa.array(n[cell])], names=["cell", "z", "n"])
+
+    state = rows.mapInArrow(shard, "cell bigint, z double, n double").groupBy("cell").agg(F.avg("z").alias("z"), F.avg("n").alias("n"))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    for _ in range(fit.passes):
-        start = spark.sparkContext.broadcast((np.flatnonzero(n), z[n != 0], n[n != 0]))
-
-        def shard(batches, start=start):
-            where, z0, n0 = start.value
-            own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                number = batch.column(3).to_numpy()
-                for k in np.unique(number).tolist():
-                    if k not in own:
-                        own[k] = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-                        own[k][0][where], own[k][1][where] = z0, n0
-                    pick = pa.array(number == k)
-                    learn_shard(batch.column(1).filter(pick), batch.column(2).filter(pick).to_numpy(), *own[k], fit)
-            for zk, nk in own.values():
-                n_start = np.zeros(len(nk))
-                n_start[where] = n0
-                cell = np.flatnonzero(nk > n_start)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(zk[cell]), pa.array(nk[cell])], names=["cell", "z", "n"])
-
-        state = rows.select("place", "text", "toxic", "shard").mapInArrow(shard, "cell bigint, z double, n double")
-        state = state.groupBy("cell").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("k"))
-        found = state.toArrow()
-        cell = found["cell"].to_numpy()
-        seen = found["k"].to_numpy()
-        z[cell] = found["z"].to_numpy() / seen
-        n[cell] = found["n"].to_numpy() / seen
-        start.unpersist()
+    # Only cells that the mean leaves over the L1 bound, and the bias, come to the driver.
+    found = state.where((F.abs("z") > fit.l1) | (F.col("cell") == 1 << BITS)).toArrow()
+    z[found["cell"].to_numpy()], n[found["cell"].to_numpy()] = found["z"].to_numpy(), found["n"].to_numpy()
     w = weights(z, n, fit)
     cells = np.flatnonzero(w[:-1])
     bias = float(-z[-1] / ((fit.beta + np.sqrt(n[-1])) / fit.alpha + fit.l2))

@@ -28,10 +28,10 @@ from lapwing.llm import words
 from lapwing.llm.scratch import over_batches
 
 SAMPLE = 20_000  # rows that the model is learned from, at most
-WORDS = 200_000  # words that the model knows, at most
-GRAMS = 200_000  # character n-grams that it knows, at most
+WORDS = 100_000  # words that the model knows, at most
+GRAMS = 60_000  # character n-grams that it knows, at most
 LONGEST = 5
-REMEMBERED = 400_000  # words whose scores a task remembers
+REMEMBERED = 100_000  # words whose scores a task remembers
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -43,10 +43,11 @@ def _grams(word: str) -> list[str]:
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]  # rows of the table
+    grams: dict[str, int]
+    table: np.ndarray
     floor: float = -20.0
-    memory: dict[int, int] = field(default_factory=dict)
+    memory: dict[int, np.ndarray] = field(default_factory=dict)
 
     def unseen(self, word: str) -> np.ndarray:
         """Longest known n-grams from left to right; a place where none is known counts with the floor."""
@@ -55,7 +56,7 @@ class Model:
         while at < len(padded):
             for n in range(min(LONGEST, len(padded) - at), 0, -1):
                 if (known := self.grams.get(padded[at : at + n])) is not None:
-                    total += known
+                    total += self.table[known]
                     at += n
                     break
             else:
@@ -68,7 +69,7 @@ class Model:
         out = np.zeros(len(self.languages) + 1)
         for word in _LETTERS.findall(token.lower()):
             known = self.words.get(word)
-            out[:-1] += self.unseen(word) if known is None else known
+            out[:-1] += self.unseen(word) if known is None else self.table[known]
             out[-1] += 1
         return out
 
@@ -125,7 +126,7 @@ def learn(rows: DataFrame) -> Model:
     found = labelled.select("text", "lang").mapInArrow(count, "lang string, n bigint, word string")
     found = found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     vocabulary = found.groupBy("word").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    known = vocabulary.orderBy(F.desc("all"), "word").limit(WORDS).collect()
+    known = vocabulary.orderBy(F.desc("all"), "word").limit(WORDS).toLocalIterator()
     by_word = {r["word"]: r["by"] for r in known}
     languages = sorted({x for by in by_word.values() for x in by})
     grams: dict[str, Counter] = {}
@@ -145,11 +146,13 @@ def learn(rows: DataFrame) -> Model:
     def logs(by, of) -> np.ndarray:
         return np.array([math.log((by.get(x, 0) + 0.5) / (of[x] + 0.5 * len(by_word) + 1)) for x in languages])
 
-    often = {w: by for w, by in by_word.items() if sum(by.values()) > 1}
+    often = [(w, by) for w, by in by_word.items() if sum(by.values()) > 1]
+    table = [logs(by, spoken) for _, by in often] + [logs(by, by_size[len(g)]) for g, by in grams.items()]
     return Model(
         languages,
-        {w: logs(by, spoken) for w, by in often.items()},
-        {g: logs(by, by_size[len(g)]) for g, by in grams.items()},
+        {w: i for i, (w, _) in enumerate(often)},
+        {g: i + len(often) for i, g in enumerate(grams)},
+        np.array(table, dtype=np.float32).reshape(len(table), len(languages)),
     )
 
 

@@ -33,7 +33,7 @@ from lapwing.llm import words
 from lapwing.llm.scratch import Scratch, components, over_batches
 
 CELL_BITS = 18  # cells of the frequency table: 2**18 numbers, whatever the corpus
-SHORT_MARK = 3  # the 64-bit numbers of a mark that prefix rows carry
+SHORT_MARK = 8  # the 64-bit numbers of a mark that prefix rows carry
 BROADCAST_IDS = 2_000_000  # numbers of documents up to which a list of them is sent to all executors
 
 _HEADS = "doc_id bigint, n bigint, node bigint, prefix array<bigint>, mark array<bigint>"

@@ -6,7 +6,9 @@ the history per round.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.numbers import ratio
@@ -26,21 +28,29 @@ def ewma(values: Column, alpha: float = ALPHA) -> Column:
     )
 
 
-def add_ewma_terms(df: DataFrame, value: str, history: WindowSpec, prefix: str, alpha: float = ALPHA) -> DataFrame:
-    """Per-row terms whose running sum, scaled by ``(1-alpha)^n``, is the EWMA.
+def _block_length(alpha: float) -> int:
+    """Observations of a block: inside one the powers stay within a double, and what lies two blocks back has a weight
+    under 1e-150, so it can't change a double."""
+    return max(1, int(150 * math.log(10) / -math.log(1 - alpha)))
 
-    ``history`` runs up to and including the current row.  The i-th value has
-    weight ``(alpha, or 1 for the first) * (1-alpha)^-i``, which fits a double
-    for about 1,900 observations per entity; use :func:`ewma` on longer series.
-    """
-    n = F.count(value).over(history)
-    weight = F.when(n == 1, F.lit(1.0)).otherwise(F.lit(alpha)) * F.pow(F.lit(1 - alpha), -n)
-    return df.withColumn(f"_{prefix}_term", F.when(F.col(value).isNotNull(), weight * F.col(value)))
 
+def add_ewma(df: DataFrame, scope: list[str], value: str, name: str, alpha: float = ALPHA) -> DataFrame:
+    """Adds the EWMA of all known values before each row, exact at any length of a history.
 
-def ewma_over(value: str, prefix: str, frame: WindowSpec, alpha: float = ALPHA) -> Column:
-    n = F.count(value).over(frame)
-    return F.sum(f"_{prefix}_term").over(frame) * F.pow(F.lit(1 - alpha), n)
+    Known values are numbered and cut into blocks.  Inside a block it is a scaled running sum; a block starts from the
+    value that the block before it has ended with.
+    """
+    length, keep = _block_length(alpha), F.lit(1 - alpha)
+    by_round = Window.partitionBy(*scope).orderBy("rnd")
+    rows = df.withColumn("_n", F.count(value).over(by_round.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_b", F.floor(F.col("_n") / length)).withColumn("_i", (F.col("_n") - F.col("_b") * length).cast("double"))
+    weight = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(F.lit(alpha)) * F.pow(keep, -F.col("_i"))
+    in_block = Window.partitionBy(*scope, "_b").orderBy("rnd").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.sum(F.when(F.col(value).isNotNull(), weight * F.col(value))).over(in_block) * F.pow(keep, F.col("_i"))
+    rows = rows.withColumn("_own", own).withColumn("_before", F.lag("_own").over(by_round))
+    carried = F.first("_before").over(in_block) * F.pow(keep, F.col("_i") + 1)
+    rows = rows.withColumn("_ewma", F.when(F.col("_n") > 0, F.coalesce("_own", F.lit(0.0)) + F.when(F.col("_b") > 0, F.coalesce(carried, F.lit(0.0))).otherwise(0.0)))
+    return rows.withColumn(name, F.lag("_ewma").over(by_round)).drop("_n", "_b", "_i", "_own", "_before", "_ewma")
 
 
 def add_driver_form(df: DataFrame, scope: list[str], alpha: float = ALPHA, default: float = DEFAULT_POSITION) -> DataFrame:
@@ -51,15 +61,14 @@ def add_driver_form(df: DataFrame, scope: list[str], alpha: float = ALPHA, defau
     optionally q_position.
     """
     by_round = Window.partitionBy(*scope).orderBy("rnd")
-    upto = by_round.rowsBetween(Window.unboundedPreceding, 0)
     prior = by_round.rowsBetween(Window.unboundedPreceding, -1)
     has_q = "q_position" in df.columns
 
     rows = df.withColumn("status_class", classify(F.col("status")))
-    rows = add_ewma_terms(rows, "position", upto, "fin", alpha)
-    rows = add_ewma_terms(rows, "grid", upto, "grid", alpha)
+    rows = add_ewma(rows, scope, "position", "_fin_ewma", alpha)
+    rows = add_ewma(rows, scope, "grid", "_grid_ewma", alpha)
     if has_q:
-        rows = add_ewma_terms(rows, "q_position", upto, "q", alpha)
+        rows = add_ewma(rows, scope, "q_position", "_q_ewma", alpha)
 
     def seen(name: str) -> Column:
         return count_if(F.col("status_class") == name).over(prior)
@@ -71,8 +80,7 @@ def add_driver_form(df: DataFrame, scope: list[str], alpha: float = ALPHA, defau
         .withColumn("_starts", F.greatest(F.col("_entries") - seen("DNS"), F.lit(0)))
     )
     d = F.lit(default)
-    grid_ewma = ewma_over("grid", "grid", prior, alpha)
-    quali_ewma = F.coalesce(ewma_over("q_position", "q", prior, alpha), grid_ewma) if has_q else grid_ewma
+    quali_ewma = F.coalesce("_q_ewma", "_grid_ewma") if has_q else F.col("_grid_ewma")
     out = {
         "avg_finish": F.coalesce(F.avg("position").over(prior), d),
         "avg_grid": F.coalesce(F.avg("grid").over(prior), d),
@@ -80,7 +88,7 @@ def add_driver_form(df: DataFrame, scope: list[str], alpha: float = ALPHA, defau
         "recent_finish": F.coalesce(F.last("position", ignorenulls=True).over(prior).cast("double"), d),
         "recent_grid": F.coalesce(F.last("grid", ignorenulls=True).over(prior).cast("double"), d),
         "recent_points": F.coalesce(F.last("points").over(prior), F.lit(0.0)),
-        "driver_finish_ewma": F.coalesce(ewma_over("position", "fin", prior, alpha), d),
+        "driver_finish_ewma": F.coalesce(F.col("_fin_ewma"), d),
         "driver_quali_ewma": F.coalesce(quali_ewma, d),
         "driver_dns_rate": ratio(seen("DNS"), F.col("_entries")),
         "driver_dnf_rate": ratio(seen("RETIRED"), F.col("_starts")),
@@ -149,11 +157,18 @@ def team_form(df: DataFrame, scope: list[str], alpha: float = ALPHA, default: fl
     by_round = Window.partitionBy(*scope).orderBy("rnd")
     prior = by_round.rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(prior), F.lit(0))
+    length = _block_length(alpha)
+    per_round = per_round.withColumn("_before", before).withColumn("_b", F.floor(F.col("_before") / length))
+    per_round = per_round.withColumn("_i", (F.col("_before") - F.col("_b") * length).cast("double"))
     # the very first value of a team has weight 1 instead of alpha
-    opening = F.when((before == 0) & (F.col("_n") > 0), (F.lit(1.0) - a) * F.pow(decay, F.lit(-1.0)) * F.col("_first"))
-    per_round = per_round.withColumn("_before", before).withColumn(
-        "_term", F.pow(decay, -F.col("_before")) * F.col("_mid") + F.coalesce(opening, F.lit(0.0))
-    )
+    opening = F.when((F.col("_before") == 0) & (F.col("_n") > 0), (F.lit(1.0) - a) * F.pow(decay, F.lit(-1.0)) * F.col("_first"))
+    term = F.pow(decay, -F.col("_i")) * (F.coalesce("_mid", F.lit(0.0)) + F.coalesce(opening, F.lit(0.0)))
+    in_block = Window.partitionBy(*scope, "_b").orderBy("rnd").rowsBetween(Window.unboundedPreceding, 0)
+    after = F.col("_i") + F.col("_n")
+    per_round = per_round.withColumn("_own", F.sum(term).over(in_block) * F.pow(decay, after)).withColumn("_end", F.lag("_own").over(by_round))
+    carried = F.first("_end").over(in_block) * F.pow(decay, after - F.first("_i").over(in_block))
+    per_round = per_round.withColumn("_ewma", F.col("_own") + F.when(F.col("_b") > 0, F.coalesce(carried, F.lit(0.0))).otherwise(0.0))
+    per_round = per_round.withColumn("_ewma", F.when(F.col("_before") + F.col("_n") > 0, F.col("_ewma"))).withColumn("_ewma", F.lag("_ewma").over(by_round))
     d = F.lit(default)
     rounds = F.count(F.lit(1)).over(prior)
     points = F.coalesce(F.sum("_points").over(prior), F.lit(0.0))
@@ -161,7 +176,7 @@ def team_form(df: DataFrame, scope: list[str], alpha: float = ALPHA, default: fl
         *scope,
         "rnd",
         F.coalesce(F.sum("_sum").over(prior) / F.nullif(F.col("_before"), F.lit(0)), d).alias("team_avg_finish"),
-        F.coalesce(F.sum("_term").over(prior) * F.pow(decay, F.col("_before")), d).alias("team_finish_ewma"),
+        F.coalesce(F.col("_ewma"), d).alias("team_finish_ewma"),
         points.alias("team_points"),
         (points / F.greatest(rounds * 2, F.lit(1))).alias("team_points_rate"),
     )

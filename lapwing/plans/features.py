@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lapwing.functions.numbers import position_norm
 from lapwing.operators import conversion, form, stints, teammates, weekend
-from lapwing.operators.quality import mask_stage
+from lapwing.operators.quality import STAGE_SESSIONS, mask_stage
 from lapwing.operators.skew import HotGroups
 from lapwing.session import cut_lineage
 
@@ -109,6 +109,9 @@ def build(
     """
     race, who = [series, "rnd"], [series, "entity"]
     keys = [*race, "entity"]
+    if stage:
+        rows = gate_practice(rows, stage)
+        laps = gate_laps(laps, stage) if laps is not None else None
     base = cut_lineage(rows)
     history = base.select(*keys, "team", "position", "grid", "points", "status")
 
@@ -131,6 +134,23 @@ def build(
     return mask_stage(out, stage) if stage else out
 
 
+def gate_practice(rows: DataFrame, stage: str) -> DataFrame:
+    """Nulls what practice sessions that haven't run at a stage would say, before any block is built from them."""
+    seen = STAGE_SESSIONS.get(stage.lower().strip())
+    if seen is None:
+        return rows
+    late = [f"{s}_{c}" for s in weekend.SESSIONS if s not in seen for c in ("best_lap", "laps")]
+    return rows.select(*[F.lit(None).cast(t).alias(c) if c in late else F.col(f"`{c}`") for c, t in rows.dtypes])
+
+
+def gate_laps(laps: DataFrame, stage: str) -> DataFrame:
+    """Laps of the sessions that have run at a stage; laps that name no session belong to none that has."""
+    seen = STAGE_SESSIONS.get(stage.lower().strip())
+    if seen is None:
+        return laps
+    return laps.where(F.col("session").isin(*seen)) if seen and "session" in laps.columns else laps.where(F.lit(False))
+
+
 def sprint_columns(rows: DataFrame, race: Sequence[str]) -> DataFrame:
     """Sprint features for tables that carry sprint_grid and sprint_finish."""
     return rows.withColumns(

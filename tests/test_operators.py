@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from lapwing.operators import archive, calendar, conversion, form, grids, metrics, quality, roster, scenarios, stints, teammates
+from lapwing.operators import archive, calendar, conversion, form, grids, metrics, quality, roster, scenarios, stints, teammates, weekend
 from lapwing.plans import models
 
 
@@ -324,3 +324,30 @@ def test_imputer_keeps_an_empty_feature(spark):
     fill = models.medians(df, ["a", "b"])
     assert fill == {"a": 3.0, "b": 0.0}
     assert rows(models.impute(df, fill)) == [(1.0, 0.0), (3.0, 0.0), (3.0, 0.0), (8.0, 0.0)]
+
+
+def test_ewma_at_any_length(spark):
+    n = 2_600
+    rows = spark.range(n).selectExpr("'s' as series", "'x' as entity", "'t' as team", "cast(id + 1 as int) as rnd", "cast(if(id % 7 = 3, null, id * 7919 % 20 + 1) as double) as position", "cast(id % 20 + 1 as double) as grid", "1.0D as points", "'Finished' as status")
+    values, want, team = [r.position for r in rows.orderBy("rnd").collect()], {}, None
+    for i, v in enumerate(values):
+        want[i + 1] = team
+        if v is not None:
+            team = v if team is None else 0.7 * team + 0.3 * v
+    got = {r.rnd: r.driver_finish_ewma for r in form.add_driver_form(rows, ["series", "entity"]).collect()}
+    assert all(got[k] == pytest.approx(12.0 if v is None else v, rel=1e-9) for k, v in want.items())
+    got = {r.rnd: r.team_finish_ewma for r in form.team_form(rows, ["series", "team"]).collect()}
+    assert all(got[k] == pytest.approx(12.0 if v is None else v, rel=1e-9) for k, v in want.items())
+
+
+def test_later_sessions_change_nothing(spark):
+    from lapwing.plans import features
+
+    row = "series string, rnd int, entity string, fp1_best_lap double, fp2_best_lap double, fp3_best_lap double, fp1_laps int, fp2_laps int, fp3_laps int"
+    one = spark.createDataFrame([("s", 1, "a", 80.0, 79.0, 78.0, 9, 9, 9), ("s", 1, "b", 81.0, 77.0, 79.0, 9, 9, 9)], row)
+    two = spark.createDataFrame([("s", 1, "a", 80.0, 70.0, 60.0, 9, 1, 1), ("s", 1, "b", 81.0, None, 90.0, 9, 2, 3)], row)
+    blocks = [sorted(weekend.add_practice_features(features.gate_practice(t, "after_fp1"), ["series", "rnd"]).collect()) for t in (one, two)]
+    assert blocks[0] == blocks[1]
+    assert features.gate_practice(one, "after_qualifying").collect() == one.collect()
+    laps = spark.createDataFrame([("fp1", 1), ("fp2", 2), (None, 3)], "session string, lap int")
+    assert [r.lap for r in features.gate_laps(laps, "after_fp1").collect()] == [1] and features.gate_laps(laps, "pre_fp1").count() == 0

@@ -12,28 +12,38 @@ from lapwing.functions.timing import number, seconds
 from lapwing.operators.grids import MANIFEST_SCHEMA
 from lapwing.schema import FORECAST_COLUMNS, LAP_ALIASES, SESSION_ALIASES
 
-MAX_COLUMNS = 64
 FILE_NAME = r"(\d{4})_round_(\d+)_([a-z0-9_]+)\.csv"
 PARTITIONS = ["season", "rnd", "session"]
 
 
+# A record may hold line breaks and a field commas, inside quotes; a quote that is never closed stands for itself.
+_RECORD = r'(?:[^"\r\n]++|"[^"]*+"|")++'
+_FIELD = r',((?:[^",]++|"[^"]*+"|")*+)'
+
+
+def csv_fields(record: Column) -> Column:
+    """Fields of a CSV record, however many it has; an empty field without quotes is null."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_FIELD), F.lit(1))
+    quoted = lambda f: f.rlike(r'(?s)^".*"$') & (F.length(f) > 1)
+    inner = lambda f: F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda f: F.when(quoted(f), inner(f)).when(f != "", f))
+
+
 def read_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """CSV files whose headers differ, to (file, line, cells) with ``cells`` a map of header to text.
 
     Session files hold tens to hundreds of rows, so one file is one record here.
     An empty file, a header without rows, or a row without its commas simply
-    yields no cells; nothing fails.  Paths may be globs.
+    yields no cells; nothing fails.  Any number of columns is read, and quoted
+    fields may hold line breaks.  Paths may be globs.
     """
-    positional = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
-    cells = F.array(*[F.col(f"r.c{i}") for i in range(MAX_COLUMNS)])
     whole = spark.read.text(paths, wholetext=True)
-    lines = whole.select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "\ufeff", ""), r"\r?\n").alias("l"))
-    lines = lines.where(F.trim(F.get("l", F.lit(0))) != "")
-    header = F.split(F.get("l", F.lit(0)), ",")
-    rows = lines.select("file", header.alias("h"), F.posexplode(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))).alias("line", "text"))
-    rows = rows.where(F.trim("text") != "").withColumn("r", F.from_csv("text", positional))
-    rows = rows.withColumn("v", F.slice(cells, F.lit(1), F.size("h")))
-    names = F.transform("h", lambda c: F.trim(F.translate(c, '"', "")))
+    records = F.regexp_extract_all(F.regexp_replace("value", "\ufeff", ""), F.lit(_RECORD), F.lit(0))
+    lines = whole.select(F.input_file_name().alias("file"), F.filter(records, lambda r: F.trim(r) != "").alias("l"))
+    header = csv_fields(F.get("l", F.lit(0)))
+    rows = lines.where(F.size("l") > 0).select("file", header.alias("h"), F.posexplode(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))).alias("line", "text"))
+    rows = rows.withColumn("v", F.slice(csv_fields(F.col("text")), F.lit(1), F.size("h")))
+    names = F.transform("h", lambda c: F.trim(F.coalesce(c, F.lit(""))))
     # a header may repeat a name; the first column of that name counts
     pairs = F.filter(
         F.arrays_zip(names.alias("k"), F.col("v").alias("v"), F.sequence(F.lit(1), F.size("h")).alias("i")),

@@ -150,3 +150,13 @@ def test_cut_lineage_uses_the_named_folder(spark):
     assert folder == named if named else folder
     out = cut_lineage(spark.range(5))
     assert out.count() == 5 and f"{folder}/lapwing-" in out.inputFiles()[0]
+
+
+def test_csv_of_many_columns_and_quoted_breaks(spark, tmp_path):
+    names = [f"c{i}" for i in range(198)] + ["Abbreviation", "Position"]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join(["x"] * 198 + ["VER", "1"]) + "\n")
+    (tmp_path / "quoted.csv").write_text('"Driver","Status, full",Note\r\nVER,"Engine\nfire, ""hot""",\n\n,open " quote,z\n')
+    cells = {(r.file.rsplit("/", 1)[1], r.line): r.cells for r in files.read_csv(spark, str(tmp_path / "*.csv")).collect()}
+    assert len(cells["wide.csv", 0]) == 200 and cells["wide.csv", 0]["Abbreviation"] == "VER" and cells["wide.csv", 0]["Position"] == "1"
+    assert cells["quoted.csv", 0] == {"Driver": "VER", "Status, full": 'Engine\nfire, "hot"', "Note": None}
+    assert cells["quoted.csv", 1]["Driver"] is None and cells["quoted.csv", 1]["Note"] == "z"

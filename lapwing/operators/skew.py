@@ -1,11 +1,11 @@
 """Group operators that stay correct and distributed when one group is huge.
 
 A plain window or ``percentile`` sends a whole group to one task.  A caller
-first asks :func:`find_hot` for the *hot* groups: at most ``MAX_HOT`` groups of
-more than ``HOT_ROWS`` rows.  The list is bounded by a constant, so it may be
-collected and broadcast, and a group left off it holds under ``1/MAX_HOT`` of
-all rows, which is an ordinary partition.  Cold groups take the plain operator;
-hot groups take a split one with the same exact result.  Without hot groups the
+first asks :func:`find_hot` for the *hot* groups, those of more than
+``HOT_ROWS`` rows.  There are at most rows / ``HOT_ROWS`` of them; their list is
+a table in the shared folder, and Spark chooses each join from its size.  Cold groups take the plain operator;
+hot groups take a split one with the same exact result,
+null keys and groups without a value included.  Without hot groups the
 plan is just the plain operator.  A list found on a table also holds for any
 subset of its rows.
 """
@@ -17,8 +17,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapwing.session import cut_lineage
+
 HOT_ROWS = 500_000
-MAX_HOT = 4_096
+
+
+def null_safe_join(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on equal keys; null equals null."""
+    named = other.select(*[F.col(c).alias(f"_r_{c}" if c in set(keys) else c) for c in other.columns])
+    same = [df[k].eqNullSafe(named[f"_r_{k}"]) for k in keys]
+    return df.join(named, same, "left").drop(*[f"_r_{k}" for k in keys])
 
 
 class HotGroups:
@@ -29,7 +37,7 @@ class HotGroups:
 
     def flag(self, df: DataFrame) -> DataFrame:
         """Adds ``hot_rows``: the group size for hot groups, null for the rest."""
-        return df.join(F.broadcast(self.frame), self.keys, "left")
+        return null_safe_join(df, self.frame, self.keys)
 
     def salts(self) -> Column:
         return F.ceil(F.col("hot_rows") / F.lit(self.limit)).cast("int")
@@ -42,17 +50,13 @@ def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) ->
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("hot_rows"))
         .where(F.col("hot_rows") > limit)
-        .orderBy(F.desc("hot_rows"))
-        .limit(MAX_HOT)
     )
-    rows = found.collect()
-    if not rows:
-        return None
-    return HotGroups(keys, df.sparkSession.createDataFrame(rows, found.schema), limit)
+    kept = cut_lineage(found)
+    return None if kept.isEmpty() else HotGroups(keys, kept, limit)
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], hot: HotGroups | None) -> DataFrame:
-    """Inner join of rows to one-row-per-group statistics.
+    """Joins rows to one-row-per-group statistics; rows whose group has none keep nulls.
 
     Rows of a hot group are spread over ``ceil(size / limit)`` salts and the
     group's single statistics row is copied once per salt.  The salt is a hash
@@ -60,14 +64,14 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], hot: HotGroups
     """
     keys = list(keys)
     if hot is None:
-        return df.join(stats, keys)
+        return null_safe_join(df, stats, keys)
     salts = hot.salts()
     spread = F.pmod(F.xxhash64(*df.columns), F.greatest(salts, F.lit(1))).cast("int")
     rows = hot.flag(df).withColumn("_salt", F.when(F.col("hot_rows").isNull(), F.lit(0)).otherwise(spread))
     copies = hot.flag(stats).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(salts - 1, F.lit(0))))
     )
-    return rows.drop("hot_rows").join(copies.drop("hot_rows"), keys + ["_salt"]).drop("_salt")
+    return null_safe_join(rows.drop("hot_rows"), copies.drop("hot_rows"), keys + ["_salt"]).drop("_salt")
 
 
 def ordered_index(
@@ -101,13 +105,11 @@ def ordered_index(
     before_step = Window.partitionBy(*keys).orderBy("_l1").rowsBetween(Window.unboundedPreceding, -1)
     steps = cells.groupBy(*keys, "_l1").agg(F.sum("_n").alias("_step_n"))
     steps = steps.withColumn("_step_off", F.coalesce(F.sum("_step_n").over(before_step), F.lit(0))).drop("_step_n")
-    shift = (
-        cells.withColumn("_cell_off", F.coalesce(F.sum("_n").over(before_cell), F.lit(0)))
-        .join(steps, keys + ["_l1"])
-        .select(*keys, "_l1", "_l2", (F.col("_cell_off") + F.col("_step_off")).alias("_shift"))
-    )
+    offsets = cells.withColumn("_cell_off", F.coalesce(F.sum("_n").over(before_cell), F.lit(0)))
+    offsets = null_safe_join(offsets, steps, keys + ["_l1"])
+    shift = offsets.select(*keys, "_l1", "_l2", (F.col("_cell_off") + F.col("_step_off")).alias("_shift"))
     return (
-        numbered.join(shift, keys + ["_l1", "_l2"], "left")
+        null_safe_join(numbered, shift, keys + ["_l1", "_l2"])
         .withColumn(out, F.col("_local") + F.coalesce("_shift", F.lit(0)))
         .drop("_local", "_shift", "_l1", "_l2", "hot_rows")
     )
@@ -138,16 +140,12 @@ def group_percentile(
     sketch = F.percentile_approx(value, [max(p - margin, 0.0), min(p + margin, 1.0)], accuracy)
     bracket = large.groupBy(*keys).agg(sketch.alias("_b"), F.count(F.lit(1)).alias("_n"))
     bracket = bracket.select(*keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    placed = large.join(F.broadcast(bracket), keys)  # one row per hot group: at most MAX_HOT
+    placed = null_safe_join(large, bracket, keys)
     below = placed.groupBy(*keys).agg(
         F.sum((F.col(value) < F.col("_lo")).cast("long")).alias("_below"), F.first("_n").alias("_n")
     )
-    inside = (
-        placed.where(F.col(value).between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .join(F.broadcast(below), keys)
-    )
+    inside = placed.where(F.col(value).between(F.col("_lo"), F.col("_hi"))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    inside = null_safe_join(inside, below, keys)
     running = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("_to", F.col("_below") + F.sum("_c").over(running)).withColumn(
         "_pos", (F.col("_n") - 1) * F.lit(p)
@@ -181,7 +179,7 @@ def add_group_columns(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column
 def add_group_percentile(
     df: DataFrame, keys: Sequence[str], value: str, p: float, out: str, hot: HotGroups | None
 ) -> DataFrame:
-    """Adds the exact group percentile to every row; groups without a value are kept only while nothing is hot."""
+    """Adds the exact group percentile to every row; null for groups without a value."""
     if hot is None:
         return df.withColumn(out, F.percentile(value, p).over(Window.partitionBy(*keys)).cast("double"))
     return attach(df, group_percentile(df, keys, value, p, out, hot), keys, hot)

@@ -57,10 +57,11 @@ def test_attach_keeps_every_row(frame, hot_rows):
     assert out.where(F.col("k") == 0).select("s").distinct().count() == 1
 
 
-def test_hot_list_is_bounded(frame, monkeypatch):
-    df, _ = frame
-    monkeypatch.setattr(skew, "MAX_HOT", 3)
-    assert skew.find_hot(df, ["k"], 10).frame.count() == 3
+def test_every_hot_group_is_listed(frame):
+    df, pdf = frame
+    hot = skew.find_hot(df, ["k"], 100)
+    sizes = pdf.groupby("k").size()
+    assert {r.k: r.hot_rows for r in hot.frame.collect()} == sizes[sizes > 100].to_dict()
 
 
 def test_rank_correlation(frame):
@@ -111,3 +112,18 @@ def test_robust_scale(spark, monkeypatch):
         monkeypatch.setattr(skew, "HOT_ROWS", limit)
         assert robust_scale(df, ["k"], "r").first()["sigma"] == pytest.approx(want)
     assert robust_scale(df.withColumn("r", F.lit(0.1)), ["k"], "r").first()["sigma"] == 1.5
+
+
+def test_null_keys_and_empty_groups_are_kept_on_both_ways(spark):
+    from lapwing.operators import skew
+
+    data = [("a", float(i)) for i in range(30)] + [(None, float(i * i)) for i in range(25)] + [("b", None)] * 20 + [("c", 1.0), ("c", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    hot = skew.find_hot(df, ["k"], 10)
+    sides = []
+    for groups in (None, hot):
+        out = skew.add_group_percentile(df, ["k"], "v", 0.3, "p", groups)
+        out = skew.add_group_columns(out, ["k"], {"n": F.count("v")}, groups)
+        sides.append(sorted((r.k or "", r.v if r.v is not None else -1.0, r.p, r.n) for r in out.collect()))
+    assert len(sides[0]) == len(data)
+    assert [(k, v, p and round(p, 9), n) for k, v, p, n in sides[0]] == [(k, v, p and round(p, 9), n) for k, v, p, n in sides[1]]

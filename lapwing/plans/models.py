@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +22,8 @@ ENSEMBLE = {"rf": 0.40, "xgb": 0.30, "ridge": 0.30}
 FIXED_PAIR = {"rf": 0.60, "xgb": 0.40, "ridge": 0.0}
 MIN_TRAIN_ROUNDS = 3
 
+FOLDS_AT_ONCE = 8  # folds whose jobs the driver submits side by side
+
 
 @dataclass(frozen=True)
 class ForestParams:
@@ -187,17 +192,22 @@ def walk_forward(
 ) -> DataFrame:
     """Out-of-fold predictions: train on rounds before r, predict round r, all folds in one long table.
 
-    The driver only loops over rounds; every fit and prediction is a distributed
-    job.  ``features`` should be a stored table, since each fold reads it again.
+    The driver only starts folds, a few at once; every fit and prediction is a
+    distributed job.  ``features`` should be a stored table, since each fold reads it again.
     With too few rounds for a fold, the models are fitted and scored in sample.
     """
     known = features.where(F.col(label).isNotNull())
     have = [r[0] for r in known.select(round_col).distinct().orderBy(round_col).collect()]  # one row per round
     folds = [r for r in have[min_rounds:] if rounds is None or r in set(rounds)]
-    parts = []
-    for r in folds:
+
+    def fold(r: int) -> DataFrame:
         fitted = fit_models(known.where(F.col(round_col) < r), columns, label, params, models)
-        parts.append(fitted.predict(known.where(F.col(round_col) == r)).withColumn("in_sample", F.lit(False)))
+        return fitted.predict(known.where(F.col(round_col) == r)).withColumn("in_sample", F.lit(False))
+
+    # each fold has its own copy of the local properties, so that concurrent jobs keep apart
+    jobs = [inheritable_thread_target(partial(fold, r)) for r in folds]
+    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
+        parts = list(pool.map(lambda job: job(), jobs))
     if not parts:
         fitted = fit_models(known, columns, label, params, models)
         parts.append(fitted.predict(known).withColumn("in_sample", F.lit(True)))

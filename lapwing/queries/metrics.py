@@ -107,19 +107,15 @@ def model_comparison(spark, sf):
     return shown(metrics.model_comparison(prediction_table(spark, sf)))
 
 
-SWEEP = metrics.BLENDS[:3]
-
-
 @query(
     "blend_sweep",
     f"""WITH {PREDS}, {BLENDED}, g AS (SELECT unnest({metrics.SWEEP_GRID_WEIGHTS})::double AS grid_weight),
-mixed AS (SELECT model, grid_weight, 1.0::double - grid_weight AS ml_weight, actual, (1.0::double - grid_weight) * score + grid_weight * grid AS score FROM scored, g
-  WHERE model IN ({", ".join("'" + b[0] + "'" for b in SWEEP)})), {_POOL.format("model, grid_weight", "mixed")},
+mixed AS (SELECT model, grid_weight, 1.0::double - grid_weight AS ml_weight, actual, (1.0::double - grid_weight) * score + grid_weight * grid AS score FROM scored, g), {_POOL.format("model, grid_weight", "mixed")},
 m AS (SELECT model, grid_weight, avg(abs(score - actual)) AS raw, {_POOL_COLS} FROM z GROUP BY ALL)
 SELECT model, grid_weight, samples, mae, medae, rmse, spearman, {r6("raw - max(CASE WHEN grid_weight = 0 THEN raw END) OVER (PARTITION BY model)")} AS delta_mae FROM m""",
 )
 def blend_sweep(spark, sf):
-    return shown(metrics.blend_sweep(prediction_table(spark, sf), SWEEP))
+    return shown(metrics.blend_sweep(prediction_table(spark, sf), metrics.BLENDS))
 
 
 _CAND = ", ".join(

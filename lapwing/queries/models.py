@@ -14,8 +14,8 @@ from lapwing.sources import star
 
 RACE = ["series", "rnd"]
 TARGET = 28
-FOLDS = [26, 27]
-# Fewer trees and rounds than the library defaults, so that every fold fits in a bench run.
+LAST = [TARGET - 2, TARGET - 1]  # folds of the queries that fit three models or many feature sets
+# Fewer trees and rounds than the library defaults: there is one fit for each of all rounds.
 QUICK = models.ModelParams(models.ForestParams(trees=20, depth=6), models.BoostParams(rounds=10, depth=3, rate=0.1))
 
 IMPUTED = ["quali_gap_pct", "q3_gap_pct", "sprint_quali_pos", "fp1_gap_pct", "fp3_gap_pct", "grid_penalty_places"]
@@ -25,6 +25,11 @@ def table(spark, sf):
     return matrix(spark, sf, with_laps=False)
 
 
+def full_table(spark, sf):
+    """The matrix with the features of laps, which the models take."""
+    return matrix(spark, sf)
+
+
 @query(
     "median_impute",
     f"""WITH m AS (SELECT series, rnd, entity, quali_gap_pct, q3_gap_pct, sprint_quali_pos, fp1_gap_pct, fp3_gap_pct, cast(0 AS double) AS grid_penalty_places
@@ -81,54 +86,52 @@ def ridge_fit(spark, sf):
 
 @query("ridge_walk_forward")
 def ridge_walk_forward(spark, sf):
-    held = models.walk_forward(forecasts.cut_lineage(table(spark, sf)), features.MODEL_FEATURES[:37], rounds=FOLDS, params=QUICK, models=("ridge",))
+    held = models.walk_forward(forecasts.cut_lineage(full_table(spark, sf)), features.MODEL_FEATURES, params=QUICK, models=("ridge",))
     return shown(held.select(*star.KEYS, "ridge", "ActualFinish"))
 
 
 @query("rf_walk_forward")
 def rf_walk_forward(spark, sf):
-    held = models.walk_forward(forecasts.cut_lineage(table(spark, sf)), features.MODEL_FEATURES[:37], rounds=FOLDS, params=QUICK, models=("rf",))
+    held = models.walk_forward(forecasts.cut_lineage(full_table(spark, sf)), features.MODEL_FEATURES, params=QUICK, models=("rf",))
     return shown(held.select(*star.KEYS, "rf", "ActualFinish"))
 
 
 @query("gbt_walk_forward")
 def gbt_walk_forward(spark, sf):
-    held = models.walk_forward(forecasts.cut_lineage(table(spark, sf)), features.MODEL_FEATURES[:37], rounds=FOLDS, params=QUICK, models=("xgb",))
+    held = models.walk_forward(forecasts.cut_lineage(full_table(spark, sf)), features.MODEL_FEATURES, params=QUICK, models=("xgb",))
     return shown(held.select(*star.KEYS, "xgb", "ActualFinish"))
 
 
 @query("ablation")
 def ablation(spark, sf):
-    groups = {k: v for k, v in features.FEATURE_GROUPS.items() if k != "race_pace"}
-    return shown(forecasts.ablation(table(spark, sf), "ridge", rounds=[27], params=QUICK, groups=groups))
+    return shown(forecasts.ablation(full_table(spark, sf), "ridge", rounds=[TARGET - 1], params=QUICK))
 
 
 @query("standalone_groups")
 def standalone_groups(spark, sf):
-    groups = {k: features.FEATURE_GROUPS[k] for k in ("grid", "qualifying", "driver_form")}
-    return shown(forecasts.ablation(table(spark, sf), "ridge", rounds=[27], params=QUICK, groups=groups, standalone=True))
+    return shown(forecasts.ablation(full_table(spark, sf), "ridge", rounds=[TARGET - 1], params=QUICK, standalone=True))
 
 
 @query("feature_subsets")
 def feature_subsets(spark, sf):
-    subsets = {"all": features.MODEL_FEATURES[:37], "common": features.FEATURE_GROUPS["grid"] + features.FEATURE_GROUPS["driver_form"]}
-    return shown(forecasts.subset_evaluation(table(spark, sf), subsets, "ridge", [27], QUICK))
+    subsets = {"all": features.MODEL_FEATURES, "common": features.FEATURE_GROUPS["grid"] + features.FEATURE_GROUPS["driver_form"]}
+    return shown(forecasts.subset_evaluation(full_table(spark, sf), subsets, "ridge", params=QUICK))
 
 
 @query("importance")
 def importance(spark, sf):
-    train = forecasts.cut_lineage(table(spark, sf)).where(F.col("rnd") < TARGET)
-    return shown(models.importance(models.fit_models(train, features.MODEL_FEATURES[:37], "ActualFinish", QUICK), spark))
+    train = forecasts.cut_lineage(full_table(spark, sf)).where(F.col("rnd") < TARGET)
+    return shown(models.importance(models.fit_models(train, features.MODEL_FEATURES, "ActualFinish", QUICK), spark))
 
 
 @query("qualifying_forecast")
 def qualifying_forecast(spark, sf):
     rows = matrix(spark, sf, with_laps=False, stage="after_sprint_race")
-    return shown(forecasts.qualifying_forecast(rows, TARGET, n=200, rounds=[27], params=QUICK).table)
+    return shown(forecasts.qualifying_forecast(rows, TARGET, n=200, rounds=[TARGET - 1], params=QUICK).table)
 
 
 def forecast_rows(spark, sf):
-    rows = table(spark, sf).withColumn("circuit", star.circuit_of(F.col("rnd")))
+    rows = full_table(spark, sf).drop("circuit", "deg_multiplier").withColumn("circuit", star.circuit_of(F.col("rnd")))
     dims = star.circuit_priors(spark, sf)
     extra = dims.select("circuit", "circuit_type", F.col("climate_rain_prob").alias("rain_probability"))
     rows = conditions.add_circuit_priors(rows, dims, "circuit").join(extra, "circuit", "left")
@@ -139,18 +142,18 @@ def forecast_rows(spark, sf):
 
 @query("race_forecast")
 def race_forecast(spark, sf):
-    out = forecasts.race_forecast(forecast_rows(spark, sf), TARGET, n=200, rounds=FOLDS, params=QUICK, columns=features.MODEL_FEATURES[:37])
+    out = forecasts.race_forecast(forecast_rows(spark, sf), TARGET, n=200, rounds=LAST, params=QUICK, columns=features.MODEL_FEATURES)
     return shown(out.table)
 
 
 @query("benchmark_summary")
 def benchmark_summary(spark, sf):
-    return shown(forecasts.benchmark(forecast_rows(spark, sf), features.MODEL_FEATURES[:37], FOLDS, QUICK)["summary"])
+    return shown(forecasts.benchmark(forecast_rows(spark, sf), features.MODEL_FEATURES, LAST, QUICK)["summary"])
 
 
 @query("circuit_fold_scores")
 def circuit_fold_scores(spark, sf):
     rows = forecasts.circuit_folds(star.results(spark, sf), ["series", "entity"])
     cols = ["GridPosition", "grid_norm", "driver_finish_ewma", "avg_finish", "avg_grid"]
-    held = models.walk_forward(forecasts.cut_lineage(rows), cols, rounds=FOLDS, params=QUICK, models=("ridge",))
+    held = models.walk_forward(forecasts.cut_lineage(rows), cols, params=QUICK, models=("ridge",))
     return shown(held.select(*star.KEYS, "ridge", "ActualFinish"))

@@ -172,6 +172,50 @@ def test_passages_planted(spark):
     assert all(r.first_id == 0 and abs(r.start_word - 90) <= 2 and abs(r.end_word - 150) <= 2 for r in found)
 
 
+@pytest.mark.parametrize("sizes", [(60, 400, 60), (200, 300, 200), (60, 90, 60, 5000, 80)])
+def test_passages_far_apart_are_all_found(spark, sizes):
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 30_000, n)]
+    same = [word(n) for n in sizes[::2]]
+    texts = []
+    for _ in range(2):
+        text = word(30) + same[0]
+        for n, own in zip(sizes[1::2], same[1:]):
+            text += word(n) + own
+        texts.append(text + word(30))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    begin = 30 + np.concatenate(([0], np.cumsum(sizes)[1::2]))
+    want = [(1, b, b + n, 0, b, b + n, n) for b, n in zip(begin.tolist(), sizes[::2])]
+    assert sorted(tuple(r) for r in found) == want
+
+
+def test_passage_of_pieces_from_two_first_documents(spark):
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 30_000, n)]
+    a, b = word(35), word(35)
+    rows = [word(50) + a + word(50), word(50) + b + word(50), word(50) + a + b + word(50)]
+    found = passages.repeats(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.equal_words) for r in found] == [(2, 50, 120, 70)]
+
+
+def test_cut_leaves_no_passage_out():
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        equal = rng.random(160) < rng.choice([0.05, 0.6, 0.7, 0.8, 1.0], 8).repeat(20)
+        x = np.flatnonzero(equal)
+        spans = [(int(x[i]), int(x[j - 1]) + 1) for i, j in passages.cut(x, x, 50, 70)]
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+        assert all(equal[a:b].sum() * 100 >= 70 * (b - a) for a, b in spans)
+        free = np.ones(160, dtype=bool)
+        for a, b in spans:
+            if b - a >= 50:
+                free[a:b] = False
+        for i in x:
+            for j in x[x >= i + 49]:
+                assert not free[i : j + 1].all() or equal[i : j + 1].sum() * 100 < 70 * (j + 1 - i)
+
+
 def test_chain_finds_collinear_matches():
     x, y = np.array([1, 5, 9, 9, 14]), np.array([11, 15, 3, 19, 24])
     assert [c.tolist() for c in passages.chain(x, y)] == [[0, 1, 3, 4]]

@@ -190,6 +190,21 @@ def test_passages_far_apart_are_all_found(spark, sizes):
     assert sorted(tuple(r) for r in found) == want
 
 
+def test_passages_with_many_edits(spark):
+    rng = np.random.default_rng(14)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 30_000, n)]
+    rows = []
+    for t in range(60):
+        own = word(50)
+        edited = list(own)
+        for at in np.arange(3, 49, 5) if t % 2 else rng.choice(np.arange(1, 49), 15, replace=False):
+            edited[at] = f"x{t}"
+        rows += [(2 * t, " ".join(word(60) + own + word(60))), (2 * t + 1, " ".join(word(40) + edited + word(70)))]
+    found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.doc_id % 2 and r.first_id == r.doc_id - 1 and r.start_word <= 45 and r.end_word >= 85 for r in found)
+    assert len({r.doc_id for r in found}) >= 57
+
+
 def test_passage_of_pieces_from_two_first_documents(spark):
     rng = np.random.default_rng(12)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 30_000, n)]

@@ -14,11 +14,14 @@ Walks are costly, so windows that can't match are left out first: a stretch with
 shares ``n - 2 - 3 d`` of the item's three-word runs with it.  The runs of a size class of items are a bitmap of fixed size; windows
 around which fewer runs are found aren't walked.  This drops no match, it is a bound.
 
+Windows fit whole into a document, so what stands at its end and is shorter than a window, such as a document that is an
+item with words left out, is compared directly: with every item of whose runs enough are found there.  Items of fewer than
+``SMALL`` words aren't walked either: one edit leaves one of an item's halves as it is, and every place of a half is compared.
+
 Items are handled in blocks of at most ``BLOCK_WORDS`` words, so what is sent to executors has a fixed bound and any
 number of items works.  Documents are only mapped: nothing is shuffled and a hot passage costs what any other costs.
 
-Null and empty texts match nothing.  Items with fewer than three words are no passages and match nothing; items under
-eight words must match exactly.  Items with null ``item_id`` are left out.  Repeated items and documents each give their
+Null and empty texts match nothing.  Items under five words must match exactly, down to a single word.  Items with null ``item_id`` are left out.  Repeated items and documents each give their
 rows.  Other columns aren't read.
 """
 
@@ -37,7 +40,8 @@ from lapwing.llm import words
 RUN = 3  # words of a run
 MAP_BITS = 22  # the bitmap of a size class's runs has 2**22 bits
 BLOCK_WORDS = 500_000  # words of the items that are compared at once
-FUZZY_FROM = 8  # items of fewer words must match exactly
+SMALL = 8  # items of fewer words are found by their halves
+FUZZY_FROM = 5  # items of fewer words must match exactly
 _U = np.uint64
 
 
@@ -128,9 +132,10 @@ class Items:
         self.bitmaps = {}
         by_class: dict[int, list[int]] = {}
         for i, x in enumerate(self.words):
-            if len(x) >= RUN:
+            if len(x) >= SMALL:
                 by_class.setdefault(_size_class(len(x)), []).append(i)
-        self.classes = {}
+        self.halves = self._halves(w)
+        self.classes, self.runs = {}, {}
         for low, own in sorted(by_class.items()):
             width = low - _stride(low) + 1
             starts = [w.rows[i] + np.arange(len(self.words[i]) - width + 1) for i in own]
@@ -143,11 +148,71 @@ class Items:
             fresh[1:] = (flat[1:] != flat[:-1]) | (whose[1:] != whose[:-1])
             longest = max(len(self.words[i]) for i in own)
             least = min(len(self.words[i]) - (RUN - 1) - RUN * search.edits(len(self.words[i])) for i in own)
-            bits = np.concatenate([runs[begin[i] : begin[i + 1]] for i in own]) >> _U(64 - MAP_BITS)
+            own_runs = np.concatenate([runs[begin[i] : begin[i + 1]] for i in own])
+            order = np.argsort(own_runs, kind="stable")
+            self.runs[low] = own_runs[order], np.repeat(own, [begin[i + 1] - begin[i] for i in own])[order]
+            bits = own_runs >> _U(64 - MAP_BITS)
             self.bitmaps[low] = np.zeros(1 << MAP_BITS, dtype=bool)
             self.bitmaps[low][bits.astype(np.int64)] = True
             self.classes[low] = (width, longest, max(least, 1), flat[fresh], whose[fresh])
 
+    def _halves(self, w: words.Words) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Sorted hashes of the halves of small items by size, with item and place; the whole item where no edit is allowed."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        for i, x in enumerate(self.words):
+            n = len(x)
+            if 0 < n < SMALL:
+                edges = [0, n // 2, n] if self.search.edits(n) else [0, n]
+                for a, b in zip(edges, edges[1:]):
+                    found.setdefault(b - a, []).append((i, a))
+        out = {}
+        for size, own in found.items():
+            h, begin = w.shingles(size)
+            item, place = np.array(own).T
+            key = h[begin[item] + place]
+            order = np.argsort(key, kind="stable")
+            out[size] = key[order], item[order], place[order]
+        return out
+
+    def _small(self, w: words.Words) -> Iterator[tuple[int, int, int, int]]:
+        """``(row, item, from, to)`` of the places around each half of a small item."""
+        for size, (key, item, place) in sorted(self.halves.items()):
+            h, begin = w.shingles(size)
+            lo, hi = np.searchsorted(key, h, side="left"), np.searchsorted(key, h, side="right")
+            at = np.flatnonzero(hi > lo)
+            row = np.searchsorted(begin, at, side="right") - 1
+            done = set()
+            for r, p, a, b in zip(row.tolist(), (at - begin[row] + w.rows[row]).tolist(), lo[at].tolist(), hi[at].tolist()):
+                for k in range(a, b):
+                    i = int(item[k])
+                    edits, n = self.search.edits(len(self.words[i])), len(self.words[i])
+                    if edits == 0:
+                        if (r, i) in done:
+                            continue  # the first place is the match
+                        done.add((r, i))
+                    start = p - int(place[k])
+                    yield r, i, max(start - edits, int(w.rows[r])), min(start + n + edits, int(w.rows[r + 1]))
+
+    def _ends(self, w: words.Words, hit: np.ndarray, run_at: np.ndarray, low: int) -> Iterator[tuple[int, int, int, int]]:
+        """``(row, item, from, to)`` of row ends in which enough of an item's runs are found."""
+        _, longest, least, _, _ = self.classes[low]
+        total = np.concatenate(([0], np.cumsum(hit)))
+        end = w.rows[1:]
+        start = np.maximum(w.rows[:-1], end - longest - self.search.edits(longest))
+        runs, whose = self.runs[low]
+        for row in np.flatnonzero(total[end] - total[start] > 0).tolist():
+            a, b = int(start[row]), int(end[row])
+            there = np.unique(run_at[a:b][hit[a:b]])
+            lo, hi = np.searchsorted(runs, there, side="left"), np.searchsorted(runs, there, side="right")
+            if (hi - lo).sum() < least:
+                continue
+            items, times = np.unique(np.concatenate([whose[x:y] for x, y in zip(lo.tolist(), hi.tolist())]), return_counts=True)
+            for item, count in zip(items.tolist(), times.tolist()):
+                n = len(self.words[item])
+                edits = self.search.edits(n)
+                if count >= n - (RUN - 1) - RUN * edits:
+                    yield row, item, max(a, b - n - edits), b
+
     def _windows(self, w: words.Words, hit: np.ndarray, low: int) -> np.ndarray:
         """Starts of this class's windows around which enough runs are found."""
         width, longest, least, _, _ = self.classes[low]
@@ -174,24 +239,34 @@ class Items:
         n = np.diff(begin)
         first = np.repeat(w.rows[:-1] - begin[:-1], n) + np.arange(len(runs))
         bit = (runs >> _U(64 - MAP_BITS)).astype(np.int64)
+        run_at = np.zeros(len(w.hashes), dtype=_U)
+        run_at[first] = runs
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for low, (width, longest, _, flat, whose) in self.classes.items():
+
+        def compare(row: int, item: int, lo: int, hi: int) -> None:
+            x = self.words[item]
+            known = best.get((row, item))
+            if known is not None and known[0] == 0:
+                return
+            # A stretch within d edits holds all but d of the item's words.
+            if self._shared(item, w.hashes[lo:hi]) < len(x) - self.search.edits(len(x)):
+                return
+            distance, a, b = nearest_stretch(x, w.hashes[lo:hi])
+            if distance <= self.search.edits(len(x)):
+                new = (distance, lo + a - int(w.rows[row]), lo + b - int(w.rows[row]))
+                best[row, item] = new if known is None else min(known, new)
+
+        for found in self._small(w):
+            compare(*found)
+        for low in self.classes:
             hit = np.zeros(len(w.hashes), dtype=bool)
             hit[first] = self.bitmaps[low][bit]
             starts = self._windows(w, hit, low)
             for at in range(0, len(starts), 20_000):
-                for row, item, lo, hi in sorted(self._candidates(w, starts[at : at + 20_000], low)):
-                    x = self.words[item]
-                    known = best.get((row, item))
-                    if known is not None and known[0] == 0:
-                        continue
-                    # A stretch within d edits holds all but d of the item's words.
-                    if self._shared(item, w.hashes[lo:hi]) < len(x) - self.search.edits(len(x)):
-                        continue
-                    distance, a, b = nearest_stretch(x, w.hashes[lo:hi])
-                    if distance <= self.search.edits(len(x)):
-                        new = (distance, lo + a - int(w.rows[row]), lo + b - int(w.rows[row]))
-                        best[row, item] = new if known is None else min(known, new)
+                for found in sorted(self._candidates(w, starts[at : at + 20_000], low)):
+                    compare(*found)
+            for found in self._ends(w, hit, run_at, low):
+                compare(*found)
         return [(r, i, s, e, d) for (r, i), (d, s, e) in sorted(best.items())]
 
     def _shared(self, item: int, text: np.ndarray) -> int:

@@ -319,6 +319,31 @@ def test_decontamination_by_brute_force(spark, docs):
     assert want and got == want
 
 
+def test_decontamination_finds_shortened_and_short_items():
+    rng = np.random.default_rng(21)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 30_000, n)]
+    texts, docs, want = [], [], []
+    for n, left in [(8, 7), (10, 8), (10, 9), (12, 10), (18, 15), (51, 41), (51, 42), (51, 43)]:
+        for before in (0, 30):
+            own = word(n)
+            gone = set(rng.choice(n, n - left, replace=False).tolist())
+            want.append((len(docs), len(texts), n - left))
+            texts.append(" ".join(own))
+            docs.append(" ".join(word(before) + [x for k, x in enumerate(own) if k not in gone]))
+    for n in (1, 2, 3, 4, 5, 6, 7):
+        for k in range(n):
+            own = word(n)
+            edited = list(own)
+            if n >= 5:
+                edited[k : k + 1] = [["x"], [], [own[k], "x"]][k % 3]
+            inserted = n >= 5 and k == n - 1 and k % 3 == 2  # after the last word: no edit
+            want.append((len(docs), len(texts), 0 if n < 5 or inserted else 1))
+            texts.append(" ".join(own))
+            docs.append(" ".join(word(20) + edited + word(20)))
+    found = decontaminate.Items(list(range(len(texts))), texts, decontaminate.Search()).find(pa.array(docs))
+    assert {(r, i): d for r, i, _, _, d in found if r == i} == {(r, i): d for r, i, d in want}
+
+
 def test_nearest_stretch_by_brute_force():
     def distance(a, b):
         row = list(range(len(b) + 1))

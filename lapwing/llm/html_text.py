@@ -36,6 +36,7 @@ _HIDDEN = re.compile(r"""\b(?:hidden\b(?!\s*=\s*["']?(?:false|until))|aria-hidde
 # Elements and name parts by their role on a page.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style noscript template iframe svg math textarea title object canvas audio video".split())
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in _RAW}
 _BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table "
@@ -163,7 +164,6 @@ class _Page:
 
     def _read(self, html: str) -> None:
         at = 0
-        lower = None
         while (m := _TAG.search(html, at)) is not None:
             self._text(html[at : m.start()])
             at = m.end()
@@ -177,9 +177,8 @@ class _Page:
             attributes = m[3] if m[2] else m[6]
             if tag in _RAW:
                 if not attributes.endswith("/"):
-                    lower = html.lower() if lower is None else lower
-                    end = lower.find(f"</{tag}", at)
-                    close = html.find(">", end) if end >= 0 else -1
+                    end = _RAW_END[tag].search(html, at)
+                    close = html.find(">", end.end()) if end else -1
                     at = close + 1 if close >= 0 else len(html)
                 continue
             self._start(tag, attributes)

@@ -158,6 +158,13 @@ def test_html_articles(spark):
         assert r.text == "\n\n".join(p for p in parts if p) and r.n_chars == len(r.text)
 
 
+def test_raw_elements_end_where_they_do_after_letters_that_grow():
+    text = "\u0130stanbul, \u0130zmir ve di\u011fer \u015fehirler. " * 6
+    tail = "The text after the script is part of the page, too, and must be kept."
+    page = f"<html><body><article><p>{text}</p><SCRIPT>var a = '<p>no</p>';</Script>b <p>{tail}</p></article></body></html>"
+    assert html_text.main_text(page) == "\n\n".join([" ".join(text.split()), "b", tail])
+
+
 def test_passages_planted(spark):
     rng = np.random.default_rng(5)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]

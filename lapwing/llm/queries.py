@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm import chroma, decontaminate, html_text, jaccard, langid, mixing, passages, pii, toxicity, url_rules
+from lapwing.llm import chroma, decontaminate, html_text, jaccard, langid, mixing, passages, pii, quality, toxicity, url_rules
 from lapwing.llm.scratch import Scratch, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +137,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(_part(3) != 1))
     return langid.predict(docs, model).withColumn("held_out", _part(3) == 1)
+
+
+@query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = table(spark, sf_dir, "labels").where(_part(3) != 1)
+    scored = quality.score(docs, quality.learn(docs, learned))
+    return scored.select("doc_id", (_part(3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

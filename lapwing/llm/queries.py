@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm import chroma, decontaminate, html_text, jaccard, langid, mixing, passages, pii, quality, toxicity, url_rules
+from lapwing.llm import (
+    chroma,
+    decontaminate,
+    hard_negatives,
+    html_text,
+    jaccard,
+    langid,
+    mixing,
+    passages,
+    pii,
+    quality,
+    ranked_search,
+    toxicity,
+    url_rules,
+)
 from lapwing.llm.scratch import Scratch, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +159,68 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = table(spark, sf_dir, "labels").where(_part(3) != 1)
     scored = quality.score(docs, quality.learn(docs, learned))
     return scored.select("doc_id", (_part(3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ORACLE_SQL["op12_ranked_search"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS place, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS t
+  FROM documents),
+q AS (
+  SELECT item_id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term
+  FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+n AS (SELECT place, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+tf AS (
+  SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term),
+scored AS (
+  SELECT a.item_id, n.doc_id, n.place,
+    sum(a.times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (25 + (75 * n.n * whole.docs) // whole.terms))))::BIGINT AS score
+  FROM asked a JOIN tf USING (term) JOIN w USING (term) JOIN n USING (place), whole GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.candidates(
+        table(spark, sf_dir, "embeddings"),
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")),
+    )
+    return hard_negatives.mine(spark, rows, rows.where("vec_id % 100 = 0"), hard_negatives.Window(positives=5, negatives=10, low=30, high=90))
+
+
+ORACLE_SQL["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""

@@ -86,12 +86,13 @@ def race_metrics(preds: DataFrame, race: Sequence[str]) -> DataFrame:
     hit = count_if((F.col("_a") <= 3) & (F.col("_a") == F.col("_p")))
     err, rank_err = F.col("score") - F.col("actual"), F.col("pred_rank") - F.col("actual")
     flat = (F.max("_rs") == F.min("_rs")) | (F.max("_ra") == F.min("_ra"))
+    spread = F.stddev_pop("_rs") * F.stddev_pop("_ra")
     top = F.least(F.lit(10), n)
     return rows.groupBy(*race).agg(
         F.avg(F.abs(err)).alias("mae_continuous"),
         F.avg(F.abs(rank_err)).alias("mae_ordinal"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
-        F.when(flat, 0.0).otherwise(F.corr("_rs", "_ra")).alias("spearman"),
+        F.when(flat, 0.0).otherwise(F.try_divide(F.covar_pop("_rs", "_ra"), spread)).alias("spearman"),
         F.max(((F.col("_a") == 1) & (F.col("_p") == 1)).cast("double")).alias("winner_accuracy"),
         ((n >= 3) & (hit == 3)).cast("double").alias("exact_podium"),
         both(3).cast("double").alias("top3_overlap"),
@@ -324,7 +325,7 @@ def score_forecast(forecast: DataFrame, actual: DataFrame, race: Sequence[str])
     return rows.groupBy(*race).agg(
         F.avg(F.abs(F.col("ExpectedFinish") - F.col("actual"))).alias("mae_expected"),
         F.avg(F.abs(F.col("PredictedPosition") - F.col("actual"))).alias("mae_predicted"),
-        F.corr("_rs", "_ra").alias("spearman_rank_corr"),
+        F.try_divide(F.covar_pop("_rs", "_ra"), F.stddev_pop("_rs") * F.stddev_pop("_ra")).alias("spearman_rank_corr"),
         *[both(k).alias(f"top{k}_overlap") for k in (1, 3, 5, 10)],
         F.avg(gap * gap).alias("podium_brier_score"),
         F.count(F.lit(1)).alias("evaluated_drivers"),

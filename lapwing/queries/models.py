@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapwing.operators import conditions
-from lapwing.plans import features, forecasts, models
-from lapwing.queries.features import block, matrix
+from lapwing.plans import features, forecasts, gram, models
+from lapwing.queries.features import MATRIX_SQL, block, matrix
+from lapwing.queries.features import feature_matrix as feature_matrix_rows
 from lapwing.queries.metrics import PREDS, prediction_table
 from lapwing.queries.registry import query, r6, rounded, shown
 from lapwing.queries.views import CIRCUITS
@@ -84,10 +85,95 @@ def ridge_fit(spark, sf):
     return shown(p.where(F.col("rnd") == TARGET).select(*star.KEYS, ridge.score().alias("prediction")))
 
 
-@query("ridge_walk_forward")
+def ridge_sql(columns, subsets, matrix="matrix", alpha=100.0) -> str:
+    """Ridge of every fold and subset as its normal equations: medians, standard scores, dot products, Gauss-Jordan steps.
+
+    Ends in ``held(series, rnd, entity, subset, ridge, actual)``.
+    """
+    p = len(columns)
+    members = ", ".join(f"('{name}', {[columns.index(c) + 1 for c in own]})" for name, own in subsets.items())
+    return f"""m AS (SELECT series, rnd, entity, "ActualFinish" AS y, [{", ".join(f'cast("{c}" AS double)' for c in columns)}] AS x FROM {matrix} WHERE "ActualFinish" IS NOT NULL),
+fold AS (SELECT rnd AS fold FROM (SELECT DISTINCT rnd FROM m) QUALIFY row_number() OVER (ORDER BY rnd) > 3),
+l AS (SELECT series, rnd, entity, y, unnest(range(1, {p} + 1)) AS j, unnest(x) AS v FROM m),
+fill AS (SELECT fold, j, coalesce(median(v), 0) AS fill FROM l JOIN fold ON rnd < fold GROUP BY ALL),
+z AS (SELECT fold, j, series, rnd, entity, y, coalesce(v, fill) AS v FROM l JOIN fold ON rnd < fold JOIN fill USING (fold, j)),
+s AS (SELECT fold, j, avg(v) AS mean, CASE WHEN stddev_pop(v) > 1e-9 THEN stddev_pop(v) ELSE 1 END AS sd, avg(y) AS ym FROM z GROUP BY ALL),
+col AS (SELECT fold, j, list((v - mean) / sd ORDER BY series, rnd, entity) AS u, list(y - ym ORDER BY series, rnd, entity) AS t FROM z JOIN s USING (fold, j) GROUP BY ALL),
+subset AS (SELECT * FROM (VALUES {members}) v(subset, members)),
+pick AS (SELECT subset, len(members) AS size, unnest(members) AS j, unnest(range(1, len(members) + 1)) AS i FROM subset),
+dot AS (SELECT a.fold, a.j AS ja, b.j AS jb, list_dot_product(a.u, b.u) + CASE WHEN a.j = b.j THEN {alpha} ELSE 0 END AS g FROM col a JOIN col b USING (fold)),
+eq AS (
+  SELECT fold, a.subset, a.size, a.i, list_append(list(g ORDER BY b.i), any_value(list_dot_product(c.u, c.t))) AS eq
+  FROM pick a JOIN pick b USING (subset) JOIN dot ON ja = a.j AND jb = b.j JOIN col c USING (fold) WHERE c.j = a.j GROUP BY ALL),
+solved AS (
+  SELECT fold, subset, size, i, cast(1 AS bigint) AS step, eq FROM eq
+  UNION ALL
+  SELECT fold, subset, size, i, step + 1, CASE WHEN i = step THEN list_transform(eq, lambda v: v / eq[step]) ELSE list_transform(eq, lambda v, k: v - eq[step] * lead[k] / lead[step]) END
+  FROM (SELECT *, max(CASE WHEN i = step THEN eq END) OVER (PARTITION BY fold, subset) AS lead FROM solved) WHERE step <= size),
+weight AS (SELECT fold, subset, j, eq[size + 1] / sd AS w, mean, ym FROM solved JOIN pick USING (subset, size, i) JOIN s USING (fold, j) WHERE step = size + 1),
+held AS (
+  SELECT series, rnd, entity, subset, any_value(ym) + sum(w * (coalesce(v, fill) - mean)) AS ridge, any_value(y) AS actual
+  FROM l JOIN weight ON rnd = fold AND l.j = weight.j JOIN fill ON fill.fold = weight.fold AND fill.j = weight.j GROUP BY series, rnd, entity, subset)
+"""
+
+
+RIDGE_MATRIX = MATRIX_SQL.replace("WITH g AS", "WITH RECURSIVE g AS", 1)
+
+
+def metrics_sql(subsets) -> str:
+    """Race metrics of ``held``, averaged for each subset, as four digits."""
+    names = ["mae_continuous", "mae_ordinal", "rmse", "spearman", "top3_overlap", "podium_f1", "exact_podium", "winner_accuracy", "top5_overlap"]
+    sizes = " ".join(f"WHEN '{name}' THEN {len(own)}" for name, own in subsets.items())
+    return f"""h AS (SELECT * REPLACE (round(ridge, 6) AS ridge) FROM held),
+o AS (SELECT *, row_number() OVER (PARTITION BY series, rnd, subset ORDER BY ridge, entity) AS p, row_number() OVER (PARTITION BY series, rnd, subset ORDER BY actual, entity) AS a,
+  rank() OVER (PARTITION BY series, rnd, subset ORDER BY ridge) + (count(*) OVER (PARTITION BY series, rnd, subset, ridge) - 1) / 2.0 AS rs,
+  rank() OVER (PARTITION BY series, rnd, subset ORDER BY actual) + (count(*) OVER (PARTITION BY series, rnd, subset, actual) - 1) / 2.0 AS ra FROM h),
+r AS (SELECT series, rnd, subset, avg(abs(ridge - actual)) AS mae_continuous, avg(abs(p - actual)) AS mae_ordinal, sqrt(avg(pow(ridge - actual, 2))) AS rmse,
+  CASE WHEN max(rs) = min(rs) OR max(ra) = min(ra) THEN 0 ELSE corr(rs, ra) END AS spearman, count(*) FILTER (p <= 3 AND a <= 3) AS top3_overlap,
+  count(*) FILTER (p <= 3 AND a <= 3) / 3.0 AS podium_f1, cast(count(*) >= 3 AND count(*) FILTER (p <= 3 AND p = a) = 3 AS int) AS exact_podium,
+  max(cast(p = 1 AND a = 1 AS int)) AS winner_accuracy, count(*) FILTER (p <= 5 AND a <= 5) AS top5_overlap FROM o GROUP BY ALL),
+means AS (SELECT subset, CASE subset {sizes} END AS features, count(*) AS races, {", ".join(f"avg({n}) AS {n}" for n in names)} FROM r GROUP BY ALL)
+"""
+
+
+_SHOWN = ", ".join(f"{r6(n, 4)} AS {n}" for n in forecasts.ABLATION_METRICS)
+_DELTAS = ", ".join(
+    r6(f"{n} - max(CASE WHEN subset = 'full' THEN {n} END) OVER ()", 4) + f" AS delta_{n}" for n in ("mae_continuous", "mae_ordinal", "top3_overlap")
+)
+
+
+def shown_table(spark, sf):
+    """The matrix as the query shows it, so that both engines fit the same numbers."""
+    return feature_matrix_rows(spark, sf)
+
+
+@query(
+    "ridge_walk_forward",
+    f"""{RIDGE_MATRIX}, {ridge_sql(features.MODEL_FEATURES, {"all": features.MODEL_FEATURES})}
+SELECT series, rnd, entity, {r6("ridge", 5)} AS ridge, {r6("actual", 5)} AS "ActualFinish" FROM held""",
+)
 def ridge_walk_forward(spark, sf):
-    held = models.walk_forward(forecasts.cut_lineage(full_table(spark, sf)), features.MODEL_FEATURES, params=QUICK, models=("ridge",))
-    return shown(held.select(*star.KEYS, "ridge", "ActualFinish"))
+    held = gram.walk_forward(forecasts.cut_lineage(shown_table(spark, sf)), features.MODEL_FEATURES)
+    return shown(held.select(*star.KEYS, "ridge", "ActualFinish"), 5)
+
+
+THREE = ["rf", "xgb", "ridge"]
+_GAPS = "CASE WHEN (entity + rnd) % 5 <> 0 THEN xgb END AS xgb"
+
+
+@query(
+    "ridge_correlated",
+    f"""WITH RECURSIVE {PREDS}, gaps AS (SELECT series, rnd, entity, rf, {_GAPS}, ridge, actual AS "ActualFinish" FROM preds),
+{ridge_sql(THREE, {"all": THREE, "pair": ["rf", "ridge"], "one": ["xgb"]}, "gaps")}
+SELECT series, rnd, entity, subset, {r6("ridge", 5)} AS ridge FROM held""",
+)
+def ridge_correlated(spark, sf):
+    """Three forms of one driver's finishes, strongly correlated, one of them with gaps."""
+    p = prediction_table(spark, sf).withColumn("xgb", F.when((F.col("entity") + F.col("rnd")) % 5 != 0, F.col("xgb")))
+    rows = p.select(*star.KEYS, F.col("rf"), F.col("xgb"), F.col("ridge").alias("mean_finish"), F.col("actual").alias("ActualFinish"))
+    columns = ["rf", "xgb", "mean_finish"]
+    held = gram.walk_forward(forecasts.cut_lineage(rows), columns, subsets={"all": columns, "pair": ["rf", "mean_finish"], "one": ["xgb"]})
+    return shown(held.select(*star.KEYS, "subset", "ridge"), 5)
 
 
 @query("rf_walk_forward")
@@ -102,20 +188,24 @@ def gbt_walk_forward(spark, sf):
     return shown(held.select(*star.KEYS, "xgb", "ActualFinish"))
 
 
-@query("ablation")
+_OMIT, _ALONE = forecasts.group_runs(), forecasts.group_runs(standalone=True)
+_SUBSETS = {"all": features.MODEL_FEATURES, "common": features.FEATURE_GROUPS["grid"] + features.FEATURE_GROUPS["driver_form"]}
+_FULL = _OMIT["full"]
+
+
+@query("ablation", f"{RIDGE_MATRIX}, {ridge_sql(_FULL, _OMIT)}, {metrics_sql(_OMIT)} SELECT subset AS run, features, races, {_SHOWN}, {_DELTAS} FROM means")
 def ablation(spark, sf):
-    return shown(forecasts.ablation(full_table(spark, sf), "ridge", rounds=[TARGET - 1], params=QUICK))
+    return shown(forecasts.ablation(shown_table(spark, sf), "ridge", digits=6), 4)
 
 
-@query("standalone_groups")
+@query("standalone_groups", f"{RIDGE_MATRIX}, {ridge_sql(_FULL, _ALONE)}, {metrics_sql(_ALONE)} SELECT subset AS run, features, races, {_SHOWN}, {_DELTAS} FROM means")
 def standalone_groups(spark, sf):
-    return shown(forecasts.ablation(full_table(spark, sf), "ridge", rounds=[TARGET - 1], params=QUICK, standalone=True))
+    return shown(forecasts.ablation(shown_table(spark, sf), "ridge", standalone=True, digits=6), 4)
 
 
-@query("feature_subsets")
+@query("feature_subsets", f"{RIDGE_MATRIX}, {ridge_sql(features.MODEL_FEATURES, _SUBSETS)}, {metrics_sql(_SUBSETS)} SELECT subset, features, races, {_SHOWN} FROM means")
 def feature_subsets(spark, sf):
-    subsets = {"all": features.MODEL_FEATURES, "common": features.FEATURE_GROUPS["grid"] + features.FEATURE_GROUPS["driver_form"]}
-    return shown(forecasts.subset_evaluation(full_table(spark, sf), subsets, "ridge", params=QUICK))
+    return shown(forecasts.subset_evaluation(shown_table(spark, sf), _SUBSETS, "ridge", digits=6), 4)
 
 
 @query("importance")

@@ -42,24 +42,24 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 _NUDGE = 0.5000123
 
 
-def rounded(c: Column) -> Column:
-    return F.floor(c.cast("double") * 1e6 + F.lit(_NUDGE)) / F.lit(1e6)
+def rounded(c: Column, digits: int = 6) -> Column:
+    return F.floor(c.cast("double") * 10.0**digits + F.lit(_NUDGE)) / F.lit(10.0**digits)
 
 
-def shown(df: DataFrame) -> DataFrame:
+def shown(df: DataFrame, digits: int = 6) -> DataFrame:
     """Presentation: doubles to six digits, whole numbers as bigint."""
     cols = []
     for field in df.schema.fields:
         kind = field.dataType.typeName()
         c = F.col(field.name)
         if kind in ("double", "float"):
-            c = rounded(c)
+            c = rounded(c, digits)
         elif kind in ("integer", "short", "byte"):
             c = c.cast("long")
         cols.append(c.alias(field.name))
     return df.select(*cols)
 
 
-def r6(expr: str) -> str:
+def r6(expr: str, digits: int = 6) -> str:
     """SQL twin of :func:`rounded`."""
-    return f"(floor(cast({expr} as double) * 1e6 + {_NUDGE}) / 1e6)"
+    return f"(floor(cast({expr} as double) * 1e{digits} + {_NUDGE}) / 1e{digits})"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapwing.operators import conditions
-from lapwing.plans import features, forecasts, gram, models
+from lapwing.plans import boosting, features, forecasts, gram, models
 from lapwing.queries.features import MATRIX_SQL, block, matrix
 from lapwing.queries.features import feature_matrix as feature_matrix_rows
 from lapwing.queries.metrics import PREDS, prediction_table
@@ -184,8 +184,56 @@ def rf_walk_forward(spark, sf):
 
 @query("gbt_walk_forward")
 def gbt_walk_forward(spark, sf):
-    held = models.walk_forward(forecasts.cut_lineage(full_table(spark, sf)), features.MODEL_FEATURES, params=QUICK, models=("xgb",))
-    return shown(held.select(*star.KEYS, "xgb", "ActualFinish"))
+    return shown(boosting.walk_forward(full_table(spark, sf), features.MODEL_FEATURES))
+
+
+SHORT = boosting.Penalised(rounds=3, depth=2, rate=0.3, rows=1.0, features=1.0, bins=5000)
+STEPS = ["grid", "form", "mean_finish"]
+
+
+def boost_sql(columns, rows: str, p: boosting.Penalised) -> str:
+    """Penalised trees of two levels, unrolled: ``rows`` has series, rnd, entity, y and the columns without gaps.
+
+    The best split of a node has the largest gain over all (feature, cut); equal gains go to the first.  Ends in ``score``.
+    """
+    soft = lambda g: f"(sign({g}) * greatest(abs({g}) - {p.l1}, 0))"
+    worth = lambda g, n: f"pow({soft(g)}, 2) / ({n} + {p.l2})"
+    value = lambda g, n: f"-{soft(g)} / ({n} + {p.l2})"
+    features_of = " UNION ALL ".join(f"SELECT series, rnd, entity, {j} AS feature, {c} AS v FROM {rows}" for j, c in enumerate(columns))
+    out = [f"f0 AS (SELECT rnd AS fold FROM (SELECT DISTINCT rnd FROM {rows}) QUALIFY row_number() OVER (ORDER BY rnd) > 3)"]
+    out += [f"long AS ({features_of})"]
+    out += [f"""s0 AS (SELECT fold, series, rnd, entity, y, avg(CASE WHEN rnd < fold THEN y END) OVER (PARTITION BY fold) AS score FROM {rows} JOIN f0 ON rnd <= fold)"""]
+    for t in range(p.rounds):
+        node, state = "0", f"s{t}"
+        for level in range(2):
+            rows_at = f"n{t}_{level}"
+            out.append(f"{rows_at} AS (SELECT *, {node} AS node FROM {state})" if level == 0 else f"{rows_at} AS (SELECT * FROM {state})")
+            out.append(f"""c{t}_{level} AS (SELECT fold, node, feature, v, sum(score - y) AS g, count(*) AS n FROM {rows_at} JOIN long USING (series, rnd, entity) WHERE rnd < fold AND node >= 0 GROUP BY ALL),
+b{t}_{level} AS (SELECT fold, node, feature, v AS cut, gl, nl, ga - gl AS gr, na - nl AS nr FROM (
+  SELECT *, sum(g) OVER k AS gl, sum(n) OVER k AS nl, sum(g) OVER (PARTITION BY fold, node, feature) AS ga, sum(n) OVER (PARTITION BY fold, node, feature) AS na
+  FROM c{t}_{level} WINDOW k AS (PARTITION BY fold, node, feature ORDER BY v))
+  WHERE nl >= {p.leaf} AND na - nl >= {p.leaf} AND {worth("gl", "nl")} + {worth("(ga - gl)", "(na - nl)")} - {worth("ga", "na")} > {p.gain}
+  QUALIFY row_number() OVER (PARTITION BY fold, node ORDER BY round({worth("gl", "nl")} + {worth("(ga - gl)", "(na - nl)")} - {worth("ga", "na")}, 6) DESC, feature, v) = 1),
+m{t}_{level} AS (SELECT r.* EXCLUDE (node{", leaf" if level else ""}), CASE WHEN cut IS NULL THEN -1 ELSE 2 * r.node + 1 + cast(v > cut AS int) END AS node,
+  CASE WHEN cut IS NULL THEN {"leaf" if level else "0"} WHEN v <= cut THEN {value("gl", "nl")} ELSE {value("gr", "nr")} END AS leaf
+  FROM {rows_at} r LEFT JOIN b{t}_{level} b USING (fold, node) LEFT JOIN long l ON l.series = r.series AND l.rnd = r.rnd AND l.entity = r.entity AND l.feature = b.feature)""")
+            state = f"m{t}_{level}"
+        out.append(f"s{t + 1} AS (SELECT fold, series, rnd, entity, y, score + {p.rate} * leaf AS score FROM {state})")
+    return ",\n".join(out) + f",\nscore AS (SELECT series, rnd, entity, score, y FROM s{p.rounds} WHERE rnd = fold)"
+
+
+@query(
+    "boosted_trees",
+    f"""WITH {PREDS}, steps AS (SELECT series, rnd, entity, actual AS y, grid, round(rf) AS form, round(ridge) AS mean_finish FROM preds),
+{boost_sql(STEPS, "steps", SHORT)}
+SELECT series, rnd, entity, {r6("score", 4)} AS xgb, {r6("y", 4)} AS actual FROM score""",
+)
+def boosted_trees(spark, sf):
+    """Three small trees of every fold on features of few values, which SQL can follow."""
+    p = prediction_table(spark, sf)
+    whole = lambda c: F.floor(F.col(c) + 0.5).cast("double")
+    rows = p.select(*star.KEYS, "grid", whole("rf").alias("form"), whole("ridge").alias("mean_finish"), "actual")
+    return shown(boosting.walk_forward(rows, STEPS, "actual", SHORT), 4)
 
 
 _OMIT, _ALONE = forecasts.group_runs(), forecasts.group_runs(standalone=True)

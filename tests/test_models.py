@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapwing.operators import metrics
-from lapwing.plans import forecasts, gram
+from lapwing.plans import boosting, forecasts, gram
 
 COLUMNS = ["a", "b", "c", "d", "empty", "same"]
 
@@ -97,3 +97,69 @@ def test_subset_metrics_are_means_of_races(spark, frame):
 def test_race_metrics_of_equal_scores(spark):
     rows = spark.createDataFrame([(1, "m", e, 5.0, float(e), e) for e in range(1, 5)], "rnd int, model string, entity int, score double, actual double, pred_rank int")
     assert metrics.race_metrics(rows, ["rnd", "model"]).first()["spearman"] == 0.0
+
+
+def grown(train, test, columns, p, fold):
+    """Brute force: every split of every node over the rows' own values, with the samples the library draws."""
+    fill = train[columns].median().fillna(0.0)
+    a, b, y = train[columns].fillna(fill).values, test[columns].fillna(fill).values, train.ActualFinish.values
+    at, out = np.full(len(a), y.mean()), np.full(len(b), y.mean())
+    soft = lambda g: np.sign(g) * max(abs(g) - p.l1, 0)
+
+    def grow(g, rows, others, depth, allowed, live):
+        taken = rows[live[rows]]
+        total, n, best, where = g[taken].sum(), len(taken), p.gain, None
+        for j in np.flatnonzero(allowed) if depth else []:
+            for v in np.unique(a[taken, j])[:-1]:
+                left = a[taken, j] <= v
+                k = left.sum()
+                if min(k, n - k) >= p.leaf:
+                    s = g[taken][left].sum()
+                    gain = soft(s) ** 2 / (k + p.l2) + soft(total - s) ** 2 / (n - k + p.l2) - soft(total) ** 2 / (n + p.l2)
+                    if gain > best + 1e-9 * abs(best):
+                        best, where = gain, (j, v)
+        if where is None:
+            at[rows] += p.rate * -soft(total) / (n + p.l2)
+            out[others] += p.rate * -soft(total) / (n + p.l2)
+            return
+        j, v = where
+        for side in (np.less_equal, np.greater):
+            grow(g, rows[side(a[rows, j], v)], others[side(b[others, j], v)], depth - 1, allowed, live)
+
+    for r in range(p.rounds):
+        live = boosting.sampled_rows(train.number.values, fold, r, p)
+        grow(at - y, np.arange(len(a)), np.arange(len(b)), p.depth, boosting.sampled_features(len(columns), fold, r, p), live)
+    return dict(zip(test.entity, out))
+
+
+@pytest.mark.parametrize(
+    "p", [boosting.Penalised(rounds=250, rows=1.0, features=1.0, bins=700), boosting.Penalised(rounds=40, rate=0.2, depth=2, rows=0.7, features=0.6, leaf=5, bins=700)]
+)
+def test_boosting_by_brute_force(spark, frame, p):
+    columns = ["a", "b", "c", "d", "same"]
+    rows = frame[frame.rnd <= 5].head(500).copy()
+    rows["ActualFinish"] = rows.ActualFinish + 3 * np.sin(3 * rows.a.fillna(0))
+    table = spark.createDataFrame(rows)
+    rows["number"] = [r[0] for r in table.select(F.xxhash64("series", "rnd", "entity")).collect()]
+    held = boosting.fit(table.repartition(3), columns, "ActualFinish", [4, 5], p).held.toPandas()
+    for fold in (4, 5):
+        want = grown(rows[rows.rnd < fold], rows[rows.rnd == fold], columns, p, fold)
+        got = dict(zip(held[held.rnd == fold].entity, held[held.rnd == fold].xgb))
+        assert got.keys() == want.keys() and max(abs(got[e] - want[e]) for e in want) < 1e-6
+
+
+def test_boosting_doesnt_depend_on_partitions(spark, frame):
+    p = boosting.Penalised(rounds=6, rate=0.3, bins=20)
+    held = [boosting.walk_forward(spark.createDataFrame(frame).repartition(n), ["a", "b", "c"], params=p).toPandas().sort_values("entity") for n in (1, 7)]
+    assert held[0].xgb.tolist() == held[1].xgb.tolist() and len(held[0]) == (frame.rnd > 3).sum()
+    error = [np.abs(held[0].xgb - held[0].ActualFinish).mean(), np.abs(held[0].ActualFinish - frame.ActualFinish.mean()).mean()]
+    assert error[0] < 0.8 * error[1]
+
+
+def test_boosting_scores_unlabelled_rows(spark, frame):
+    part = spark.createDataFrame(frame).withColumn("ActualFinish", F.when(F.col("rnd") < 6, F.col("ActualFinish")))
+    p = boosting.Penalised(rounds=4, rate=0.3)
+    m = boosting.fit(part, ["a", "b", "empty"], "ActualFinish", [1, 6, 40], p)
+    held = m.held.toPandas()
+    assert held[held.rnd == 1].xgb.eq(0).all() and held[held.rnd == 6].xgb.nunique() > 3 and set(held.rnd) == {1, 6}
+    assert abs(m.importance(6).sum() - 1) < 1e-9 and m.importance(6)[2] == 0 and m.importance(1).sum() == 0

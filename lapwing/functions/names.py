@@ -1,10 +1,7 @@
-"""Entity names: entrants, teams, sessions and circuits."""
+"""Entity names: entrants, teams and sessions."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,70 +103,3 @@ def is_service_vehicle(code: Column, broadcast: Column, full: Column, team: Colu
         | ((f == "NONE NONE") & no_team)
         | F.coalesce(no_team & (number > 100), F.lit(False))
     )
-
-
-@dataclass(frozen=True)
-class Circuit:
-    """One row of the circuit dimension (a few dozen rows, read from configuration)."""
-
-    key: str
-    display_name: str
-    circuit_name: str
-    patterns: tuple[str, ...] = ()
-
-
-MAX_CIRCUITS = 2_000
-
-
-def circuits_from(rows: DataFrame) -> list[Circuit]:
-    """Reads a circuit dimension of checked size: (ordinal, key, display_name, circuit_name, patterns)."""
-    picked = rows.orderBy("ordinal").limit(MAX_CIRCUITS + 1).collect()
-    if len(picked) > MAX_CIRCUITS:
-        raise ValueError(f"more than {MAX_CIRCUITS} circuits: not a dimension")
-    return [Circuit(r["key"], r["display_name"], r["circuit_name"], tuple(r["patterns"] or ())) for r in picked]
-
-
-def _slug(text: str) -> str:
-    return text.lower().strip().replace(" ", "_")
-
-
-def circuit_key(raw: Column, circuits: Sequence[Circuit], aliases: dict[str, str] | None = None) -> Column:
-    """Canonical circuit key: key, alias, name equality, name inside the text, pattern inside the text.
-
-    The dimension becomes a literal expression, so resolving any number of rows
-    needs no join.
-    """
-    text = F.trim(raw)
-    slug = F.translate(F.lower(text), "- ", "__")
-    spaced = F.trim(F.translate(F.lower(text), "_", " "))
-    keys = [c.key for c in circuits]
-    known = {a: k for a, k in (aliases or {}).items() if k in keys}
-    steps = [F.when(slug.isin(*keys), slug)]
-    if known:
-        steps.append(F.try_element_at(_map(known), slug))
-    # one pass in configuration order: equality first, then the display name as a substring
-    chain = None
-    for c in circuits:
-        names = [c.display_name.lower().strip(), c.circuit_name.lower().strip()]
-        names += [p.lower().strip() for p in c.patterns if p.strip()]
-        names = [n for n in dict.fromkeys(names) if n]
-        cond = spaced.isin(*names) | slug.isin(*[_slug(n) for n in names])
-        if c.display_name.strip():
-            cond = cond | spaced.contains(c.display_name.lower().strip())
-        chain = F.when(cond, c.key) if chain is None else chain.when(cond, c.key)
-    steps.append(chain)
-    fuzzy = None
-    for c in circuits:
-        for p in c.patterns:
-            low = p.lower().strip()
-            if low:
-                cond = spaced.contains(low) | slug.contains(low)
-                fuzzy = F.when(cond, c.key) if fuzzy is None else fuzzy.when(cond, c.key)
-    if fuzzy is not None:
-        steps.append(fuzzy)
-    return F.when(text != "", F.coalesce(*steps))
-
-
-def event_circuit_key(columns: Sequence[Column], circuits: Sequence[Circuit], aliases: dict[str, str] | None = None) -> Column:
-    """Circuit key of a calendar event: the first of name, location, country, ... that resolves."""
-    return F.coalesce(*[circuit_key(c, circuits, aliases) for c in columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapwing.functions import names, numbers, status, timing
+from lapwing.operators import circuits
 from lapwing.queries.registry import query, r6, shown
 from lapwing.sources import star
 
@@ -313,7 +314,6 @@ def circuit_key_match(spark, sf):
         F.concat(F.lit("Ring "), k, F.lit(" Arena")).alias("circuit_name"),
         F.array(F.concat(F.lit("Pat "), k, F.lit(" End"))).alias("patterns"),
     )
-    circuits = names.circuits_from(dim)
     c = star.table(spark, sf, "customer")
     form, n = F.col("c_custkey") % 7, F.col("c_nationkey").cast("string")
     raw = (
@@ -324,9 +324,52 @@ def circuit_key_match(spark, sf):
         .when(form == 4, F.concat(F.lit("The Grand Prix "), n, F.lit(" Town 2026")))
         .when(form == 5, F.concat(F.lit("Big pat "), n, F.lit(" end race")))
     )
-    key = names.circuit_key(raw, circuits, {"old_track": "c3"})
-    rows = c.select("c_custkey", F.coalesce(key, F.lit("-")).alias("circuit"))
-    return rows.groupBy("circuit").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first_key"))
+    aliases = spark.createDataFrame([("old_track", "c3")], "alias string, key string")
+    rows = circuits.add_circuit_key(c.select("c_custkey", raw.alias("event")), ["event"], dim, aliases, "circuit")
+    return rows.groupBy(F.coalesce("circuit", F.lit("-")).alias("circuit")).agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first_key"))
+
+
+@query(
+    "circuit_names_large",
+    """WITH dim AS (
+  SELECT p_partkey AS place, 'p' || p_partkey AS key, lower(p_name) AS shown, lower(p_type || ' ' || p_partkey) AS course,
+    [lower(p_brand || ' ' || p_size), 'lot ' || p_partkey] AS pats FROM part),
+ev AS (
+  SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'P' || (o_custkey % 3000) WHEN 1 THEN 'the ' || p_name || ' round' WHEN 2 THEN replace(p_type, ' ', '_') || '_' || p_partkey
+    WHEN 3 THEN 'Big ' || upper(p_brand) || ' ' || (o_custkey % 60) WHEN 4 THEN o_orderpriority END AS name,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'Lot ' || (o_custkey % 5000) || ' end' END AS place_name
+  FROM orders JOIN part ON p_partkey = (o_custkey * 7 + o_orderkey) % (SELECT max(p_partkey) + 1 FROM part)),
+ids AS (SELECT DISTINCT unnest([name, place_name]) AS id FROM ev),
+r AS (SELECT id, replace(replace(lower(trim(id)), '-', '_'), ' ', '_') AS slug, trim(replace(lower(trim(id)), '_', ' ')) AS spaced FROM ids WHERE trim(id) <> ''),
+hit AS (
+  SELECT id, 1 AS tier, 0 AS place, key FROM r JOIN dim ON slug = key
+  UNION ALL SELECT id, 3, place, key FROM r JOIN dim ON contains(spaced, shown) OR spaced = course OR slug = replace(course, ' ', '_') OR spaced IN (pats[1], pats[2]) OR slug IN (replace(pats[1], ' ', '_'), replace(pats[2], ' ', '_'))
+  UNION ALL SELECT id, 4, place, key FROM r JOIN dim ON contains(spaced, pats[1]) OR contains(spaced, pats[2]) OR contains(slug, pats[1]) OR contains(slug, pats[2])),
+best AS (SELECT id, arg_min(key, tier * 1000000000::BIGINT + place) AS key FROM hit GROUP BY id)
+SELECT o_orderkey, coalesce(a.key, b.key) AS circuit FROM ev LEFT JOIN best a ON a.id = name LEFT JOIN best b ON b.id = place_name""",
+)
+def circuit_names_large(spark, sf):
+    """As many circuits as parts: shared patterns, names inside texts, a second column where the first says nothing."""
+    p, o = star.table(spark, sf, "part"), star.table(spark, sf, "orders")
+    number = F.col("p_partkey").cast("string")
+    dim = p.select(
+        F.col("p_partkey").alias("ordinal"), F.concat(F.lit("p"), number).alias("key"), F.col("p_name").alias("display_name"),
+        F.concat_ws(" ", "p_type", number).alias("circuit_name"),
+        F.array(F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")), F.concat(F.lit("Lot "), number)).alias("patterns"),
+    )
+    last = p.agg(F.max("p_partkey").alias("last")).first()["last"]
+    rows = o.join(p, F.col("p_partkey") == (F.col("o_custkey") * 7 + F.col("o_orderkey")) % (last + 1))
+    form, text = F.col("o_orderkey") % 5, lambda c: c.cast("string")
+    name = (
+        F.when(form == 0, F.concat(F.lit("P"), text(F.col("o_custkey") % 3000)))
+        .when(form == 1, F.concat(F.lit("the "), "p_name", F.lit(" round")))
+        .when(form == 2, F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("_"), number))
+        .when(form == 3, F.concat(F.lit("Big "), F.upper("p_brand"), F.lit(" "), text(F.col("o_custkey") % 60)))
+        .otherwise(F.col("o_orderpriority"))
+    )
+    place = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Lot "), text(F.col("o_custkey") % 5000), F.lit(" end")))
+    events = rows.select("o_orderkey", name.alias("name"), place.alias("place"))
+    return circuits.add_circuit_key(events, ["name", "place"], dim, None, "circuit").select("o_orderkey", "circuit")
 
 
 @query(

@@ -1,9 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lapwing.functions import names, numbers, status, timing
+from lapwing.operators import circuits
 
 
 def column(spark, values, kind="string"):
@@ -96,14 +98,58 @@ def test_names(spark):
     assert [r["code"] for r in got] == ["AAA", "AAA", "BBB", "CARL"]
 
 
+CIRCUITS = "ordinal int, key string, display_name string, circuit_name string, patterns array<string>"
+
+
 def test_circuit_tiers(spark):
-    circuits = [
-        names.Circuit("north", "Northern Grand Prix", "North Ring", ("Northern", "Norland")),
-        names.Circuit("south", "Southern Grand Prix", "South Park", ("Southern",)),
-    ]
+    table = spark.createDataFrame(
+        [(1, "north", "Northern Grand Prix", "North Ring", ["Northern", "Norland"]), (2, "south", "Southern Grand Prix", "South Park", ["Southern"])], CIRCUITS
+    )
+    aliases = spark.createDataFrame([("old", "south"), ("gone", "west")], "alias string, key string")
     texts = ["North", "old", "south_park", "The Northern Grand Prix 2026", "visit norland now", "nowhere", " ", None, "SOUTHERN"]
     want = ["north", "south", "south", "north", "north", None, None, None, "south"]
-    assert apply(spark, texts, lambda c: names.circuit_key(c, circuits, {"old": "south", "gone": "west"})) == want
+    df = column(spark, texts)
+    got = circuits.add_circuit_key(df, ["v"], table, aliases, "k").orderBy("i").collect()
+    assert [r["k"] for r in got] == want
+    two = df.withColumn("w", F.reverse(F.array(F.lit("x"), F.lit("Norland")))[0]).withColumn("k", F.lit("clash"))
+    assert [r["k"] for r in circuits.add_circuit_key(two, ["v", "w"], table, aliases, "k").orderBy("i").collect()] == [k or "north" for k in want]
+
+
+def by_tiers(text, table, aliases):
+    """The tiers one after another over the whole table."""
+    raw = text.strip()
+    slug, spaced = raw.lower().replace("-", "_").replace(" ", "_"), raw.lower().replace("_", " ").strip()
+    keys = [k for _, k, *_ in table]
+    if not raw or slug in keys:
+        return slug if raw else None
+    if aliases.get(slug) in keys:
+        return aliases[slug]
+    low = lambda n: (n or "").lower().strip()
+    for _, key, shown, course, patterns in table:
+        called = [n for n in map(low, (shown, course, *(patterns or ()))) if n]
+        if any(spaced == n or slug == n.replace(" ", "_") for n in called) or (low(shown) and low(shown) in spaced):
+            return key
+    for _, key, _, _, patterns in table:
+        if any(n and (n in spaced or n in slug) for n in map(low, patterns or ())):
+            return key
+
+
+def test_circuit_names_by_brute_force(spark):
+    """Short and shared names, names inside words, hyphens and underscores, repeated rows and nulls."""
+    rng = random.Random(3)
+    part = ["spa", "a", "grand prix", "ring", "monte-carlo", "st", "x_y", "old town", "É", "of"]
+    name = lambda n: " ".join(rng.choice(part) for _ in range(rng.randint(1, n)))
+    table = [(i, f"k{i % 35}", name(3).title(), name(2), [name(2) for _ in range(rng.randint(0, 2))]) for i in range(40)]
+    table += [(40, "none", None, None, None), (41, "blank", " ", "", ["", " "]), (42, "spa", "Spa", "Spa Ring", ["spa"])]
+    aliases = {"a_a": "k3", "st": "missing"}
+    texts = {rng.choice(["", "the ", "in", "X"]) + rng.choice([str.upper, str.lower, str.title])(name(4)).replace(" ", rng.choice(" _-")) for _ in range(400)}
+    texts |= {"spa", "k1", "K_2", " ", "zzz"}
+    got = circuits.resolve(
+        spark.createDataFrame([(t,) for t in texts] * 2, "t string"), spark.createDataFrame(table, CIRCUITS), spark.createDataFrame(list(aliases.items()), "alias string, key string")
+    ).collect()
+    want = {t: k for t in texts if (k := by_tiers(t, table, aliases))}
+    assert len(got) == len(want) and {r["identifier"]: r["key"] for r in got} == want
+    assert circuits.resolve(spark.createDataFrame([("a",)], "t string"), spark.createDataFrame([], CIRCUITS)).count() == 0
 
 
 def test_service_vehicles(spark):

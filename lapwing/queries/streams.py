@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lapwing.queries.registry import query, r6, shown
 from lapwing.session import checkpoint_dir
 from lapwing.sources import star
+from lapwing.sources.ledger import Ledger
 from lapwing.streaming import landing, weather
 
 
@@ -54,7 +55,8 @@ def landing_stream(spark, sf):
     )
     twice = o.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     out, state = _folders(spark)
-    # the whole table arrives at once, so the delay must span it
-    landing.land_stream(twice, out, state, ["o_orderkey"], "at", ["season", "session"], "4000 days").awaitTermination()
-    done = spark.read.parquet(out)
+    # the second stream has lost the first one's checkpoint: it reads all again and lands nothing
+    for checkpoint in (state, f"{state}-lost"):
+        landing.land_stream(twice, out, checkpoint, ["o_orderkey"], ["season", "session"], [F.col("o_custkey")]).awaitTermination()
+    done = Ledger(spark, out).table()
     return shown(done.groupBy("season", "session").agg(F.count(F.lit(1)).alias("files"), F.sum("o_custkey").alias("checksum")))

@@ -6,13 +6,11 @@ row) are sums, prefix-sum ranks and split percentiles, so no task sees the pool.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lapwing.functions.status import count_if
 from lapwing.operators.quality import keep_first
@@ -123,23 +121,48 @@ def probability_metrics(forecast: DataFrame, actual: DataFrame, race: Sequence[s
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def _exact_signed_rank_p(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Two-sided exact p of the signed-rank statistic; one row per comparison, at most fifty pairs each."""
-    for n_col, t_col in batches:
-        out = []
-        for n, t in zip(n_col, t_col):
-            if pd.isna(n) or pd.isna(t):
-                out.append(None)
-                continue
-            n, t = int(n), int(round(t))
-            ways = np.zeros(n * (n + 1) // 2 + 1)
-            ways[0] = 1.0
-            for k in range(1, n + 1):
-                ways[k:] += ways[:-k].copy()
-            ways /= ways.sum()
-            out.append(min(1.0, 2.0 * min(ways[: t + 1].sum(), ways[t:].sum())))
-        yield pd.Series(out, dtype="float64")
+EXACT_PAIRS = 50  # the signed-rank test's own rule: more pairs take the normal distribution
+SERIES_DEGREES = 2_000  # above, Student's tail is the normal one at a corrected place, right to 1e-7
+
+
+def _signed_rank_chances(n: Column) -> Column:
+    """Chance of every rank sum 0 .. n (n + 1) / 2 when each of the ranks 1 .. n counts with chance one half."""
+    share = lambda old, s: F.coalesce(F.get(old, s.cast("int")), F.lit(0.0)) / 2
+
+    def with_rank(old: Column, k: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.size(old) + k - 1), lambda s: share(old, s) + share(old, s - k))
+
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), n.cast("long")), F.array(F.lit(1.0)), with_rank)
+
+
+def _exact_signed_rank_p(n: Column, rank_sum: Column) -> Column:
+    """Two-sided exact p of a signed-rank sum; null where ``n`` is."""
+    at = F.round(rank_sum).cast("int")
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda x, y: x + y)
+    chances = _signed_rank_chances(n)
+    low, high = total(F.slice(chances, F.lit(1), at + 1)), total(F.slice(chances, at + 1, F.size(chances)))
+    return F.when(n.isNotNull(), F.least(F.lit(1.0), 2.0 * F.least(low, high)))
+
+
+def _student_tail(t: Column, degrees: Column) -> Column:
+    """Two-sided tail of Student's distribution: for whole degrees of freedom a finite series in the angle of t."""
+    angle = F.atan(F.abs(t) / F.sqrt(degrees))
+    c2 = F.cos(angle) * F.cos(angle)
+    odd = F.pmod(degrees.cast("long"), F.lit(2).cast("long")) == 1
+    # terms 1, 1/2 c2, 1*3/(2*4) c2^2, ... (even) or 1, 2/3 c2, 2*4/(3*5) c2^2, ... (odd)
+    count = F.when(odd, (degrees - 1) / 2 - 1).otherwise(degrees / 2 - 1).cast("int")
+    first = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(at: Column, i: Column) -> Column:
+        k = i.cast("double")
+        term = at["term"] * c2 * F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+        return F.struct(term.alias("term"), (at["sum"] + term).alias("sum"))
+
+    terms = F.when(count >= 1, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    series = F.aggregate(terms, first, step)["sum"]
+    inside = F.when(odd, (angle + F.when(degrees > 1, F.sin(angle) * F.cos(angle) * series).otherwise(0.0)) * 2 / math.pi).otherwise(F.sin(angle) * series)
+    far = _normal_tail(t * (1 - 1 / (4 * degrees)) / F.sqrt(1 + t * t / (2 * degrees)))
+    return F.when(degrees <= SERIES_DEGREES, F.greatest(1.0 - inside, F.lit(0.0))).otherwise(far)
 
 
 def _normal_tail(z: Column) -> Column:
@@ -155,10 +178,11 @@ def _normal_tail(z: Column) -> Column:
 
 
 def paired_comparison(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Paired differences of ``a`` minus ``b`` per key: mean, median, spread, effect size, signed-rank p.
+    """Paired differences of ``a`` minus ``b`` per key: mean, median, spread, effect size, signed-rank and paired-t p.
 
-    Zero differences are ranked and then left out of the sums.  Fifty pairs or
-    fewer without ties or zeros get the exact distribution, others the normal one.
+    Zero differences are ranked and then left out of the sums.  ``EXACT_PAIRS`` pairs or
+    fewer without ties or zeros get the exact distribution, others the normal one.  Where the
+    signed ranks have no spread the paired t decides.
     """
     keys = list(keys)
     d = pairs.select(*keys, (F.col("a") - F.col("b")).alias("_d")).where(F.col("_d").isNotNull())
@@ -183,16 +207,19 @@ def paired_comparison(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     mean = n * (n + 1) / 4 - z * (z + 1) / 4
     var = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - F.col("_ties") / 2) / 24
     stat = F.least("_tp", "_tm")
-    plain = (n <= 50) & (z == 0) & (F.col("_ties") == 0)
+    t = F.try_divide(F.col("mean_diff"), F.col("std_diff") / F.sqrt(n))
+    rows = rows.withColumn("t_stat", F.when((n > 1) & (F.col("std_diff") > 0), t))
+    rows = rows.withColumn("t_p_value", F.when(F.col("t_stat").isNotNull(), _student_tail(F.col("t_stat"), F.greatest(n - 1, F.lit(1.0)))))
+    plain = (n <= EXACT_PAIRS) & (z == 0) & (F.col("_ties") == 0)
     exact = _exact_signed_rank_p(F.when(plain, F.col("n_races")), F.when(plain, F.col("_tp")))
-    p = F.when(plain, exact).when(var > 0, _normal_tail((stat - mean) / F.sqrt(var))).otherwise(1.0)
+    p = F.when(plain, exact).when(var > 0, _normal_tail((stat - mean) / F.sqrt(var))).otherwise(F.coalesce("t_p_value", F.lit(1.0)))
     p = F.when((n < 5) | (z == n), 1.0).otherwise(F.least(p, F.lit(1.0)))
-    kind = F.when(n < 5, "none").when(z == n, "exact_zero").otherwise("wilcoxon")
+    kind = F.when(n < 5, "none").when(z == n, "exact_zero").when(plain | (var > 0), "wilcoxon").otherwise("paired_t")
     rows = rows.withColumn("p_value", p).withColumn("test_type", kind)
     return rows.select(
         *keys, "n_races", "mean_diff", "median_diff", "std_diff",
         F.when(F.col("std_diff") > 1e-6, F.col("mean_diff") / F.col("std_diff")).otherwise(0.0).alias("cohens_d"),
-        "p_value", "test_type", (F.col("p_value") < 0.05).alias("significant"),
+        "p_value", "test_type", (F.col("p_value") < 0.05).alias("significant"), "t_stat", "t_p_value",
     )
 
 

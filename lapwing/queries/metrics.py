@@ -183,16 +183,41 @@ def paired_comparison(spark, sf):
     preds = prediction_table(spark, sf)
     err = lambda c: rounded(F.avg(F.abs(F.col(c) - F.col("actual"))))
     pairs = preds.groupBy(*RACE).agg(err("rf").alias("a"), err("grid").alias("b"))
-    return shown(metrics.paired_comparison(pairs, ["series"]).drop("p_value", "significant"))
+    return shown(metrics.paired_comparison(pairs, ["series"]).drop("p_value", "significant", "t_stat", "t_p_value"))
 
 
-@query("paired_test")
+@query(
+    "paired_test",
+    f"""WITH RECURSIVE {PREDS}, e AS (SELECT series, rnd, avg(abs(rf - actual)) AS a, avg(abs(xgb - actual)) AS b, avg(abs(ridge - actual)) AS c, avg(abs(grid - actual)) AS g FROM preds GROUP BY ALL),
+ways AS (SELECT 0 AS k, [cast(1 AS double)] AS w UNION ALL
+  SELECT k + 1, list_transform(range(0, len(w) + k + 1), lambda s: coalesce(w[s + 1], 0) + CASE WHEN s > k THEN w[s - k] ELSE 0 END) FROM ways WHERE k < {metrics.EXACT_PAIRS}),
+d AS (SELECT series, 'grid' AS against, {r6("a")} - {r6("g")} AS d FROM e UNION ALL SELECT series, 'rolling', {r6("a")} - {r6("b")} FROM e UNION ALL SELECT series, 'mean', {r6("a")} - {r6("c")} FROM e),
+r AS (SELECT *, rank() OVER (PARTITION BY series, against ORDER BY abs(round(d, 6))) AS rk, count(*) OVER (PARTITION BY series, against, abs(round(d, 6))) AS ties FROM d),
+m AS (
+  SELECT series, against, count(*) AS n_races, avg(d) AS mean, median(d) AS mid, stddev_samp(d) AS sd, cast(sum(rk) FILTER (d > 0) AS bigint) AS plus, max(ties) AS ties, min(abs(d)) AS least
+  FROM r GROUP BY ALL),
+t AS (SELECT *, mean / (sd / sqrt(n_races)) AS t_stat, n_races - 1 AS nu FROM m),
+tails AS (
+  SELECT t.*, list_sum(w[1:plus + 1]) AS low, list_sum(w[plus + 1:]) AS high, list_sum(w) AS whole,
+    -- Simpson's rule over the density between 0 and |t|
+    1 - 2 * exp(lgamma((nu + 1) / 2) - lgamma(nu / 2)) / sqrt(nu * pi()) * abs(t_stat) / 6000
+      * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(t_stat * i / 2000, 2) / nu, -(nu + 1) / 2))) AS t_p
+  FROM t JOIN ways ON k = n_races WHERE ties = 1 AND least > 0)
+SELECT series, against, n_races, {r6("mean")} AS mean_diff, {r6("mid")} AS median_diff, {r6("least(1, 2 * least(low, high) / whole)")} AS p_value, 'wilcoxon' AS test_type,
+  least(1, 2 * least(low, high) / whole) < 0.05 AS significant, {r6("t_stat")} AS t_stat, {r6("t_p")} AS t_p_value FROM tails""",
+)
 def paired_test(spark, sf):
-    """The signed-rank p-values (no SQL twin: the engines have no such function)."""
+    """Signed ranks and paired t of one model against three others in each championship; differences without ties or zeros."""
     preds = prediction_table(spark, sf)
-    err = lambda c: F.avg(F.abs(F.col(c) - F.col("actual")))
-    pairs = preds.groupBy(*RACE).agg(err("rf").alias("a"), err("grid").alias("b"))
-    return shown(metrics.paired_comparison(pairs, ["series"]))
+    err = lambda c: rounded(F.avg(F.abs(F.col(c) - F.col("actual"))))
+    per_race = preds.groupBy(*RACE).agg(err("rf").alias("a"), *[err(c).alias(f"b_{c}") for c in ("grid", "xgb", "ridge")])
+    named = {"b_grid": "grid", "b_xgb": "rolling", "b_ridge": "mean"}
+    pairs = per_race.select("series", "a", F.inline(F.array(*[F.struct(F.lit(n).alias("against"), F.col(c).alias("b")) for c, n in named.items()])))
+    gap = F.round(F.abs(F.col("a") - F.col("b")), 6)
+    same = pairs.groupBy("series", "against").agg(F.count(F.lit(1)).alias("_n"), F.countDistinct(gap).alias("_u"), F.min(gap).alias("_least"))
+    plain = same.where((F.col("_n") == F.col("_u")) & (F.col("_least") > 0)).select("series", "against")
+    out = metrics.paired_comparison(pairs.join(plain, ["series", "against"]), ["series", "against"])
+    return shown(out.drop("std_diff", "cohens_d"))
 
 
 def toy_forecast(spark, sf):

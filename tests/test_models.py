@@ -1,5 +1,7 @@
 """Walk-forward fits against brute force on small tables."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -163,3 +165,24 @@ def test_boosting_scores_unlabelled_rows(spark, frame):
     held = m.held.toPandas()
     assert held[held.rnd == 1].xgb.eq(0).all() and held[held.rnd == 6].xgb.nunique() > 3 and set(held.rnd) == {1, 6}
     assert abs(m.importance(6).sum() - 1) < 1e-9 and m.importance(6)[2] == 0 and m.importance(1).sum() == 0
+
+
+def test_student_tail_by_integration(spark):
+    t = [0.0, 0.3, -1.0, 2.5, 12.0]
+    degrees = [1, 2, 3, 4, 9, 24, 121, 2000, 2001, 50_000]
+    table = spark.createDataFrame([(x, float(v)) for x in t for v in degrees], "t double, v double")
+    for r in table.withColumn("p", metrics._student_tail(F.col("t"), F.col("v"))).collect():
+        x = np.linspace(0, abs(r["t"]), 200_001)
+        density = np.exp(math.lgamma((r["v"] + 1) / 2) - math.lgamma(r["v"] / 2)) / math.sqrt(r["v"] * math.pi) * (1 + x * x / r["v"]) ** (-(r["v"] + 1) / 2)
+        want = 1 - 2 * float(np.sum((density[1:] + density[:-1]) / 2 * np.diff(x)))
+        assert abs(r["p"] - want) < (2e-7 if r["v"] > 2000 else 1e-8), r
+
+
+def test_signed_rank_chances_by_enumeration(spark):
+    for n in (1, 2, 5, 9):
+        sums = [sum(k + 1 for k in range(n) if picked >> k & 1) for picked in range(2**n)]
+        want = np.bincount(sums, minlength=n * (n + 1) // 2 + 1) / 2**n
+        rows = spark.createDataFrame([(n, float(s)) for s in range(len(want))], "n long, s double")
+        got = rows.select("s", metrics._signed_rank_chances(F.col("n")).alias("c"), metrics._exact_signed_rank_p(F.col("n"), F.col("s")).alias("p")).collect()
+        assert np.allclose(got[0]["c"], want)
+        assert all(abs(r["p"] - min(1, 2 * min(want[: int(r["s"]) + 1].sum(), want[int(r["s"]) :].sum()))) < 1e-12 for r in got)

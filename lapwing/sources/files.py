@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,16 +56,64 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return rows.select("file", F.col("line").cast("long").alias("line"), kv.alias("cells"))
 
 
+LARGE_FILE = 4 << 20  # bytes from which a file is read in pieces
+HEADER_BYTES = 1 << 20
+HEADERS_AT_ONCE = 16
+
+
+def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``file, size`` of all files; nothing is read."""
+    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.col("length").alias("size"))
+
+
+def _first_line(spark: SparkSession, file: str) -> str:
+    """The first line of a file, by Spark's own file system classes, so from any store Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"), HEADER_BYTES)
+        return (reader.readLine() or "").removeprefix("\ufeff")
+    finally:
+        stream.close()
+
+
 def read_large_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Large files that share one known header, to the same (file, line, cells) shape.
+    """Large files of one header, whose names ``columns`` gives, to the same (file, line, cells) shape.
 
-    Splittable, unlike :func:`read_csv`; a malformed row keeps the cells it has.
-    ``line`` orders rows inside a file.
+    Splittable, unlike :func:`read_csv`: a file makes as many tasks as it has pieces.  A short row keeps the cells it has.
+    ``line`` orders rows inside a file.  A quoted field may hold commas, not line breaks.
     """
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).csv(paths)
-    kv = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(f"`{c}`"))])
-    return rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), kv.alias("cells"))
+    schema = ", ".join(f"c{i} string" for i in range(len(columns)))
+    rows = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", enforceSchema=True, escape='"').csv(paths)
+    first = {c.strip(): i for i, c in reversed(list(enumerate(columns)))}  # of equal names the first column counts
+    kv = F.create_map(*[x for c, i in sorted(first.items(), key=lambda x: x[1]) for x in (F.lit(c), F.col(f"c{i}"))])
+    # grows along the file: pieces in order, and rows in order inside a piece of at most 2**26 rows
+    at = F.shiftleft("_metadata.file_block_start", 26) + F.monotonically_increasing_id() % (1 << 26)
+    return rows.select(F.input_file_name().alias("file"), at.alias("line"), kv.alias("cells"))
+
+
+def scan_csv(spark: SparkSession, paths: str | Sequence[str], large: int = LARGE_FILE) -> DataFrame:
+    """CSV files of any sizes and headers, to (file, line, cells).
+
+    Files below ``large`` bytes are read whole, as :func:`read_csv` does.  Larger ones are grouped by their header line, and
+    each group is one splittable reader.  The driver sees sizes, and the headers of large files: one short read each.
+    """
+    sizes = [(r["file"], r["size"]) for r in list_files(spark, paths).where(F.col("size") > 0).toLocalIterator()]
+    small, long = [f for f, n in sizes if n < large], [f for f, n in sizes if n >= large]
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        headers = list(pool.map(partial(_first_line, spark), long))
+    groups: dict[str, list[str]] = {}
+    for file, header in zip(long, headers):
+        groups.setdefault(header.rstrip("\r"), []).append(file)
+    parts = [read_csv(spark, small)] if small else []
+    for header, files in groups.items():
+        parts.append(read_large_csv(spark, files, [c or "" for c in next(csv.reader([header]), [])]))
+    if not parts:
+        return spark.createDataFrame([], "file string, line long, cells map<string,string>")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _cast(text: Column, kind: str) -> Column:
@@ -100,13 +151,13 @@ def with_file_keys(rows: DataFrame) -> DataFrame:
 
 def read_sessions(spark: SparkSession, paths: str | Sequence[str], max_round: int | None = None) -> DataFrame:
     """Race, qualifying and sprint files."""
-    rows = with_file_keys(canonical(read_csv(spark, paths), SESSION_ALIASES))
+    rows = with_file_keys(canonical(scan_csv(spark, paths), SESSION_ALIASES))
     return rows if max_round is None else rows.where(F.col("rnd") <= max_round)
 
 
 def read_laps(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Practice lap files; a missing stint or compound gets the neutral value."""
-    rows = with_file_keys(canonical(read_csv(spark, paths), LAP_ALIASES))
+    rows = with_file_keys(canonical(scan_csv(spark, paths), LAP_ALIASES))
     return rows.withColumn("stint", F.coalesce("stint", F.lit(1.0))).withColumn("compound", F.coalesce(F.upper("compound"), F.lit("UNKNOWN")))
 
 

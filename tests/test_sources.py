@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from conftest import rows
@@ -50,6 +51,31 @@ def test_large_csv_has_the_same_shape(spark, folder):
     assert pick(small) == pick(large) == [("AAA", 97.5), ("BBB", 96.477)]
 
 
+def test_mixed_headers_scan_like_whole_files(spark, tmp_path):
+    """Large and small files, four headers, byte-order mark, repeated and empty names, short and long rows, quotes."""
+    rng = random.Random(1)
+    headers = ["Driver,Position,Grid", "Grid,Driver,Team,Team", "\ufeffDriver,,Position", 'Team,"Na,me",Position']
+    for i in range(9):
+        lines = [headers[i % 4]]
+        for k in range(rng.choice([0, 2, 40])):
+            cells = [rng.choice(["", f"x{k}", '"a, b"', '"say ""hi"""', "1.5", " y "]) for _ in range(rng.choice([2, 3, 4, 4, 5]))]
+            lines.append(",".join(cells) if any(cells) else "z")
+        (tmp_path / f"{i}.csv").write_text(rng.choice(["\n", "\r\n"]).join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("")
+    whole = files.read_csv(spark, f"{tmp_path}/*.csv")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100b")
+    try:
+        pieces = files.scan_csv(spark, f"{tmp_path}/*.csv", large=120)
+        assert files.scan_csv(spark, f"{tmp_path}/5.csv", large=1).rdd.getNumPartitions() > 3
+        flat = lambda df: [(r["file"].rsplit("/")[-1], sorted(r["cells"].items())) for r in df.orderBy("file", "line").collect()]
+        trim = lambda rows: [(f, [(k, v) for k, v in kv if v is not None and v.strip()]) for f, kv in rows]
+        assert trim(flat(pieces)) == trim(flat(whole))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert files.scan_csv(spark, f"{tmp_path}/empty.csv").count() == 0
+
+
 def test_land_load_and_preference(spark, folder, tmp_path):
     df = files.read_sessions(spark, f"{folder}/*_race.csv").where("rnd = 1 and session = 'race'")
     out = str(tmp_path / "landed")

@@ -9,10 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.status import count_if
+from lapwing.operators import pooled
 from lapwing.operators.quality import keep_first
 from lapwing.operators.skew import attach, find_hot, group_percentile, prefix_rank, rank_correlation
 from lapwing.session import cut_lineage
@@ -224,7 +226,7 @@ def paired_comparison(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def pooled_metrics(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """MAE, median error, RMSE and Spearman over all rows of each key."""
+    """MAE, median error, RMSE and Spearman over all rows of each key, where keys are columns of the rows."""
     keys = list(keys)
     rows = scored.where(F.col("score").isNotNull() & F.col("actual").isNotNull())
     rows = rows.select(*keys, "score", "actual", F.abs(F.col("score") - F.col("actual")).alias("_e"))
@@ -236,26 +238,65 @@ def pooled_metrics(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     return base.join(med, keys).join(rho, keys)
 
 
+def _blended(weights: Sequence[tuple[float, float, float, float]]) -> pooled.Scores:
+    """Scores of all (rf, xgb, ridge, grid) weightings at once."""
+
+    def scores(c: dict) -> np.ndarray:
+        out = []
+        for a, b, r, g in weights:
+            score = a * c["rf"] + b * c["xgb"] + r * c["ridge"]
+            out.append(score if g is None else (1.0 - g) * score + g * c["grid"])
+        return np.stack(out)
+
+    return scores
+
+
 def model_comparison(preds: DataFrame, blends: Sequence[tuple[str, float, float, float]] = BLENDS) -> DataFrame:
     """Pooled metrics of every blend; ``is_best`` marks the smallest error."""
-    preds = cut_lineage(preds)  # read several times below
-    out = pooled_metrics(with_blends(preds, blends), ["model", "w_rf", "w_xgb", "w_ridge"])
-    # one row per blend, so this window holds nine rows at any scale
-    first = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("mae", "model"))
-    return out.withColumn("is_best", first == 1)
+    rows = preds.select("rf", "xgb", "ridge", "actual")
+    try:
+        out = pooled.pooled(rows, _blended([(a, b, c, None) for _, a, b, c in blends]), len(blends))
+    except pooled.TooManyOutcomes:
+        out = pooled_metrics(with_blends(cut_lineage(preds), blends), ["model", "w_rf", "w_xgb", "w_ridge"])
+        return out.withColumn("is_best", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("mae", "model")) == 1)  # a row a blend
+    out.insert(0, "model", [b[0] for b in blends])
+    for i, name in enumerate(("w_rf", "w_xgb", "w_ridge"), 1):
+        out.insert(i, name, [float(b[i]) for b in blends])
+    best = out.sort_values(["mae", "model"], na_position="last")["model"].iloc[0]
+    out["is_best"] = (out["model"] == best) & (out["samples"] > 0)
+    return _as_table(preds, out, "model string, w_rf double, w_xgb double, w_ridge double", "is_best boolean")
+
+
+def _as_table(like: DataFrame, found, before: str, after: str) -> DataFrame:
+    """One row a weighting, as a table; weightings without rows have none."""
+    found = found[found["samples"] > 0]
+    schema = f"{before}, samples long, mae double, medae double, rmse double, spearman double, {after}"
+    return like.sparkSession.createDataFrame(list(found.itertuples(index=False, name=None)), schema)
+
+
+def _exploded_sweep(preds: DataFrame, blends: Sequence[tuple[str, float, float, float]], grid_weights: Sequence[float]) -> DataFrame:
+    mixed = with_blends(preds, blends).select("*", F.explode(F.array(*[F.lit(float(w)) for w in grid_weights])).alias("grid_weight"))
+    mixed = mixed.withColumn("score", (1.0 - F.col("grid_weight")) * F.col("score") + F.col("grid_weight") * F.col("grid"))
+    out = pooled_metrics(mixed, ["model", "grid_weight"])
+    pure = out.where(F.col("grid_weight") == 0).select("model", F.col("mae").alias("_pure"))
+    return out.join(pure, "model", "left").withColumn("delta_mae", F.col("mae") - F.col("_pure")).drop("_pure")
 
 
 def blend_sweep(
     preds: DataFrame, blends: Sequence[tuple[str, float, float, float]], grid_weights: Sequence[float] = SWEEP_GRID_WEIGHTS
 ) -> DataFrame:
     """Metrics for every mix of model score and start slot, with the change from the pure model."""
-    mixed = with_blends(cut_lineage(preds), blends)  # read several times below
-    mixed = mixed.select("*", F.explode(F.array(*[F.lit(w) for w in grid_weights])).alias("grid_weight"))
-    mixed = mixed.withColumn("ml_weight", F.lit(1.0) - F.col("grid_weight"))
-    mixed = mixed.withColumn("score", F.col("ml_weight") * F.col("score") + F.col("grid_weight") * F.col("grid"))
-    out = pooled_metrics(mixed, ["model", "grid_weight"])
-    pure = out.where(F.col("grid_weight") == 0).select("model", F.col("mae").alias("_pure"))
-    return out.join(pure, "model", "left").withColumn("delta_mae", F.col("mae") - F.col("_pure")).drop("_pure")
+    cases = [(name, float(g), (a, b, c, g)) for name, a, b, c in blends for g in grid_weights]
+    rows = preds.select("rf", "xgb", "ridge", "grid", "actual")
+    try:
+        out = pooled.pooled(rows, _blended([w for *_, w in cases]), len(cases))
+    except pooled.TooManyOutcomes:
+        return _exploded_sweep(cut_lineage(rows), blends, grid_weights)
+    out.insert(0, "model", [c[0] for c in cases])
+    out.insert(1, "grid_weight", [c[1] for c in cases])
+    pure = {m: e for m, g, e in zip(out["model"], out["grid_weight"], out["mae"]) if g == 0}
+    out["delta_mae"] = [None if pure.get(m) is None or e is None else e - pure[m] for m, e in zip(out["model"], out["mae"])]
+    return _as_table(preds, out, "model string, grid_weight double", "delta_mae double")
 
 
 _WEIGHTS = ("w_rf", "w_xgb", "w_ridge", "w_grid")

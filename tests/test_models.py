@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lapwing.operators import metrics
+from lapwing.operators import metrics, pooled
 from lapwing.plans import boosting, forecasts, gram
 
 COLUMNS = ["a", "b", "c", "d", "empty", "same"]
@@ -186,3 +186,40 @@ def test_signed_rank_chances_by_enumeration(spark):
         got = rows.select("s", metrics._signed_rank_chances(F.col("n")).alias("c"), metrics._exact_signed_rank_p(F.col("n"), F.col("s")).alias("p")).collect()
         assert np.allclose(got[0]["c"], want)
         assert all(abs(r["p"] - min(1, 2 * min(want[: int(r["s"]) + 1].sum(), want[int(r["s"]) :].sum()))) < 1e-12 for r in got)
+
+
+@pytest.mark.parametrize("grid", [pooled.Grid(), pooled.Grid(cells=3, block=10), pooled.Grid(cells=2, block=1), pooled.Grid(cells=7, block=40)])
+def test_pooled_metrics_by_brute_force(spark, grid):
+    """Ties, gaps that differ by weighting, a weighting without rows and one without spread."""
+    rng = np.random.default_rng(6)
+    n = 400
+    df = pd.DataFrame({"a": rng.integers(0, 12, n) / 2, "b": rng.normal(size=n) ** 3 * 1e3, "c": np.full(n, 4.0), "none": np.full(n, np.nan), "actual": rng.integers(1, 9, n) * 1.0})
+    df.loc[rng.random(n) < 0.3, "a"] = np.nan
+    df.loc[rng.random(n) < 0.1, "actual"] = np.nan
+    names = ["a", "b", "c", "none"]
+    table = spark.createDataFrame(df).repartition(5)
+    table = table.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in df.columns])
+    out = pooled.pooled(table, lambda c: np.stack([c[m] for m in names]), 4, grid)
+    for i, m in enumerate(names):
+        own = df[[m, "actual"]].dropna()
+        got = out.iloc[i]
+        assert got["samples"] == len(own)
+        if len(own):
+            e = (own[m] - own["actual"]).abs()
+            rho = own[m].rank().corr(own["actual"].rank()) if own[m].nunique() > 1 else 0.0
+            assert np.allclose([got["mae"], got["medae"], got["rmse"], got["spearman"]], [e.mean(), e.median(), np.sqrt((e**2).mean()), rho])
+
+
+def test_blends_of_many_outcomes_take_the_other_way(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = pd.DataFrame(rng.normal(size=(200, 5)), columns=["rf", "xgb", "ridge", "grid", "actual"])
+    table = spark.createDataFrame(df)
+    near = [{r[c]: r for r in f(table).collect()} for f, c in ((metrics.model_comparison, "model"),)]
+    sweep = {(r["model"], r["grid_weight"]): r for r in metrics.blend_sweep(table, metrics.BLENDS[:3]).collect()}
+    monkeypatch.setattr(pooled, "ACTUALS", 10)
+    for r in metrics.model_comparison(table).collect():
+        want = near[0][r["model"]]
+        assert all(r[c] == pytest.approx(want[c]) for c in ("samples", "mae", "medae", "rmse", "spearman", "w_rf", "is_best"))
+    again = {(r["model"], r["grid_weight"]): r for r in metrics.blend_sweep(table, metrics.BLENDS[:3]).collect()}
+    assert again.keys() == sweep.keys()
+    assert all(again[k][c] == pytest.approx(sweep[k][c]) for k in again for c in ("samples", "mae", "medae", "rmse", "spearman", "delta_mae"))

@@ -9,18 +9,19 @@ from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.operators.skew import find_hot, group_percentile
+from lapwing.plans import boosting, gram
+from lapwing.plans.gram import MIN_TRAIN_ROUNDS
 
 # Blend weights by circuit type, and default model parameters.
 CIRCUIT_BLEND = {"street": (0.50, 0.50), "permanent": (0.65, 0.35), "temporary": (0.55, 0.45)}
 DEFAULT_BLEND = (0.65, 0.35)
 ENSEMBLE = {"rf": 0.40, "xgb": 0.30, "ridge": 0.30}
 FIXED_PAIR = {"rf": 0.60, "xgb": 0.40, "ridge": 0.0}
-MIN_TRAIN_ROUNDS = 3
 
 FOLDS_AT_ONCE = 8  # folds whose jobs the driver submits side by side
 
@@ -33,20 +34,10 @@ class ForestParams:
     seed: int = 42
 
 
-@dataclass(frozen=True)
-class BoostParams:
-    rounds: int = 250
-    depth: int = 3
-    rate: float = 0.015
-    subsample: float = 0.8
-    leaf: int = 2
-    seed: int = 42
-
-
 @dataclass(frozen=True)
 class ModelParams:
     forest: ForestParams = field(default_factory=ForestParams)
-    boost: BoostParams = field(default_factory=BoostParams)
+    boost: boosting.Penalised = field(default_factory=boosting.Penalised)
     ridge_alpha: float = 100.0
 
 
@@ -129,13 +120,6 @@ def fit_forest(rows: DataFrame, label: str, p: ForestParams):
     ).fit(rows)
 
 
-def fit_boost(rows: DataFrame, label: str, p: BoostParams):
-    return GBTRegressor(
-        featuresCol="features", labelCol=label, maxIter=p.rounds, maxDepth=p.depth, stepSize=p.rate, subsamplingRate=p.subsample,
-        minInstancesPerNode=p.leaf, seed=p.seed, featureSubsetStrategy="0.8", predictionCol="xgb",
-    ).fit(rows)
-
-
 MODELS = ("rf", "xgb", "ridge")
 
 
@@ -144,24 +128,22 @@ class Fitted:
     columns: list[str]
     fill: dict[str, float]
     rf: object | None = None
-    xgb: object | None = None
     ridge: Ridge | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds one column per fitted model."""
         out = assemble(impute(df, self.fill), self.columns)
-        for model in (self.rf, self.xgb):
-            if model is not None:
-                out = model.transform(out)
+        if self.rf is not None:
+            out = self.rf.transform(out)
         if self.ridge is not None:
             out = out.withColumn("ridge", self.ridge.score())
         return out.drop("features")
 
 
 def fit_models(
-    train: DataFrame, columns: Sequence[str], label: str, params: ModelParams = ModelParams(), models: Iterable[str] = MODELS
+    train: DataFrame, columns: Sequence[str], label: str, params: ModelParams = ModelParams(), models: Iterable[str] = ("rf", "ridge")
 ) -> Fitted:
-    """Imputes with training medians and fits the chosen models on one cached matrix."""
+    """Imputes with training medians and fits a forest, a ridge or both on one cached matrix."""
     columns, models = list(columns), set(models)
     fill = medians(train, columns)
     rows = impute(train, fill).withColumn(label, F.col(label).cast("double"))
@@ -171,8 +153,6 @@ def fit_models(
         out = Fitted(columns, fill)
         if "rf" in models:
             out.rf = fit_forest(rows, label, params.forest)
-        if "xgb" in models:
-            out.xgb = fit_boost(rows, label, params.boost)
         if "ridge" in models:
             out.ridge = Ridge(columns, label, params.ridge_alpha).fit(rows)
     finally:
@@ -180,6 +160,50 @@ def fit_models(
     return out
 
 
+def _forests(features: DataFrame, columns: Sequence[str], label: str, folds: Sequence[int], params: ModelParams, keys: Sequence[str], round_col: str) -> DataFrame:
+    """A forest for each fold, a few at once; the driver only starts them."""
+
+    def fold(r: int) -> DataFrame:
+        train = features.where((F.col(round_col) < r) & F.col(label).isNotNull())
+        return fit_models(train, columns, label, params, ("rf",)).predict(features.where(F.col(round_col) == r)).select(*keys, "rf")
+
+    # each fold has its own copy of the local properties, so that concurrent jobs keep apart
+    jobs = [inheritable_thread_target(partial(fold, r)) for r in folds]
+    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
+        parts = list(pool.map(lambda job: job(), jobs))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def predict_folds(
+    features: DataFrame,
+    columns: Sequence[str],
+    label: str,
+    folds: Sequence[int],
+    params: ModelParams = ModelParams(),
+    models: Iterable[str] = MODELS,
+    keys: Sequence[str] = ("series", "rnd", "entity"),
+    round_col: str = "rnd",
+) -> DataFrame:
+    """The rows whose round is a fold, labelled or not, with a column for each model as fitted on earlier labelled rows.
+
+    Ridge and boosted trees take all folds in one pass; a forest is fitted for each.  ``keys`` name a row; ``features``
+    should be a stored table.
+    """
+    models, keys = set(models), list(keys)
+    out = features.where(F.col(round_col).isin([int(f) for f in folds]))
+    if "ridge" in models:
+        out = gram.predict(features, columns, label, folds, None, params.ridge_alpha, round_col)
+    if "xgb" in models:
+        held = boosting.fit(features, columns, label, folds, params.boost, keys, round_col).held
+        out = out.join(held.select(*keys, "xgb"), keys)
+    if "rf" in models:
+        out = out.join(_forests(features, columns, label, folds, params, keys, round_col), keys)
+    return out
+
+
 def walk_forward(
     features: DataFrame,
     columns: Sequence[str],
@@ -189,32 +213,20 @@ def walk_forward(
     models: Iterable[str] = MODELS,
     min_rounds: int = MIN_TRAIN_ROUNDS,
     round_col: str = "rnd",
+    keys: Sequence[str] = ("series", "rnd", "entity"),
 ) -> DataFrame:
     """Out-of-fold predictions: train on rounds before r, predict round r, all folds in one long table.
 
-    The driver only starts folds, a few at once; every fit and prediction is a
-    distributed job.  ``features`` should be a stored table, since each fold reads it again.
     With too few rounds for a fold, the models are fitted and scored in sample.
     """
-    known = features.where(F.col(label).isNotNull())
-    have = [r[0] for r in known.select(round_col).distinct().orderBy(round_col).collect()]  # one row per round
+    have = gram.rounds_of(features, label, round_col)
     folds = [r for r in have[min_rounds:] if rounds is None or r in set(rounds)]
-
-    def fold(r: int) -> DataFrame:
-        fitted = fit_models(known.where(F.col(round_col) < r), columns, label, params, models)
-        return fitted.predict(known.where(F.col(round_col) == r)).withColumn("in_sample", F.lit(False))
-
-    # each fold has its own copy of the local properties, so that concurrent jobs keep apart
-    jobs = [inheritable_thread_target(partial(fold, r)) for r in folds]
-    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
-        parts = list(pool.map(lambda job: job(), jobs))
-    if not parts:
-        fitted = fit_models(known, columns, label, params, models)
-        parts.append(fitted.predict(known).withColumn("in_sample", F.lit(True)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if folds:
+        known = features.where(F.col(label).isNotNull())
+        return predict_folds(known, columns, label, folds, params, models, keys, round_col).withColumn("in_sample", F.lit(False))
+    both = gram.as_one_fold(features, label, round_col)
+    scored = predict_folds(both, columns, "_label", [1], params, models, keys, "_rnd")
+    return scored.drop("_rnd", "_label").withColumn("in_sample", F.lit(True))
 
 
 def blend_scores(mode: str, rf: Column, xgb: Column, ridge: Column, weights: dict[str, float] | None = None) -> Column:
@@ -259,15 +271,17 @@ def baseline(rows: DataFrame, race: Sequence[str], start_rank: str = "start_rank
     return rows.withColumn("score", F.col(start_rank)).withColumn("pred_rank", F.row_number().over(line).cast("long"))
 
 
-def importance(fitted: Fitted, spark) -> DataFrame:
-    """Composite importance: forest 0.4, boosting 0.3, absolute ridge weight 0.3, each scaled by its largest."""
-    rf = fitted.rf.featureImportances.toArray() if fitted.rf is not None else [0.0] * len(fitted.columns)
-    xgb = fitted.xgb.featureImportances.toArray() if fitted.xgb is not None else [0.0] * len(fitted.columns)
+def importance(
+    features: DataFrame, columns: Sequence[str], label: str, before: int, params: ModelParams = ModelParams(), round_col: str = "rnd"
+) -> DataFrame:
+    """Composite importance before a round: forest 0.4, boosting 0.3, absolute ridge weight 0.3, each scaled by its largest."""
+    train = features.where((F.col(round_col) < before) & F.col(label).isNotNull())
+    fitted = fit_models(train, columns, label, params)
+    rf = fitted.rf.featureImportances.toArray()
+    xgb = boosting.fit(train, columns, label, [before], params.boost, round_col=round_col).importance(before)
     ridge = [abs(w) for w in getattr(fitted.ridge, "weights", [0.0] * len(fitted.columns))]
     rows = [(c, float(a), float(b), float(r)) for c, a, b, r in zip(fitted.columns, rf, xgb, ridge)]  # one row per feature
-    df = spark.createDataFrame(rows, "feature string, rf double, xgb double, ridge double")
+    df = features.sparkSession.createDataFrame(rows, "feature string, rf double, xgb double, ridge double")
     top = df.agg(*[F.greatest(F.max(m), F.lit(1e-12)).alias(f"top_{m}") for m in MODELS]).first()
     scaled = {m: F.col(m) / F.lit(top[f"top_{m}"]) for m in MODELS}
     return df.withColumn("importance", scaled["rf"] * 0.4 + scaled["xgb"] * 0.3 + scaled["ridge"] * 0.3)
-
-

@@ -15,9 +15,8 @@ from lapwing.sources import star
 
 RACE = ["series", "rnd"]
 TARGET = 28
-LAST = [TARGET - 2, TARGET - 1]  # folds of the queries that fit three models or many feature sets
-# Fewer trees and rounds than the library defaults: there is one fit for each of all rounds.
-QUICK = models.ModelParams(models.ForestParams(trees=20, depth=6), models.BoostParams(rounds=10, depth=3, rate=0.1))
+# Fewer trees and rounds than the library defaults where three models are fitted for each of all rounds.
+QUICK = models.ModelParams(models.ForestParams(trees=20, depth=6), boosting.Penalised(rounds=30, rate=0.1))
 
 IMPUTED = ["quali_gap_pct", "q3_gap_pct", "sprint_quali_pos", "fp1_gap_pct", "fp3_gap_pct", "grid_penalty_places"]
 
@@ -258,14 +257,13 @@ def feature_subsets(spark, sf):
 
 @query("importance")
 def importance(spark, sf):
-    train = forecasts.cut_lineage(full_table(spark, sf)).where(F.col("rnd") < TARGET)
-    return shown(models.importance(models.fit_models(train, features.MODEL_FEATURES, "ActualFinish", QUICK), spark))
+    return shown(models.importance(forecasts.cut_lineage(full_table(spark, sf)), features.MODEL_FEATURES, "ActualFinish", TARGET, QUICK))
 
 
 @query("qualifying_forecast")
 def qualifying_forecast(spark, sf):
     rows = matrix(spark, sf, with_laps=False, stage="after_sprint_race")
-    return shown(forecasts.qualifying_forecast(rows, TARGET, n=200, rounds=[TARGET - 1], params=QUICK).table)
+    return shown(forecasts.qualifying_forecast(rows, TARGET, params=QUICK).table)
 
 
 def forecast_rows(spark, sf):
@@ -280,18 +278,52 @@ def forecast_rows(spark, sf):
 
 @query("race_forecast")
 def race_forecast(spark, sf):
-    out = forecasts.race_forecast(forecast_rows(spark, sf), TARGET, n=200, rounds=LAST, params=QUICK, columns=features.MODEL_FEATURES)
-    return shown(out.table)
+    out_of_race = F.col("status").isin("Engine", "Collision")
+    return shown(forecasts.race_forecast(forecast_rows(spark, sf), TARGET, params=QUICK, retired=out_of_race).table)
 
 
 @query("benchmark_summary")
 def benchmark_summary(spark, sf):
-    return shown(forecasts.benchmark(forecast_rows(spark, sf), features.MODEL_FEATURES, LAST, QUICK)["summary"])
+    return shown(forecasts.benchmark(forecast_rows(spark, sf), features.MODEL_FEATURES, QUICK)["summary"])
 
 
-@query("circuit_fold_scores")
+_MODELS = {
+    forecasts.BASELINE: "grid", "Random Forest": "rf", "XGBoost": "xgb", "Ridge Regression": "ridge", "Ensemble": "0.4 * rf + 0.3 * xgb + 0.3 * ridge",
+    forecasts.HYBRID: "0.65 * (0.6 * rf + 0.4 * xgb) + 0.35 * grid",
+}
+
+
+@query(
+    "benchmark_paired",
+    f"""WITH {PREDS}, long AS ({" UNION ALL ".join(f"SELECT series, rnd, entity, actual, '{m}' AS model, {r6(e)} AS score FROM preds" for m, e in _MODELS.items())}),
+o AS (SELECT *, row_number() OVER (PARTITION BY series, rnd, model ORDER BY score, entity) AS p FROM long),
+r AS (SELECT series, rnd, model, avg(abs(p - actual)) AS mae FROM o GROUP BY ALL),
+d AS (SELECT a.model, b.model AS against, a.mae - b.mae AS d FROM r a JOIN r b USING (series, rnd) WHERE b.model IN ('{forecasts.BASELINE}', '{forecasts.HYBRID}') AND a.model <> b.model)
+SELECT model, against, count(*) AS n_races, {r6("avg(d)")} AS mean_diff, {r6("median(d)")} AS median_diff, {r6("stddev_samp(d)")} AS std_diff, {r6("avg(d) / stddev_samp(d)")} AS cohens_d,
+  'wilcoxon' AS test_type, {r6("avg(d) / (stddev_samp(d) / sqrt(count(*)))", 4)} AS t_stat FROM d GROUP BY ALL""",
+)
+def benchmark_paired(spark, sf):
+    """The benchmark's tables over stand-in predictions: every model against the grid and against the hybrid, all races."""
+    rows = prediction_table(spark, sf)
+    long = F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.expr(e).cast("double").alias("score")) for m, e in _MODELS.items()]))
+    preds = rows.select(*RACE, "entity", "actual", long).withColumn("score", rounded(F.col("score")))
+    tests = forecasts.benchmark_tables(preds)["paired_tests"].drop("p_value", "significant", "t_p_value")
+    return shown(tests).withColumn("t_stat", rounded(F.col("t_stat"), 4))
+
+
+FOLD_COLUMNS = ["GridPosition", "grid_norm", "driver_finish_ewma", "avg_finish", "avg_grid"]
+
+
+@query(
+    "circuit_fold_scores",
+    f"""WITH RECURSIVE rolled AS (
+  SELECT series, rnd, entity, position, cast(coalesce(grid, 12) AS double) AS g, count(*) OVER (PARTITION BY series, rnd) AS n,
+    coalesce(avg(position) OVER (PARTITION BY series, entity ORDER BY rnd ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 12) AS last3 FROM {block("results_view")}),
+cf AS (SELECT series, rnd, entity, g AS "GridPosition", (g - 1) / greatest(n - 1, 1) AS grid_norm, last3 AS driver_finish_ewma, last3 AS avg_finish, g AS avg_grid, cast(position AS double) AS "ActualFinish" FROM rolled),
+{ridge_sql(FOLD_COLUMNS, {"all": FOLD_COLUMNS}, "cf")}
+SELECT series, rnd, entity, {r6("ridge", 5)} AS ridge, {r6("actual", 5)} AS "ActualFinish" FROM held""",
+)
 def circuit_fold_scores(spark, sf):
     rows = forecasts.circuit_folds(star.results(spark, sf), ["series", "entity"])
-    cols = ["GridPosition", "grid_norm", "driver_finish_ewma", "avg_finish", "avg_grid"]
-    held = models.walk_forward(forecasts.cut_lineage(rows), cols, params=QUICK, models=("ridge",))
-    return shown(held.select(*star.KEYS, "ridge", "ActualFinish"))
+    held = models.walk_forward(forecasts.cut_lineage(rows), FOLD_COLUMNS, models=("ridge",))
+    return shown(held.select(*star.KEYS, "ridge", "ActualFinish"), 5)

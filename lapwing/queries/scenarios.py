@@ -1,150 +1,107 @@
-"""Finish distributions and pit plans."""
+"""Finish distributions from replayed residuals, and pit plans."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 import lapwing.queries.stints  # noqa: F401
-from lapwing.operators import conditions, form, scenarios
+from lapwing.operators import conditions, pit_plans, replay
 from lapwing.queries.features import block
-from lapwing.queries.registry import query, r6, rounded, shown
+from lapwing.queries.metrics import PREDS, prediction_table
+from lapwing.queries.registry import query, r6, shown
 from lapwing.queries.views import CIRCUITS, sql
 from lapwing.sources import star
 
 RACE = ["series", "rnd"]
-LAST = 28
-N = 200
-
-
-def entrants(spark, sf):
-    """Scored entrants of the last round, with the switch odds of its circuit."""
-    rows = form.add_driver_form(star.results(spark, sf), ["series", "entity"]).where(F.col("rnd") == LAST)
-    rows = rows.withColumn("circuit", star.circuit_of(F.col("rnd")) + F.col("series") % 20)
-    dims = star.circuit_priors(spark, sf)
-    rain = dims.select("circuit", F.col("climate_rain_prob").alias("rain_probability"))
-    rows = conditions.add_circuit_priors(rows, dims, "circuit").join(rain, "circuit", "left")
-    rows = rows.withColumns(conditions.incident_odds(F.lit(False)))
-    st = F.when(F.col("status") == "Did not start", "DNS").when(F.col("status") == "Disqualified", "DSQ").otherwise("CLASSIFIED")
-    return rows.select(
-        *star.KEYS,
-        rounded(F.col("driver_finish_ewma")).alias("score"),
-        F.lit(2.85).alias("sigma"),
-        rounded(scenarios.retirement_rate(F.col("driver_dnf_rate"))).alias("dnf_rate"),
-        rounded(F.col("rain_probability")).alias("rain_probability"),
-        *[rounded(F.col(c)).alias(c) for c in ("p_safety_car", "p_vsc", "p_red_flag")],
-        (F.col("entity") % 3 * F.lit(-0.2)).alias("wet_skill"),
-        st.alias("StartingGridStatus"),
-    )
 
 
-M = scenarios.M
-
+def scored(spark, sf):
+    """Scored entrants of every race, what became of them, and who didn't start."""
+    status = star.results(spark, sf).select(*star.KEYS, "status")
+    rows = prediction_table(spark, sf).join(status, star.KEYS)
+    st = F.when(F.col("status") == "Did not start", "DNS").when(F.col("status") == "Disqualified", "DSQ").otherwise("CLASSIFIED")
+    return rows.select(*star.KEYS, F.col("rf").alias("score"), "actual", F.col("status").isin("Engine", "Collision").alias("out"), st.alias("StartingGridStatus"), "status")
 
-def _draw(kind: int, entity: str) -> str:
-    """Lateral columns p/q of one draw kind (three mixing rounds)."""
-    k = f"_{kind}"
-    cols = [
-        f"(scenario * 7919 + ({entity} % {M}) * 104729 + {kind * 1299709 + 42}) % {M} AS p0{k}",
-        f"((scenario * 15485863) % {M} + (({entity} % {M}) * 32452843) % {M} + {kind * 86028121 % M + 7}) % {M} AS q0{k}",
-    ]
-    for i, (c, d) in enumerate(((11, 13), (17, 19), (23, 29))):
-        cols.append(f"((p{i}{k} * p{i}{k}) % {M} + (q{i}{k} * 48271) % {M} + {c}) % {M} AS p{i + 1}{k}")
-        cols.append(f"((q{i}{k} * q{i}{k}) % {M} + (p{i}{k} * 69621) % {M} + {d}) % {M} AS q{i + 1}{k}")
-    return ", ".join(cols)
 
+def history(rows):
+    return replay.residuals(rows, RACE, retired="out")
 
-def _u(kind: int) -> str:
-    return f"(q3_{kind} / {M + 1}.0::double)"
 
+REPLAY = f"""
+h AS (SELECT p.series, p.rnd, p.entity, rf AS score, actual - rf AS residual, coalesce(status IN ('Engine', 'Collision'), false) AS retired, status FROM preds p JOIN {block("results_view")} r USING (series, rnd, entity)),
+starters AS (SELECT * FROM h WHERE {{0}}),
+races AS (SELECT DISTINCT series, rnd FROM h),
+sc AS (
+  SELECT e.series, e.rnd, e.entity, e.score, k.rnd AS scenario FROM starters e JOIN races k ON k.series = e.series AND k.rnd < e.rnd
+  UNION ALL SELECT e.series, e.rnd, e.entity, e.score, -1 FROM starters e WHERE NOT EXISTS (SELECT 1 FROM races k WHERE k.series = e.series AND k.rnd < e.rnd)),
+raced AS (SELECT sc.*, sc.score + coalesce(b.residual, 0) AS raw, coalesce(b.retired, false) AS retired FROM sc LEFT JOIN h b ON b.series = sc.series AND b.rnd = scenario AND b.entity = sc.entity),
+fin AS (SELECT *, row_number() OVER (PARTITION BY series, rnd, scenario ORDER BY round(raw + CASE WHEN retired THEN 1000 ELSE 0 END, 9), entity) AS finish FROM raced)"""
+_STARTED = "status IS NULL OR status NOT IN ('Did not start', 'Disqualified')"
 
-def _z(kind: int) -> str:
-    return f"(sqrt(-2.0::double * ln((p3_{kind} + 1) / {M + 2}.0::double)) * cos(6.283185307179586::double * {_u(kind)}))"
+_DISTRIBUTION = f"""d AS (SELECT series, rnd, entity, avg(finish) AS x, median(finish) AS m, 100.0 * avg(cast(finish = 1 AS int)) AS w, 100.0 * avg(cast(finish <= 3 AS int)) AS t3,
+  100.0 * avg(cast(finish <= 5 AS int)) AS t5, 100.0 * avg(cast(finish <= 10 AS int)) AS t10, quantile_cont(finish, 0.05) AS p5, quantile_cont(finish, 0.25) AS p25, quantile_cont(finish, 0.75) AS p75, quantile_cont(finish, 0.95) AS p95, count(*) AS scenarios FROM fin GROUP BY ALL)
+SELECT e.series, e.rnd, e.entity, {r6("x")} AS "ExpectedFinish", cast(floor(m) AS bigint) AS "MedianFinish", {r6("coalesce(w, 0)")} AS "WinProbability", {r6("coalesce(t3, 0)")} AS "Top3Probability",
+  {r6("coalesce(t5, 0)")} AS "Top5Probability", {r6("coalesce(t10, 0)")} AS "PointsProbability", cast(floor(p5) AS bigint) AS "P5", cast(floor(p25) AS bigint) AS "P25", cast(floor(m) AS bigint) AS "P50",
+  cast(floor(p75) AS bigint) AS "P75", cast(floor(p95) AS bigint) AS "P95", scenarios, CASE WHEN x IS NOT NULL THEN row_number() OVER (PARTITION BY e.series, e.rnd ORDER BY x NULLS LAST, e.entity) END AS "PredictedPosition"
+FROM h e LEFT JOIN d USING (series, rnd, entity)"""
 
 
-DRAWS = f"""
-ent AS (
-  SELECT r.series, r.rnd, r.entity, f.driver_finish_ewma AS score, {r6("least(greatest(driver_dnf_rate, 0.05), 0.25)")} AS dnf_rate, {r6("coalesce(c_rain, NULL)")} AS rain,
-    {r6("coalesce(sc, 0.5)")} AS sc, {r6("coalesce(vsc, 0.4)")} AS vsc, {r6("coalesce(rf, 0.15)")} AS rf, r.entity % 3 * -0.2::double AS wet_skill, status
-  FROM {block("results_view")} r JOIN {block("season_form_asof")} f USING (series, rnd, entity) LEFT JOIN circuits ON circuit = (r.rnd - 1) % 4 + r.series % 20
-  WHERE r.rnd = {LAST}),
-sc0 AS (SELECT ent.*, s AS scenario FROM ent, range(0, {N}) t(s) WHERE status IS NULL OR status NOT IN ('Did not start', 'Disqualified')),
-sw AS (SELECT *, {", ".join(_draw(k, "(series * 100 + rnd)") for k in (1, 2, 3, 4, 5, 6))}, {", ".join(_draw(k, "entity") for k in (11, 12, 13, 14, 15, 16))} FROM sc0),
-drawn AS (
-  SELECT series, rnd, entity, scenario, score, coalesce({_u(1)} < rain, false) AS wet, {_u(2)} < sc AS is_sc, NOT {_u(2)} < sc AND {_u(3)} < vsc AS is_vsc, {_u(4)} < rf AS red,
-    floor({_u(5)} * 3) + 2 AS k_sc, floor({_u(6)} * 2) + 1 AS k_vsc, {_z(11)} AS z1, {_z(12)} AS z2, {_u(13)} AS u13, {_u(14)} AS u14, {_u(15)} AS u15, {_z(16)} AS z16, wet_skill, dnf_rate FROM sw),
-noisy AS (SELECT *, score + CASE WHEN wet THEN wet_skill ELSE 0 END + (z1 * (2.85::double * CASE WHEN wet THEN 1.35 ELSE 1.0 END) + z2 * 0.75) AS raw,
-    u13 < CASE WHEN wet THEN least(dnf_rate * 1.4, 0.35) ELSE dnf_rate END AS retired FROM drawn),
-fld AS (SELECT *, avg(raw) FILTER (NOT retired) OVER (PARTITION BY series, rnd, scenario) AS mu,
-    row_number() OVER (PARTITION BY series, rnd, scenario ORDER BY retired, u14, entity) AS pick FROM noisy),
-raced AS (SELECT *, CASE WHEN retired THEN raw + 1000 ELSE
-    CASE WHEN is_sc THEN mu + (raw - mu) * 0.75 - CASE WHEN pick <= k_sc THEN 1.2 + u15 * 1.6 ELSE 0 END
-         WHEN is_vsc THEN mu + (raw - mu) * 0.9 - CASE WHEN pick <= k_vsc THEN 0.6 + u15 * 0.8 ELSE 0 END ELSE raw END
-    + CASE WHEN red THEN z16 * 1.2 ELSE 0 END END AS total FROM fld),
-fin AS (SELECT *, row_number() OVER (PARTITION BY series, rnd, scenario ORDER BY round(total, 9), entity) AS finish FROM raced)"""
+@query("residual_distribution", f"WITH {PREDS}, {REPLAY.format('true')}, {_DISTRIBUTION}")
+def residual_distribution(spark, sf):
+    """Every race of every championship, forecast from the residuals of the races before it."""
+    rows = scored(spark, sf).drop("StartingGridStatus")
+    return shown(replay.finish_distribution(rows.select(*star.KEYS, "score"), history(rows)))
 
 
-def race_id():
-    return F.col("series") * 100 + F.col("rnd")
+@query("rank_distribution", f"WITH {PREDS}, {REPLAY.format(_STARTED)}, {_DISTRIBUTION}")
+def rank_distribution(spark, sf):
+    """As above, without those who don't start; they come back with zero chances."""
+    rows = scored(spark, sf)
+    return shown(replay.finish_distribution(rows.select(*star.KEYS, "score", "StartingGridStatus"), history(rows)))
 
 
-@query(
-    "rank_distribution",
-    sql(
-        f""", d AS (SELECT series, rnd, entity, avg(finish) AS x, median(finish) AS m, 100.0 * avg(cast(finish = 1 AS int)) AS w, 100.0 * avg(cast(finish <= 3 AS int)) AS t3,
-  100.0 * avg(cast(finish <= 5 AS int)) AS t5, 100.0 * avg(cast(finish <= 10 AS int)) AS t10, quantile_cont(finish, 0.05) AS p5, quantile_cont(finish, 0.25) AS p25, quantile_cont(finish, 0.75) AS p75, quantile_cont(finish, 0.95) AS p95 FROM fin GROUP BY ALL)
-SELECT e.series, e.rnd, e.entity, {r6("x")} AS "ExpectedFinish", cast(floor(m) AS bigint) AS "MedianFinish", {r6("coalesce(w, 0)")} AS "WinProbability", {r6("coalesce(t3, 0)")} AS "Top3Probability",
-  {r6("coalesce(t5, 0)")} AS "Top5Probability", {r6("coalesce(t10, 0)")} AS "PointsProbability", cast(floor(p5) AS bigint) AS "P5", cast(floor(p25) AS bigint) AS "P25", cast(floor(m) AS bigint) AS "P50",
-  cast(floor(p75) AS bigint) AS "P75", cast(floor(p95) AS bigint) AS "P95", CASE WHEN x IS NOT NULL THEN row_number() OVER (PARTITION BY e.series, e.rnd ORDER BY x NULLS LAST, e.entity) END AS "PredictedPosition"
-FROM ent e LEFT JOIN d USING (series, rnd, entity)""",
-        CIRCUITS,
-        DRAWS,
-    ),
-)
-def rank_distribution(spark, sf):
-    return shown(scenarios.finish_distribution(entrants(spark, sf), RACE, race_id(), N))
+def _incidents(rows):
+    """What interrupted each race, as a share that its field keeps of its gaps: crashes more than failures."""
+    kind = F.max(F.when(F.col("status") == "Collision", 2).when(F.col("status") == "Engine", 1).otherwise(0))
+    return rows.groupBy("series", F.col("rnd").alias("scenario")).agg(kind.alias("incident"))
 
 
 @query(
     "field_compression",
-    sql(
-        f"""SELECT series, rnd, entity, count(*) AS scenarios, count(*) FILTER (is_sc) AS safety_cars, count(*) FILTER (is_vsc) AS virtual_cars, count(*) FILTER (red) AS red_flags,
-  count(*) FILTER (wet) AS wet_races, count(*) FILTER (retired) AS retirements, {r6("avg(CASE WHEN retired THEN total - 1000 ELSE total END)")} AS mean_score FROM fin GROUP BY ALL""",
-        CIRCUITS,
-        DRAWS,
-    ),
+    f"""WITH {PREDS}, {REPLAY.format(_STARTED)},
+inc AS (SELECT series, rnd AS scenario, max(CASE status WHEN 'Collision' THEN 2 WHEN 'Engine' THEN 1 ELSE 0 END) AS incident FROM h GROUP BY ALL),
+fld AS (SELECT r.*, coalesce(incident, 0) AS incident, avg(raw) FILTER (NOT retired) OVER (PARTITION BY series, rnd, scenario) AS mu FROM raced r LEFT JOIN inc USING (series, scenario)),
+sq AS (SELECT *, CASE WHEN retired THEN raw ELSE mu + CASE incident WHEN 2 THEN 0.75 WHEN 1 THEN 0.9 ELSE 1.0 END * (raw - mu) END AS squeezed FROM fld)
+SELECT series, rnd, entity, count(*) AS scenarios, count(*) FILTER (incident = 2) AS safety_cars, count(*) FILTER (incident = 1) AS virtual_cars, count(*) FILTER (retired) AS retirements, {r6("avg(squeezed)")} AS mean_score FROM sq GROUP BY ALL""",
 )
 def field_compression(spark, sf):
-    rows = entrants(spark, sf)
-    rows = rows.where(~F.col("StartingGridStatus").isin(*scenarios.NON_STARTERS))
-    rows = scenarios.add_switches(scenarios.expand(rows, RACE, N), race_id())
-    rows = scenarios.compress_field(scenarios.add_scores(rows), RACE)
-    n = lambda c: F.count(F.when(F.col(c), 1))
+    """The field drawn together in scenarios whose race was interrupted."""
+    rows = scored(spark, sf)
+    active = rows.where(~F.col("StartingGridStatus").isin(*replay.NON_STARTERS)).select(*star.KEYS, "score")
+    heats = replay.replay(active, history(rows)).join(_incidents(rows), ["series", "scenario"], "left")
+    heats = heats.withColumn("incident", F.coalesce("incident", F.lit(0)))
+    share = F.when(F.col("incident") == 2, 0.75).when(F.col("incident") == 1, 0.9).otherwise(1.0)
+    n = lambda c: F.count(F.when(c, 1))
     return shown(
-        rows.groupBy(*star.KEYS).agg(
-            F.count(F.lit(1)).alias("scenarios"), n("safety_car").alias("safety_cars"), n("virtual_sc").alias("virtual_cars"),
-            n("red_flag").alias("red_flags"), n("wet").alias("wet_races"), n("retired").alias("retirements"), F.avg("raw").alias("mean_score"),
+        replay.compress_field(heats, RACE, share).groupBy(*star.KEYS).agg(
+            F.count(F.lit(1)).alias("scenarios"), n(F.col("incident") == 2).alias("safety_cars"), n(F.col("incident") == 1).alias("virtual_cars"),
+            n(F.col("retired")).alias("retirements"), F.avg("raw").alias("mean_score"),
         )
     )
 
 
 @query(
     "retirement_ranks",
-    sql(
-        """, r AS (SELECT series, rnd, scenario, count(*) AS field, count(*) FILTER (retired) AS retired, min(finish) FILTER (retired) AS first_retired,
-  max(finish) FILTER (NOT retired) AS last_runner, cast(sum(finish * entity) AS bigint) AS checksum FROM fin GROUP BY ALL)
-SELECT * FROM r""",
-        CIRCUITS,
-        DRAWS,
-    ),
+    f"""WITH {PREDS}, {REPLAY.format(_STARTED)} SELECT series, rnd, scenario, count(*) AS field, count(*) FILTER (retired) AS retired, min(finish) FILTER (retired) AS first_retired,
+  max(finish) FILTER (NOT retired) AS last_runner, cast(sum(finish * entity) AS bigint) AS checksum FROM fin GROUP BY ALL""",
 )
 def retirement_ranks(spark, sf):
-    rows = entrants(spark, sf)
-    rows = rows.where(~F.col("StartingGridStatus").isin(*scenarios.NON_STARTERS))
-    rows = scenarios.add_switches(scenarios.expand(rows, RACE, N), race_id())
-    rows = scenarios.rank_scenarios(scenarios.compress_field(scenarios.add_scores(rows), RACE), RACE)
+    rows = scored(spark, sf)
+    active = rows.where(~F.col("StartingGridStatus").isin(*replay.NON_STARTERS)).select(*star.KEYS, "score")
+    ranked = replay.rank_scenarios(replay.replay(active, history(rows)), RACE)
     f, out = F.col("finish"), F.col("retired")
     return shown(
-        rows.groupBy(*RACE, "scenario").agg(
+        ranked.groupBy(*RACE, "scenario").agg(
             F.count(F.lit(1)).alias("field"), F.count(F.when(out, 1)).alias("retired"), F.min(F.when(out, f)).alias("first_retired"),
             F.max(F.when(~out, f)).alias("last_runner"), F.sum(f * F.col("entity")).alias("checksum"),
         )
@@ -185,7 +142,7 @@ cost AS (
 
 def plans_sql(wet: bool) -> str:
     rows = []
-    for i, (name, comp, cuts, limited) in enumerate(scenarios.WET_PLANS if wet else scenarios.DRY_PLANS):
+    for i, (name, comp, cuts, limited) in enumerate(pit_plans.WET_PLANS if wet else pit_plans.DRY_PLANS):
         rows.append(f"({i}, '{name}', {list(comp)}, {[float(c) for c in cuts]}::double[], {str(limited).lower()})")
     return PLANS.format(quali=block("qualifying_block"), values=", ".join(rows))
 
@@ -195,7 +152,7 @@ def plans_sql(wet: bool) -> str:
     sql(f"SELECT series, rnd, entity, plan_name, stops, {r6('s')} AS total_seconds FROM cost", CIRCUITS, plans_sql(False)),
 )
 def pit_plan_costs(spark, sf):
-    out = scenarios.plan_costs(plan_entrants(spark, sf))
+    out = pit_plans.plan_costs(plan_entrants(spark, sf))
     return shown(out.select(*star.KEYS, "plan_name", "stops", "total_seconds"))
 
 
@@ -206,9 +163,9 @@ _BEST = f"""SELECT series, rnd, entity, optimal_strategy_stops, recommended_stra
 
 @query("pit_plan_best", sql(_BEST, CIRCUITS, plans_sql(False)))
 def pit_plan_best(spark, sf):
-    return shown(scenarios.best_plans(scenarios.plan_costs(plan_entrants(spark, sf)), star.KEYS))
+    return shown(pit_plans.best_plans(pit_plans.plan_costs(plan_entrants(spark, sf)), star.KEYS))
 
 
 @query("pit_plan_wet", sql(_BEST, CIRCUITS, plans_sql(True)))
 def pit_plan_wet(spark, sf):
-    return shown(scenarios.best_plans(scenarios.plan_costs(plan_entrants(spark, sf), wet=True), star.KEYS))
+    return shown(pit_plans.best_plans(pit_plans.plan_costs(plan_entrants(spark, sf), wet=True), star.KEYS))

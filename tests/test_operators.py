@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from lapwing.operators import archive, calendar, conversion, form, grids, metrics, quality, roster, scenarios, stints, teammates, weekend
+from lapwing.operators import archive, calendar, conversion, form, grids, metrics, quality, roster, pit_plans, replay, stints, teammates, weekend
 from lapwing.plans import models
 
 
@@ -272,37 +272,34 @@ def test_paired_edge_cases(spark):
     assert few["test_type"] == "none"
 
 
-def test_distribution_keeps_non_starters(spark):
-    data = [(1, 1, e, float(e), 1.5, 0.1, 0.2, 0.5, 0.4, 0.1, "DNS" if e == 5 else None) for e in range(1, 12)]
-    df = spark.createDataFrame(data, "series int, rnd int, entity int, score double, sigma double, dnf_rate double, rain_probability double, p_safety_car double, p_vsc double, p_red_flag double, StartingGridStatus string")
-    first = scenarios.finish_distribution(df, ["series", "rnd"], F.col("rnd"), 400)
-    out = {r["entity"]: r for r in first.collect()}
-    assert len(out) == 11 and out[5]["ExpectedFinish"] is None and out[5]["WinProbability"] == 0.0
-    live = [r for e, r in out.items() if e != 5]
-    assert sum(r["WinProbability"] for r in live) == pytest.approx(100.0)
-    assert sum(r["Top3Probability"] for r in live) == pytest.approx(300.0)
-    assert sorted(r["PredictedPosition"] for r in live) == list(range(1, 11))
-    assert out[1]["ExpectedFinish"] < out[11]["ExpectedFinish"]
-    assert rows(first) == rows(scenarios.finish_distribution(df.repartition(7), ["series", "rnd"], F.col("rnd"), 400))
-
-
-def test_draws_look_uniform_and_normal(spark):
-    df = spark.range(20000).withColumn("scenario", F.col("id"))
-    drawn = scenarios.add_draws(df, (11,), F.lit(3))
-    u, z = scenarios.uniform(11), scenarios.normal(11)
-    row = drawn.agg(F.avg(u), F.stddev(z), F.avg(z), F.avg((F.abs(z) > 1.96).cast("int"))).first()
-    assert row[0] == pytest.approx(0.5, abs=0.01) and row[1] == pytest.approx(1.0, abs=0.02)
-    assert row[2] == pytest.approx(0.0, abs=0.03) and row[3] == pytest.approx(0.05, abs=0.01)
+def test_replayed_residuals(spark):
+    """Two earlier races: entrants' errors stay together, retirements are replayed, a newcomer keeps its score."""
+    old = [("s", 1, "a", 2.0, False), ("s", 1, "b", -1.5, False), ("s", 1, "c", 0.0, True), ("s", 2, "a", 0.0, False), ("s", 2, "b", 0.0, False), ("s", 2, "c", -3.0, False), ("s", 9, "a", 50.0, True), ("t", 1, "a", 9.0, True)]
+    past = spark.createDataFrame(old, "series string, rnd int, entity string, residual double, retired boolean")
+    now = spark.createDataFrame([("s", 3, "a", 1.0, None), ("s", 3, "b", 2.0, None), ("s", 3, "c", 3.0, None), ("s", 3, "new", 2.4, None), ("s", 3, "d", 1.0, "DNS"), ("s", 1, "a", 1.0, None), ("s", 1, "b", 2.0, None)], "series string, rnd int, entity string, score double, StartingGridStatus string")
+    heats = replay.replay(now, past)
+    assert {(r["rnd"], r["scenario"], r["entity"]): (r["raw"], r["retired"]) for r in heats.collect() if r["rnd"] == 3 and r["entity"] != "d"} == {
+        (3, 1, "a"): (3.0, False), (3, 1, "b"): (0.5, False), (3, 1, "c"): (3.0, True), (3, 1, "new"): (2.4, False),
+        (3, 2, "a"): (1.0, False), (3, 2, "b"): (2.0, False), (3, 2, "c"): (0.0, False), (3, 2, "new"): (2.4, False),
+    }
+    assert {r["scenario"] for r in heats.where("rnd = 1").collect()} == {-1}
+    out = {(r["rnd"], r["entity"]): r for r in replay.finish_distribution(now, past).collect()}
+    # races 1 and 2 replayed: b new a c and c a b new
+    assert {e: out[3, e]["ExpectedFinish"] for e in ("a", "b", "c", "new")} == {"a": 2.5, "b": 2.0, "c": 2.5, "new": 3.0}
+    assert [out[3, e]["PredictedPosition"] for e in ("b", "a", "c", "new")] == [1, 2, 3, 4] and out[3, "b"]["WinProbability"] == 50.0
+    assert out[3, "d"]["ExpectedFinish"] is None and out[3, "d"]["WinProbability"] == 0.0 and out[1, "a"]["WinProbability"] == 100.0
+    drawn = {(r["scenario"], r["entity"]): r["raw"] for r in replay.compress_field(heats.where("rnd = 3 and entity <> 'd'"), ["series", "rnd"], F.lit(0.5)).collect()}
+    assert drawn[1, "c"] == 3.0 and drawn[1, "b"] == pytest.approx((0.5 + (3.0 + 0.5 + 2.4) / 3) / 2)
 
 
 def test_plan_cost_equals_the_lap_sum(spark):
     df = spark.createDataFrame([(56, 22.0, 3.0, 0.11, None, 0.04)], "total_laps int, pit_loss_seconds double, QualifyingPosition double, soft_tyre_deg_rate double, medium_tyre_deg_rate double, hard_tyre_deg_rate double")
-    got = {r["plan"]: r for r in scenarios.plan_costs(df).collect()}
+    got = {r["plan"]: r for r in pit_plans.plan_costs(df).collect()}
     cut = round(56 * 0.42)
     total = 22.0
     for lap in range(1, 57):
         c, age = ("MEDIUM", lap) if lap <= cut else ("HARD", lap - cut)
-        total += 85 + 2 * 0.08 + scenarios.PACE_DELTA[c] + (0.065 if c == "MEDIUM" else 0.04) * age + 0.035 * max(0, 56 - lap)
+        total += 85 + 2 * 0.08 + pit_plans.PACE_DELTA[c] + (0.065 if c == "MEDIUM" else 0.04) * age + 0.035 * max(0, 56 - lap)
     assert got[0]["total_seconds"] == pytest.approx(total) and got[0]["plan_name"] == f"1-Stop (M-H) @ {cut}"
 
 

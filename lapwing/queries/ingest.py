@@ -6,11 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lapwing.operators import calendar, collection
+from lapwing.queries.calendar import EVENTS, LANDED, calendar_events, landed_files
 from lapwing.queries.registry import query, r6, shown
 from lapwing.queries.views import RESULTS, sql
 from lapwing.schema import SESSION_ALIASES
 from lapwing.session import checkpoint_dir
 from lapwing.sources import files, star
+from lapwing.sources.ledger import Ledger
 
 
 def folder(spark, what: str) -> str:
@@ -43,3 +46,49 @@ def mixed_csv_scan(spark, sf):
         own.write.option("header", True).csv(f"{base}/{kind}")
     cells = files.scan_csv(spark, [f"{base}/{kind}/*.csv" for kind in range(len(HEADERS))], large=20_000)
     return shown(files.canonical(cells, SESSION_ALIASES).select("race", "driver", "team", "position", "grid", "points", "status"))
+
+
+def _incoming(spark, sf):
+    """Session rows as they come in: an order is an entrant's row; some without place, name or lap, some of another round."""
+    o = landed_files(spark, sf)
+    k = F.col("o_orderkey")
+    return o.select(
+        "scope", "season", "rnd", "session",
+        F.when(k % 13 == 0, " ").when(k % 17 == 0, "SC1").otherwise(F.concat(F.lit("d"), (k % 40).cast("string"))).alias("driver"),
+        F.when(F.col("n_rows") > 0, (k % 20 + 1).cast("double")).alias("position"),
+        F.when(k % 3 == 0, 80.0 + k % 10).alias("lap_s"),
+        F.when((F.col("scope") + F.col("rnd")) % 11 == 0, F.col("rnd") + 1).otherwise(F.col("rnd")).alias("event_round"),
+    )
+
+
+_INCOMING = f"""WITH {LANDED}, {EVENTS},
+inc AS (SELECT scope, season, rnd, session, CASE WHEN o_orderkey % 13 = 0 THEN ' ' WHEN o_orderkey % 17 = 0 THEN 'SC1' ELSE 'd' || (o_orderkey % 40) END AS driver,
+  CASE WHEN n_rows > 0 THEN o_orderkey % 20 + 1 END AS position, o_orderkey % 3 = 0 AS timed, (scope + rnd) % 11 = 0 AS other FROM landed),
+test AS (SELECT scope, season, rnd, session, any_value(other) AS other, bool_or(position IS NOT NULL) AS placed, bool_or(trim(driver) <> '') AS named, bool_or(timed) AND session LIKE 'fp_' AS laps,
+  count(*) FILTER (trim(driver) <> '') AS lap_rows, count(DISTINCT driver) FILTER (trim(driver) <> '') AS drivers
+  FROM inc WHERE driver <> 'SC1' GROUP BY scope, season, rnd, session),
+why AS (SELECT *, CASE WHEN other THEN 'Round identity mismatch' WHEN NOT placed AND NOT laps THEN 'No classified positions' WHEN NOT named THEN 'No valid driver' END AS reason, CASE WHEN laps THEN lap_rows ELSE drivers END AS n FROM test),
+st AS (SELECT s.scope, s.season, s.rnd, s.session, s.season < 2017 AND w.scope IS NOT NULL AND reason IS NULL AS before, w.scope IS NOT NULL AND reason IS NULL AS ok, coalesce(reason, 'Session results table is empty') AS detail, n, scheduled_ts
+  FROM sched s LEFT JOIN why w USING (scope, season, rnd, session))
+"""
+
+
+@query(
+    "event_collection",
+    _INCOMING
+    + """SELECT scope, season, rnd, session, CASE WHEN before THEN 'SKIPPED' WHEN ok THEN 'SUCCESS' WHEN scheduled_ts > TIMESTAMP '2019-06-10 12:00:00' THEN 'FUTURE_SESSION'
+  WHEN scheduled_ts > TIMESTAMP '2019-06-08 12:00:00' THEN 'NOT_YET_AVAILABLE' WHEN detail LIKE '%empty%' THEN 'DATA_MISSING' ELSE 'COLLECTION_FAILED' END AS status,
+  CASE WHEN NOT ok THEN detail END AS detail, CASE WHEN before THEN 0 WHEN ok THEN n ELSE 0 END AS records, CASE WHEN ok THEN n ELSE 0 END AS landed FROM st""",
+)
+def event_collection(spark, sf):
+    """Two runs over the whole calendar, the first up to a season, and between them one that dies before it is published."""
+    events, plan = calendar_events(spark, sf), calendar.session_plan(spark)
+    ledger, incoming, keys = Ledger(spark, folder(spark, "collected")), _incoming(spark, sf), ["scope", "season", "rnd"]
+    now = F.lit("2019-06-10 12:00:00").cast("timestamp")
+    early = events.where("season < 2017")
+    collection.collect(ledger, "early", early, plan, incoming, keys, now)
+    ledger.stage(ledger.table().limit(0).unionByName(ledger.table()), "dead", collection.PARTITIONS)
+    report = collection.collect(ledger, "all", events, plan, incoming, keys, now).report
+    landed = ledger.table().groupBy(*keys, "session").agg(F.count("*").alias("landed"))
+    out = report.join(landed, [*keys, "session"], "left")
+    return shown(out.select(*keys, "session", "status", "detail", "records", F.coalesce("landed", F.lit(0)).alias("landed")))

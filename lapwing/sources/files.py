@@ -255,15 +255,17 @@ def read_circuit_priors(spark: SparkSession, path: str) -> DataFrame:
 def event_round(events: DataFrame, tracks: DataFrame, track: str, configured: str = "round_2026") -> DataFrame:
     """Events that belong to a circuit: configured round, else a pattern in the name, else in the location.
 
-    Only the best tier that matches anything is kept.
+    Only the best tier that matches anything is kept, in each season.  The circuit is one row of configuration, read first.
     """
-    dim = tracks.where(F.col("key") == track).select(F.col(configured).alias("_round"), F.transform("patterns", lambda p: F.lower(p)).alias("_pats"))
-    rows = events.withColumn("_k", F.lit(1)).join(dim.withColumn("_k", F.lit(1)), "_k").drop("_k")  # one configuration row
-    has = lambda c: F.exists("_pats", lambda p: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), p))
-    tier = F.when(F.col("rnd") == F.col("_round"), 1).when(has("event_name"), 2).when(has("location"), 3)
-    ranked = rows.withColumn("_tier", tier).where(F.col("_tier").isNotNull())
+    row = tracks.where(F.col("key") == track.lower().strip()).select(F.col(configured), "patterns").first()
+    if row is None:
+        return events.limit(0)
+    patterns = [p.lower().strip() for p in row[1] or [] if p and p.strip()]
+    has = lambda c: F.exists(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), p)) if patterns else F.lit(False)
+    tier = F.when(F.col("rnd") == F.lit(row[0]), 1).when(has("event_name"), 2).when(has("location"), 3)
     first = Window.partitionBy("season").orderBy("_tier", "rnd")
-    return ranked.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1).drop("_r", "_round", "_pats", "_tier")
+    ranked = events.withColumn("_tier", tier).where(F.col("_tier").isNotNull())
+    return ranked.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1).drop("_r", "_tier")
 
 
 def export_forecast(table: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lapwing.functions.numbers import position_norm
 from lapwing.operators import conversion, form, stints, teammates, weekend
-from lapwing.operators.quality import STAGE_SESSIONS, mask_stage
+from lapwing.operators.quality import STAGE_HIDDEN, STAGE_SESSIONS, mask_stage
 from lapwing.operators.skew import HotGroups
 from lapwing.session import cut_lineage
 
@@ -92,9 +92,32 @@ def lap_blocks(
     return out
 
 
+def _scope(scope: str | Sequence[str]) -> list[str]:
+    return [scope] if isinstance(scope, str) else list(scope)
+
+
+def _timeless(base: DataFrame, scope: list[str], field_size: int) -> DataFrame:
+    """The blocks that no practice session changes: qualifying, grid, form, teammates, conversion, sprint."""
+    race, who = [*scope, "rnd"], [*scope, "entity"]
+    keys = [*race, "entity"]
+    history = base.select(*keys, "team", "position", "grid", "points", "status")
+    out = weekend.add_qualifying_features(base, race)
+    out = add_grid_features(out, field_size)
+    out = form.add_driver_form(out, who)
+    out = teammates.add_quali_gap(out, [*race, "team"])
+    out = teammates.add_grid_delta(out, [*race, "team"])
+    out = conversion.add_conversion(out, history, scope, "GridPosition", field_size)
+    out = out.join(form.team_form(history, [*scope, "team"]), [*race, "team"], "left")
+    out = out.join(teammates.h2h(history, scope), keys, "left")
+    for c in ("sprint_quali_pos", "sprint_finish_pos", "sprint_pos_delta"):
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("double"))
+    return out.withColumn("ActualFinish", F.col("position").cast("double"))
+
+
 def build(
     rows: DataFrame,
-    series: str = "series",
+    series: str | Sequence[str] = "series",
     field_size: int = 20,
     laps: DataFrame | None = None,
     hot: HotGroups | None = None,
@@ -102,38 +125,78 @@ def build(
 ) -> DataFrame:
     """One row per entrant and round with every feature, leakage-free.
 
+    ``series`` are the columns that name a championship; with a season among them, form and history start anew with each.
     ``rows`` holds the raw per-entrant columns (results, qualifying segments,
-    practice sessions, optionally sprint columns).  It and the lap table feed
-    several blocks, so each is written once instead of being derived per block.
+    practice sessions, optionally sprint columns).  It feeds several blocks, so it is written once instead of being derived
+    per block; the lap blocks read one exchange of the laps.
     ``ActualFinish`` is the label.
     """
-    race, who = [series, "rnd"], [series, "entity"]
+    scope = _scope(series)
+    race = [*scope, "rnd"]
     keys = [*race, "entity"]
     if stage:
         rows = gate_practice(rows, stage)
         laps = gate_laps(laps, stage) if laps is not None else None
     base = cut_lineage(rows)
-    history = base.select(*keys, "team", "position", "grid", "points", "status")
-
-    out = weekend.add_practice_features(base.repartition(series), race)
-    out = weekend.add_qualifying_features(out, race)
-    out = add_grid_features(out, field_size)
-    out = form.add_driver_form(out, who)
-    out = teammates.add_quali_gap(out, [*race, "team"])
-    out = teammates.add_grid_delta(out, [*race, "team"])
-    out = conversion.add_conversion(out, history, [series], "GridPosition", field_size)
-    out = out.join(form.team_form(history, [series, "team"]), [*race, "team"], "left")
-    out = out.join(teammates.h2h(history, [series]), keys, "left")
-    for c in ("sprint_quali_pos", "sprint_finish_pos", "sprint_pos_delta"):
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast("double"))
+    out = _timeless(weekend.add_practice_features(base.repartition(*scope), race), scope, field_size)
     if laps is not None:
-        out = out.join(lap_blocks(base, cut_lineage(laps), hot, race), keys, "left")
+        out = out.join(lap_blocks(base, laps, hot, race), keys, "left")
         out = stints.add_race_pace(out, race, "q_position")
-    out = out.withColumn("ActualFinish", F.col("position").cast("double"))
     return mask_stage(out, stage) if stage else out
 
 
+ALL_STAGES = tuple(STAGE_HIDDEN)
+
+
+def _views(stages: Sequence[str]) -> list[tuple[tuple[str, ...], list[str]]]:
+    """The different sets of practice sessions that stages see, each with its stages."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for stage in stages:
+        seen = STAGE_SESSIONS.get(stage.lower().strip(), weekend.SESSIONS)
+        found.setdefault(tuple(s for s in weekend.SESSIONS if s in seen), []).append(stage)
+    return list(found.items())
+
+
+def staged_matrix(
+    rows: DataFrame,
+    series: str | Sequence[str] = "series",
+    field_size: int = 20,
+    laps: DataFrame | None = None,
+    hot: HotGroups | None = None,
+    stages: Sequence[str] = ALL_STAGES,
+) -> DataFrame:
+    """The matrix as it could be known at each stage: one row per entrant, round and ``stage``.
+
+    All stages come from one plan.  What no practice session changes is built once.  Stages that have seen the same practice
+    sessions share a view: practice columns and laps are gated by view before any gap, rank, stint or slope is taken from them,
+    and laps are read once for all views.  The rows of a view then become rows of its stages, and what isn't known yet at a
+    stage is hidden.
+    """
+    scope = _scope(series)
+    race = [*scope, "rnd"]
+    keys = [*race, "entity"]
+    views = _views(stages)
+    base = cut_lineage(rows)
+    out = _timeless(base.repartition(*scope), scope, field_size)
+
+    seen = {s: [i for i, (sessions, _) in enumerate(views) if s in sessions] for s in weekend.SESSIONS}
+    raw = [f"{s}_{c}" for s in weekend.SESSIONS for c in ("best_lap", "laps")]
+    at = F.explode(F.array(*[F.lit(i) for i in range(len(views))]))
+    practice = base.select(*keys, *raw, *[c for c in ("team", "q_position", "deg_multiplier") if c in base.columns]).withColumn("view", at)
+    practice = practice.withColumns({c: F.when(F.col("view").isin(seen[c[:3]]), F.col(c)) for c in raw})
+    own = weekend.add_practice_features(practice, [*race, "view"])
+    if laps is not None:
+        open_to = F.coalesce(*[F.when(F.col("session") == s, F.array(*[F.lit(i) for i in v])) for s, v in seen.items() if v], F.array().cast("array<int>"))
+        gated = laps.withColumn("view", F.explode(open_to))
+        if hot is not None:  # a hot stint is hot in every view that sees any of it: sizes are upper bounds
+            hot = HotGroups([*hot.keys, "view"], hot.frame.withColumn("view", at), hot.limit)
+        own = own.join(lap_blocks(practice, gated, hot, [*race, "view"]), [*race, "view", "entity"], "left")
+        own = stints.add_race_pace(own, [*race, "view"], "q_position")
+    both = out.drop(*[c for c in own.columns if c not in keys]).join(own, keys)
+    names = F.coalesce(*[F.when(F.col("view") == i, F.array(*[F.lit(s) for s in own_stages])) for i, (_, own_stages) in enumerate(views)])
+    return mask_stage(both.withColumn("stage", F.explode(names)).drop("view"), F.col("stage"))
+
+
 def gate_practice(rows: DataFrame, stage: str) -> DataFrame:
     """Nulls what practice sessions that haven't run at a stage would say, before any block is built from them."""
     seen = STAGE_SESSIONS.get(stage.lower().strip())

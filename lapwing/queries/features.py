@@ -11,7 +11,7 @@ import lapwing.queries.weekend  # noqa: F401
 from lapwing.operators import quality
 from lapwing.plans import features
 from lapwing.queries.registry import REGISTRY, query, r6, shown
-from lapwing.queries.views import ENTRIES, QUALI, RESULTS, sql
+from lapwing.queries.views import ENTRIES, LAPS, QUALI, RESULTS, sql
 from lapwing.sources import star
 
 RACE = ["series", "rnd"]
@@ -96,34 +96,72 @@ def feature_matrix(spark, sf):
     return shown(matrix(spark, sf).select(*star.KEYS, *MATRIX))
 
 
-STAGES = ["pre_fp1", "after_fp1", "after_fp2", "after_qualifying"]
-MASK_COLS = ["fp1_gap_pct", "fp2_gap_pct", "fp3_gap_pct", "practice_rank", "sprint_quali_pos", "quali_gap_pct", "GridPosition", "avg_finish"]
-_HIDE = {
-    "fp1_gap_pct": "stage = 'pre_fp1'",
-    "fp2_gap_pct": "stage IN ('pre_fp1', 'after_fp1')",
-    "fp3_gap_pct": "stage IN ('pre_fp1', 'after_fp1', 'after_fp2')",
-    "practice_rank": "stage = 'pre_fp1'",
-    "sprint_quali_pos": "stage <> 'after_qualifying'",
-    "quali_gap_pct": "stage <> 'after_qualifying'",
-    "GridPosition": "stage <> 'after_qualifying'",
-    "avg_finish": "false",
-}
+def raw_matrix(spark, sf):
+    """Raw rows with the circuit's wear, the lap table and its hot stints."""
+    hot = star.hot_stints(spark, sf)
+    priors = star.circuit_priors(spark, sf).select("circuit", "deg_multiplier")
+    rows = raw_rows(spark, sf).withColumn("circuit", star.circuit_of(F.col("rnd"))).join(priors, "circuit", "left")
+    return rows, star.laps(spark, sf, hot), hot
+
+
+# Stages by what practice they have seen (the last line number that counts), and what else is out by then.
+_SEEN = {
+    "pre_fp1": 0, "after_fp1": 2, "after_sprint_qualifying": 2, "after_sprint_race": 2, "after_sprint": 2, "after_fp2": 4, "after_fp3": 7,
+    "after_qualifying": 7, "before_race": 7, "post_race": 7,
+}
+_SUNDAY = "stage IN ('after_qualifying', 'before_race', 'post_race')"
+_SHOWN = (
+    {c: "stage <> 'pre_fp1'" for c in [*PRACTICE, *PACE, *WEAR]}
+    | {c: f"stage IN ('after_fp2', 'after_fp3') OR {_SUNDAY}" for c in ("fp2_best_lap", "fp2_gap_pct")}
+    | {c: f"stage = 'after_fp3' OR {_SUNDAY}" for c in ("fp3_best_lap", "fp3_gap_pct")}
+    | {c: _SUNDAY for c in [*QUALIFYING, *GRID, "race_pace_vs_quali_delta", "teammate_quali_gap_pct", "teammate_grid_delta"]}
+    | {"sprint_quali_pos": f"stage LIKE 'after_sprint%' OR {_SUNDAY}"}
+    | {c: f"stage IN ('after_sprint_race', 'after_sprint') OR {_SUNDAY}" for c in ("sprint_finish_pos", "sprint_pos_delta")}
+)
 
 
-@query(
-    "stage_mask",
-    f"""WITH m AS (
-  SELECT *, {r6("CASE WHEN grid <= 0 THEN 20 ELSE grid END")} AS "GridPosition" FROM {block("results_view")}
-  JOIN {block("practice_block")} USING (series, rnd, entity) JOIN {block("qualifying_block")} USING (series, rnd, entity)
-  JOIN {block("sprint_block")} USING (series, rnd, entity) JOIN {block("season_form_asof")} USING (series, rnd, entity)),
-s AS (SELECT *, ['pre_fp1', 'after_fp1', 'after_fp2', 'after_qualifying'][cast(rnd % 4 AS int) + 1] AS stage FROM m)
-SELECT series, rnd, entity, stage, {", ".join(f'CASE WHEN NOT ({_HIDE[c]}) THEN "{c}" END AS "{c}"' for c in MASK_COLS)} FROM s""",
+def _gated(name: str, last: int) -> str:
+    """A block's statement over the laps of the first sessions alone; laps keep their numbers."""
+    inner = LAPS.strip().removeprefix("laps AS (").removesuffix(")")
+    sessions = [s for s, n in (("fp1", 2), ("fp2", 4), ("fp3", 7)) if n <= last]
+    kept = " OR ".join(f"session = '{s}'" for s in sessions) or "false"
+    return block(name).replace(LAPS, f"\nlaps AS (SELECT * FROM ({inner}) WHERE {kept})")
+
+
+def _of_view(last: int) -> str:
+    own = ", ".join([f'p."{c}"' for c in PRACTICE] + [f'l."{c}"' for c in PACE] + [f'w."{c}"' for c in WEAR])
+    return f"""SELECT {last} AS last, p.series, p.rnd, p.entity, {own} FROM {_gated("practice_block", last)} p
+  JOIN {_gated("long_run_pace", last)} l USING (series, rnd, entity) JOIN {_gated("compound_degradation", last)} w USING (series, rnd, entity)"""
+
+
+_OWN = {*PRACTICE, *PACE, *WEAR}
+STAGED_SQL = (
+    MATRIX_SQL
+    + f""", stage AS (SELECT * FROM (VALUES {", ".join(f"('{s}', {n})" for s, n in _SEEN.items())}) v(stage, last)),
+view AS ({" UNION ALL ".join(_of_view(n) for n in (0, 2, 4, 7))}),
+staged AS (SELECT matrix.series, matrix.rnd, matrix.entity, stage, {", ".join((f"CASE WHEN {_SHOWN[c]} THEN " if c in _SHOWN else "") + ("view" if c in _OWN else "matrix") + f'."{c}"' + (" END" if c in _SHOWN else "") + f' AS "{c}"' for c in MATRIX)}
+  FROM matrix JOIN view USING (series, rnd, entity) JOIN stage USING (last))
+"""
 )
+
+
+@query("staged_matrix", STAGED_SQL + "SELECT * FROM staged")
+def staged_matrix(spark, sf):
+    """The matrix at all ten stages, every block built from the sessions its stage has seen."""
+    rows, laps, hot = raw_matrix(spark, sf)
+    return shown(features.staged_matrix(rows, field_size=star.FIELD_SIZE, laps=laps, hot=hot).select(*star.KEYS, "stage", *MATRIX))
+
+
+MASK_COLS = ["fp1_gap_pct", "fp2_gap_pct", "fp3_gap_pct", "practice_rank", "sprint_quali_pos", "quali_gap_pct", "GridPosition", "avg_finish"]
+
+
+@query("stage_mask", STAGED_SQL + f"""SELECT series, rnd, entity, stage, {", ".join('"' + c + '"' for c in MASK_COLS)} FROM staged WHERE stage = {list(_SEEN)}[cast(rnd % 10 AS int) + 1]""")
 def stage_mask(spark, sf):
-    rows = matrix(spark, sf, with_laps=False)
-    stage = F.element_at(F.array(*[F.lit(s) for s in STAGES]), (F.col("rnd") % 4 + 1).cast("int"))
-    masked = quality.mask_stage(rows.withColumn("stage", stage), F.col("stage"))
-    return shown(masked.select(*star.KEYS, "stage", *MASK_COLS))
+    """Another stage in every round, its practice columns from gated sessions."""
+    rows, _, _ = raw_matrix(spark, sf)
+    stage = F.element_at(F.array(*[F.lit(s) for s in _SEEN]), (F.col("rnd") % 10 + 1).cast("int"))
+    staged = features.staged_matrix(rows, field_size=star.FIELD_SIZE)
+    return shown(staged.where(F.col("stage") == stage).select(*star.KEYS, "stage", *MASK_COLS))
 
 
 @query(

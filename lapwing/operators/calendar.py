@@ -33,6 +33,22 @@ STAGE_REQUIRES = {
     "after_qualifying": ("qualifying",),
     "post_race": ("qualifying", "race"),
 }
+# Sessions that have run at each stage, by weekend format; a stage a format doesn't name is invalid for it.
+WEEKEND_STAGES = {
+    "standard": {
+        "pre_fp1": (), "after_fp1": ("fp1",), "after_fp2": ("fp1", "fp2"), "after_fp3": ("fp1", "fp2", "fp3"),
+        "after_qualifying": ("fp1", "fp2", "fp3", "qualifying"), "before_race": ("fp1", "fp2", "fp3", "qualifying"),
+        "post_race": ("fp1", "fp2", "fp3", "qualifying", "race"),
+    },
+    "sprint": {
+        "pre_fp1": (), "after_fp1": ("fp1",), "after_sprint_qualifying": ("fp1", "sprint_qualifying"),
+        "after_sprint_race": ("fp1", "sprint_qualifying", "sprint_race"),
+        "after_qualifying": ("fp1", "sprint_qualifying", "sprint_race", "qualifying"),
+        "before_race": ("fp1", "sprint_qualifying", "sprint_race", "qualifying"),
+        "post_race": ("fp1", "sprint_qualifying", "sprint_race", "qualifying", "race"),
+    },
+}
+STAGE_ALIASES = {"after_sprint": "after_sprint_race"}
 # Error texts that mean the source simply has nothing.
 GAP_WORDS = ("not available", "empty", "archive", "not found", "zero drivers", "missing information")
 
@@ -53,6 +69,54 @@ def stage_requirements(spark: SparkSession) -> DataFrame:
     return _dimension(spark, STAGE_REQUIRES, ["stage", "session"])
 
 
+def _weekend_format(sprint: Column) -> Column:
+    return F.when(F.coalesce(sprint, F.lit(False)), "sprint").otherwise("standard")
+
+
+def _canonical_stage(stage: Column) -> Column:
+    out = F.lower(F.trim(F.coalesce(stage, F.lit("after_qualifying"))))
+    for alias, name in STAGE_ALIASES.items():
+        out = F.when(out == alias, name).otherwise(out)
+    return out
+
+
+def stage_errors(targets: DataFrame) -> DataFrame:
+    """The targets whose ``stage`` isn't one of their weekend's (``is_sprint``), with ``error``: unknown or invalid for the format."""
+    stage, fmt = _canonical_stage(F.col("stage")), _weekend_format(F.col("is_sprint"))
+    known = sorted({s for own in WEEKEND_STAGES.values() for s in own})
+    valid = F.lit(False)
+    for name, own in WEEKEND_STAGES.items():
+        valid = valid | ((fmt == name) & stage.isin(*own))
+    error = F.when(~stage.isin(*known), "unknown stage").otherwise(F.concat(F.lit("stage is invalid for a "), fmt, F.lit(" weekend")))
+    return targets.where(~valid).withColumn("error", error)
+
+
+def weekend_sessions(sessions: DataFrame, targets: DataFrame, keys: Sequence[str], strict: bool = True) -> DataFrame:
+    """Session rows that a forecast of each target may see: those its weekend's format has run by its ``stage``.
+
+    ``targets`` has keys, stage and is_sprint.  A stage that isn't one of the weekend's fails the job, or with ``strict`` off
+    sees nothing; :func:`stage_errors` lists such targets.
+    """
+    rows = [(f, st, s) for f, own in WEEKEND_STAGES.items() for st, run in own.items() for s in run]
+    plan = targets.sparkSession.createDataFrame(rows, "_format string, _stage string, session string")
+    wanted = targets.withColumn("_format", _weekend_format(F.col("is_sprint"))).withColumn("_stage", _canonical_stage(F.col("stage")))
+    if strict:
+        pairs = [F.lit(f"{f}/{st}") for f, own in WEEKEND_STAGES.items() for st in own]
+        pair = F.concat_ws("/", "_format", "_stage")
+        fails = F.raise_error(F.concat(F.lit("stage is invalid for its weekend: "), pair)).cast("string")
+        wanted = wanted.withColumn("_stage", F.when(F.array_contains(F.array(*pairs), pair), F.col("_stage")).otherwise(fails))
+    allowed = wanted.join(plan, ["_format", "_stage"]).select(*keys, "stage", "session")
+    return sessions.join(allowed, [*keys, "session"])
+
+
+def practice_and_sprint(sessions: DataFrame, sprint_rounds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Practice and sprint sessions as each weekend's format has them: one practice and the sprint's two, or three practices."""
+    marked = sessions.join(sprint_rounds.select(*keys).distinct().withColumn("_sprint", F.lit(True)), list(keys), "left")
+    sprint = F.coalesce("_sprint", F.lit(False))
+    fits = F.when(sprint, F.col("session").isin("fp1", "sprint_qualifying", "sprint_race")).otherwise(F.col("session").isin("fp1", "fp2", "fp3"))
+    return marked.where(fits).drop("_sprint")
+
+
 def is_sprint_format(fmt: Column, sessions: Column) -> Column:
     """Sprint weekend: the format or any session name says so."""
     named = F.exists(sessions, lambda s: F.lower(s).contains("sprint"))

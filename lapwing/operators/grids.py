@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lapwing.functions.numbers import position_norm
 from lapwing.functions.status import count_if
+from lapwing.operators.quality import keep_first
+from lapwing.sources.ledger import Ledger, State, new_rows
 
 BACK_OF_GRID_PLACES = 15
 UNKNOWN_POSITION = 999.0
@@ -154,19 +156,26 @@ def build_manifests(rows: DataFrame, header: Sequence[str]) -> DataFrame:
     return rows.groupBy(*header).agg(ordered.alias("grid")).withColumn("document", F.to_json(F.struct(*header, "grid")))
 
 
+# Fields a manifest must have, and what it may say of its publication.
+REQUIRED = ("season", "round", "circuit_key", "publication_status", "grid")
+PUBLICATION = ("FINAL", "PROVISIONAL", "UNOFFICIAL")
+
+
 def manifest_errors(manifests: DataFrame, header: Sequence[str] = ("season", "round", "circuit_key")) -> DataFrame:
     """One row per document with its violations as sorted text (empty when valid)."""
-    rows = manifests.select(
-        *header,
-        F.when(F.col("publication_status").isNull(), "missing publication_status").alias("_top"),
-        F.explode_outer("grid").alias("e"),
-    )
+    missing = [F.when(F.col(c).isNull(), f"missing {c}") for c in REQUIRED if c in manifests.columns]
+    absent = [F.lit(f"missing {c}") for c in REQUIRED if c not in manifests.columns]
+    status = F.upper(F.trim("publication_status"))
+    unknown = [F.when(~status.isin(*PUBLICATION), "unknown publication_status")] if "publication_status" in manifests.columns else []
+    top = F.array_join(F.array_compact(F.array(*absent, *missing, *unknown)), "; ")
+    rows = manifests.select(*header, F.nullif(top, F.lit("")).alias("_top"), F.col("grid").isNull().alias("_none"), F.explode_outer("grid").alias("e"))
     pit = F.coalesce("e.is_pit_lane_start", F.lit(0)) == 1
     grid, rank = F.col("e.grid_pos"), F.col("e.simulation_start_rank")
     driver = F.upper(F.trim("e.driver"))
     phys = F.when(~pit, grid)
     agg = rows.groupBy(*header).agg(
         F.first("_top").alias("_top"),
+        F.max("_none").alias("_none"),
         F.count("e").alias("_n"),
         count_if(F.col("e").isNotNull() & (F.coalesce(driver, F.lit("")) == "")).alias("_nameless"),
         (F.count(driver) - F.countDistinct(driver)).alias("_dup"),
@@ -182,7 +191,7 @@ def manifest_errors(manifests: DataFrame, header: Sequence[str] = ("season", "ro
     )
     found = F.array(
         F.col("_top"),
-        F.when(F.col("_n") == 0, "empty grid"),
+        F.when((F.col("_n") == 0) & ~F.col("_none"), "empty grid"),
         F.when(F.col("_nameless") > 0, "entry without driver"),
         F.when(F.col("_dup") > 0, "duplicate driver"),
         F.when(F.col("_pit_grid") > 0, "pit-lane starter with grid position"),
@@ -251,6 +260,50 @@ SOURCE_PRIORITY = {
 }
 
 
+# Stages at which no grid can have been published.
+BEFORE_QUALIFYING = ("pre_fp1", "after_fp1", "after_fp2", "after_fp3", "after_sprint_qualifying", "after_sprint_race", "after_sprint")
+
+
+def resolve_grids(targets: DataFrame, candidates: DataFrame, race: Sequence[str]) -> DataFrame:
+    """The grid of each target race at its ``stage``, with ``provenance``, ``publication_status`` and ``document_reference``.
+
+    ``candidates`` stacks all sources as in :func:`pick_source`, with ``source``, and optionally the last two.  Before
+    qualifying no source counts: the race comes back as one row without entrants, unpublished.  So does a race that
+    no source is valid for, as unavailable.
+    """
+    race = list(race)
+    early = F.lower(F.trim(F.coalesce("stage", F.lit("after_qualifying")))).isin(*BEFORE_QUALIFYING)
+    wanted = targets.select(*race, "stage", early.alias("_early"))
+    own = [c for c in candidates.columns if c not in (*race, "priority", "valid", "publication_status", "document_reference", "source")]
+    have = lambda c: F.col(c) if c in candidates.columns else F.lit(None).cast("string")
+    best = pick_source(candidates, race).select(*race, *own, "source", have("publication_status").alias("_pub"), have("document_reference").alias("_doc"))
+    rows = wanted.where(~F.col("_early")).join(best, race, "left").unionByName(wanted.where("_early"), allowMissingColumns=True)
+    none = F.when(F.col("_early"), "unpublished").otherwise("unavailable")
+    return rows.select(
+        *race, "stage", *own, F.coalesce("source", none).alias("provenance"),
+        F.coalesce("_pub", F.when(F.col("source").isNull(), "UNOFFICIAL")).alias("publication_status"),
+        F.when(F.col("_early"), "Pre-Qualifying Cutoff").otherwise(F.col("_doc")).alias("document_reference"),
+    )
+
+
+def publish_snapshots(ledger: Ledger, fetched: DataFrame, run: str, header: Sequence[str] = ("season", "round", "circuit_key")) -> State:
+    """Keeps fetched grid documents that pass :func:`manifest_errors` and aren't kept yet; all of a run or none of it.
+
+    Of several valid documents of a race the one with the smallest text is kept.  A race once kept is never fetched again:
+    ask :func:`missing_snapshots` first.
+    """
+    state = ledger.state()
+    good = manifest_errors(fetched, header).where("ok").select(*header)
+    valid = keep_first(fetched.join(good, list(header), "left_semi"), list(header), [F.to_json(F.struct(*fetched.columns))])
+    fresh = new_rows(valid, ledger.table(state), header)
+    return ledger.publish(state, fresh, [ledger.stage(fresh, run)])
+
+
+def missing_snapshots(ledger: Ledger, races: DataFrame, header: Sequence[str] = ("season", "round", "circuit_key")) -> DataFrame:
+    """The races without a kept grid document."""
+    return new_rows(races, ledger.table(), header)
+
+
 def provenance_text(provenance: Column, publication: Column, reference: Column, stage: Column) -> Column:
     """Display text for where a grid came from."""
     p = F.lower(provenance)

@@ -140,6 +140,30 @@ def training_check(training: DataFrame, scope: Sequence[str], field_size: int) -
     return out.withColumn("ok", (F.col("impossible_history_rows") == 0) & (F.col("grid_out_of_range") == 0))
 
 
+# Columns a training set must have.
+TRAINING_COLUMNS = ("rnd", "entity", "ActualFinish", "GridPosition")
+
+
+def training_errors(training: DataFrame, field_size: int) -> DataFrame:
+    """What is wrong with a training set, one row an error: ``error, rows``.  No row means it can be used.
+
+    An empty set and absent columns are errors; checks whose columns are absent are left out.
+    """
+    have = set(training.columns)
+    found = [F.struct(F.lit(f"missing column {c}").alias("error"), F.lit(0).cast("long").alias("rows")) for c in TRAINING_COLUMNS if c not in have]
+    tests = {}
+    if {"rnd", "races_completed"} <= have:
+        tests["impossible history"] = count_if(F.col("races_completed") > F.col("rnd") - 1)
+    if "GridPosition" in have:
+        slot = F.col("GridPosition").try_cast("double")
+        tests["grid position out of range"] = count_if((slot < 1) | (slot > field_size))
+    row = training.agg(F.count(F.lit(1)).alias("n"), *[c.alias(f"t{i}") for i, c in enumerate(tests.values())])
+    empty = F.struct(F.lit("empty training set").alias("error"), F.lit(0).cast("long").alias("rows"))
+    counted = [F.when(F.col(f"t{i}") > 0, F.struct(F.lit(name).alias("error"), F.col(f"t{i}").alias("rows"))) for i, name in enumerate(tests)]
+    errors = F.when(F.col("n") == 0, F.array(empty)).otherwise(F.array_compact(F.array(*found, *counted) if found or counted else F.array(F.lit(None).cast("struct<error:string,rows:bigint>"))))
+    return row.select(F.inline(errors))
+
+
 def permutation_check(rows: DataFrame, race: Sequence[str], who: str, grid: str, expected: Column | None = None) -> DataFrame:
     """Field size, unique entrants, and whether the start slots are exactly 1..n."""
     n = F.count(F.lit(1))
@@ -212,12 +236,16 @@ def stamp(rows: DataFrame, source: str, collected_at: Column, **values) -> DataF
     return rows.withColumns(cols | {"data_source": F.lit(source), "collected_at": collected_at})
 
 
-def feature_inventory(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Missing share, constant flag and type of every feature: one aggregate row, then unpivoted.
+def feature_inventory(df: DataFrame, features: Sequence[str], groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Missing share, constant flag, type, group and stages of every feature: one aggregate row, then unpivoted.
+
+    Features the table doesn't have are wholly missing; those of no group are ``Other``.
 
     A feature is constant when its smallest and largest values agree, which needs
     no distinct set in memory.
     """
+    df = df.withColumns({f: F.lit(None).cast("double") for f in features if f not in df.columns})
+    group_of = {f: g for g, own in (groups or {}).items() for f in own}
     types = dict(df.dtypes)
     aggs = []
     for f in features:
@@ -235,6 +263,7 @@ def feature_inventory(df: DataFrame, features: Sequence[str]) -> DataFrame:
                 (F.col(f"{f}__missing") * 100.0).alias("missing_pct"),
                 F.col(f"{f}__constant").alias("is_constant"),
                 F.lit(stages(f)).alias("stages"),
+                F.lit(group_of.get(f, "Other")).alias("feature_group"),
             )
             for f in features
         ]

@@ -270,21 +270,25 @@ def session_validation(spark, sf):
     return shown(both.groupBy(*RACE, F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n")))
 
 
-INVENTORY = ["avg_finish", "quali_gap_pct", "q3_gap_pct", "sprint_quali_pos", "fp1_gap_pct", "grid_penalty_places", "teammate_grid_delta"]
+
+
+# columns of whole numbers
+WHOLE = {"practice_rank", "practice_laps", "practice_sessions", "quali_no_time", "races_completed", "race_pace_sample_count", "long_run_stint_length", "long_run_pace_rank"}
+INVENTORY = [*[c for c in MATRIX if c != "ActualFinish"], "p_safety_car", "p_vsc", "p_red_flag"]  # the last ones aren't in the table
+_GROUP_OF = {f: g for g, own in features.FEATURE_GROUPS.items() for f in own}
+_STAGES_OF = {c: [s for s in quality.STAGE_HIDDEN if c not in quality.STAGE_HIDDEN[s]] for c in INVENTORY}
 
 
 @query(
     "feature_inventory",
-    f"""WITH m AS (
-  SELECT avg_finish, quali_gap_pct, q3_gap_pct, sprint_quali_pos, fp1_gap_pct, cast(0 AS double) AS grid_penalty_places, teammate_grid_delta FROM {block("season_form_asof")}
-  JOIN {block("practice_block")} USING (series, rnd, entity) JOIN {block("qualifying_block")} USING (series, rnd, entity)
-  JOIN {block("sprint_block")} USING (series, rnd, entity) JOIN {block("teammate_grid_delta")} USING (series, rnd, entity))
-"""
+    MATRIX_SQL
     + " UNION ALL ".join(
-        f"""SELECT '{c}' AS feature, 'double' AS dtype, {r6(f"avg(cast({c} IS NULL AS int)) * 100")} AS missing_pct, count(DISTINCT {c}) <= 1 AS is_constant FROM m"""
+        f"""SELECT '{c}' AS feature, '{"bigint" if c in WHOLE else "double"}' AS dtype, {r6(f'avg(cast("{c}" IS NULL AS int)) * 100' if c in MATRIX else "max(100)")} AS missing_pct, {f'count(DISTINCT "{c}") <= 1' if c in MATRIX else "true"} AS is_constant,
+  '{_GROUP_OF.get(c, "Other")}' AS feature_group, {len(_STAGES_OF[c])} AS n_stages FROM matrix"""
         for c in INVENTORY
     ),
 )
 def feature_inventory(spark, sf):
-    rows = matrix(spark, sf, with_laps=False)
-    return shown(quality.feature_inventory(rows, INVENTORY).drop("stages"))
+    """All features of the matrix, and some it doesn't have."""
+    out = quality.feature_inventory(matrix(spark, sf), INVENTORY, features.FEATURE_GROUPS)
+    return shown(out.withColumn("n_stages", F.size(F.split("stages", ","))).drop("stages"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.numbers import event_status, interpret_grid, positions_gained, qualifying_format
+from lapwing.operators.quality import keep_first
 from lapwing.functions.timing import gap_text
 
 _PERSON = "driverId:string,givenName:string,familyName:string,permanentNumber:string,code:string"
@@ -120,6 +121,12 @@ def qualifying_results(pages: DataFrame, doc: str = "doc", first_season: int = 1
     ).drop("_pole")
 
 
+def season_qualifying(rows: DataFrame) -> DataFrame:
+    """Merges pages of qualifying entries: an entry that arrives on two of them counts once, with its best time."""
+    order = [F.col("best").isNull(), F.col("best")]
+    return keep_first(rows, ["season", "rnd", "driver_id", "position"], order)
+
+
 def alt_qualifying_results(docs: DataFrame) -> DataFrame:
     """The second dialect: segments under ``components``, one document per session."""
     rows = docs.select("season", F.col("round").alias("rnd"), F.upper(F.coalesce("session_type", F.lit(""))).alias("st"), F.explode("results").alias("e"))

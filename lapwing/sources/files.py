@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lapwing.functions.names import session_name
 from lapwing.functions.timing import number, seconds
 from lapwing.operators.grids import MANIFEST_SCHEMA
+from lapwing.operators.pit_plans import Compound, Strategy
 from lapwing.schema import FORECAST_COLUMNS, LAP_ALIASES, SESSION_ALIASES
 
 FILE_NAME = r"(\d{4})_round_(\d+)_([a-z0-9_]+)\.csv"
@@ -229,13 +230,46 @@ TRACKS_SCHEMA = (
     "historical_data_available:boolean,historical_years:array<int>,sprint_weekend_2026:boolean,known_penalties_2026:map<string,int>>>"
 )
 STRATEGY_SCHEMA = (
-    "default_pit_loss_seconds double, fuel_effect_seconds_per_lap double, "
+    "default_pit_loss_seconds double, stationary_stop_seconds double, sc_pit_loss_discount double, vsc_pit_loss_discount double, "
+    "fuel_effect_seconds_per_lap double, nominal_fuel_laps int, "
     "compounds map<string,struct<base_deg_rate_sec_per_lap:double,pace_delta_sec:double,max_usable_laps:int>>, "
     "circuit_priors map<string,struct<sc_probability:double,vsc_probability:double,red_flag_probability:double,"
-    "pit_loss_seconds:double,deg_multiplier:double>>"
+    "pit_loss_seconds:double,deg_multiplier:double>>, "
+    "wet_weather struct<intermediate_rain_threshold:double,heavy_rain_threshold:double,pace_variance_dry:double,"
+    "pace_variance_intermediate:double,pace_variance_heavy_wet:double,sc_probability_wet_multiplier:double,"
+    "dnf_probability_wet_multiplier:double,driver_wet_skill_bonuses:map<string,double>>"
 )
 
 
+def _strategy(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", STRATEGY_SCHEMA).alias("s")).select("s.*")
+
+
+def read_strategy(spark: SparkSession, path: str) -> Strategy:
+    """The constants of a strategy configuration (one document); what it leaves out keeps its default."""
+    row = _strategy(spark, path).first()
+    plain = Strategy()
+    if row is None:
+        return plain
+    compounds = {k: Compound(v["base_deg_rate_sec_per_lap"], v["pace_delta_sec"], v["max_usable_laps"]) for k, v in (row["compounds"] or {}).items()}
+    either = lambda value, default: default if value is None else value
+    return Strategy(
+        pit_loss=either(row["default_pit_loss_seconds"], plain.pit_loss),
+        fuel_per_lap=either(row["fuel_effect_seconds_per_lap"], plain.fuel_per_lap),
+        compounds=plain.compounds | {k.upper(): c for k, c in compounds.items()},
+    )
+
+
+def read_wet_weather(spark: SparkSession, path: str) -> DataFrame:
+    """Wet-weather settings: one row of thresholds and factors, with the drivers' skills as a map."""
+    return _strategy(spark, path).select("wet_weather.*")
+
+
+def read_wet_skills(spark: SparkSession, path: str) -> DataFrame:
+    """``driver, wet_skill``: seconds an entrant gains in the wet."""
+    return _strategy(spark, path).select(F.explode("wet_weather.driver_wet_skill_bonuses").alias("driver", "wet_skill"))
+
+
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     """Circuit configuration to one row per circuit, in configuration order."""
     text = spark.read.text(path, wholetext=True)
@@ -247,9 +281,7 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_circuit_priors(spark: SparkSession, path: str) -> DataFrame:
     """Strategy configuration to one row of priors per circuit."""
-    text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.explode(F.from_json("value", STRATEGY_SCHEMA)["circuit_priors"]).alias("circuit_key", "v"))
-    return rows.select("circuit_key", "v.*")
+    return _strategy(spark, path).select(F.explode("circuit_priors").alias("circuit_key", "v")).select("circuit_key", "v.*")
 
 
 def event_round(events: DataFrame, tracks: DataFrame, track: str, configured: str = "round_2026") -> DataFrame:

@@ -299,7 +299,7 @@ def test_plan_cost_equals_the_lap_sum(spark):
     total = 22.0
     for lap in range(1, 57):
         c, age = ("MEDIUM", lap) if lap <= cut else ("HARD", lap - cut)
-        total += 85 + 2 * 0.08 + pit_plans.PACE_DELTA[c] + (0.065 if c == "MEDIUM" else 0.04) * age + 0.035 * max(0, 56 - lap)
+        total += 85 + 2 * 0.08 + pit_plans.COMPOUNDS[c].pace + (0.065 if c == "MEDIUM" else 0.04) * age + 0.035 * max(0, 56 - lap)
     assert got[0]["total_seconds"] == pytest.approx(total) and got[0]["plan_name"] == f"1-Stop (M-H) @ {cut}"
 
 
@@ -348,3 +348,47 @@ def test_later_sessions_change_nothing(spark):
     assert features.gate_practice(one, "after_qualifying").collect() == one.collect()
     laps = spark.createDataFrame([("fp1", 1), ("fp2", 2), (None, 3)], "session string, lap int")
     assert [r.lap for r in features.gate_laps(laps, "after_fp1").collect()] == [1] and features.gate_laps(laps, "pre_fp1").count() == 0
+
+
+def test_manifest_fields_and_statuses(spark):
+    docs = ['{"season":1,"round":1,"grid":[{"driver":"a","grid_pos":1}]}', '{"season":1,"round":2,"circuit_key":"c","publication_status":"maybe"}',
+            '{"season":1,"round":3,"circuit_key":"c","publication_status":" final ","grid":[{"driver":"a","grid_pos":1}]}']
+    parsed = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, doc string").select("i", F.from_json("doc", grids.MANIFEST_SCHEMA).alias("m")).select("i", "m.*")
+    got = {r["i"]: r["errors"] for r in grids.manifest_errors(parsed, ["i"]).collect()}
+    assert got == {0: "missing circuit_key; missing publication_status", 1: "missing grid; unknown publication_status", 2: ""}
+    bare = {r["i"]: r["errors"] for r in grids.manifest_errors(parsed.drop("circuit_key", "season"), ["i"]).collect()}
+    assert bare[2] == "missing season; missing circuit_key"
+
+
+def test_grids_before_qualifying_are_unpublished(spark):
+    races = spark.createDataFrame([(1, "after_fp3"), (2, None), (3, "before_race"), (4, " AFTER_SPRINT ")], "race int, stage string")
+    rows = [(r, d, p, s, v) for r in (1, 2, 4) for d in ("a", "b") for p, s, v in ((4, "algorithmic_fallback", True), (1, "official_manifest", r != 2))]
+    stack = spark.createDataFrame(rows, "race int, driver string, priority int, source string, valid boolean")
+    got = sorted((r["race"], r["driver"], r["provenance"], r["publication_status"], r["document_reference"]) for r in grids.resolve_grids(races, stack, ["race"]).fillna("").collect())
+    assert got == [
+        (1, "", "unpublished", "UNOFFICIAL", "Pre-Qualifying Cutoff"), (2, "a", "algorithmic_fallback", "", ""), (2, "b", "algorithmic_fallback", "", ""),
+        (3, "", "unavailable", "UNOFFICIAL", ""), (4, "", "unpublished", "UNOFFICIAL", "Pre-Qualifying Cutoff"),
+    ]
+
+
+def test_weekend_stages(spark):
+    seen = spark.createDataFrame([(r, s) for r in (1, 2) for s in ("fp1", "fp2", "sprint_race", "qualifying", "race")], "rnd int, session string")
+    target = lambda *t: spark.createDataFrame(t, "rnd int, stage string, is_sprint boolean")
+    got = calendar.weekend_sessions(seen, target((1, "after_sprint", True), (2, "after_fp2", None)), ["rnd"])
+    assert rows(got, "rnd", "session") == [(1, "fp1"), (1, "sprint_race"), (2, "fp1"), (2, "fp2")]
+    wrong = target((1, "after_fp2", True), (2, "after_sprint_race", False), (3, "never", False), (4, None, True))
+    assert rows(calendar.stage_errors(wrong), "rnd", "error") == [
+        (1, "stage is invalid for a sprint weekend"), (2, "stage is invalid for a standard weekend"), (3, "unknown stage"),
+    ]
+    assert calendar.weekend_sessions(seen, wrong, ["rnd"], strict=False).count() == 0
+    with pytest.raises(Exception, match="sprint/after_fp2"):
+        calendar.weekend_sessions(seen, wrong, ["rnd"]).collect()
+
+
+def test_training_errors(spark):
+    good = spark.createDataFrame([(3, "a", 1.0, 2.0, 2)], "rnd int, entity string, ActualFinish double, GridPosition double, races_completed int")
+    assert rows(quality.training_errors(good, 20)) == []
+    assert rows(quality.training_errors(good.limit(0), 20)) == [("empty training set", 0)]
+    assert rows(quality.training_errors(good.select("rnd"), 20)) == [("missing column ActualFinish", 0), ("missing column GridPosition", 0), ("missing column entity", 0)]
+    bad = good.withColumns({"races_completed": F.lit(3), "GridPosition": F.lit("21")})
+    assert rows(quality.training_errors(bad, 20)) == [("grid position out of range", 1), ("impossible history", 1)]

@@ -1,7 +1,10 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are cut off by their element, role, class or id.  Every paragraph then passes points to its ancestors: one, one
+comments are cut off by their element, role, class or id.  A class or id says so by its whole name or its last part
+(``site-footer``), not by a part that says what an element has or lacks (``with-sidebar``, ``promo-free``).  Where only its first
+part does (``related-work``), the element stays if it holds paragraphs of prose with few links.  If no text is left, the
+page is read again without regard to classes and ids.  Every paragraph then passes points to its ancestors: one, one
 for each comma, and up to three for its length; the parent gets all, the next half, and so on ever less.  An element's
 points are discounted by the share of its text that stands in links.  The best container is kept, with those of its
 siblings that reach a fifth of its points or are long paragraphs with few links; an ``article`` or ``main`` element around
@@ -51,6 +54,10 @@ _CUT_NAMES = set(
     "share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus "
     "widget widgets pagination pager toolbar skip".split()
 )
+# Parts that turn a name into a trait of something else, and first parts that always name what follows them.
+_TRAITS = set("no not non without with has have is free enabled disabled off on less hide show toggle allow".split())
+_HEADS = set("ad ads adv advert adverts sponsor sponsored promo cookie cookies consent gdpr popup modal newsletter comment comments reply replies disqus".split())
+_PROSE = 200  # characters of paragraphs that an element needs to stay despite its first name part
 _CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -65,39 +72,55 @@ _PARAGRAPHS = {"p", "pre", "blockquote", "td", "div", "section", "article", "dd"
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "cut", "inside", "points", "text", "linked", "order", "end")
+    __slots__ = ("tag", "parent", "cut", "doubt", "inside", "points", "text", "linked", "order", "end")
 
-    def __init__(self, tag: str, parent: _Node | None, cut: bool, order: int):
+    def __init__(self, tag: str, parent: _Node | None, cut: bool, doubt: bool, order: int):
         self.tag, self.parent, self.cut, self.order = tag, parent, cut, order
+        # the outermost element around this one whose name leaves it in doubt
+        self.doubt = parent.doubt if parent is not None and parent.doubt is not None else self if doubt else None
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.points, self.text, self.linked, self.end = 0.0, 0, 0, order
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _named(name: str, in_article: bool) -> int:
+    """What a class or id says: 0 nothing, 1 perhaps unwanted, 2 unwanted."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+    if not parts or _TRAITS.intersection(parts):
+        return 0
+    if parts[-1] in _CUT_NAMES:
+        return 0 if in_article and parts[-1] == "header" else 2
+    if parts[0] in _HEADS:
+        return 2
+    return int(parts[0] in _CUT_NAMES)
+
+
+def _unwanted(tag: str, attributes: str, in_article: bool, by_name: bool) -> int:
     if tag in _CUT or tag == "header" and not in_article:
-        return True
+        return 2
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
     if _HIDDEN.search(attributes):
-        return True
+        return 2
+    most = 0
     for name, a, b, c in _NAMES.findall(attributes):
         value = (a or b or c).lower()
         if name.lower() == "role":
             if value in _CUT_ROLES:
-                return True
-            continue
-        parts = set(re.split(r"[^a-z0-9]+", value)) & _CUT_NAMES
-        if parts and not (in_article and parts <= {"header"}):
-            return True
-    return False
+                return 2
+        elif by_name:
+            most = max([most, *(_named(token, in_article) for token in value.split())])
+    return most
 
 
 class _Page:
-    def __init__(self, html: str):
-        self.root = _Node("", None, False, 0)
+    def __init__(self, html: str, by_name: bool = True):
+        self.by_name, self.skipped = by_name, False  # ``skipped``: a name has cut something
+        self.root = _Node("", None, False, False, 0)
         self.nodes = [self.root]
         self.blocks: list[tuple[_Node, int, str, int]] = []  # element, order, text, characters in links
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # where elements of a tag stand in ``open``
+        self.block_places = [0]
         self.pieces: list[str] = []
         self.link_pieces: list[str] = []
         self._read(html)
@@ -110,8 +133,7 @@ class _Page:
         self.pieces.clear()
         self.link_pieces.clear()
         if text:
-            node = next((n for n in reversed(self.open) if n.tag in _BLOCKS or not n.tag), self.root)
-            self.blocks.append((node, len(self.nodes), text, min(linked, len(text))))
+            self.blocks.append((self.open[self.block_places[-1]], len(self.nodes), text, min(linked, len(text))))
 
     def _text(self, text: str) -> None:
         if text and not self.open[-1].cut:
@@ -123,44 +145,47 @@ class _Page:
     def _close(self, count: int) -> None:
         for node in self.open[count:]:
             node.end = len(self.nodes)
+            self.places[node.tag].pop()
         del self.open[count:]
+        while self.block_places[-1] >= count:
+            self.block_places.pop()
+
+    def _last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in _BLOCKS:
             self._flush()
-            for i in range(len(self.open) - 1, 0, -1):  # a block ends an open paragraph
-                if self.open[i].tag == "p":
-                    self._close(i)
-                    break
-                if self.open[i].tag in _BLOCKS:
-                    break
+            if self.open[self.block_places[-1]].tag == "p":  # a block ends an open paragraph
+                self._close(self.block_places[-1])
         if tag in _CLOSED_BY:
             closes, until = _CLOSED_BY[tag]
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag in until:
-                    break
-                if self.open[i].tag in closes:
-                    self._flush()
-                    self._close(i)
+            bound = self._last(until)
+            while (last := self._last(closes)) > bound:
+                self._flush()
+                self._close(last)
         if tag in _VOID:
             if tag == "br":
                 self._text(" ")
             return
         parent = self.open[-1]
-        node = _Node(tag, parent, parent.cut or _unwanted(tag, attributes, parent.inside), len(self.nodes))
+        unwanted = 2 if parent.cut else _unwanted(tag, attributes, parent.inside, self.by_name)
+        self.skipped |= self.by_name and unwanted > 0 and not parent.cut
+        node = _Node(tag, parent, unwanted == 2, unwanted == 1, len(self.nodes))
         self.nodes.append(node)
         if not attributes.endswith("/") or tag in _BLOCKS or tag == "a":
+            self.places.setdefault(tag, []).append(len(self.open))
+            if tag in _BLOCKS:
+                self.block_places.append(len(self.open))
             self.open.append(node)
 
     def _end(self, tag: str) -> None:
         if tag in _BLOCKS:
             self._flush()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                self._close(i)
-                return
-            if tag not in _BLOCKS and self.open[i].tag in _BLOCKS:
-                return  # an inline element that isn't open here
+        at = self._last((tag,))
+        # an inline element that isn't open inside its block has nothing to end
+        if at and (tag in _BLOCKS or at > self.block_places[-1]):
+            self._close(at)
 
     def _read(self, html: str) -> None:
         at = 0
@@ -187,6 +212,18 @@ class _Page:
         self._close(1)
         self.root.end = len(self.nodes)
 
+    def _settle(self) -> None:
+        """Drops the blocks of elements in doubt that hold too little prose."""
+        held: dict[_Node, list[int]] = {}
+        for node, _, text, linked in self.blocks:
+            if node.doubt is not None:
+                own = held.setdefault(node.doubt, [0, 0, 0])
+                own[0] += len(text) if len(text) >= 80 and linked * 4 < len(text) else 0
+                own[1] += len(text)
+                own[2] += linked
+        gone = {n for n, (prose, text, linked) in held.items() if prose < _PROSE or 2 * prose < text or 4 * linked >= text}
+        self.blocks = [b for b in self.blocks if b[0].doubt not in gone]
+
     def _score(self) -> None:
         for node, _, text, linked in self.blocks:
             node.text += len(text)
@@ -208,6 +245,7 @@ class _Page:
         return node.points * (1 - node.linked / node.text) if node.text else 0.0
 
     def main_text(self) -> str:
+        self._settle()
         self._score()
         best = max(self.nodes, key=lambda n: (self._worth(n), -n.order))
         if self._worth(best) <= 0:
@@ -235,7 +273,11 @@ class _Page:
 
 
 def main_text(html: str | None) -> str:
-    return _Page(html).main_text() if html else ""
+    if not html:
+        return ""
+    page = _Page(html)
+    text = page.main_text()
+    return text if text or not page.skipped else _Page(html, by_name=False).main_text()
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -149,6 +149,50 @@ def test_html_cases():
         assert html_text.main_text(bad) == ""
 
 
+_PROSE = "".join(f"<p>Paragraph {i} of the article, with commas, and of a length that counts as prose for the scoring.</p>" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ['class="content with-sidebar"', 'class="no-sidebar"', 'class="post has-comments"', 'class="article-body social-share-enabled"', 'class="story promo-free"',
+     'class="wrapper page-with-header"', 'id="main" class="widget-area-right"', 'class="related-work"', 'class="banner"'],
+)
+def test_names_that_only_mention_other_parts_keep_the_article(attributes):
+    junk = "<div class='site-footer'><p>All rights reserved, here, there, and everywhere, by all of us and some others.</p></div>"
+    page = f"<html><body><div {attributes}>{_PROSE}</div>{'' if 'banner' in attributes else junk}</body></html>"
+    assert html_text.main_text(page).count("Paragraph") == 4 and "rights" not in html_text.main_text(page)
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "user-comments", "ad-slot", "top-ad", "cookie-notice", "related-posts", "social-links", "sidebar left", "site-footer", "newsletter-form"])
+def test_named_parts_are_left_out(name):
+    inner = _PROSE.replace("Paragraph", "Remark") if "comment" in name or name in ("ad-slot", "top-ad") else "<a href=x>One more story, with a title, that is linked from here</a> <a href=y>Another one</a>"
+    text = html_text.main_text(f"<article><h1>T</h1>{_PROSE}<div class='{name}'>{inner}</div></article>")
+    assert text.count("Paragraph") == 4 and "Remark" not in text and "story" not in text
+
+
+def test_html_time_is_in_proportion():
+    import time
+
+    def spent(n):
+        pages = ["<p>x " + "<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<b>" * n + "<p>xx" * n, "<ul><li>a" * n + "</ul>" * n]
+        start = time.perf_counter()
+        for page in pages:
+            html_text.main_text(page)
+        return time.perf_counter() - start
+
+    spent(500)
+    assert spent(16_000) < 8 * spent(4_000)
+
+
+def test_html_odd_pages(spark):
+    long = "<article>" + "<p>Word, word, and a few more words for a paragraph of some length.</p>" * 5_000
+    rows = [(1, "u", long, "x"), (1, "u", long, "x"), (None, None, None, "x"), (2, "u", "", None), (3, "u", "<p>a</p>" * 2, "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_text.extract(pages).collect()
+    assert [r.n_chars for r in got] == [len(r.text) for r in got] and sorted(r.text.count("Word") for r in got) == [0, 0, 0, 5_000, 5_000]
+    assert {r.page_id: r.text for r in got}[3] == "a\n\na" and html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_html_articles(spark):
     from html import unescape
 

@@ -4,8 +4,10 @@ A word's score in a language is the logarithm of its smoothed relative frequency
 is scored by its longest known character n-grams: where no n-gram of the longest size is known at a place, the next
 shorter size is tried, down to single characters.  A text's scores are sums over its words; the best language wins.
 
-The model is learned from a bounded sample of labelled rows: ``SAMPLE`` rows at most, chosen by a hash of the number, so
-that reruns agree.  Its tables hold ``WORDS`` words and ``GRAMS`` n-grams at most, the most frequent ones.
+The model is learned from a bounded sample of labelled rows, chosen by a hash of number and text, so that reruns agree.
+Sample and tables are shared out by language: each language has an equal share of about ``SAMPLE`` rows, ``WORDS`` words and
+``GRAMS`` n-grams (``LEAST_SHARE`` of each at least), its own most frequent ones, however rare it is among all rows.  Relative
+frequencies are mixed with an equal chance for every word, so what a language doesn't know costs it the same everywhere.
 
 A word of the model is a maximal run of letters, in lower case.  A text that is null or has no letter is ``und`` with
 score 0.  Without any labelled text every text is ``und``.  Ties go to the language whose name is smaller.
@@ -14,6 +16,7 @@ Repeated rows count as often as they occur.  ``lang``, ``source`` and ``doc_id``
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -21,15 +24,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.llm import words
-from lapwing.llm.scratch import over_batches
+from lapwing.llm.scratch import Scratch, over_batches
 
-SAMPLE = 20_000  # rows that the model is learned from, at most
-WORDS = 100_000  # words that the model knows, at most
-GRAMS = 60_000  # character n-grams that it knows, at most
+SAMPLE = 32_000  # rows that the model is learned from, all languages together
+WORDS = 100_000  # words that the model knows
+GRAMS = 60_000  # character n-grams that it knows
+LEAST_SHARE = 2_000
+UNIFORM = 0.1  # weight of the equal chance
 LONGEST = 5
 REMEMBERED = 100_000  # words whose scores a task remembers
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -105,12 +110,19 @@ class Model:
 
 
 def learn(rows: DataFrame) -> Model:
-    """A model from columns ``doc_id, text, lang``: labelled rows with a text, ``SAMPLE`` of them at most."""
+    """A model from columns ``doc_id, text, lang``: labelled rows with a text, a bounded number of each language."""
     labelled = rows.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    total = labelled.count()
-    if total > SAMPLE:
-        part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1_000_000))
-        labelled = labelled.where(part < int(1_000_000 * SAMPLE / total))
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
+    if not sizes:
+        return Model([], {}, {}, np.zeros((0, 0), dtype=np.float32))
+
+    def share(of: int) -> int:
+        return max(of // len(sizes), LEAST_SHARE)
+
+    if max(sizes.values()) > share(SAMPLE):
+        rates = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, share(SAMPLE) / n))])
+        part = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1_000_000)) / 1_000_000
+        labelled = labelled.where(part < rates[F.col("lang")])
 
     def count(batches):
         found: Counter = Counter()
@@ -125,17 +137,24 @@ def learn(rows: DataFrame) -> Model:
 
     found = labelled.select("text", "lang").mapInArrow(count, "lang string, n bigint, word string")
     found = found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    vocabulary = found.groupBy("word").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    known = vocabulary.orderBy(F.desc("all"), "word").limit(WORDS).toLocalIterator()
-    by_word = {r["word"]: r["by"] for r in known}
+    found = Scratch(rows.sparkSession, "langid").keep(found)  # read twice: counted words of the sample
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    best = found.withColumn("k", F.row_number().over(first)).where(F.col("k") <= share(WORDS)).select("word").distinct()
+    known = found.join(best, "word").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    by_word = {r["word"]: r["by"] for r in known.toLocalIterator()}  # about WORDS rows
+    by_word = dict(sorted(by_word.items()))
     languages = sorted({x for by in by_word.values() for x in by})
-    grams: dict[str, Counter] = {}
+    every: dict[str, Counter] = {}
     for word, by in by_word.items():
         for g in _grams(word):
-            own = grams.setdefault(g, Counter())
+            own = every.setdefault(g, Counter())
             for lang in by:  # each distinct word counts once, so that frequent words don't decide about unseen ones
                 own[lang] += 1
-    grams = dict(sorted(grams.items(), key=lambda kv: (-sum(kv[1].values()), kv[0]))[:GRAMS])
+    chosen: set[str] = set()
+    for lang in languages:
+        own = [(-by[lang], g) for g, by in every.items() if by[lang]]
+        chosen.update(g for _, g in heapq.nsmallest(share(GRAMS), own))
+    grams = {g: every[g] for g in sorted(chosen)}
     by_size: dict[int, Counter] = {n: Counter() for n in range(1, LONGEST + 1)}
     for g, by in grams.items():
         by_size[len(g)].update(by)
@@ -143,11 +162,12 @@ def learn(rows: DataFrame) -> Model:
     for by in by_word.values():
         spoken.update(by)
 
-    def logs(by, of) -> np.ndarray:
-        return np.array([math.log((by.get(x, 0) + 0.5) / (of[x] + 0.5 * len(by_word) + 1)) for x in languages])
+    def logs(by, of, kinds: int) -> np.ndarray:
+        return np.array([math.log((1 - UNIFORM) * by.get(x, 0) / max(of[x], 1) + UNIFORM / kinds) for x in languages])
 
+    kinds = Counter(map(len, grams))
     often = [(w, by) for w, by in by_word.items() if sum(by.values()) > 1]
-    table = [logs(by, spoken) for _, by in often] + [logs(by, by_size[len(g)]) for g, by in grams.items()]
+    table = [logs(by, spoken, len(by_word)) for _, by in often] + [logs(by, by_size[len(g)], kinds[len(g)]) for g, by in grams.items()]
     return Model(
         languages,
         {w: i for i, (w, _) in enumerate(often)},

@@ -4,15 +4,17 @@ A source's rate is its target over its size, in words; it says how often each of
 of the rate is taken of every document with certainty.  For the rest every document draws a uniform number ``u`` from a
 hash of its content and is ranked by its odds over its inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``; documents are
 taken in this order while they fit into the words still wanted.  So that a source's sample has a fixed size in words, the
-words that are then missing are filled by up to ``CLOSERS`` later documents, each the largest that fits.
+words that are then missing are filled by up to ``CLOSERS`` later documents, each the largest that fits, and by one that doesn't fit
+if it comes nearer.
 
 The cut in the order of a source isn't found by sorting it.  Ranks fall into cells; sums of cells say in which cell the cut
 is, and only that cell's documents are cut again, twice, until a handful is sorted.  Sums are combined before they are
 shuffled, so a source with a third of all documents costs what any other costs.
 
 Sizes count words ``[^\\x20\\x09-\\x0D]+``.  Null and empty texts have size 0 and are taken with 0 words.  A null source is a
-source.  Equal documents (same number, source and text) have equal ranks: which of them the cut takes doesn't change
-the result.  A table without words has targets of 0.  Other columns aren't read.
+source.  Documents that repeat a number, source and text are told apart by an ordinal, and each draws for itself; which of the
+rows gets which ordinal doesn't change the rows of the result.  A table without words has targets of 0.  Other columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from lapwing.llm.scratch import Scratch
 
 MOST_COPIES = 3
 CELLS = 4096
-CLOSERS = 3
+CLOSERS = 6
 
 
 def word_count(text: Column) -> Column:
@@ -67,8 +69,33 @@ def _cut(rows: DataFrame, cell: Column) -> DataFrame:
     return first.select(F.col("source").alias("s"), F.col("x.cell").alias("cut"), F.col("x.before").alias("before"))
 
 
+def _content() -> Column:
+    return F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"))
+
+
 def _draw(seed: int) -> Column:
-    return (F.pmod(F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    return (F.pmod(F.xxhash64("content", "ordinal", F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """``content`` of rows that occur more than once."""
+    return rows.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
+
+
+def _with_ordinals(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Adds ``ordinal``: 1, and for repeated content 1, 2, 3 and so on.
+
+    Rows carry the ``part`` they were read in.  Repeated ones are numbered inside their part, and parts are shifted by
+    the counts of the parts before them, so that no task gets all rows of a content.
+    """
+    marked = rows.join(repeated.withColumn("again", F.lit(True)), "content", "left")
+    counts = marked.where("again").groupBy("content", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("content").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("content", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    inside = Window.partitionBy("content", "part").orderBy(F.lit(0))
+    numbered = marked.where("again").withColumn("k", F.row_number().over(inside)).join(counts, ["content", "part"])
+    numbered = numbered.select(*rows.columns, (F.col("k") + F.col("shift")).cast("long").alias("ordinal"))
+    return marked.where("again is null").select(*rows.columns, F.lit(1).cast("long").alias("ordinal")).unionByName(numbered)
 
 
 def _place(p: Column, u: Column) -> Column:
@@ -77,9 +104,18 @@ def _place(p: Column, u: Column) -> Column:
     return F.when(p > 0, rank / (1 + rank)).otherwise(F.lit(1.0))
 
 
-def rules(docs: DataFrame, seed: int, most: int, scratch: Scratch) -> DataFrame:
-    """One row a source (``s``): size, target, whole copies, inclusion chance, the cut in its order, and the closers."""
-    sized = scratch.keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _draw(seed).alias("u")))
+def rules(docs: DataFrame, seed: int, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """One row a source (``s``): size, target, whole copies, inclusion chance, the cut in its order, and the closers.
+
+    Also all documents with their sizes and draws, and the contents that occur more than once (None if none does).
+    """
+    sized = scratch.keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _content().alias("content"), F.spark_partition_id().alias("part")))
+    repeated = scratch.keep(_repeated(sized))
+    if repeated.isEmpty():
+        repeated, sized = None, sized.withColumn("ordinal", F.lit(1).cast("long"))
+    else:
+        sized = scratch.keep(_with_ordinals(sized, repeated))
+    sized = sized.select("doc_id", "source", "size", _draw(seed).alias("u"))
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), scratch, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = goal.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
@@ -101,20 +137,24 @@ def rules(docs: DataFrame, seed: int, most: int, scratch: Scratch) -> DataFrame:
     gap = F.col("x.wanted") - (F.col("x.until") - F.col("x.size"))
     cut = scratch.keep(last.select(F.col("source").alias("s"), F.col("x.place").alias("at"), F.col("x.doc_id").alias("last_id"), gap.alias("gap")))
 
-    # What is still missing is closed by the largest documents after the cut that fit into it.
+    # What is still missing is closed by the largest documents after the cut that fit into it; at the end by the
+    # smallest that doesn't, if that comes nearer.
     left = rows.join(cut, same).where(~_before_cut()).select("s", "size", "place", "doc_id")
     missing, closers = cut.select(F.col("s").alias("c"), "gap"), None
-    for _ in range(CLOSERS):
-        fits = left.join(missing, F.col("s").eqNullSafe(F.col("c")) & (F.col("size") <= F.col("gap"))).drop("c")
+    for step in range(CLOSERS + 1):
+        last = step == CLOSERS
+        near = (F.col("size") > F.col("gap")) & (F.col("size") < 2 * F.col("gap")) if last else F.col("size") <= F.col("gap")
+        fits = left.join(missing, F.col("s").eqNullSafe(F.col("c")) & near).drop("c")
         if closers is not None:
             fits = fits.join(closers.select("place", "doc_id"), ["place", "doc_id"], "leftanti")
-        best = fits.groupBy("s").agg(F.min(F.struct(-F.col("size"), "place", "doc_id", (F.col("gap") - F.col("size")).alias("gap"))).alias("x"))
+        best = fits.groupBy("s").agg(F.min(F.struct(F.col("size") if last else -F.col("size"), "place", "doc_id", (F.col("gap") - F.col("size")).alias("gap"))).alias("x"))
         best = scratch.keep(best.select(F.col("s").alias("c"), "x.place", "x.doc_id", "x.gap"))
         closers = best if closers is None else closers.unionByName(best)
-        missing = best.select("c", "gap")
-    closers = closers.groupBy("c").agg(F.collect_list("place").alias("closers"))  # CLOSERS places at most
+        closed = best.select(F.col("c").alias("d"), F.col("gap").alias("now"))
+        missing = missing.join(closed, F.col("c").eqNullSafe(F.col("d")), "left").select("c", F.coalesce("now", "gap").alias("gap"))
+    closers = closers.groupBy("c").agg(F.collect_list("place").alias("closers"))  # CLOSERS + 1 places at most
     out = goal.join(cut.withColumnRenamed("s", "t").drop("gap"), F.col("s").eqNullSafe(F.col("t")), "left").drop("t", "wanted")
-    return scratch.keep(out.join(closers, F.col("s").eqNullSafe(F.col("c")), "left").drop("c"))
+    return scratch.keep(out.join(closers, F.col("s").eqNullSafe(F.col("c")), "left").drop("c")), sized, repeated
 
 
 def _before_cut() -> Column:
@@ -130,8 +170,7 @@ def _copies(most: int) -> Column:
 
 def mix(docs: DataFrame, seed: int = 42, most: int = MOST_COPIES) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``."""
-    rule = rules(docs, seed, most, Scratch(docs.sparkSession, "mix"))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _draw(seed).alias("u"))
+    rule, sized, _ = rules(docs, seed, most, Scratch(docs.sparkSession, "mix"))
     rows = sized.join(rule, F.col("source").eqNullSafe(F.col("s"))).withColumn("place", _place(F.col("p"), F.col("u")))
     rows = rows.withColumn("copies", _copies(most))
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -143,10 +182,12 @@ def repeat_taken(docs: DataFrame, seed: int = 42, most: int = MOST_COPIES) -> Da
     Documents meet their source's rule where they are; they are only shuffled if the table of sources is too large to
     be sent to them.
     """
-    rule = rules(docs, seed, most, Scratch(docs.sparkSession, "mix"))
+    rule, _, repeated = rules(docs, seed, most, Scratch(docs.sparkSession, "mix"))
     own = ("doc_id", "source", "text")
     rows = docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.select("doc_id", "source", "row", word_count(F.col("text")).alias("size"), _draw(seed).alias("u"))
+    rows = rows.select("doc_id", "source", "row", word_count(F.col("text")).alias("size"), _content().alias("content"), F.spark_partition_id().alias("part"))
+    rows = rows.withColumn("ordinal", F.lit(1).cast("long")) if repeated is None else _with_ordinals(rows, repeated)
+    rows = rows.select("doc_id", "source", "row", "size", _draw(seed).alias("u"))
     rows = rows.join(rule, F.col("source").eqNullSafe(F.col("s"))).withColumn("place", _place(F.col("p"), F.col("u")))
     rows = rows.withColumn("copies", _copies(most)).where("copies > 0")
     return rows.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")

@@ -354,6 +354,34 @@ def test_mixing_reaches_targets(spark, docs):
     assert mixing.repeat_taken(docs).count() == sum(r.copies for r in rows)
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_repeated_rows_are_split_at_the_cut(spark, parts):
+    """Two sources of a thousand and of ten rows that repeat number, source and text; one of other rows."""
+    rows = [(1, "one two three four five", "a")] * 500 + [(2, "x y z v w", "a")] * 500 + [(3, "p q", "b")] * 10 + [(i, "w " * (i % 7 + 1), "c") for i in range(100, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+    got = mixing.mix(docs).collect()
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 6 and all(r.taken <= 3 * r.size for r in own)
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
+    mixed = mixing.repeat_taken(docs).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in mixed} == {i: n for i in {r.doc_id for r in got} if (n := sum(r.copies for r in got if r.doc_id == i))}
+
+
+def test_rare_languages_are_learned(spark):
+    """One language has five thousand times the rows of another."""
+    rng = np.random.default_rng(3)
+    name = lambda letters, k: "".join(letters[int(x)] for x in rng.integers(0, len(letters), k))
+    words_of = {"aa": [name("abcdefgh", 6) for _ in range(30_000)], "zz": [name("stuvwxyz", 6) for _ in range(60)]}
+    text = lambda lang, n: " ".join(words_of[lang][int(x)] for x in rng.integers(0, len(words_of[lang]), n))
+    rows = [(i, text("aa", 12), "aa") for i in range(20_000)] + [(30_000 + i, text("zz", 12), "zz") for i in range(4)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8))
+    assert model.languages == ["aa", "zz"]
+    names, _ = model.predict(pa.array([text("zz", 8), text("aa", 8), "ab", "zy xw"]))
+    assert names == ["zz", "aa", "aa", "zz"]
+
+
 def test_decontamination_by_brute_force(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.matches(docs, items).collect()}

@@ -132,7 +132,7 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = chroma.recordings(table(spark, sf_dir, "embeddings"))
     prints = Scratch(spark, "chroma").keep(chroma.fingerprints(media))
-    return chroma.search(prints, prints.where("rec_id % 20 = 0"))
+    return chroma.search(prints, F.col("rec_id") % 20 == 0)
 
 
 @query

@@ -313,18 +313,61 @@ def test_mined_rules_match_by_brute_force(spark):
     assert got == {i: "block" if any(x <= t for x in listed) else "allow" for i, t in tokens.items()}
 
 
+def offsets_by_rule(a, b):
+    """Every offset at which two fingerprints align by the rule."""
+    found = {}
+    for offset in range(-len(a) + chroma.LEAST, len(b) - chroma.LEAST + 1):
+        share, n = chroma.wrong_bits(a, b, offset)
+        if share <= chroma.WRONG and n >= chroma.LEAST:
+            found[offset] = share
+    return found
+
+
 def test_chroma_recall(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(0, 0.125, (12, 64))
     vectors = [(i, (base[i % 12] + rng.normal(0, 0.008, 64) * (i >= 12)).tolist()) for i in range(60)] + [(60, None), (61, [0.1])]
     media = chroma.recordings(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
     p = chroma.fingerprints(media)
-    got = {r.rec_id: r for r in chroma.search(p, p.where("rec_id % 20 = 0")).collect()}
+    got = {r.rec_id: r for r in chroma.search(p, F.col("rec_id") % 20 == 0).collect()}
     assert len(got) == 62 and got[60].n_frames == got[61].n_frames == 0
     prints = {r.rec_id: np.array(r.prints, dtype=np.int32).view(np.uint32) for r in p.collect()}
-    for i in range(60):
-        near = {q for q in (0, 20, 40) if q != i and chroma.wrong_bits(prints[i], prints[q], 0)[0] <= chroma.WRONG}
-        assert got[i].n_links >= len(near) and (not near or got[i].best_id % 12 == i % 12)
+    want = {(i, q) for i in range(60) for q in (0, 20, 40) if q != i and offsets_by_rule(prints[i], prints[q])}
+    found = {(i, m.query_id) for i, r in got.items() for m in r.matches}
+    assert found <= want and len(found) >= 0.95 * len(want) and len(want) >= 10
+    assert all(r.n_links == len(r.matches) and (not r.matches or (r.best_id, r.best_wrong) == (r.matches[0].query_id, r.matches[0].wrong)) for r in got.values())
+
+
+@pytest.mark.parametrize("noise,share", [(0, 1.0), (3000, 1.0), (3000, 0.7), (3500, 0.8), (4000, 0.7)])
+def test_chroma_recall_at_the_limits_of_the_rule(spark, noise, share):
+    """Noisy and partly overlapping copies: of the pairs that the rule accepts, nine of ten are found."""
+    rng = np.random.default_rng(noise + int(10 * share))
+    vectors = [(2 * i, rng.normal(0, 0.125, 64).tolist()) for i in range(40)]
+    clean = chroma.recordings(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()
+    rows = []
+    for r in clean:
+        pcm = np.frombuffer(r.samples, dtype="<i2").astype(float)
+        part = pcm[int(len(pcm) * (1 - share)) :] + rng.normal(0, noise, len(pcm) - int(len(pcm) * (1 - share)))
+        rows += [(r.rec_id, bytes(r.samples)), (r.rec_id + 1, np.clip(part, -32768, 32767).astype("<i2").tobytes())]
+    p = chroma.fingerprints(spark.createDataFrame(rows, "rec_id long, samples binary"))
+    prints = {r.rec_id: np.array(r.prints, dtype=np.int32).view(np.uint32) for r in p.collect()}
+    want = {i + 1 for i in range(0, 80, 2) if offsets_by_rule(prints[i + 1], prints[i])}
+    got = chroma.search(p, F.col("rec_id") % 2 == 0).collect()
+    found = {r.rec_id for r in got if r.rec_id % 2 and any(m.query_id == r.rec_id - 1 for m in r.matches)}
+    assert len(found & want) >= 0.9 * len(want)
+
+
+def test_chroma_links_all_queries_and_equal_ones_as_a_class(spark):
+    rng = np.random.default_rng(5)
+    vector = rng.normal(0, 0.125, 64)
+    vectors = [(i, vector.tolist()) for i in (0, 20, 40, 7)] + [(60, (vector + rng.normal(0, 0.004, 64)).tolist()), (7, vector.tolist()), (None, vector.tolist())]
+    table = spark.createDataFrame([(*v, 1.0) for v in vectors], "vec_id long, embedding array<double>, wrong double")
+    p = chroma.fingerprints(chroma.recordings(table))
+    got = {r.rec_id: r for r in chroma.search(p, F.col("rec_id") % 20 == 0).collect()}
+    assert [(m.query_id, m.queries) for m in got[7].matches] == [(0, 3), (60, 1)] and got[7].n_links == 4
+    assert (got[0].matches[0].query_id, got[0].matches[0].queries) == (40, 2) and (got[20].matches[0].query_id, got[20].n_links) == (0, 3)
+    assert [(m.query_id, m.queries) for m in got[60].matches] == [(0, 3)]
+    assert chroma.search(p.limit(0), F.col("rec_id") % 20 == 0).count() == 0 and chroma.search(p, F.lit(False)).where("n_links > 0").count() == 0
 
 
 def test_mixing_reaches_targets(spark, docs):

@@ -5,6 +5,9 @@ kept, a rule that says no more than a shorter one is dropped.  Rules are indexed
 own tokens in this inverted index and only the rules found there are compared as a whole.  Stated rules for a host and a
 path go before: a rule fits its host and all its subdomains if the path begins with the rule's; the longest wins.
 
+Tokens that occur in exactly the same labelled URLs are mined as one, their smallest, and those of all labelled URLs not at
+all: a rule with such a token says no more than the rule without it, and n of them would make 2**n combinations.
+
 Tokens: every label of the host with its place from the right, every part of the path (numbers as ``#``), the file
 ending, names of query parameters, the scheme.  A label is ``block`` for a page whose label row says toxic or of no quality.
 Each distinct URL is judged once.  The host stands between the first ``://`` and ``/``, ``?`` or ``#``, in lower case; a URL that
@@ -64,15 +67,31 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: ~x.rlike(r"^[a-z0-9]+:$")))
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """``x`` of tokens worth mining, from rows ``k, t``: one of those that always come together, none that is everywhere.
+
+    A token's rows are summed up as a count and two sums of hashes, which are equal for equal sets of rows only, but for a
+    chance of 2**-100.
+    """
+    mark = lambda seed: F.sum(F.xxhash64("k", F.lit(seed)).cast("decimal(38,0)"))
+    where = rows.select("k", F.explode("t").alias("x")).groupBy("x").agg(F.count("*").alias("n"), mark(1).alias("a"), mark(2).alias("b"))
+    whole = rows.agg(F.count("*").alias("n"), mark(1).alias("a"), mark(2).alias("b"))
+    return where.join(whole, ["n", "a", "b"], "leftanti").groupBy("n", "a", "b").agg(F.min("x").alias("x")).select("x")
+
+
 def mine(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.5, lift: float = 1.2) -> DataFrame:
     """Rules for blocking: ``items, confidence, support, key``; ``key`` is the rarest of the items."""
     spark = pages.sparkSession
     bad = F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.max(bad).alias("bad"))
     rows = pages.select(F.col("page_id").cast("long").alias("k"), tokens_of(F.col("url")).alias("t")).join(marks, "k")
-    rows = rows.select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(BLOCK)))).otherwise(F.col("t")).alias("items")).where("size(items) > 0")
     scratch = Scratch(spark, "urls")
-    rows = scratch.keep(rows)
+    # a page whose number repeats is as many rows; each gets a key of its own
+    rows = scratch.keep(rows.select(F.struct("k", F.monotonically_increasing_id()).alias("k"), "t", "bad"))
+    kept = rows.select("k", "bad", F.explode_outer("t").alias("x")).join(_apart(rows).withColumn("kept", F.lit(True)), "x", "left")
+    kept = kept.groupBy("k").agg(F.first("bad").alias("bad"), F.collect_list(F.when(F.col("kept"), F.col("x"))).alias("t"))  # a URL's tokens
+    items = F.when(F.col("bad"), F.concat("t", F.array(F.lit(BLOCK)))).otherwise(F.col("t"))
+    rows = scratch.keep(kept.select(items.alias("items")).where("size(items) > 0"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
     found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).where(F.col("lift") >= lift)
     found = scratch.keep(found.select(F.array_sort("antecedent").alias("items"), "confidence", "support"))

@@ -313,6 +313,30 @@ def test_mined_rules_match_by_brute_force(spark):
     assert got == {i: "block" if any(x <= t for x in listed) else "allow" for i, t in tokens.items()}
 
 
+def test_tokens_that_always_come_together_are_mined_as_one(spark):
+    """Sixteen parameters would make 65,536 combinations each with and without what all URLs share."""
+    many = "&".join(f"p{i}=1" for i in range(16))
+    pages = spark.createDataFrame([(i, f"http://h.org/{'x' if i % 3 else 'y'}/?{many if i % 2 else 'q=1'}") for i in range(200)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    rules = url_rules.mine(pages, labels)
+    assert [r["items"] for r in rules.collect()] == [["query:p0"]]
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, rules).collect()}
+    assert got == {i: "block" if i % 2 else "allow" for i in range(200)}
+
+
+def test_url_odd_tables(spark):
+    rows = [(1, None, "x"), (1, "http://a.org/spam", None), (1, "http://a.org/spam", "x"), (None, "http://b.org/ok", "x"), (2, "", "x"), (3, "http://" + "c/" * 5_000, "x"), (4, "http://b.org/ok", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string")
+    labels = spark.createDataFrame([(1, 1, 1, "x"), (1, None, None, "x"), (None, 0, 1, "x"), (3, 1, 0, "x"), (4, 1, 0, "x")], "doc_id long, quality int, toxic int, host string")
+    for table, marks in ((pages, labels), (pages.limit(0), labels), (pages, labels.limit(0))):
+        out = url_rules.judge(table, url_rules.mine(table, marks), queries.STATED).collect()
+        assert len(out) == table.count() and all(r.verdict in ("allow", "block") for r in out)
+        if table is pages and marks is labels:
+            assert {r.page_id: r.verdict for r in out if r.path == "/spam"} == {1: "block"} and all(r.verdict == "allow" for r in out if r.path == "/ok")
+        elif marks is not labels:
+            assert all(r.verdict == "allow" for r in out)
+
+
 def offsets_by_rule(a, b):
     """Every offset at which two fingerprints align by the rule."""
     found = {}

@@ -34,23 +34,40 @@ def _block_length(alpha: float) -> int:
     return max(1, int(150 * math.log(10) / -math.log(1 - alpha)))
 
 
-def add_ewma(df: DataFrame, scope: list[str], value: str, name: str, alpha: float = ALPHA) -> DataFrame:
-    """Adds the EWMA of all known values before each row, exact at any length of a history.
+def _reach(alpha: float) -> int:
+    """Known values after which a weight is below 1e-17, so that it can't change a double."""
+    if not 0 < alpha < 1:
+        raise ValueError("alpha lies between 0 and 1")
+    return math.ceil(17 * math.log(10) / -math.log(1 - alpha))
 
-    Known values are numbered and cut into blocks.  Inside a block it is a scaled running sum; a block starts from the
-    value that the block before it has ended with.
+
+def add_ewma(df: DataFrame, scope: list[str], columns: dict[str, str], alpha: float = ALPHA) -> DataFrame:
+    """Adds for each ``value: name`` the EWMA of all known values before a row, exact at any length of a history.
+
+    Known values are numbered, and a row sums the last ones that can matter, each scaled by its place in a block of numbers.
+    A reach is shorter than a block, so it meets two blocks at most, an even and an odd one: two sums in one frame, put
+    on the row's own scale, are the mean.
     """
-    length, keep = _block_length(alpha), F.lit(1 - alpha)
+    keep, reach = 1 - alpha, _reach(alpha)
+    block = 2 * reach
     by_round = Window.partitionBy(*scope).orderBy("rnd")
-    rows = df.withColumn("_n", F.count(value).over(by_round.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_b", F.floor(F.col("_n") / length)).withColumn("_i", (F.col("_n") - F.col("_b") * length).cast("double"))
-    weight = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(F.lit(alpha)) * F.pow(keep, -F.col("_i"))
-    in_block = Window.partitionBy(*scope, "_b").orderBy("rnd").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.sum(F.when(F.col(value).isNotNull(), weight * F.col(value))).over(in_block) * F.pow(keep, F.col("_i"))
-    rows = rows.withColumn("_own", own).withColumn("_before", F.lag("_own").over(by_round))
-    carried = F.first("_before").over(in_block) * F.pow(keep, F.col("_i") + 1)
-    rows = rows.withColumn("_ewma", F.when(F.col("_n") > 0, F.coalesce("_own", F.lit(0.0)) + F.when(F.col("_b") > 0, F.coalesce(carried, F.lit(0.0))).otherwise(0.0)))
-    return rows.withColumn(name, F.lag("_ewma").over(by_round)).drop("_n", "_b", "_i", "_own", "_before", "_ewma")
+    seen = by_round.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumns({f"_n_{v}": F.count(v).over(seen) for v in columns})
+    for value, name in columns.items():
+        n = F.col(f"_n_{value}")
+        inside = F.pmod(n, F.lit(block)).cast("double")
+        odd = F.pmod(F.floor(n / block), F.lit(2)) == 1
+        weight = F.when(n == 1, 1.0).otherwise(alpha) * F.pow(F.lit(keep), -inside)
+        term = F.when(F.col(value).isNotNull(), weight * F.col(value))
+        frame = Window.partitionBy(*scope).orderBy(f"_n_{value}").rangeBetween(-reach, 0)
+        even_sum = F.coalesce(F.sum(F.when(~odd, term)).over(frame), F.lit(0.0))
+        odd_sum = F.coalesce(F.sum(F.when(odd, term)).over(frame), F.lit(0.0))
+        own, before = F.when(odd, odd_sum).otherwise(even_sum), F.when(odd, even_sum).otherwise(odd_sum)
+        mean = own * F.pow(F.lit(keep), inside) + before * F.pow(F.lit(keep), inside + block)
+        # the frame ends with the row's own value, which doesn't count yet
+        earlier = F.when(n > 1, (mean - alpha * F.col(value)) / keep)
+        rows = rows.withColumn(name, F.when(F.col(value).isNotNull(), earlier).when(n > 0, mean))
+    return rows.drop(*[f"_n_{v}" for v in columns])
 
 
 def add_driver_form(df: DataFrame, scope: list[str], alpha: float = ALPHA, default: float = DEFAULT_POSITION) -> DataFrame:
@@ -65,10 +82,8 @@ def add_driver_form(df: DataFrame, scope: list[str], alpha: float = ALPHA, defau
     has_q = "q_position" in df.columns
 
     rows = df.withColumn("status_class", classify(F.col("status")))
-    rows = add_ewma(rows, scope, "position", "_fin_ewma", alpha)
-    rows = add_ewma(rows, scope, "grid", "_grid_ewma", alpha)
-    if has_q:
-        rows = add_ewma(rows, scope, "q_position", "_q_ewma", alpha)
+    means = {"position": "_fin_ewma", "grid": "_grid_ewma"} | ({"q_position": "_q_ewma"} if has_q else {})
+    rows = add_ewma(rows, scope, means, alpha)
 
     def seen(name: str) -> Column:
         return count_if(F.col("status_class") == name).over(prior)

@@ -11,13 +11,13 @@ from lapwing.queries.calendar import EVENTS, LANDED, calendar_events, landed_fil
 from lapwing.queries.registry import query, r6, shown
 from lapwing.queries.views import ENTRIES, QUALI, RESULTS, sql
 from lapwing.schema import SESSION_ALIASES
-from lapwing.session import checkpoint_dir
+from lapwing.session import scratch_dir
 from lapwing.sources import archive_json, files, star
 from lapwing.sources.ledger import Ledger
 
 
 def folder(spark, what: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 # Three headers that mean the same.

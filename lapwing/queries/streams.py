@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lapwing.queries.registry import query, r6, shown
-from lapwing.session import checkpoint_dir
+from lapwing.session import scratch_dir
 from lapwing.sources import star
 from lapwing.sources.ledger import Ledger
 from lapwing.streaming import landing, weather
@@ -20,7 +20,7 @@ def _stream(spark, sf, name):
 
 
 def _folders(spark):
-    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     return f"{base}/out", f"{base}/state"
 
 

@@ -52,7 +52,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _LOCAL_DIRS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="lapwing-"))
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="lapwing-")
+    return _LOCAL_DIRS[app]
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder inside the shared one."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/lapwing-{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what this application has left in the shared folder; tables that were read from there are gone with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -61,6 +75,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Later jobs start from files, so a lost executor costs only its own tasks, and
     each reader scans just the columns it needs.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/lapwing-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -186,3 +186,15 @@ def test_csv_of_many_columns_and_quoted_breaks(spark, tmp_path):
     assert len(cells["wide.csv", 0]) == 200 and cells["wide.csv", 0]["Abbreviation"] == "VER" and cells["wide.csv", 0]["Position"] == "1"
     assert cells["quoted.csv", 0] == {"Driver": "VER", "Status, full": 'Engine\nfire, "hot"', "Note": None}
     assert cells["quoted.csv", 1]["Driver"] is None and cells["quoted.csv", 1]["Note"] == "z"
+
+
+def test_scratch_is_one_folder_of_the_application(spark, tmp_path, monkeypatch):
+    from lapwing import session
+
+    assert session.checkpoint_dir(spark) == session.checkpoint_dir(spark) and spark.sparkContext.applicationId in session.scratch_dir(spark)
+    monkeypatch.setattr(session, "scratch_dir", lambda spark: str(tmp_path / "own"))
+    kept = session.cut_lineage(spark.range(3))
+    assert kept.count() == 3 and len(list((tmp_path / "own").iterdir())) == 1
+    session.drop_scratch(spark)
+    assert not (tmp_path / "own").exists()
+    assert session.cut_lineage(spark.range(2)).count() == 2

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.session import checkpoint_dir, tune
+from lapwing.session import scratch_dir, tune
 
 # Rows of one Arrow batch: a batch of ordinary documents is a few megabytes.
 ARROW_ROWS = "1000"
@@ -25,7 +25,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
-        self.folder = f"{checkpoint_dir(spark).rstrip('/')}/lapwing-{what}-{uuid.uuid4().hex}"
+        self.folder = f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.count = 0
 
     def keep(self, df: DataFrame) -> DataFrame:

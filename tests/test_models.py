@@ -223,3 +223,36 @@ def test_blends_of_many_outcomes_take_the_other_way(spark, monkeypatch):
     again = {(r["model"], r["grid_weight"]): r for r in metrics.blend_sweep(table, metrics.BLENDS[:3]).collect()}
     assert again.keys() == sweep.keys()
     assert all(again[k][c] == pytest.approx(sweep[k][c]) for k in again for c in ("samples", "mae", "medae", "rmse", "spearman", "delta_mae"))
+
+
+def test_forecasts_know_nothing_of_their_round(spark):
+    """Other results of the target round change neither forecast; chances add up; all models and folds take part."""
+    from lapwing.queries.models import QUICK, forecast_rows
+    from lapwing.session import cut_lineage
+
+    small = type(QUICK)(type(QUICK.forest)(trees=2, depth=3), boosting.Penalised(rounds=2, rate=0.3, bins=16))
+    rows = cut_lineage(forecast_rows(spark, "/root/testdata/sf0.001").where("rnd >= 20"))
+    target = 28
+    last = F.col("rnd") == target
+    other = rows.withColumns({"ActualFinish": F.when(last, 99.0).otherwise(F.col("ActualFinish")), "status": F.when(last, "Engine").otherwise(F.col("status"))})
+    found = []
+    for table in (rows, other):
+        out = forecasts.race_forecast(table, target, params=small, columns=["GridPosition", "avg_finish", "driver_finish_ewma", "quali_gap_pct"], retired=F.col("status") == "Engine")
+        found.append({r["entity"]: r for r in out.table.collect()})
+        assert out.comparison.count() == len(metrics.BLENDS) and out.sigma >= metrics.MIN_SCALE
+    assert found[0] == found[1] and len(found[0]) > 5
+    live = [r for r in found[0].values() if r["ExpectedFinish"] is not None]
+    assert sum(r["WinProbability"] for r in live) == pytest.approx(100) and sorted(r["PredictedPosition"] for r in live) == list(range(1, len(live) + 1))
+    assert {r["scenarios"] for r in live} == {5} and all(r["rain_probability"] is not None for r in live)
+
+    quali = [forecasts.qualifying_forecast(t, target, params=small, columns=["avg_grid", "driver_quali_ewma"]) for t in (rows, rows.withColumn("q_position", F.when(last, 3).otherwise(F.col("q_position"))))]
+    a, b = ({r["entity"]: r for r in q.table.collect()} for q in quali)
+    assert a == b and sum(r["PoleProbability"] for r in a.values()) == pytest.approx(100)
+
+
+def test_sigma_is_the_robust_spread(spark):
+    rng = np.random.default_rng(4)
+    r = rng.normal(0, 5, 301)
+    rows = spark.createDataFrame([(float(x),) for x in r] + [(None,)], "residual double")
+    assert forecasts._sigma(rows) == pytest.approx(1.4826 * np.median(np.abs(r - np.median(r))))
+    assert forecasts._sigma(rows.limit(0)) == forecasts.FALLBACK_SIGMA

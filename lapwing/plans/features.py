@@ -19,23 +19,7 @@ from lapwing.session import cut_lineage
 
 MISSING_GRID = 12.0
 
-# Model inputs.
-MODEL_FEATURES = [
-    "GridPosition", "grid_norm", "expected_grid_finish", "grid_retention_prob", "QualifyingPosition",
-    "quali_pos_norm", "quali_gap_pct", "quali_no_time", "q1_gap_pct", "q2_gap_pct", "q3_gap_pct",
-    "practice_gap_pct", "practice_rank", "practice_laps_norm", "fp1_gap_pct", "fp2_gap_pct", "fp3_gap_pct",
-    "driver_finish_ewma", "driver_quali_ewma", "driver_dnf_rate", "recent_finish", "recent_grid",
-    "recent_points", "avg_finish", "avg_grid", "total_points", "races_completed", "team_finish_ewma",
-    "team_points_rate", "team_avg_finish", "team_points", "sprint_finish_pos", "sprint_pos_delta",
-    "teammate_quali_gap_pct", "teammate_grid_delta", "driver_teammate_h2h_ratio", "is_pit_lane_start",
-    "long_run_pace_gap_pct", "long_run_pace_rank", "race_pace_consistency",
-]
-QUALIFYING_FEATURES = [
-    "practice_gap_pct", "practice_rank", "practice_laps_norm", "fp1_gap_pct", "driver_quali_ewma",
-    "driver_finish_ewma", "driver_dnf_rate", "recent_grid", "avg_grid", "recent_finish", "avg_finish",
-    "team_finish_ewma", "team_points_rate", "team_avg_finish", "sprint_quali_pos", "sprint_finish_pos",
-    "sprint_pos_delta", "driver_teammate_h2h_ratio",
-]
+# Model inputs by group, and those of the qualifying model.
 FEATURE_GROUPS = {
     "grid": ["GridPosition", "grid_norm", "expected_grid_finish", "grid_retention_prob", "is_pit_lane_start"],
     "qualifying": [
@@ -51,6 +35,13 @@ FEATURE_GROUPS = {
     "teammate": ["teammate_quali_gap_pct", "teammate_grid_delta", "driver_teammate_h2h_ratio"],
     "race_pace": ["long_run_pace_gap_pct", "long_run_pace_rank", "race_pace_consistency"],
 }
+QUALIFYING_FEATURES = [
+    "practice_gap_pct", "practice_rank", "practice_laps_norm", "fp1_gap_pct", "driver_quali_ewma",
+    "driver_finish_ewma", "driver_dnf_rate", "recent_grid", "avg_grid", "recent_finish", "avg_finish",
+    "team_finish_ewma", "team_points_rate", "team_avg_finish", "sprint_quali_pos", "sprint_finish_pos",
+    "sprint_pos_delta", "driver_teammate_h2h_ratio",
+]
+MODEL_FEATURES = [c for own in FEATURE_GROUPS.values() for c in own]
 
 
 def add_grid_features(rows: DataFrame, field_size: int) -> DataFrame:

@@ -4,8 +4,8 @@ A source's rate is its target over its size, in words; it says how often each of
 of the rate is taken of every document with certainty.  For the rest every document draws a uniform number ``u`` from a
 hash of its content and is ranked by its odds over its inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``; documents are
 taken in this order while they fit into the words still wanted.  So that a source's sample has a fixed size in words, the
-words that are then missing are filled by up to ``CLOSERS`` later documents, each the largest that fits, and by one that doesn't fit
-if it comes nearer.
+words that are then missing are filled by up to ``CLOSERS`` later documents, each the largest that fits, and by one that
+doesn't fit if it comes nearer.
 
 The cut in the order of a source isn't found by sorting it.  Ranks fall into cells; sums of cells say in which cell the cut
 is, and only that cell's documents are cut again, twice, until a handful is sorted.  Sums are combined before they are
@@ -26,7 +26,7 @@ from lapwing.llm.scratch import Scratch
 
 MOST_COPIES = 3
 CELLS = 4096
-CLOSERS = 6
+CLOSERS = 16
 
 
 def word_count(text: Column) -> Column:
@@ -137,22 +137,29 @@ def rules(docs: DataFrame, seed: int, most: int, scratch: Scratch) -> tuple[Data
     gap = F.col("x.wanted") - (F.col("x.until") - F.col("x.size"))
     cut = scratch.keep(last.select(F.col("source").alias("s"), F.col("x.place").alias("at"), F.col("x.doc_id").alias("last_id"), gap.alias("gap")))
 
-    # What is still missing is closed by the largest documents after the cut that fit into it; at the end by the
-    # smallest that doesn't, if that comes nearer.
-    left = rows.join(cut, same).where(~_before_cut()).select("s", "size", "place", "doc_id")
-    missing, closers = cut.select(F.col("s").alias("c"), "gap"), None
-    for step in range(CLOSERS + 1):
-        last = step == CLOSERS
-        near = (F.col("size") > F.col("gap")) & (F.col("size") < 2 * F.col("gap")) if last else F.col("size") <= F.col("gap")
-        fits = left.join(missing, F.col("s").eqNullSafe(F.col("c")) & near).drop("c")
-        if closers is not None:
-            fits = fits.join(closers.select("place", "doc_id"), ["place", "doc_id"], "leftanti")
-        best = fits.groupBy("s").agg(F.min(F.struct(F.col("size") if last else -F.col("size"), "place", "doc_id", (F.col("gap") - F.col("size")).alias("gap"))).alias("x"))
-        best = scratch.keep(best.select(F.col("s").alias("c"), "x.place", "x.doc_id", "x.gap"))
-        closers = best if closers is None else closers.unionByName(best)
-        closed = best.select(F.col("c").alias("d"), F.col("gap").alias("now"))
-        missing = missing.join(closed, F.col("c").eqNullSafe(F.col("d")), "left").select("c", F.coalesce("now", "gap").alias("gap"))
-    closers = closers.groupBy("c").agg(F.collect_list("place").alias("closers"))  # CLOSERS + 1 places at most
+    # What is still missing is closed by documents after the cut: their sizes from the largest down, as many of each as
+    # fit, and at the end one of the smallest that doesn't, if that comes nearer.
+    left = rows.join(cut, same).where(~_before_cut() & (F.col("size") < 2 * F.col("gap"))).select("s", "size", "place", "doc_id", "gap")
+    sizes = left.groupBy("s", "size").agg(F.count("*").alias("n"), F.first("gap").alias("gap"))
+    # as many as a text has words, at most
+    sizes = sizes.groupBy("s").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    none = F.array().cast("array<struct<size:bigint,k:bigint>>")
+
+    def fill(state: Column, x: Column) -> Column:
+        k = F.least(F.floor(state["gap"] / x["size"]), x["n"], F.lit(CLOSERS) - state["used"])
+        more = F.array_append(state["out"], F.struct(x["size"].alias("size"), k.alias("k")))
+        return F.struct((state["gap"] - k * x["size"]).alias("gap"), (state["used"] + k).alias("used"), F.when(k > 0, more).otherwise(state["out"]).alias("out"))
+
+    start = F.struct(F.col("gap").cast("double").alias("gap"), F.lit(0).cast("bigint").alias("used"), none.alias("out"))
+    sizes = sizes.withColumn("x", F.aggregate("sizes", start, fill))
+    free = F.filter("sizes", lambda z: (z["size"] > F.col("x.gap")) & (z["size"] < 2 * F.col("x.gap")) & ~F.exists("x.out", lambda t: t["size"] == z["size"]))
+    last_one = F.transform(F.slice(F.sort_array(free), 1, 1), lambda z: F.struct(z["size"].alias("size"), F.lit(1).cast("bigint").alias("k")))
+    chosen = sizes.select(F.col("s").alias("c"), F.explode(F.concat("x.out", last_one)).alias("x")).select("c", F.col("x.size").alias("z"), "x.k")
+    chosen = scratch.keep(chosen)  # CLOSERS + 1 rows a source at most
+    first = Window.partitionBy("s", "size").orderBy("place", "doc_id")
+    taken = left.join(chosen, F.col("s").eqNullSafe(F.col("c")) & (F.col("size") == F.col("z")))
+    taken = taken.withColumn("at", F.row_number().over(first)).where((F.col("at") <= CLOSERS) & (F.col("at") <= F.col("k")))
+    closers = taken.groupBy(F.col("s").alias("c")).agg(F.collect_list("place").alias("closers"))
     out = goal.join(cut.withColumnRenamed("s", "t").drop("gap"), F.col("s").eqNullSafe(F.col("t")), "left").drop("t", "wanted")
     return scratch.keep(out.join(closers, F.col("s").eqNullSafe(F.col("c")), "left").drop("c")), sized, repeated
 

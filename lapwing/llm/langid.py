@@ -16,9 +16,9 @@ Repeated rows count as often as they occur.  ``lang``, ``source`` and ``doc_id``
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -144,17 +144,29 @@ def learn(rows: DataFrame) -> Model:
     by_word = {r["word"]: r["by"] for r in known.toLocalIterator()}  # about WORDS rows
     by_word = dict(sorted(by_word.items()))
     languages = sorted({x for by in by_word.values() for x in by})
-    every: dict[str, Counter] = {}
+    width, place = len(languages), {x: i for i, x in enumerate(languages)}
+    number: dict[str, int] = {}
+    tally = array("i")  # one row of counts a gram
     for word, by in by_word.items():
+        own = [place[lang] for lang in by]
         for g in _grams(word):
-            own = every.setdefault(g, Counter())
-            for lang in by:  # each distinct word counts once, so that frequent words don't decide about unseen ones
-                own[lang] += 1
-    chosen: set[str] = set()
-    for lang in languages:
-        own = [(-by[lang], g) for g, by in every.items() if by[lang]]
-        chosen.update(g for _, g in heapq.nsmallest(share(GRAMS), own))
-    grams = {g: every[g] for g in sorted(chosen)}
+            i = number.setdefault(g, len(number))
+            if i * width == len(tally):
+                tally.extend([0] * width)
+            for j in own:  # each distinct word counts once, so that frequent words don't decide about unseen ones
+                tally[i * width + j] += 1
+    counts = np.array(tally, dtype=np.int64).reshape(len(number), width)
+    names = np.array(list(number), dtype=object)
+    del number, tally
+    chosen: set[int] = set()
+    for j in range(width):
+        held = np.flatnonzero(counts[:, j])
+        low = np.partition(counts[held, j], -share(GRAMS))[-share(GRAMS)] if len(held) > share(GRAMS) else 0
+        above, level = held[counts[held, j] > low], held[counts[held, j] == low]
+        chosen.update(above.tolist())
+        chosen.update(sorted(level.tolist(), key=lambda i: names[i])[: share(GRAMS) - len(above)] if low else level.tolist())
+    grams = {g: {languages[j]: int(counts[i, j]) for j in np.flatnonzero(counts[i])} for g, i in sorted((names[i], i) for i in chosen)}
+    del counts, names
     by_size: dict[int, Counter] = {n: Counter() for n in range(1, LONGEST + 1)}
     for g, by in grams.items():
         by_size[len(g)].update(by)

@@ -546,6 +546,45 @@ def test_pipeline_keeps_clean_documents(spark):
     assert out.columns == docs.columns and out.count() > 0
 
 
+def test_stages_keep_what_brute_force_keeps(spark, docs):
+    """Each stage on the whole table: its decisions row by row."""
+    rows = docs.collect()
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name: stages[name](spark, docs, SF).collect()
+    # language: all labelled held-out rows of a known language stay, texts without a letter go
+    kept = {r.doc_id for r in run("language")}
+    assert kept == {r.doc_id for r in rows if r.text and re.search(r"[^\W\d_]", r.text)}
+    # near duplicates: the smallest number of each group
+    sets = {}
+    for r in rows:
+        w = WORD.findall(folded(r.text))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    ids, least = sorted(sets), {i: i for i in sets}
+    links = [(i, j) for k, i in enumerate(ids) for j in ids[k + 1 :] if (both := len(sets[i] & sets[j])) and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both)]
+    for _ in ids:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    assert sorted(r.doc_id for r in run("near_duplicates")) == [i for i in ids if least[i] == i]
+    # decontamination: documents with a whole item go, those without any word of an item stay
+    items = [tuple(WORD.findall(folded(r.text))) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    held, words_of_items = set(), {w for item in items for w in item}
+    for r in rows:
+        w = tuple(WORD.findall(folded(r.text)))
+        if any(w[i : i + len(item)] == item for item in items for i in range(len(w) - len(item) + 1)):
+            held.add(r.doc_id)
+    kept = {r.doc_id for r in run("decontamination")}
+    assert not kept & held and kept >= {r.doc_id for r in rows if not words_of_items & set(WORD.findall(folded(r.text)))}
+    # personal data: every document stays, without any address, card or number of the base patterns
+    clean = {r.doc_id: r.text for r in run("personal_data")}
+    assert clean.keys() == {r.doc_id for r in rows} and not any(re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9-]+", t or "") for t in clean.values())
+    # mixing: as often as the mix says
+    counts = {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
+    found = {}
+    for r in run("mixing"):
+        found[r.doc_id] = found.get(r.doc_id, 0) + 1
+    assert found == counts
+
+
 def test_nothing_else_imports_the_folder():
     here = Path(__file__).resolve().parents[2]
     for path in (here / "lapwing").rglob("*.py"):

@@ -47,7 +47,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-# Trained models and edit distances have no SQL form; tests compare each stage with a brute-force version.
+# Trained models and edit distances have no SQL form; the tests compare what each stage keeps with brute force or held-out rows.
 ORACLE_SQL = None
 
 

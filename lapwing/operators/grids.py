@@ -377,10 +377,11 @@ def start_ranks(rows: DataFrame, race: Sequence[str], grid: str, pit: str, defau
     )
 
 
-def sorted_grid(resolved: DataFrame, race: Sequence[str], expected: int) -> DataFrame:
+def sorted_grid(resolved: DataFrame, race: Sequence[str], expected: int | Column) -> DataFrame:
     """Start order with a size check that fails the job instead of returning a short grid."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*race))
-    message = F.concat(F.lit("grid has "), n.cast("string"), F.lit(f" entrants, expected {expected}"))
+    expected = expected if isinstance(expected, Column) else F.lit(expected)
+    message = F.concat(F.lit("grid has "), n.cast("string"), F.lit(" entrants, expected "), expected.cast("string"))
     checked = F.when(n == expected, F.col("simulation_start_rank")).otherwise(F.raise_error(message).cast("long"))
     return resolved.withColumn("simulation_start_rank", checked).orderBy(*race, "simulation_start_rank")
 

@@ -321,7 +321,9 @@ def grid_snapshot(spark, sf):
 def sorted_grid(spark, sf):
     """Whole grids in start order; a short one would fail the job."""
     rows = star.results(spark, sf).withColumn("simulation_start_rank", F.col("grid_slot"))
-    out = grids.sorted_grid(rows, ["series", "rnd"], star.FIELD_SIZE)
+    entrants = star.table(spark, sf, "supplier").count()  # the last championship may be smaller
+    field = F.least(F.lit(star.FIELD_SIZE), F.lit(entrants) - F.col("series") * star.FIELD_SIZE)
+    out = grids.sorted_grid(rows, ["series", "rnd"], field)
     order = F.array_sort(F.collect_list(F.struct("simulation_start_rank", F.col("entity").cast("string").alias("e"))))
     return shown(out.groupBy("series", "rnd").agg(F.array_join(F.transform(order, lambda s: s["e"]), ">").alias("line_up")))
 

@@ -319,11 +319,12 @@ def grid_snapshot(spark, sf):
     sql("SELECT series, rnd, string_agg(cast(entity AS varchar), '>' ORDER BY grid_slot) AS line_up FROM results GROUP BY ALL", RESULTS),
 )
 def sorted_grid(spark, sf):
-    """Whole grids in start order; a short one would fail the job."""
+    """Whole grids in start order; one without everybody who ran in the race would fail the job."""
+    race = ["series", "rnd"]
     rows = star.results(spark, sf).withColumn("simulation_start_rank", F.col("grid_slot"))
-    entrants = star.table(spark, sf, "supplier").count()  # the last championship may be smaller
-    field = F.least(F.lit(star.FIELD_SIZE), F.lit(entrants) - F.col("series") * star.FIELD_SIZE)
-    out = grids.sorted_grid(rows, ["series", "rnd"], field)
+    ran = star.timed_lines(spark, sf).groupBy(*race).agg(F.count_distinct("entity").alias("ran"))  # not all entrants of a championship run in each round
+    same = [rows[c].eqNullSafe(ran[c]) for c in race]
+    out = grids.sorted_grid(rows.join(ran, same, "left").select(*[rows[c] for c in rows.columns], F.coalesce("ran", F.lit(0)).alias("ran")), race, F.col("ran"))
     order = F.array_sort(F.collect_list(F.struct("simulation_start_rank", F.col("entity").cast("string").alias("e"))))
     return shown(out.groupBy("series", "rnd").agg(F.array_join(F.transform(order, lambda s: s["e"]), ">").alias("line_up")))
 

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
+from lapwing.plans import gram
 from lapwing.queries.registry import REGISTRY
+from lapwing.session import cut_lineage
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,3 +20,22 @@ def test_sorted_grid_takes_a_race_that_an_entrant_missed(spark, tmp_path):
     short = (0, (1997 - 1995) * 4 + 2)
     assert "3" in whole[short] and sorted(got[short]) == sorted(e for e in whole[short] if e != "3")
     assert {k: v for k, v in got.items() if k != short} == {k: v for k, v in whole.items() if k != short}
+
+
+def test_a_table_that_packs_well_is_not_broadcast_unmeasured(spark):
+    rows = cut_lineage(spark.range(1_000_000).selectExpr("abs(hash(id)) % 50 AS k", "cast(abs(hash(id, 1)) % 2 AS double) AS v"))
+    more = cut_lineage(spark.range(1_500_000).selectExpr("abs(hash(id)) % 50 AS k", "cast(abs(hash(id, 1)) % 3 AS double) AS w"))
+    assert "BroadcastHashJoin" not in more.join(rows, "k")._jdf.queryExecution().executedPlan().toString()
+    few = cut_lineage(spark.range(50).selectExpr("id AS k", "id AS u"))
+    assert "BroadcastHashJoin" in more.join(few, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_medians_do_not_broadcast_the_rows(spark):
+    rows = cut_lineage(spark.range(30_000).selectExpr("id % 5 AS rnd", "cast(id % 7 AS double) AS a", "cast(id AS double) AS b"))
+    got = {(r["fold"], r["feature"]): r["median"] for r in gram.prefix_medians(rows, ["a", "b"], [2, 5], cells=16, enough=100).collect()}
+    want = {}
+    for fold in (2, 5):
+        own = rows.where(F.col("rnd") < fold)
+        for j, c in enumerate("ab"):
+            want[fold, j] = own.agg(F.expr(f"percentile({c}, 0.5)")).first()[0]
+    assert got == want

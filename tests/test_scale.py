@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
-from lapwing.plans import gram
+from lapwing.plans import boosting, gram
 from lapwing.queries.registry import REGISTRY
 from lapwing.session import cut_lineage
 
@@ -39,3 +39,31 @@ def test_medians_do_not_broadcast_the_rows(spark):
         for j, c in enumerate("ab"):
             want[fold, j] = own.agg(F.expr(f"percentile({c}, 0.5)")).first()[0]
     assert got == want
+
+
+def test_boosting_counts_only_what_it_needs(spark, monkeypatch):
+    """Below the root one child of each split is counted, of the allowed features; rows are dealt over all cores."""
+    seen, histogram, binned = [], boosting._histogram, boosting._binned
+
+    def watched(table, model, since, growing, level, rnd, counted, allowed, tasks):
+        seen.append((level, counted.sum(axis=1).max(), allowed.sum(axis=1).max()))
+        return histogram(table, model, since, growing, level, rnd, counted, allowed, tasks)
+
+    def dealt(rows, *rest):
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        return binned(rows, *rest)
+
+    monkeypatch.setattr(boosting, "_histogram", watched)
+    monkeypatch.setattr(boosting, "_binned", dealt)
+    rows = spark.range(4000).selectExpr("id AS entity", "id % 6 AS rnd", "0 AS series", *[f"cast(abs(hash(id, {c})) % 90 AS double) AS c{c}" for c in range(5)])
+    rows = rows.withColumn("ActualFinish", F.col("c0") + F.col("c1") * 2 + F.col("c2") % 7).coalesce(1)
+    boosting.walk_forward(rows, [f"c{c}" for c in range(5)], params=boosting.Penalised(rounds=2, rate=0.3)).count()
+    assert [s[0] for s in seen] == [0, 1, 2, 0, 1, 2] and all(nodes <= max(1, 2 ** (level - 1)) and used == 4 for level, nodes, used in seen)
+
+
+def test_cells_of_one_value_are_not_looked_into_again(spark, monkeypatch):
+    rows = cut_lineage(spark.range(60_000).selectExpr("id % 5 AS rnd", "cast(abs(hash(id)) % 20 AS double) AS place"))
+    written = []
+    monkeypatch.setattr(gram, "cut_lineage", lambda df: written.append(0) or cut_lineage(df))
+    assert {r["median"] for r in gram.prefix_medians(rows, ["place"], [2, 5]).collect()} <= {9.0, 9.5, 10.0}
+    assert len(written) == 1

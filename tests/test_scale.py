@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
-from lapwing.plans import boosting, gram
+from lapwing.plans import boosting, gram, models
 from lapwing.queries.registry import REGISTRY
 from lapwing.session import cut_lineage
 
@@ -67,3 +67,16 @@ def test_cells_of_one_value_are_not_looked_into_again(spark, monkeypatch):
     monkeypatch.setattr(gram, "cut_lineage", lambda df: written.append(0) or cut_lineage(df))
     assert {r["median"] for r in gram.prefix_medians(rows, ["place"], [2, 5]).collect()} <= {9.0, 9.5, 10.0}
     assert len(written) == 1
+
+
+def test_forests_take_the_medians_of_all_folds_from_one_search(spark, monkeypatch):
+    rows = spark.range(600).selectExpr("id AS entity", "id % 6 AS rnd", "0 AS series", "CASE WHEN id % 7 > 0 THEN cast(abs(hash(id)) % 90 AS double) END AS a", "cast(NULL AS double) AS none")
+    rows = cut_lineage(rows.withColumn("ActualFinish", F.coalesce("a", F.lit(3.0)) + F.col("rnd")))
+    fitted, fit = [], models.fit_models
+    monkeypatch.setattr(models, "medians", None)
+    monkeypatch.setattr(models, "fit_models", lambda *a: fitted.append(a[-1]) or fit(*a))
+    params = models.ModelParams(models.ForestParams(trees=2, depth=2))
+    held = models.walk_forward(rows, ["a", "none"], params=params, models=("rf",)).collect()
+    assert {r["rnd"] for r in held} == {3, 4, 5} and len(held) == 300 and all(r["rf"] is not None for r in held)
+    want = [{"a": rows.where(F.col("rnd") < f).agg(F.expr("percentile(a, 0.5)")).first()[0], "none": 0.0} for f in (3, 4, 5)]
+    assert sorted(fitted, key=str) == sorted(want, key=str)

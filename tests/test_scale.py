@@ -80,3 +80,29 @@ def test_forests_take_the_medians_of_all_folds_from_one_search(spark, monkeypatc
     assert {r["rnd"] for r in held} == {3, 4, 5} and len(held) == 300 and all(r["rf"] is not None for r in held)
     want = [{"a": rows.where(F.col("rnd") < f).agg(F.expr("percentile(a, 0.5)")).first()[0], "none": 0.0} for f in (3, 4, 5)]
     assert sorted(fitted, key=str) == sorted(want, key=str)
+
+
+def test_a_second_run_learns_the_same_forests(spark):
+    rows = spark.range(900).selectExpr("id AS entity", "id % 9 AS rnd", "0 AS series", "cast(abs(hash(id)) % 90 AS double) AS a", "cast(abs(hash(id, 1)) % 40 AS double) AS b")
+    rows = cut_lineage(rows.withColumn("ActualFinish", F.col("a") + F.col("b") * 2 + F.col("rnd")))
+    params = models.ModelParams(models.ForestParams(trees=3, depth=4))
+    found = []
+    for _ in range(3):
+        table = cut_lineage(rows.repartition(3, "b"))
+        found.append({(r["rnd"], r["entity"]): r["rf"] for r in models.walk_forward(table, ["a", "b"], params=params, models=("rf",)).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 600
+
+
+def test_ranks_of_many_rows_are_found_in_few_looks(spark, monkeypatch):
+    """Skewed values, one frequent value, gaps: one look at counts by cell, one at the rows of the cells in question; all wanted ranks at once."""
+    rows = spark.range(60_000).selectExpr("id % 7 AS rnd", "CASE WHEN id % 11 > 0 THEN exp(cast(abs(hash(id)) % 30000 AS double) / 1000) END AS a", "cast(abs(hash(id, 1)) % 9 AS double) AS b")
+    rows = cut_lineage(rows.withColumn("a", F.when(F.col("a") < 100, 5.0).otherwise(F.col("a"))))
+    written = []
+    monkeypatch.setattr(gram, "cut_lineage", lambda df: written.append(0) or cut_lineage(df))
+    found = boosting.ranges(rows, ["a", "b", "a"], [2, 6, 9], 50)
+    assert len(written) <= 3
+    for j, c in enumerate("aba"):
+        known = sorted(r[0] for r in rows.where(F.col(c).isNotNull()).select(c).collect())
+        assert found.edges[j].tolist() == sorted({known[int((len(known) - 1) * (i / 50))] for i in range(51)})
+        for f in (2, 6, 9):
+            assert found.medians[f][j] == rows.where(F.col("rnd") < f).agg(F.expr(f"percentile({c}, 0.5)")).first()[0]

@@ -33,13 +33,6 @@ class Run:
     report: DataFrame
 
 
-def practice_or_results(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds ``as_laps``: practice sessions with any lap time are lap tables, all others (and practice without) result tables."""
-    timed = rows.groupBy(*keys, "session").agg(F.max(F.col("lap_s").isNotNull()).alias("_timed"))
-    rows = rows.join(timed, [*keys, "session"])
-    return rows.withColumn("as_laps", F.col("session").isin(*PRACTICE) & F.coalesce("_timed", F.lit(False))).drop("_timed")
-
-
 def competitors(rows: DataFrame) -> DataFrame:
     """Without course cars, where the table names its entrants."""
     have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
@@ -47,29 +40,33 @@ def competitors(rows: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce(is_service_vehicle(F.col("driver"), have("broadcast_name"), have("full_name"), have("team"), number), F.lit(False)))
 
 
-def checked_sessions(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of the sessions that can be taken, and ``keys, session, reason`` of the others.
+def checked_sessions(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of the wanted sessions that can be taken, and ``keys, session, reason`` of the others that have rows.
 
-    A session falls as a whole if it says to be another round, has no entrant with a name, or, as a result table, has no
-    position.  Of a result table's rows for one entrant the best place is kept; laps are kept as they are.
+    Practice sessions with any lap time are lap tables, all others (and practice without) result tables.  A session falls as a
+    whole if it says to be another round, has no entrant with a name, or, as a result table, has no position.  Of a result
+    table's rows for one entrant the best place is kept; laps are kept as they are.  All tests of a session come from one
+    aggregate, which is written, so that rows meet their session once.
     """
     keys = [*keys, "session"]
     named = F.coalesce(F.trim("driver"), F.lit("")) != ""
     tests = rows.groupBy(*keys).agg(
-        F.max(F.col("as_laps")).alias("_laps"),
+        F.max(F.col("lap_s").isNotNull()).alias("_timed"),
         F.max(named).alias("_named"),
         F.max(F.col("position").isNotNull()).alias("_placed"),
         F.max((F.col("event_round") > 0) & (F.col("event_round") != F.col("rnd"))).alias("_other"),
     )
+    tests = tests.withColumn("as_laps", F.col("session").isin(*PRACTICE) & F.col("_timed"))
     reason = (
         F.when(F.coalesce("_other", F.lit(False)), OTHER_ROUND)
-        .when(~F.col("_placed") & ~F.col("_laps"), NO_POSITION)
+        .when(~F.col("_placed") & ~F.col("as_laps"), NO_POSITION)
         .when(~F.col("_named"), NO_DRIVER)
     )
-    tests = tests.select(*keys, reason.alias("reason"))
-    good = rows.join(tests.where(F.col("reason").isNull()).drop("reason"), keys, "left_semi").where(named)
+    tests = cut_lineage(tests.select(*keys, "as_laps", reason.alias("reason")).join(wanted.select(*keys), keys, "left_semi"))  # a row a session
+    good = rows.join(tests.where(F.col("reason").isNull()).drop("reason"), keys).where(named)
     results = keep_first(good.where(~F.col("as_laps")), [*keys, "driver"], [F.col("position").isNull(), F.col("position")])
-    return results.unionByName(good.where("as_laps")).drop("as_laps", "event_round"), tests.where(F.col("reason").isNotNull())
+    failed = tests.where(F.col("reason").isNotNull()).select(*keys, "reason")
+    return results.unionByName(good.where("as_laps")).drop("as_laps", "event_round"), failed
 
 
 def collect(
@@ -95,14 +92,14 @@ def collect(
     about = [c for c in ("event_name", "location", "country") if c in events.columns]
     planned = calendar.plan_sessions(events, plan, mode).select(*keys, "session", *about)
     at = calendar.session_schedule(events, keys)
-    planned = planned.join(at, [*keys, "session"], "left")
+    # a row a session, read for what to take, the stamps and the report: written once
+    planned = cut_lineage(planned.join(at, [*keys, "session"], "left"))
     if landed is None:
         wanted, have = planned, planned.limit(0).select(*keys, "session")
     else:
         have = landed.select(*keys, "session").distinct()
         wanted = calendar.to_collect(planned, have, keys)
-    rows = incoming.join(wanted.select(*keys, "session"), [*keys, "session"], "left_semi")
-    good, failed = checked_sessions(practice_or_results(competitors(rows), keys), keys)
+    good, failed = checked_sessions(competitors(incoming), wanted, keys)
     stamped = good.join(wanted, [*keys, "session"]).withColumnRenamed("scheduled_ts", "session_date")
     # read for the table and for the report: written once, with the run's time as a value
     taken = cut_lineage(stamped.withColumns({"data_source": F.lit(source), "collected_at": now, "run": F.lit(run)}))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapwing.operators import calendar, collection
+from lapwing.session import cut_lineage
 from lapwing.sources import files
 from lapwing.sources.ledger import Ledger, LedgerConflict, new_rows
 from lapwing.streaming import landing
@@ -160,3 +161,19 @@ def test_one_event_of_a_circuit(spark, tmp_path, weekend):
     assert (pick(" North "), pick("south"), pick("east"), pick("none")) == ([2], [1], [], [])
     got = collected(spark, Ledger(spark, str(tmp_path)), "one", files.event_round(events, tracks, "south"), incoming)
     assert {k[0] for k in got} == {1} and got[1, "race"][0] == "SUCCESS"
+
+
+def test_rows_meet_their_session_once(spark, tmp_path, weekend, monkeypatch):
+    """Sessions are planned and checked once and written; what is taken joins rows with them, and doesn't derive them again."""
+    plans = []
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut_lineage(df)
+
+    monkeypatch.setattr(collection, "cut_lineage", watched)
+    ledger = Ledger(spark, str(tmp_path))
+    assert collected(spark, ledger, "one", *weekend)[1, "race"] == ("SUCCESS", None, 2)
+    collected(spark, ledger, "two", *weekend)
+    # both kinds of rows with the checked sessions, the plan, and what has landed
+    assert len(plans) == 6 and max(plan.count("Join ") for plan in (plans[2], plans[5])) <= 4

@@ -188,6 +188,8 @@ def paired_comparison(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     keys = list(keys)
     d = pairs.select(*keys, (F.col("a") - F.col("b")).alias("_d")).where(F.col("_d").isNotNull())
+    # read for group sizes, medians, spreads and ranks, which share a layout: written once, or a task would hold what leads to it for each of them
+    d = cut_lineage(d)
     hot = find_hot(d, keys)
     med = group_percentile(d, keys, "_d", 0.5, "median_diff", hot)
     stats = d.groupBy(*keys).agg(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
+from lapwing.operators import metrics
 from lapwing.plans import boosting, gram, models
 from lapwing.queries.registry import REGISTRY
 from lapwing.session import cut_lineage
@@ -106,3 +107,12 @@ def test_ranks_of_many_rows_are_found_in_few_looks(spark, monkeypatch):
         assert found.edges[j].tolist() == sorted({known[int((len(known) - 1) * (i / 50))] for i in range(51)})
         for f in (2, 6, 9):
             assert found.medians[f][j] == rows.where(F.col("rnd") < f).agg(F.expr(f"percentile({c}, 0.5)")).first()[0]
+
+
+def test_pairs_are_derived_once(spark):
+    """What leads to the pairs isn't repeated for each statistic inside one task."""
+    rows = spark.range(400).selectExpr("id % 4 AS series", "abs(xxhash64(id)) % 1000 / 100D AS a", "abs(xxhash64(id, 1)) % 1000 / 100D AS b")
+    out = metrics.paired_comparison(rows, ["series"])
+    assert "xxhash64" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {s: rows.where(F.col("series") == s).agg(F.count("*"), F.expr("percentile(a - b, 0.5)")).first() for s in range(4)}
+    assert {r["series"]: (r["n_races"], r["median_diff"]) for r in out.collect()} == {s: (w[0], w[1]) for s, w in want.items()}

@@ -6,9 +6,12 @@
    a third of all documents gives one link a document, and no link between different texts is lost, since both are
    linked with the first.  Seeds and links are shuffled as packed arrays by bucket, and a bucket is sorted in its task.  A seed
    that many documents of one batch have is linked inside the batch, with the first of them, which alone goes on: hot seeds
-   don't gather.  Of the places that a seed has in its first document the first ``PLACES`` are linked.
-3. Chains: the matches of a document with a first document are ordered; a Fenwick tree over places in the first
-   document finds for each match the best match before it in both, with a cost for the gaps.  A match alone is a chain too.
+   don't gather.  A place is linked with all places that the seed has in its first document.  Up to ``PLACES`` are told one by one; of
+   more only where runs of links begin and end is worked out, so texts full of the same lines don't make every product.
+3. Runs: links that follow each other on one diagonal.  A run counts if it has links that share no word, or if another run of the two
+   documents that shares no word with it is within ``NEAR`` words on nearly the same diagonal.
+   Chains: a Fenwick tree over places in the first document finds for each run the best run before it in both, with a cost for
+   the gaps.  A run alone is a chain too.  The runs of two documents are taken up by one task at once: its memory grows with their number.
 4. Chains are aligned word by word: along diagonals between matches, then ``REACH`` words outwards from both ends.  An alignment is cut where its words agree too little; what is left are pieces that agree enough each.  Pieces of
    one document that touch are one passage, whichever document they came from first; a passage's equal words are those that
    are equal in any of its pieces, and if that is too few in all, it is cut again.
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +37,20 @@ from lapwing.llm.scratch import Scratch, over_batches
 
 K = 4
 WINDOW = 2
-PLACES = 4  # places of a seed in its first document that are tried, from the start; the other seeds of a passage find others
+PLACES = 4  # places of a seed in its first document that are told one by one; more are told as a list
 LEAST = 50
 SAME = 70
 GAP_COST = 0.05  # points for each word that a chain skips, on either side; a match brings K
 NEAR = 64
 DRIFT = 16
-SPAN = 12  # words that neighbouring matches must reach over to be chained
 REACH = 48  # words that an alignment goes beyond a chain, at most
 OFTEN = 32  # documents of one batch from which a seed is linked inside the batch
 BUCKET_BYTES = 8 << 20  # text whose seeds share a bucket: about a million
 LEAST_BUCKETS = 16
 BLOCK = 64  # words of a block that is fetched for alignment
 BROADCAST_IDS = 2_000_000
+KNOWN, KNOWN_WORDS = 50_000, 500  # comparisons on one diagonal whose pieces a task keeps, and of how many words at most
+COMPARED = 1 << 20  # words that are compared at once, or one chain
 
 
 def seeds_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,10 +88,14 @@ def _unpacked(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table[name].to_pylist()), dtype=kind)
 
 
-def _pairs(seed: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links ``doc, first, x, y`` of every other document of a seed with up to ``PLACES`` places in the seed's first one."""
+def _pairs(seed: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int) -> list[pa.RecordBatch]:
+    """Links of every other document of a seed with all places of the seed in its first one, by bucket of the two documents.
+
+    Up to ``PLACES`` places are links ``doc, first, x, y``.  More are told once a bucket as ``seed, first, y``, and the places
+    that ask for them as ``seed, doc, first, x``: their product is never made, see :func:`many_runs`.
+    """
     if not len(seed):
-        return doc, doc, place, place
+        return []
     order = np.argsort(seed, kind="stable")  # a document's places come in order
     seed, doc, place = seed[order], doc[order], place[order]
     new = np.concatenate(([True], seed[1:] != seed[:-1]))
@@ -97,17 +106,34 @@ def _pairs(seed: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.nda
     count = np.bincount(group[home])  # every group has its first document
     begin = np.cumsum(count) - count
     other = np.flatnonzero(~own)
-    tried = np.minimum(count[group[other]], PLACES)
-    at = np.repeat(other, tried)
-    nth = np.arange(len(at)) - np.repeat(np.cumsum(tried) - tried, tried)
-    return doc[at], first[at], place[at], place[home[begin[group[at]] + nth]]
+    to = buckets + _of_pair(doc[other], first[other], buckets)
+    few = count[group[other]] <= PLACES
+
+    def places(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = count[groups]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return n, place[home[np.repeat(begin[groups], n) + nth]]
+
+    n, y = places(group[other[few]])
+    at = np.repeat(other[few], n)
+    parts = [_packed(np.repeat(to[few], n), [doc[at], first[at], place[at], y], _LINKS)]
+    if not few.all():
+        at = other[~few]
+        parts.append(_packed(to[~few], [seed[at], doc[at], first[at], place[at]], _ASKED))
+        told = np.unique(group[at] * (2 * buckets) + to[~few])
+        groups, told = told // (2 * buckets), told % (2 * buckets)
+        n, y = places(groups)
+        at = np.repeat(home[begin[groups]], n)
+        parts.append(_packed(np.repeat(told, n), [seed[at], first[at], y], _TOLD))
+    return parts
 
 
 _SEEDS, _LINKS = ["seed", "doc", "place"], ["doc", "first", "x", "y"]
+_ASKED, _TOLD = ["seed", "doc", "first", "x"], ["seed", "first", "y"]
 
 
 def links(docs: DataFrame, buckets: int) -> DataFrame:
-    """Links as bytes by bucket of their pair of documents: ``bucket, doc, first, x, y``.
+    """Links as bytes by bucket of their pair of documents: ``bucket, seed, doc, first, x, y``, see :func:`_pairs`.
 
     Seeds go to the bucket of their hash.  A seed of more than ``OFTEN`` documents of one batch is linked inside the batch, with the
     first of these, and only that one goes on: a seed of a third of all documents is a few rows a batch.
@@ -131,21 +157,18 @@ def links(docs: DataFrame, buckets: int) -> DataFrame:
         bucket = (h[sent] % np.uint64(buckets)).astype(np.int64)
         parts = [_packed(bucket, [(h[sent] >> np.uint64(16)).astype(np.uint64), doc[sent], place[sent]], _SEEDS)]
         if len(local):
-            found = _pairs(h[local], doc[local], place[local])
-            own = _packed(buckets + _of_pair(found[0], found[1], buckets), [found[0], found[1], found[2], found[3]], _LINKS)
-            parts.append(own)
+            parts += _pairs(h[local] >> np.uint64(16), doc[local], place[local], buckets)
         return _rows(parts)
 
     def match(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() >= buckets:
-            return pa.Table.from_batches([_rows([table.select(["bucket", *_LINKS])])])
+            return pa.Table.from_batches([_rows([table])])
         seed, doc, place = (_unpacked(table, n, k) for n, k in zip(_SEEDS, (np.uint64, np.int64, np.int32)))
-        found = _pairs(seed, doc, place)
-        return pa.Table.from_batches([_rows([_packed(buckets + _of_pair(found[0], found[1], buckets), list(found), _LINKS)])])
+        return pa.Table.from_batches([_rows(_pairs(seed, doc, place, buckets))])
 
     schema = "bucket int, seed binary, doc binary, place binary, first binary, x binary, y binary"
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    return rows.mapInArrow(over_batches(gather), schema).groupBy("bucket").applyInArrow(match, schema).select("bucket", *_LINKS)
+    return rows.mapInArrow(over_batches(gather), schema).groupBy("bucket").applyInArrow(match, schema).select("bucket", "seed", *_LINKS)
 
 
 def _pair_key(doc: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -169,109 +192,224 @@ def _rows(parts: list) -> pa.RecordBatch:
 
 def chain(x: np.ndarray, y: np.ndarray, least: int = 2) -> list[np.ndarray]:
     """Chains of ``least`` matches ``(x, y)``, sorted by x and then y, as index arrays; each match is in one chain at most."""
+    return [own for own in chain_runs(x, y, x, np.ones(len(x), dtype=np.int64)) if len(own) >= least]
+
+
+def _crossing(key: np.ndarray, code: np.ndarray, other: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ``(i, j)`` of the same key, ``key[i] == other[j]``, but of different codes, ``code[i] != codes[j]``."""
+    order = np.lexsort((codes, other))
+    other, codes = other[order], codes[order]
+    lo, hi = np.searchsorted(other, key, side="left"), np.searchsorted(other, key, side="right")
+    head = np.flatnonzero(np.concatenate(([True], (other[1:] != other[:-1]) | (codes[1:] != codes[:-1]))))
+    tail = np.append(head[1:], len(other))
+    both = words.mix(other[head] ^ words.mix(codes[head]))
+    by = np.argsort(both)
+    mine = words.mix(key ^ words.mix(code))
+    at = by[np.minimum(np.searchsorted(both[by], mine), len(by) - 1)]
+    equal = both[at] == mine
+    skip, on = np.where(equal, head[at], hi), np.where(equal, tail[at], hi)
+    before = skip - lo
+    n = before + hi - on
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    i = np.repeat(np.arange(len(key)), n)
+    return i, order[np.where(nth < before[i], lo[i] + nth, on[i] + nth - before[i])]
+
+
+def _sides_of(group: np.ndarray, place: np.ndarray, seed: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is just before and just after each place, sorted by group and place: the seed there and how far, or ``none``."""
+    gap = np.diff(place)
+    near = (group[1:] == group[:-1]) & (gap <= WINDOW)
+    before, after = np.full(len(place), none, dtype=np.uint64), np.full(len(place), none, dtype=np.uint64)
+    before[1:][near] = words.mix(seed[:-1] * np.uint64(8) + gap.astype(np.uint64))[near]
+    after[:-1][near] = words.mix(seed[1:] * np.uint64(8) + gap.astype(np.uint64))[near]
+    return before, after
+
+
+def _same(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row has the values of the one before it."""
+    out = np.ones(max(0, len(columns[0]) - 1), dtype=bool)
+    for c in columns:
+        out &= c[1:] == c[:-1]
+    return np.concatenate(([False], out))[: len(columns[0])]
+
+
+def many_runs(asked: tuple, told: tuple) -> tuple[np.ndarray, ...]:
+    """Runs ``doc, first, x, y, last x, links`` of all links of ``asked`` (seed, doc, first, x) with ``told`` (seed, first, y).
+
+    Equal words before two places of a seed mean equal seeds before them, so a run begins where the seeds before differ and ends
+    where the seeds after do.  Only beginnings and ends are made; on a diagonal they take turns.
+    """
+    seed, doc, first, x = asked
+    order = np.lexsort((seed, x, first, doc))
+    order = order[~_same(seed[order], doc[order], first[order], x[order])]
+    seed, doc, first, x = seed[order], doc[order], first[order], x[order]
+    ts, tf, ty = told
+    order = np.lexsort((ts, ty, tf))  # a list can come from a batch and from a bucket
+    order = order[~_same(ts[order], tf[order], ty[order])]
+    ts, tf, ty = ts[order], tf[order], ty[order]
+    pair = np.cumsum(~_same(doc, first))
+    before, after = _sides_of(pair, x, seed, 1)
+    their_before, their_after = _sides_of(tf, ty, ts, 2)
+    # different texts under one number can have two seeds at one place: what is before and after isn't known, each link is a run
+    mixed = np.isin(pair, pair[_same(pair, x)]) | np.isin(first, tf[_same(tf, ty)])
+    before[mixed] = after[mixed] = 1
+    key, their_key = _pair_key(seed, first), _pair_key(ts, tf)
+    i, j = _crossing(key, before, their_key, their_before)
+    order = np.lexsort((x[i], x[i] - ty[j], pair[i]))
+    i, j = i[order], j[order]
+    k, m = _crossing(key, after, their_key, their_after)
+    k = k[np.lexsort((x[k], x[k] - ty[m], pair[k]))]
+    return doc[i], first[i], x[i], ty[j], x[k], np.where(mixed[i], 1, k - i + 1)
+
+
+def merged(doc, first, x, y, end, n) -> tuple[np.ndarray, ...]:
+    """Runs whose words touch on one diagonal as one: ``pair, doc, first, x, y, last x, links``, ordered by pair and x."""
+    order = np.lexsort((x, x - y, first, doc))
+    doc, first, x, y, end, n = (c[order] for c in (doc, first, x, y, end, n))
+    on = _same(doc, first, x - y)
+    on[1:] &= x[1:] - end[:-1] <= K
+    head = np.flatnonzero(~on)
+    if len(head):
+        end, n = np.maximum.reduceat(end, head), np.add.reduceat(n, head)
+    doc, first, x, y = doc[head], first[head], x[head], y[head]
+    pair = np.cumsum(~_same(doc, first))
+    order = np.lexsort((y, x, pair))
+    return tuple(c[order] for c in (pair, doc, first, x, y, end, n))
+
+
+def supported(pair: np.ndarray, x: np.ndarray, y: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which runs have links that share no word, or a run of their pair near them that shares no word, on nearly the same diagonal."""
+    found = end - x >= K
+    n = np.where(found, (end - x) // (NEAR // 2) + 2, 1)  # a long run is seen by its ends and places between
+    run = np.repeat(np.arange(len(x)), n)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    at = np.minimum(x[run] + nth * (NEAR // 2), end[run])
+    d = (x - y)[run]
+    for shift in (0, DRIFT):  # nearly equal diagonals share a band in one of two ways to cut them
+        band = (d + shift) // (2 * DRIFT)
+        order = np.lexsort((at, band, pair[run]))
+        r, p, b, a, diagonal = run[order], pair[run][order], band[order], at[order], d[order]
+        for side in (1, -1):
+            live = np.flatnonzero(~found[r])
+            k = 0
+            while len(live):
+                k += 1
+                live = live[(live + side * k >= 0) & (live + side * k < len(r))]
+                to = live + side * k
+                apart = np.abs(a[to] - a[live])
+                close = (p[to] == p[live]) & (b[to] == b[live]) & (apart <= NEAR)
+                live, to, apart = live[close], to[close], apart[close]
+                good = (apart >= K) & (np.abs(diagonal[to] - diagonal[live]) <= DRIFT)
+                found[r[live[good]]] = True
+                live = live[~good]
+    return found
+
+
+def chain_runs(x: np.ndarray, y: np.ndarray, end: np.ndarray, links: np.ndarray) -> list[np.ndarray]:
+    """Chains of runs (first place in both, last x, links), sorted by x, as index arrays; each run is in one chain.
+
+    A link scores ``K`` points; words that are skipped, on either side, cost ``GAP_COST`` each.
+    """
     n = len(x)
-    if n > 1 and (np.diff(x) > 0).all() and (np.diff(y) > 0).all() and (np.diff(x) + np.diff(y)).max() * GAP_COST < K:
-        return [np.arange(n)]  # all in order and close: the tree would find just this chain
-    order = np.unique(y)
-    rank = np.searchsorted(order, y) + 1
-    size = len(order) + 1
-    tree_value, tree_index = [-1e18] * (size + 1), [-1] * (size + 1)
+    if n == 1:
+        return [np.arange(1)]
+    x, y, end = x.astype(np.int64), y.astype(np.int64), end.astype(np.int64)
+    last = y + end - x
+    order = np.unique(last)
+    low, rank = np.searchsorted(order, y).tolist(), (np.searchsorted(order, last) + 1).tolist()
+    size = len(order)
+    value, index = [-1e18] * (size + 1), [-1] * (size + 1)
+    own = (K * links - GAP_COST * 2 * (end - x)).tolist()
+    start, stop = (GAP_COST * (x + y)).tolist(), (GAP_COST * (end + last)).tolist()
     score, parent = [0.0] * n, [-1] * n
-    at = 0
-    while at < n:
-        end = at
-        while end < n and x[end] == x[at]:  # matches of one place don't follow each other
-            best, source, r = -1e18, -1, int(rank[end]) - 1
+    # at one place beginnings come before ends: what follows a run begins after it
+    for e in np.lexsort((np.repeat([0, 1], n), np.concatenate((x, end)))).tolist():
+        if e < n:
+            best, source, r = -1e18, -1, low[e]
             while r > 0:
-                if tree_value[r] > best:
-                    best, source = tree_value[r], tree_index[r]
+                if value[r] > best:
+                    best, source = value[r], index[r]
                 r -= r & -r
-            gain = best - GAP_COST * (int(x[end]) + int(y[end]))
-            score[end], parent[end] = (K + gain, source) if source >= 0 and gain > 0 else (float(K), -1)
-            end += 1
-        for i in range(at, end):
-            value, r = score[i] + GAP_COST * (int(x[i]) + int(y[i])), int(rank[i])
+            gain = best - start[e]
+            score[e], parent[e] = (own[e] + gain, source) if source >= 0 and gain > 0 else (own[e], -1)
+        else:
+            i = e - n
+            v, r = score[i] + stop[i], rank[i]
             while r <= size:
-                if value > tree_value[r]:
-                    tree_value[r], tree_index[r] = value, i
+                if v > value[r]:
+                    value[r], index[r] = v, i
                 r += r & -r
-        at = end
     used, out = [False] * n, []
     for i in sorted(range(n), key=lambda i: (-score[i], i)):
-        own = []
+        taken = []
         while i >= 0 and not used[i]:
             used[i] = True
-            own.append(i)
+            taken.append(i)
             i = parent[i]
-        if len(own) >= least:
-            out.append(np.array(own[::-1]))
+        if taken:
+            out.append(np.array(taken[::-1]))
     return out
 
 
-def supported(x: np.ndarray, y: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Which matches have another one of their pair near them that shares no word with them, on nearly the same diagonal.
-
-    Matches are sorted by pair and x.
-    """
-    d = x.astype(np.int64) - y
-    found = np.zeros(len(x), dtype=bool)
-    live = np.arange(len(x))  # matches whose next ones are still near
-    for k in range(1, len(x)):
-        live = live[live + k < len(x)]
-        apart = x[live + k] - x[live]
-        close = (pair[live + k] == pair[live]) & (apart <= NEAR)
-        live, apart = live[close], apart[close]
-        good = live[(apart >= K) & (np.abs(d[live + k] - d[live]) <= DRIFT)]
-        found[good] = found[good + k] = True
-        live = live[~(found[live] & found[live + k])]  # what both have found, the ones between them have met
-        if not len(live):
-            break
-    return found
-
-
-def reaching(x: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Which matches, sorted by pair and x, are among neighbours (``NEAR`` words apart at most) that reach over ``SPAN`` words."""
-    if not len(x):
-        return np.empty(0, dtype=bool)
-    head = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (np.diff(x) > NEAR))))
-    tail = np.append(head[1:], len(x))
-    return np.repeat(x[tail - 1] - x[head] + K >= SPAN, tail - head)
-
-
 def chains(linked: DataFrame) -> DataFrame:
-    """``chain_id, doc_id, first_id, xs, ys`` of the links of :func:`links`."""
+    """One row for each two documents that have chains, from the links of :func:`links`: ``pair_id, doc_id, first_id``, in ``xs`` and
+    ``ys`` the first and the last place of each run of all chains, in ``ends`` where each chain ends there, and the blocks of words
+    that their alignment needs."""
+
+    kinds = {"seed": np.uint64, "doc": np.int64, "first": np.int64, "x": np.int32, "y": np.int32}
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        doc, first, x, y = (_unpacked(table, n, k) for n, k in zip(_LINKS, (np.int64, np.int64, np.int32, np.int32)))
-        order = np.argsort(x.astype(np.int64) << 32 | y)
-        order = order[np.argsort(_pair_key(doc, first)[order], kind="stable")]
-        doc, first, x, y = doc[order], first[order], x[order], y[order]
-
-        def ids() -> np.ndarray:
-            return np.cumsum(np.concatenate(([False], (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])))) if len(doc) else doc
-
-        near = supported(x, y, ids())
-        doc, first, x, y = doc[near], first[near], x[near], y[near]
-        wide = reaching(x, ids())
-        doc, first, x, y = doc[wide], first[wide], x[wide], y[wide]
-        edges = np.flatnonzero(np.diff(ids())) + 1
+        def without(absent: str, *names: str) -> tuple[np.ndarray, ...]:
+            rows = table.filter(pc.is_null(table[absent]))
+            return tuple(_unpacked(rows, n, kinds[n]) for n in names)
+
+        doc, first, x, y = without("seed", *_LINKS)
+        asked, told = without("y", *_ASKED), without("doc", *_TOLD)
+        all_runs = [(doc, first, x, y, x, np.ones(len(x), dtype=np.int64))]
+        if len(asked[0]):
+            all_runs.append(many_runs(asked, told))
+        pair, doc, first, x, y, end, n = merged(*(np.concatenate(c) for c in zip(*all_runs)))
+        near = supported(pair, x, y, end)
+        pair, doc, first, x, y, end, n = (c[near] for c in (pair, doc, first, x, y, end, n))
+        edges = (np.flatnonzero(np.diff(pair)) + 1).tolist()
         rows: list[tuple] = []
-        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(doc)]):
+        for lo, hi in zip([0, *edges], [*edges, len(doc)]):
             if lo < hi:
-                for k, own in enumerate(chain(x[lo:hi], y[lo:hi], 2)):
-                    rows.append((f"{doc[lo]}:{first[lo]}:{k}", doc[lo], first[lo], x[lo:hi][own], y[lo:hi][own]))
+                found = chain_runs(x[lo:hi], y[lo:hi], end[lo:hi], n[lo:hi])
+                own = np.concatenate(found) + lo
+                xs = np.stack((x[own], end[own]), axis=1).ravel()
+                ys = xs - np.repeat(x[own] - y[own], 2)
+                ends = 2 * np.cumsum([len(c) for c in found])
+                rows.append((f"{doc[lo]}:{first[lo]}", doc[lo], first[lo], xs, ys, ends, _blocks(xs, ends), _blocks(ys, ends)))
         return pa.Table.from_batches([_chain_batch(rows)])
 
-    return linked.groupBy("bucket").applyInArrow(run, "chain_id string, doc_id bigint, first_id bigint, xs array<int>, ys array<int>")
+    return linked.groupBy("bucket").applyInArrow(run, f"pair_id string, doc_id bigint, first_id bigint, {', '.join(f'{n} array<int>' for n in _LISTS)}")
+
+
+_LISTS = ["xs", "ys", "ends", "blocks", "first_blocks"]
+
+
+def _around(places: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last block of what the alignment of each chain reads."""
+    begin = np.concatenate(([0], ends[:-1]))
+    return np.maximum(places[begin] - REACH, 0) // BLOCK, (places[ends - 1] + K + REACH) // BLOCK
+
+
+def _blocks(places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    lo, hi = _around(places, ends)
+    n = hi - lo + 1
+    return np.unique(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n))
 
 
 def _chain_batch(rows: list[tuple]) -> pa.RecordBatch:
-    begin = pa.array(np.concatenate(([0], np.cumsum([len(r[3]) for r in rows]))).astype(np.int32))
     none = [np.empty(0, dtype=np.int32)]
-    lists = [pa.ListArray.from_arrays(begin, pa.array(np.concatenate([*(r[i] for r in rows), *none]).astype(np.int32))) for i in (3, 4)]
+    lists = []
+    for i in range(3, 8):
+        begin = pa.array(np.concatenate(([0], np.cumsum([len(r[i]) for r in rows]))).astype(np.int32))
+        lists.append(pa.ListArray.from_arrays(begin, pa.array(np.concatenate([*(r[i] for r in rows), *none]).astype(np.int32))))
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], type=pa.string()), pa.array([r[1] for r in rows], type=pa.int64()), pa.array([r[2] for r in rows], type=pa.int64()), *lists],
-        names=["chain_id", "doc_id", "first_id", "xs", "ys"],
+        names=["pair_id", "doc_id", "first_id", *_LISTS],
     )
 
 
@@ -306,11 +444,14 @@ def _word_blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "block").agg(F.first("items").alias("items"))  # rows may repeat a number
 
 
-def _sides(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Words of all rows, where each row's begin, and the place of each row's first word, from its blocks in order."""
-    begin = column.offsets.to_numpy()
-    blocks, items = column.values.field(0).to_numpy(), column.values.field(1)
-    return items.values.to_numpy(), items.offsets.to_numpy()[begin], (blocks[begin[:-1]].astype(np.int64) * BLOCK).tolist()
+def _side(column: pa.Array, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words of all rows, and of each chain of ``row`` with blocks ``lo`` to ``hi``: from where to where, and the place of the first one."""
+    begin, items = column.offsets.to_numpy(), column.values.field(1)
+    number = column.values.field(0).to_numpy().astype(np.int64)[begin[0] : begin[-1]]
+    number |= np.repeat(np.arange(len(column)) << 32, np.diff(begin))
+    at = items.offsets.to_numpy().astype(np.int64)[begin[0] :]
+    to = np.searchsorted(number, row << 32 | hi, side="right")  # a text can end before its last block
+    return items.values.to_numpy(), at[np.searchsorted(number, row << 32 | lo)], at[to], lo * BLOCK
 
 
 def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -418,6 +559,66 @@ def cut(x: np.ndarray, y: np.ndarray, least: int, same: int) -> list[tuple[int,
     return sorted(out)
 
 
+def _aligned(batch: pa.RecordBatch, least: int, same: int, known: dict[bytes, list[tuple[int, int, bytes]]]) -> Iterator[tuple]:
+    """Pieces of the chains of a batch.  ``known`` has the pieces of what was compared on one diagonal before."""
+    doc_ids, first_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    xs, ys, ends = (batch.column(i) for i in (2, 3, 4))
+    row = np.repeat(np.arange(batch.num_rows), np.diff(ends.offsets.to_numpy()))
+    until = xs.offsets.to_numpy()[row] + ends.flatten().to_numpy()  # in the values of all rows
+    at = np.concatenate((xs.offsets.to_numpy()[:1], until[:-1]))
+    xs, ys = xs.values.to_numpy().astype(np.int64), ys.values.to_numpy().astype(np.int64)[ys.offsets[0].as_py() :]
+    xs, at, until = xs[at[0] :], at - at[0], until - at[0]
+    wa, from_a, to_a, base_a = _side(batch.column(5), row, *_around(xs, until))
+    wb, from_b, to_b, base_b = _side(batch.column(6), row, *_around(ys, until))
+    # A chain on one diagonal is compared along it, as in align.
+    d = xs - ys
+    straight = np.minimum.reduceat(d, at) == np.maximum.reduceat(d, at)
+    x, y, end = xs[at] - base_a, ys[at] - base_b, xs[until - 1] + K - base_a
+    size_a, size_b = to_a - from_a, to_b - from_b
+    before = np.minimum(np.minimum(x, y), REACH)
+    end = np.maximum(np.minimum(end, size_a), x)
+    end = end + np.maximum(0, np.minimum(np.minimum(size_a - end, size_b - (y + end - x)), REACH))
+    x, y = x - before, y - before
+    n = np.where(straight, end - x, 0)
+
+    def pieces(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
+        for lo, hi in cut(x, y, least, same):
+            if hi - lo >= K:
+                own = np.zeros(x[hi - 1] - x[lo] + 1, dtype=bool)
+                own[x[lo:hi] - x[lo]] = True
+                yield int(x[lo]), int(x[hi - 1]) + 1, int(y[lo]), int(y[hi - 1]) + 1, np.packbits(own).tobytes()
+
+    total = np.cumsum(n)
+    lo = 0
+    while lo < len(row):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + COMPARED, side="right")))
+        size = n[lo:hi]
+        begin = np.concatenate(([0], np.cumsum(size)))
+        nth = np.arange(begin[-1])
+        equal = wa[nth + np.repeat((from_a + x)[lo:hi] - begin[:-1], size)] == wb[nth + np.repeat((from_b + y)[lo:hi] - begin[:-1], size)]
+        compared, begin = equal.tobytes(), begin.tolist()
+        first_x, first_y = (x + base_a)[lo:hi].tolist(), (y + base_b)[lo:hi].tolist()
+        for i, (r, one) in enumerate(zip(row[lo:hi].tolist(), straight[lo:hi].tolist())):
+            doc, first = doc_ids[r], first_ids[r]
+            if one:
+                key = compared[begin[i] : begin[i + 1]]
+                found = known.get(key)
+                if found is None:
+                    places = np.flatnonzero(equal[begin[i] : begin[i + 1]])
+                    found = [(s, e, bits) for s, e, _, _, bits in pieces(places, places)]
+                    if len(key) <= KNOWN_WORDS:
+                        known[key] = found
+                ox, oy = first_x[i], first_y[i]
+                for s, e, bits in found:
+                    yield doc, first, ox + s, ox + e, oy + s, oy + e, bits
+            else:
+                c = lo + i
+                oa, ob, own = int(base_a[c]), int(base_b[c]), slice(at[c], until[c])
+                for s, e, fs, fe, bits in pieces(*align(wa[from_a[c] : to_a[c]], wb[from_b[c] : to_b[c]], xs[own] - oa, ys[own] - ob)):
+                    yield doc, first, s + oa, e + oa, fs + ob, fe + ob, bits
+        lo = hi
+
+
 def repeats(docs: DataFrame, least: int = LEAST, same: int = SAME) -> DataFrame:
     """``doc_id, start_word, end_word, first_id, first_start, first_end, equal_words``: one row a passage and document.
 
@@ -427,41 +628,27 @@ def repeats(docs: DataFrame, least: int = LEAST, same: int = SAME) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     linked = scratch.keep(chains(links(docs, max(LEAST_BUCKETS, size // BUCKET_BYTES))))
 
-    def blocks(places: str):
-        lo, hi = F.element_at(places, 1) - REACH, F.element_at(places, -1) + K + REACH
-        return F.explode(F.sequence(F.floor(F.greatest(lo, F.lit(0)) / BLOCK).cast("int"), F.floor(hi / BLOCK).cast("int"))).alias("block")
-
-    left, right = linked.select("chain_id", "doc_id", blocks("xs")), linked.select("chain_id", F.col("first_id").alias("doc_id"), blocks("ys"))
+    left = linked.select("pair_id", "doc_id", F.explode("blocks").alias("block"))
+    right = linked.select("pair_id", F.col("first_id").alias("doc_id"), F.explode("first_blocks").alias("block"))
     fetched = scratch.keep(_word_blocks(docs, left.unionByName(right).select("doc_id", "block").distinct()))
 
     def side(rows: DataFrame, name: str) -> DataFrame:
-        own = F.array_sort(F.collect_list(F.struct("block", "items")))  # as many blocks as the passage has
-        return rows.join(fetched, ["doc_id", "block"]).groupBy("chain_id").agg(own.alias(name))
+        own = F.array_sort(F.collect_list(F.struct("block", "items")))  # as many blocks as the document has, at most
+        return rows.join(fetched, ["doc_id", "block"]).groupBy("pair_id").agg(own.alias(name))
 
-    both = linked.join(side(left, "a"), "chain_id").join(side(right, "b"), "chain_id")
+    both = linked.drop("blocks", "first_blocks").join(side(left, "a"), "pair_id").join(side(right, "b"), "pair_id")
     schema = "doc_id bigint, first_id bigint, s int, e int, fs int, fe int, equal binary"
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows = []
-        doc_ids, first_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        xs, ys = batch.column(2), batch.column(3)
-        (wa, from_a, base_a), (wb, from_b, base_b) = _sides(batch.column(4)), _sides(batch.column(5))
-        at, xs, ys = xs.offsets.to_numpy(), xs.values.to_numpy(), ys.values.to_numpy()
-        for i, (doc, first) in enumerate(zip(doc_ids, first_ids)):
-            oa, ob = base_a[i], base_b[i]
-            a, b = wa[from_a[i] : from_a[i + 1]], wb[from_b[i] : from_b[i + 1]]
-            x, y = align(a, b, xs[at[i] : at[i + 1]] - oa, ys[at[i] : at[i + 1]] - ob)
-            for lo, hi in cut(x, y, least, same):
-                if hi - lo >= K:
-                    equal = np.zeros(x[hi - 1] - x[lo] + 1, dtype=bool)
-                    equal[x[lo:hi] - x[lo]] = True
-                    rows.append((doc, first, x[lo] + oa, x[hi - 1] + 1 + oa, y[lo] + ob, y[hi - 1] + 1 + ob, np.packbits(equal).tobytes()))
-        if not rows:
-            return None
-        kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "first_id", "s", "e", "fs", "fe", "equal"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list[tuple[int, int, bytes]]] = {}
+        for batch in batches:
+            if batch.num_rows and (rows := list(_aligned(batch, least, same, known))):
+                kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "first_id", "s", "e", "fs", "fe", "equal"])
+            if len(known) > KNOWN:
+                known.clear()
 
-    aligned = both.select("doc_id", "first_id", "xs", "ys", "a", "b").mapInArrow(over_batches(run), schema)
+    aligned = both.select("doc_id", "first_id", "xs", "ys", "ends", "a", "b").mapInArrow(run, schema)
     return _joined(aligned, least, same)
 
 

@@ -241,6 +241,39 @@ def test_passages_far_apart_are_all_found(spark, sizes):
     assert sorted(tuple(r) for r in found) == want
 
 
+def test_passages_many_places_of_a_seed(spark):
+    """Every seed of the passage stands six times in its first document before the passage does."""
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(60)]
+    noise = iter(f"n{i}" for i in range(10_000))
+    first = []
+    for _ in range(6):
+        for at in rng.permutation(np.arange(0, 55, 5)).tolist():
+            first += passage[at : at + 10] + [next(noise) for _ in range(70)]
+    start = len(first)
+    rows = [first + passage, [next(noise) for _ in range(100)] + passage + [next(noise) for _ in range(100)]]
+    found = passages.repeats(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in found] == [(1, 100, 160, 0, start, start + 60, 60)]
+
+
+def test_passages_runs_of_many_places_are_all_links():
+    rng = np.random.default_rng(1)
+    lines = [[f"w{rng.integers(30)}" for _ in range(rng.integers(3, 9))] for _ in range(5)]
+    texts = [" ".join(w for _ in range(60) for w in lines[rng.integers(5)]) for _ in range(4)]
+    row, place, seed = passages.seeds_of(pa.array(texts))
+    row, place = row.astype(np.int64), place.astype(np.int32)
+    for overlaid in (False, True):  # two texts under one number have two seeds at a place
+        home = row <= overlaid
+        both = np.intersect1d(seed[home], seed[~home])
+        asked, told = ~home & np.isin(seed, both), home & np.isin(seed, both)
+        links = (seed[asked], row[asked], np.zeros(asked.sum(), dtype=np.int64), place[asked])
+        doc, _, x, y, end, n = passages.many_runs(links, (seed[told], np.zeros(told.sum(), dtype=np.int64), place[told]))
+        want = {(d, p, q) for s, d, p in zip(seed[asked], row[asked], place[asked]) for q in place[told & (seed == s)]}
+        got = [(d, p, q + p - o) for d, o, q, e in zip(doc, x, y, end) for p in place[asked & (row == d)] if o <= p <= e]
+        assert set(got) == want and len(got) == n.sum()
+        assert overlaid or len(x) < len(want) / 2
+
+
 def test_passages_with_many_edits(spark):
     rng = np.random.default_rng(14)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 30_000, n)]

@@ -414,6 +414,60 @@ def test_chroma_recall_at_the_limits_of_the_rule(spark, noise, share):
     assert len(found & want) >= 0.9 * len(want)
 
 
+def prints_of(vectors, noise=0, share=1.0, seed=0):
+    rng, out = np.random.default_rng(seed), []
+    for v in vectors:
+        pcm = chroma.render(v).astype(float)
+        part = pcm[int(len(pcm) * (1 - share)) :]
+        out.append(chroma.fingerprint(np.clip(part + rng.normal(0, noise, len(part)), -32768, 32767).astype("<i2")))
+    return out
+
+
+def test_chroma_looks_at_few_offsets_of_unlike_recordings(monkeypatch):
+    """A query and a row that have nothing in common meet at few offsets by chance: their product grows with the square."""
+    made = prints_of(np.random.default_rng(11).normal(0, 0.125, (820, 64)))
+    index, looked, glance = chroma.Index([(i, i, 1) for i in range(800)], made[:800]), [], chroma.Index._glance
+    monkeypatch.setattr(chroma.Index, "_glance", lambda self, own, query, offset: looked.append(len(query)) or glance(self, own, query, offset))
+    for own in made[800:]:
+        index.align(own)
+    assert 0 < sum(looked) < 12 * 800 * 20
+
+
+def test_chroma_recall_of_noisy_pieces_among_others():
+    vectors = np.random.default_rng(12).normal(0, 0.125, (60, 64))
+    clean, noisy = prints_of(vectors), prints_of(vectors, 4000, 0.65, seed=13)
+    index = chroma.Index([(i, i, 1) for i in range(60)], clean)
+    want = {(i, q): offsets_by_rule(own, clean[q]) for i, own in enumerate(noisy) for q in range(60)}
+    want = {k: v for k, v in want.items() if v}
+    found = {(i, q): (share, o) for i, own in enumerate(noisy) for share, q, o in index.align(own)}
+    assert len(want) >= 40 and found.keys() <= want.keys() and len(found) >= 0.98 * len(want)
+    assert all(share == min(want[k].values()) and want[k][o] == share for k, (share, o) in found.items())
+
+
+def test_chroma_rows_of_other_lengths_and_small_steps(monkeypatch):
+    rng = np.random.default_rng(14)
+    vectors = [rng.normal(0, 0.125, n) for n in (3, 12, 48, 64, 64, 90)]
+    made = prints_of(vectors)
+    index = chroma.Index([(i, i, 1) for i in range(6)], made)
+    whole = chroma.fingerprint(np.concatenate([chroma.render(v) for v in vectors]))  # longer than all queries
+    rows = [whole, made[0], made[1], made[5][20:], made[0][:0]]
+    got = [sorted(index.align(own)) for own in rows]
+    want = [{q: found for q, p in enumerate(made) if (found := offsets_by_rule(own, p))} for own in rows]
+    assert set(want[0]) == {2, 3, 4, 5} and [{q for _, q, _ in g} for g in got] == [set(w) for w in want]
+    assert all(share == min(w[q].values()) for g, w in zip(got, want) for share, q, _ in g)
+    monkeypatch.setattr(chroma, "CELLS", 20)  # few hits at a time
+    assert [sorted(index.align(own)) for own in rows] == got
+    assert chroma.Index([(0, 0, 1)], [made[0]]).align(whole) == []
+
+
+def test_chroma_blocks_are_bounded_in_frames(spark, monkeypatch):
+    media = chroma.recordings(spark.createDataFrame([(i, np.random.default_rng(i).normal(0, 0.125, 64).tolist()) for i in range(10)], "vec_id long, embedding array<double>"))
+    p = chroma.fingerprints(media)
+    monkeypatch.setattr(chroma, "FRAMES", 300)
+    assert [len(block.ids) for block in chroma._blocks(p)] == [3, 3, 3, 1]
+    assert chroma.search(p.unionByName(p.withColumn("rec_id", F.col("rec_id") + 10)), F.col("rec_id") < 10).where("n_links = 1").count() == 10
+
+
 def test_chroma_links_all_queries_and_equal_ones_as_a_class(spark):
     rng = np.random.default_rng(5)
     vector = rng.normal(0, 0.125, 64)

@@ -62,6 +62,23 @@ def test_boosting_counts_only_what_it_needs(spark, monkeypatch):
     assert [s[0] for s in seen] == [0, 1, 2, 0, 1, 2] and all(nodes <= max(1, 2 ** (level - 1)) and used == 4 for level, nodes, used in seen)
 
 
+def test_many_rounds_over_few_rows_take_no_job_a_level(spark, monkeypatch):
+    """A task grows all trees of a fold where its rows are few; a job a level gives the same trees and scores."""
+    rows = spark.range(3000).selectExpr("id AS entity", "id % 6 AS rnd", "0 AS series", *[f"CASE WHEN abs(hash(id, {c}, 5)) % 9 > 0 THEN cast(abs(hash(id, {c})) % 90 AS double) END AS c{c}" for c in range(4)])
+    label = F.coalesce("c0", F.lit(30.0)) + F.coalesce("c1", F.lit(9.0)) * 2 + F.col("rnd")
+    rows = cut_lineage(rows.withColumn("ActualFinish", F.when(F.col("entity") % 11 > 0, label)))
+    columns, p, levels, histogram = [f"c{c}" for c in range(4)], boosting.Penalised(rounds=23, rate=0.2), [], boosting._histogram
+    monkeypatch.setattr(boosting, "_histogram", lambda *a: levels.append(0) or histogram(*a))
+    found = []
+    for most in (boosting.FOLD_ROWS, 0):
+        monkeypatch.setattr(boosting, "FOLD_ROWS", most)
+        m = boosting.fit(rows, columns, "ActualFinish", [0, 3, 5, 40], p)
+        trees = [[(t.feature.tolist(), t.cut.tolist(), t.value.tolist()) for t in own] for own in m.trees]
+        found.append((len(levels), trees[1:], sorted(tuple(r) for r in m.held.select("entity", "xgb").collect())))
+    assert found[0][0] == 0 and found[1][0] == 69 and found[0][1:] == found[1][1:]
+    assert len(found[0][2]) == 1500 and all(len(own) == 23 for own in found[0][1])
+
+
 def test_cells_of_one_value_are_not_looked_into_again(spark, monkeypatch):
     rows = cut_lineage(spark.range(60_000).selectExpr("id % 5 AS rnd", "cast(abs(hash(id)) % 20 AS double) AS place"))
     written = []

@@ -79,6 +79,17 @@ def test_many_rounds_over_few_rows_take_no_job_a_level(spark, monkeypatch):
     assert len(found[0][2]) == 1500 and all(len(own) == 23 for own in found[0][1])
 
 
+def test_levels_read_rows_in_large_blocks(spark, monkeypatch):
+    """A level's tasks take a few values of many rows each, and large tables don't take more tasks than keep the cores busy."""
+    rows = spark.range(5000).selectExpr("id AS entity", "id % 6 AS rnd", "0 AS series", *[f"cast(abs(hash(id, {c})) % 90 AS double) AS c{c}" for c in range(3)])
+    rows = cut_lineage(rows.withColumn("ActualFinish", F.when(F.col("entity") % 9 > 0, F.col("c0") + F.col("c1") * 2)))
+    read, histogram = [], boosting._histogram
+    monkeypatch.setattr(boosting, "_histogram", lambda table, *a: read.append(table.count()) or histogram(table, *a))
+    assert boosting.fit(rows, ["c0", "c1", "c2"], "ActualFinish", [3, 5], boosting.Penalised(rounds=2, rate=0.3)).held.count() == 1666
+    cores = spark.sparkContext.defaultParallelism
+    assert read and max(read) <= cores and [boosting.tasks_for(spark, n) for n in (0, boosting.TASK_ROWS, cores * boosting.TASK_ROWS + 1)] == [cores, cores, 2 * cores]
+
+
 def test_cells_of_one_value_are_not_looked_into_again(spark, monkeypatch):
     rows = cut_lineage(spark.range(60_000).selectExpr("id % 5 AS rnd", "cast(abs(hash(id)) % 20 AS double) AS place"))
     written = []

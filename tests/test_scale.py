@@ -1,5 +1,7 @@
 """Faults that showed on larger tables."""
 
+import os
+
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
@@ -90,6 +92,21 @@ def test_levels_read_rows_in_large_blocks(spark, monkeypatch):
     assert read and max(read) <= cores and [boosting.tasks_for(spark, n) for n in (0, boosting.TASK_ROWS, cores * boosting.TASK_ROWS + 1)] == [cores, cores, 2 * cores]
 
 
+def test_scores_of_earlier_rounds_are_not_kept(spark, monkeypatch):
+    """Of the tables that boosting writes on its way only the binned rows are left."""
+    rows = spark.range(800).selectExpr("id AS entity", "id % 6 AS rnd", "0 AS series", "cast(abs(hash(id)) % 90 AS double) AS a")
+    rows = cut_lineage(rows.withColumn("ActualFinish", F.col("a") * 2))
+    written = []
+    monkeypatch.setattr(boosting, "FOLD_ROWS", 0)
+    monkeypatch.setattr(boosting, "KEEP_EVERY", 2)
+    monkeypatch.setattr(boosting, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    folder_of, seen = boosting.folder_of, []
+    monkeypatch.setattr(boosting, "folder_of", lambda df: seen.append(folder_of(df)) or seen[-1])
+    m = boosting.fit(rows, ["a"], "ActualFinish", [3, 5], boosting.Penalised(rounds=7, depth=2, rate=0.3))
+    assert len(written) == 4 and len(seen) == 3 and not any(os.path.exists(f.removeprefix("file:")) for f in seen)
+    assert m.held.count() == 266 and [len(own) for own in m.trees] == [7, 7]
+
+
 def test_cells_of_one_value_are_not_looked_into_again(spark, monkeypatch):
     rows = cut_lineage(spark.range(60_000).selectExpr("id % 5 AS rnd", "cast(abs(hash(id)) % 20 AS double) AS place"))
     written = []
